@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, pieces, quality, simhash, suffix_dedup, token_store, toxicity
+from . import exact_dedup, licenses, mixing, pieces, quality, simhash, suffix_dedup, token_store, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,6 +32,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.license_scan(_read(spark, sf_dir, "documents"))
+    return out.withColumn("containment", F.round("containment", 6))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.simhash_components(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", simhash.hex_of().alias("fingerprint"), "component_id")
@@ -55,13 +61,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pieces": op3_pieces,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_mixing": op5_mixing,
+    "op6_licenses": op6_licenses,
     "op7_simhash": op7_simhash,
     "op8_toxicity": op8_toxicity,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality": op10_quality,
 }
 
+_TEMPLATE_ROWS = ", ".join("('{}', '{}', '{}')".format(*t) for t in licenses.TEMPLATES)
+
 ORACLE_SQL: dict[str, str] = {
+    "op6_licenses": rf"""
+        WITH t AS (SELECT template, license, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM (VALUES {_TEMPLATE_ROWS}) AS x(template, license, text)),
+        ts AS (SELECT DISTINCT template, license, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM t)),
+        n AS (SELECT template, count(*) AS n FROM ts GROUP BY template),
+        d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM documents),
+        ds AS (SELECT doc_id, i, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM d)),
+        m AS (SELECT doc_id, template, license, count(DISTINCT s) AS n_matched, min(i) - 1 AS first_word FROM ds JOIN ts USING (s) GROUP BY ALL)
+        SELECT doc_id, template, license, n_matched, round(n_matched / n, 6) AS containment, first_word FROM m JOIN n USING (template) WHERE n_matched / n >= 0.8""",
     "op4_exact_dedup": r"""
         WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
