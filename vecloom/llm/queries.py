@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, licenses, mixing, pieces, quality, simhash, suffix_dedup, token_store, toxicity
+from . import exact_dedup, licenses, media, mixing, pieces, quality, simhash, suffix_dedup, token_store, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_digests(_read(spark, sf_dir, "documents"))
 
 
+def op2_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_copies(media.pictured(_read(spark, sf_dir, "embeddings")))
+
+
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(_read(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_ids": op1_token_ids,
+    "op2_media_copies": op2_media_copies,
     "op3_pieces": op3_pieces,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_mixing": op5_mixing,
