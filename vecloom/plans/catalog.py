@@ -1,4 +1,4 @@
-"""Registry of the engine's queries and, where SQL can express them, their SQL."""
+"""All queries of the engine and, where SQL can express them, their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import aggregate_queries, graph_queries, sql_queries, state_queries, text_queries, vector_queries  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401
