@@ -29,11 +29,18 @@ def first_of(parts: DataFrame, key: str, order: str) -> DataFrame:
 
 def blended(old: DataFrame, new: DataFrame, share: float = 0.2) -> DataFrame:
     """Update with blend: unit(.8 old + .2 new), drift 1 - cosine, mass + 1; unknown keys are inserted."""
-    n = new.select("concept", F.col("q").alias("_q"))
-    both = old.join(n, "concept", "full_outer")
-    drift = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - V.cosine(F.col("q"), F.col("_q"))))
-    hit = F.col("q").isNotNull() & F.col("_q").isNotNull()
-    return both.select("concept", F.when(hit, V.blend(F.col("q"), F.col("_q"), share)).otherwise(F.coalesce("q", "_q")).alias("q"), F.when(hit, drift).otherwise(F.coalesce("drift", F.lit(0.0))).alias("drift"), (F.coalesce("mass", F.lit(0)) + F.col("_q").isNotNull().cast("int")).alias("mass"))
+    # the inputs are renamed: inside a lambda, a name that the same select also gives would mean the new column
+    n = new.select("concept", F.col("q").alias("_new"))
+    both = old.withColumnsRenamed({"q": "_old", "drift": "_drift", "mass": "_mass"}).join(n, "concept", "full_outer")
+    was, now = F.col("_old"), F.col("_new")
+    hit = was.isNotNull() & now.isNotNull()
+    drift = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - V.cosine(was, now)))
+    return both.select(
+        "concept",
+        F.when(hit, V.blend(was, now, share)).otherwise(F.coalesce(was, now)).alias("q"),
+        F.when(hit, drift).otherwise(F.coalesce("_drift", F.lit(0.0))).alias("drift"),
+        (F.coalesce("_mass", F.lit(0)) + now.isNotNull().cast("int")).alias("mass"),
+    )
 
 
 def history(events: DataFrame, by: str, order: list[str], *values: str) -> DataFrame:
