@@ -46,7 +46,7 @@ def field(text: Column, name: str) -> Column:
 
 def without_footer(text: Column, name: str = "recorded_at") -> Column:
     at = F.length(text) - F.length(F.substring_index(text, f"**{name}:**", -1))
-    return F.when(text.contains(f"**{name}:**"), F.rtrim(F.substring(text, F.lit(1), at - len(name) - 5))).otherwise(text)
+    return F.when(text.contains(f"**{name}:**"), F.regexp_replace(F.substring(text, F.lit(1), at - len(name) - 5), r"\s+$", "")).otherwise(text)
 
 
 CUES = ("implemented", "shipped", "decided", "fixed", "goal:")
