@@ -42,6 +42,16 @@ def text_of(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, lengthened until none is a column already."""
+    out = []
+    for n in names:
+        while n in columns or n in out:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def fold_of(doc_id: str = "doc_id") -> Column:
     """crc32(doc_id as text) mod 5; 0 is the held-out fold."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5

@@ -13,9 +13,8 @@
    spreads over many tasks.
 
 Edge cases: a null text counts as empty; an empty text is a text like any other; rows with a null
-doc_id group by text but never stay before a row that has one; equal doc_ids in one group: every
-row with the smallest one is marked kept by ``doc_id = keep_id`` only if it is the only such row,
-else the first by the other columns' hash. Extra columns are ignored. An empty table gives no rows.
+doc_id group by text but never stay before a row that has one; rows equal in both id and text are one
+document, so all of them carry its decision. Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,8 +27,12 @@ from .common import SPACE, cut, salted_left_join, text_of
 DEPTH = 16
 
 
+def normalised_of(text: Column) -> Column:
+    return F.regexp_replace(text_of(text), SPACE, " ")
+
+
 def normalised(column: str = "text") -> Column:
-    return F.regexp_replace(text_of(column), SPACE, " ")
+    return normalised_of(F.col(column))
 
 
 def directory(entries: DataFrame, capacity: int) -> DataFrame:
@@ -38,7 +41,7 @@ def directory(entries: DataFrame, capacity: int) -> DataFrame:
     levels = full.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(DEPTH))))
     top = lambda: F.expr(f"shiftrightunsigned(prefix, {DEPTH} - depth)")
     load = levels.groupBy("depth", top().alias("top")).agg(F.sum("n").alias("load"))
-    fits = levels.withColumn("top", top()).join(load, ["depth", "top"]).where((F.col("load") <= capacity) | (F.col("depth") == DEPTH))
+    fits = levels.withColumn("top", top()).join(F.broadcast(load), ["depth", "top"]).where((F.col("load") <= capacity) | (F.col("depth") == DEPTH))
     local = fits.groupBy("prefix").agg(F.min("depth").alias("depth"))
     return local.withColumn("bucket", F.expr(f"shiftleft(shiftrightunsigned(prefix, {DEPTH} - depth), {DEPTH} - depth)"))
 
@@ -66,5 +69,5 @@ def keep_first(docs: DataFrame, capacity: int = 50_000) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one per distinct normalised text."""
     index = build_index(docs, capacity)
     stay = index.select(F.col("keep_id").alias("_keep"), F.col("key").alias("_key"))
-    keyed = docs.withColumn("_k", F.xxhash64(normalised()))
-    return keyed.join(stay, keyed["doc_id"].eqNullSafe(stay["_keep"]) & (keyed["_k"] == stay["_key"]), "left_semi").drop("_k")
+    own = docs["doc_id"].eqNullSafe(stay["_keep"]) & (F.xxhash64(normalised_of(docs["text"])) == stay["_key"])
+    return docs.join(stay, own, "left_semi")

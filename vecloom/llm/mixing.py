@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, salted_left_join, text_of
+from .common import WORD, cut, fresh, salted_left_join, text_of
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -126,7 +126,8 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: fl
 
 def mixed_rows(docs: DataFrame, seed: int = 7) -> DataFrame:
     """``docs`` with each row repeated as often as the mix takes it; documents without words stay once."""
-    plan = mix(docs, seed=seed).select(F.col("_row").alias("_id"), F.when(F.col("size") > 0, F.col("copies")).otherwise(1).alias("_copies")).dropDuplicates(["_id"])
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "source", text_of()))
-    out = keyed.join(plan, keyed["_row"] == plan["_id"]).where("_copies > 0")
-    return out.withColumn("_i", F.explode(F.expr("sequence(1, cast(_copies as int))"))).select(*docs.columns)
+    row, copies, nth = fresh(docs.columns, "_row", "_copies", "_nth")
+    plan = mix(docs, seed=seed).select(F.col("_row").alias(row), F.when(F.col("size") > 0, F.col("copies")).otherwise(1).alias(copies)).dropDuplicates([row])
+    own = F.xxhash64(docs["doc_id"], docs["source"], text_of(docs["text"])) == plan[row]
+    out = docs.join(plan, own).where(F.col(copies) > 0)
+    return out.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)

@@ -40,7 +40,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     """
     known = labels.where(F.col(label).isin(0, 1) & (fold_of() != 0)).select(F.col("doc_id").alias("_id"), F.col(label).alias("_y"), F.xxhash64("doc_id").alias("_h"))
     picked = known.where("_y = 1").orderBy("_h", "_id").limit(per_class).union(known.where("_y = 0").orderBy("_h", "_id").limit(per_class))
-    rows = docs.join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).where(F.length(text_of()) <= longest)
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).where(F.length(text_of()) <= longest)
     got = rows.select("_h", "_id", "_y", text_of().cast("binary").alias("text")).collect()  # at most 2 x per_class rows
     return [(r[2], bytes(r[3])) for r in sorted(got, key=lambda r: (r[0], r[1], bytes(r[3])))]
 

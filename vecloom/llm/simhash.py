@@ -13,8 +13,8 @@
    Links are reduced in the task to one edge per row; components are joined up across cells.
 
 Edge cases: null and empty texts have fingerprint zero and link like any other; fewer words than a
-shingle: the whole sequence is hashed; rows with equal ids each get a result; a null id never is a
-component's id unless it is alone; extra columns are ignored; an empty table gives no rows.
+shingle: the whole sequence is hashed; rows with equal ids each get a result, and rows equal in id and
+text are one document; a component's id is null only if all its ids are; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
