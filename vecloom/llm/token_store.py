@@ -18,7 +18,7 @@ starts a new pre-token, so texts are cut there and each worker encodes a distinc
 bounded table of results.
 
 Edge cases: null and empty texts have only the end id; rows with equal ids stay apart, in a fixed
-order; a null doc_id comes first; very long texts have a segment of their own; extra columns are
+order; a null doc_id comes first (in the file: the least 64-bit number); very long texts have a segment of their own; extra columns are
 ignored; an empty table gives an empty dataset and no rows.
 """
 
@@ -41,6 +41,7 @@ from .common import shared_path, text_of
 END = 0
 SEGMENT = 1 << 20
 KNOWN = 500_000
+NO_ID = -(1 << 63)
 SCHEMA = "part int, seq int, base long, n_docs long, n_tokens long, blob binary"
 
 
@@ -179,7 +180,7 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterato
         for k in range(0, len(ids), 256):
             for d, r in zip(ids[k : k + 256], encode(texts[k : k + 256])):
                 raw.append(r + stop)
-                doc_ids.append(d)
+                doc_ids.append(NO_ID if d is None else d)
                 n += len(r) // 4 + 1
                 if n >= SEGMENT:
                     yield flush()
@@ -206,7 +207,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 raw = memoryview(s.all().astype("<u4").tobytes())
                 starts = np.concatenate(([0], s.ends[:-1]))
                 ids = [bytes(raw[4 * a : 4 * e]) for a, e in zip(starts.tolist(), s.ends.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids), pa.array(np.full(len(ids), part, np.int32)), pa.array(base + starts), pa.array(s.ends - starts), pa.array(ids, pa.binary())], ["doc_id", "part", "start", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids, mask=s.doc_ids == NO_ID), pa.array(np.full(len(ids), part, np.int32)), pa.array(base + starts), pa.array(s.ends - starts), pa.array(ids, pa.binary())], ["doc_id", "part", "start", "n_tokens", "ids"])
 
     docs = seg.select("part", "base", "blob").mapInArrow(run, "doc_id long, part int, start long, n_tokens long, ids binary")
     parts = seg.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # a row per written part
