@@ -65,14 +65,14 @@ def skill_clusters(spark, sf_dir):
 
 
 @query(
-    f"""WITH {REC}, pr AS (SELECT concept AS probe, q AS pq FROM rec WHERE vec_id % 25 = 0), h AS (SELECT probe, concept, round(list_cosine_similarity(q, pq), 6) AS score FROM rec, pr),
+    f"""WITH {REC}, pr AS (SELECT concept AS probe, q AS pq FROM rec ORDER BY reliability DESC, concept LIMIT 20), h AS (SELECT probe, concept, round(list_cosine_similarity(q, pq), 6) AS score FROM rec, pr),
     t AS (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY score DESC, concept) AS r FROM h), e AS (SELECT probe, max((concept = probe)::INT) AS hit, max(score) AS best FROM t WHERE r <= 5 GROUP BY probe)
     SELECT count(*) AS probes, round(avg(hit), 6) AS accuracy, round(avg(best), 6) AS mean_top FROM e"""
 )
 def dream_accuracy(spark, sf_dir):
     r = records(spark, sf_dir)
-    probes = r.where("vec_id % 25 = 0").select(F.col("concept").alias("probe"), F.col("q").alias("pq"))
-    hits = r.join(probes).select("probe", "concept", F.round(V.cosine(F.col("q"), F.col("pq")), 6).alias("score"))
+    probes = r.orderBy(F.desc("reliability"), "concept").limit(20).select(F.col("concept").alias("probe"), F.col("q").alias("pq"))  # twenty anchors
+    hits = r.crossJoin(F.broadcast(probes)).select("probe", "concept", F.round(V.cosine(F.col("q"), F.col("pq")), 6).alias("score"))
     return A.recall_evaluation(hits, 5)
 
 
