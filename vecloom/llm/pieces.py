@@ -39,13 +39,15 @@ from .common import text_of
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 UNIGRAM, BPE = 1, 2
-CHUNK = 1 << 20
+CHUNK = 1 << 19
+SLICE = 256
 COMMON = 1 << 18
 COMMON_FROM = 20_000
 LONG = 256
 FALLBACK = (1 << 20) - 1
 
-LATTICE = "array<struct<n:int,edges:array<struct<s:int,e:int,id:int,score:float>>,chars:array<int>,bytes:array<array<int>>>>"
+#: An edge is one number: rank << 40 | id << 20 | start << 10 | end; ranks order merges, best first.
+LATTICE = "array<struct<n:int,edges:array<bigint>,scores:array<float>,chars:array<int>,bytes:array<array<int>>>>"
 ROW = f"words {LATTICE}, docs array<struct<doc_id:bigint,parts:array<int>,n_bytes:bigint,crc:bigint>>"
 
 
@@ -99,6 +101,8 @@ class PieceModel:
     unknown: int = 0
     longest: int = 1
     neighbours: frozenset[str] = frozenset()
+    starts: dict[str, int] = field(default_factory=dict)
+    key: list[int] = field(default_factory=list)
 
     def __post_init__(self):
         self.ids = {p: i for i, (p, _, t) in enumerate(self.rows) if t not in (UNKNOWN, CONTROL, BYTE)}
@@ -107,6 +111,11 @@ class PieceModel:
         self.unknown = next((i for i, r in enumerate(self.rows) if r[2] == UNKNOWN), 0)
         self.longest = max(map(len, self.ids), default=1)
         self.neighbours = frozenset(p[k : k + 2] for p in self.ids for k in range(len(p) - 1))
+        self.starts = {p[:k]: -1 for p in self.ids for k in range(2, len(p))} | {p: i for p, i in self.ids.items() if len(p) > 1}
+        order = sorted(range(len(self.rows)), key=lambda i: (-self.rows[i][1], i))
+        self.key = [0] * len(order)
+        for rank, i in enumerate(order):
+            self.key[i] = rank << 40 | i << 20
         crossing = [p for p in self.ids if re.search(f"[^{MARK}]{MARK}", p)]
         if crossing:
             raise ValueError(f"pieces that cross words are not supported: {crossing[:3]}")
@@ -133,23 +142,27 @@ class PieceModel:
             return [i]
         return [self.byte_ids[b] for b in c.encode()] if self.byte_ids else [self.unknown]
 
-    def edges(self, word: str) -> list[tuple[int, int, int, float]]:
-        """All substrings of bounded length that are pieces, as (start, end, id, score).
+    def edges(self, word: str) -> list[int]:
+        """All substrings of two characters and more that are pieces, best first; a piece's prefixes end the search."""
+        starts, key, n, out = self.starts, self.key, len(word), []
+        for s in range(n - 1):
+            at = s << 10
+            for e in range(s + 2, n + 1):
+                i = starts.get(word[s:e])
+                if i is None:
+                    break
+                if i >= 0:
+                    out.append(key[i] + at + e)
+        out.sort()
+        return out
 
-        For merges: those of two characters and more, best first; for Viterbi: all, by end."""
-        ids, n, out = self.ids, len(word), []
-        for s in range(n):
-            for e in range(s + 2, min(n, s + self.longest) + 1):
-                i = ids.get(word[s:e])
-                if i is not None:
-                    out.append((s, e, i, self.rows[i][1]))
-        if self.kind == BPE:
-            out.sort(key=lambda x: (-x[3], x[0]))
-            return out
+    def scored_edges(self, word: str) -> list[tuple[int, float]]:
+        """For Viterbi: single characters too, by end and start, with scores."""
         low = min((r[1] for r in self.rows), default=0.0) - 10.0
-        out += [(s, s + 1, ids.get(c, FALLBACK), self.rows[ids[c]][1] if c in ids else low) for s, c in enumerate(word)]
+        out = [((k >> 10) & 1023, k & 1023, (k >> 20) & FALLBACK) for k in self.edges(word)]
+        out += [(s, s + 1, self.ids.get(c, FALLBACK)) for s, c in enumerate(word)]
         out.sort(key=lambda x: (x[1], x[0]))
-        return out
+        return [(i << 20 | s << 10 | e, self.rows[i][1] if i != FALLBACK else low) for s, e, i in out]
 
     def merge_long(self, word: str) -> list[int]:
         """The merges of one long word, with a heap over neighbouring symbols."""
@@ -182,7 +195,8 @@ class PieceModel:
 
     def viterbi_long(self, word: str) -> list[int]:
         best = [(0.0, 0, 0)] + [(-1e30, 0, 0)] * len(word)
-        for s, e, i, score in self.edges(word):
+        for k, score in self.scored_edges(word):
+            s, e, i = (k >> 10) & 1023, k & 1023, k >> 20
             if best[s][0] + score > best[e][0]:
                 best[e] = (best[s][0] + score, s, i)
         out, e = [], len(word)
@@ -226,22 +240,31 @@ def safe_parts(word: str, model: PieceModel) -> list[str]:
 
 def _lattice(words: Iterable[str], model: PieceModel) -> pa.Array:
     """A struct per word: its length, its edges, the ids of its characters, byte ids where one has no piece."""
-    n, at, cols, chars, char_at, byte_rows = [], [0], ([], [], [], []), [], [0], []
+    n, at, edges, scores, chars, char_at, byte_rows = [], [0], [], [], [], [0], []
+    viterbi, ids = model.kind != BPE, model.ids
     for w in words:
         n.append(len(w))
-        for x in model.edges(w):
-            for c, v in zip(cols, x):
-                c.append(v)
-        at.append(len(cols[0]))
-        singles = [model.single(c) for c in w]
-        plain = all(len(x) == 1 and x[0] < FALLBACK for x in singles)
-        chars += [x[0] if len(x) == 1 else FALLBACK for x in singles]
+        if viterbi:
+            for k, v in model.scored_edges(w):
+                edges.append(k)
+                scores.append(v)
+        else:
+            edges += model.edges(w)
+        at.append(len(edges))
+        own = [ids.get(c, FALLBACK) for c in w]
+        chars += own
         char_at.append(len(chars))
-        byte_rows.append([] if plain else singles)
-    edge = pa.StructArray.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.float32())], ["s", "e", "id", "score"])
+        byte_rows.append([model.single(c) for c in w] if FALLBACK in own else [])
+    offsets = pa.array(at, pa.int32())
     return pa.StructArray.from_arrays(
-        [pa.array(n, pa.int32()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), edge), pa.ListArray.from_arrays(pa.array(char_at, pa.int32()), pa.array(chars, pa.int32())), pa.array(byte_rows, pa.list_(pa.list_(pa.int32())))],
-        ["n", "edges", "chars", "bytes"],
+        [
+            pa.array(n, pa.int32()),
+            pa.ListArray.from_arrays(offsets, pa.array(edges, pa.int64())),
+            pa.ListArray.from_arrays(offsets if viterbi else pa.array([0] * len(at), pa.int32()), pa.array(scores, pa.float32())),
+            pa.ListArray.from_arrays(pa.array(char_at, pa.int32()), pa.array(chars, pa.int32())),
+            pa.array(byte_rows, pa.list_(pa.list_(pa.int32()))),
+        ],
+        ["n", "edges", "scores", "chars", "bytes"],
     )
 
 
@@ -258,11 +281,13 @@ def _chunk(docs: list[tuple[int, str]], common: dict[str, bytes], model: PieceMo
     rare: dict[str, int] = {}
     code: dict[str, bytes] = {}
     for w in new:
-        parts = safe_parts(w, model) if len(w) > 32 else [w]
         seq = []
-        for p in parts:
-            seq += [-1 - rare.setdefault(p, len(rare))] if len(p) <= LONG else model.fold_long(p)
-        code[w] = _int32(seq)
+        for p in safe_parts(w, model):
+            known = common.get(p)
+            if known is None:
+                known = _int32([-1 - rare.setdefault(p, len(rare))] if len(p) <= LONG else model.fold_long(p))
+            seq.append(known)
+        code[w] = b"".join(seq)
     raw = [b"".join([common[w] if w in common else code[w] for w in ws]) for ws in split]
     offsets = np.concatenate(([0], np.cumsum([len(r) // 4 for r in raw]))).astype(np.int32)
     parts = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), "<i4")))
@@ -275,12 +300,14 @@ def _chunk(docs: list[tuple[int, str]], common: dict[str, bytes], model: PieceMo
 def _chunks(batches: Iterator[pa.RecordBatch], common: dict[str, bytes], model: PieceModel, size: int) -> Iterator[pa.RecordBatch]:
     held, n = [], 0
     for b in batches:
-        for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            held.append((d, t))
-            n += len(t)
-            if n >= size:
-                yield _chunk(held, common, model)
-                held, n = [], 0
+        for k in range(0, b.num_rows, SLICE):  # few texts at a time as Python strings
+            part = b.slice(k, SLICE)
+            for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                held.append((d, t))
+                n += len(t)
+                if n >= size:
+                    yield _chunk(held, common, model)
+                    held, n = [], 0
     if held:
         yield _chunk(held, common, model)
 
@@ -293,21 +320,41 @@ def _bind(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def _start(x: Column) -> Column:
+    return F.shiftright(x, 10).bitwiseAND(F.lit(1023)).cast("int")
+
+
+def _end(x: Column) -> Column:
+    return x.bitwiseAND(F.lit(1023)).cast("int")
+
+
+def _id(x: Column) -> Column:
+    return F.shiftright(x, 20).bitwiseAND(F.lit(FALLBACK)).cast("int")
+
+
 def _merge_fold(w: Column) -> Column:
-    """State: for each position that starts a symbol, next << 20 | id; else 0. Each step makes the best merge."""
-    nxt = lambda st, i: F.shiftright(F.get(st, i), 20).cast("int")
-    start = F.concat(F.transform(w["chars"], lambda c, i: F.shiftleft((i + 1).cast("bigint"), 20) + c), F.array(F.lit(0).cast("bigint")))
+    """State: the boundaries between symbols. Each step takes the best edge over two symbols and drops the one inside."""
+    place = lambda st, x: F.array_position(st, x)
 
     def step(st: Column, _: Column) -> Column:
-        fits = lambda x: _bind(nxt(st, x["s"]), lambda m: (m > 0) & (nxt(st, m) == x["e"]))
+        fits = lambda x: (place(st, _end(x)) - place(st, _start(x)) == 2) & (place(st, _start(x)) > 0)
         best = F.get(F.filter(w["edges"], fits), F.lit(0))
-        made = lambda b: F.transform(st, lambda v, i: F.when(i == b["s"], F.shiftleft(b["e"].cast("bigint"), 20) + b["id"]).when((i > b["s"]) & (i < b["e"]), F.lit(0).cast("bigint")).otherwise(v))
-        return _bind(best, lambda b: F.when(b.isNull(), st).otherwise(made(b)))
+        return F.coalesce(_bind(best, lambda b: F.array_remove(st, F.get(st, place(st, _start(b)).cast("int")))), st)
 
     steps = F.slice(w["edges"], F.lit(1), F.greatest(w["n"] - 1, F.lit(0)))
-    out = F.aggregate(steps, start, step)
-    ids = F.transform(out, lambda v, i: F.when(v == 0, F.array().cast("array<int>")).otherwise(_bind(v.bitwiseAND(F.lit(FALLBACK).cast("bigint")).cast("int"), lambda k: F.when(k == FALLBACK, F.get(w["bytes"], i)).otherwise(F.array(k)))))
-    return F.flatten(ids)
+    ends = F.aggregate(steps, F.sequence(F.lit(0), w["n"]), step)
+
+    def ids(st: Column) -> Column:
+        def one(s: Column, i: Column) -> Column:
+            e = F.get(st, i + 1)
+            alone = F.get(w["chars"], s)
+            plain = F.when(alone == FALLBACK, F.get(w["bytes"], s)).otherwise(F.array(alone))
+            wide = F.get(F.filter(w["edges"], lambda x: (_start(x) == s) & (_end(x) == e)), F.lit(0))
+            return F.when(e.isNull(), F.array().cast("array<int>")).when(e - s == 1, plain).otherwise(F.array(_id(wide)))
+
+        return F.flatten(F.transform(st, one))
+
+    return _bind(ends, ids)
 
 
 def _viterbi_fold(w: Column) -> Column:
@@ -316,10 +363,12 @@ def _viterbi_fold(w: Column) -> Column:
     start = F.concat(F.array(cell(F.lit(0.0), F.lit(0), F.lit(0))), F.transform(w["chars"], lambda c: cell(F.lit(-1e30), F.lit(0), F.lit(0))))
 
     def step(st: Column, x: Column) -> Column:
-        score = F.get(st, x["s"])["score"] + x["score"]
-        return _bind(score, lambda v: F.when(v > F.get(st, x["e"])["score"], F.transform(st, lambda old, i: F.when(i == x["e"], cell(v, x["s"], x["id"])).otherwise(old))).otherwise(st))
+        s, e = _start(x["k"]), _end(x["k"])
+        score = F.get(st, s)["score"] + x["v"]
+        return _bind(score, lambda v: F.when(v > F.get(st, e)["score"], F.transform(st, lambda old, i: F.when(i == e, cell(v, s, _id(x["k"]))).otherwise(old))).otherwise(st))
 
-    best = F.aggregate(w["edges"], start, step)
+    edges = F.zip_with(w["edges"], w["scores"], lambda k, v: F.struct(k.alias("k"), v.alias("v")))
+    best = F.aggregate(edges, start, step)
     empty = F.struct(w["n"].alias("at"), F.array().cast("array<int>").alias("ids"))
 
     def back(acc: Column, st: Column) -> Column:
@@ -341,7 +390,7 @@ def _encoded(rows: DataFrame, kind: int) -> DataFrame:
 # ---- operators ----------------------------------------------------------------------------
 
 
-def _common_words(docs: DataFrame, model: PieceModel, path: str) -> dict[str, bytes]:
+def _common_words(docs: DataFrame, model: PieceModel) -> dict[str, bytes]:
     """The ids of frequent words, through the same lattice and fold; at most COMMON of them."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,7 +398,11 @@ def _common_words(docs: DataFrame, model: PieceModel, path: str) -> dict[str, by
         for b in batches:
             for t in b.column(0).to_pylist():
                 c.update(words_of(t))
-        c = {w: n for w, n in c.items() if n > 1 and len(w) <= 32}
+        parts: Counter[str] = Counter()
+        for w, n in c.items():  # words of more than one part are looked up part by part
+            for p in {w, *safe_parts(w, model)}:
+                parts[p] += n
+        c = {w: n for w, n in parts.items() if n > 1 and len(w) <= 32}
         yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["w", "n"])
 
     part = min(1.0, COMMON_FROM / max(1, docs.count()))
@@ -372,7 +425,7 @@ def encode(docs: DataFrame, model: PieceModel | str | None = None, common: bool
     """Per row of ``docs``: ``doc_id, ids`` and the text's ``n_bytes, crc``."""
     m = model if isinstance(model, PieceModel) else _model(model or default_model())
     sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast((m, _common_words(docs, m, "") if common else {}))
+    shared = sc.broadcast((m, _common_words(docs, m) if common else {}))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,9 +453,13 @@ def decode(encoded: DataFrame, model: PieceModel | str | None = None) -> DataFra
     schema = ", ".join(f"`{c}` {t}" for c, t in encoded.dtypes) + ", decoded string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [decode_ids(x or [], table).decode("utf-8", "replace") for x in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, "decoded"])
+        for whole in batches:
+            for k in range(0, whole.num_rows, SLICE):
+                b = whole.slice(k, SLICE)
+                col = b.column(at)
+                ids, ends = col.values.to_numpy(zero_copy_only=False), col.offsets.to_numpy()
+                out = [decode_ids(ids[x:y].tolist(), table).decode("utf-8", "replace") for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, schema)
 
