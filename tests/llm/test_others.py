@@ -130,6 +130,12 @@ def test_pictures_read_as_written():
     assert media.read_picture(b"P6 # note\n2 1\n255\n" + bytes([3, 3, 3, 9, 9, 9])).tolist() == [[3.0, 9.0]]
 
 
+def test_corners_grow_with_the_picture():
+    vector = np.random.default_rng(5).normal(0, 0.12, 64).astype("<f4").tobytes()
+    small, large = (len(media.describe(media.scene(vector, side))) for side in (80, 320))
+    assert large > 8 * small
+
+
 # ---- classifiers ----------------------------------------------------------------------------
 
 
