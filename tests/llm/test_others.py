@@ -130,6 +130,78 @@ def test_pictures_read_as_written():
     assert media.read_picture(b"P6 # note\n2 1\n255\n" + bytes([3, 3, 3, 9, 9, 9])).tolist() == [[3.0, 9.0]]
 
 
+def seen(p, degrees, scale):
+    """The largest square of ``p``, turned and scaled about its middle."""
+    a, n = np.deg2rad(degrees), min(p.shape) * scale
+    n = int(n if degrees % 90 == 0 else n / (abs(np.cos(a)) + abs(np.sin(a))))
+    y, x = np.mgrid[:n, :n] - (n - 1) / 2
+    x, y = (np.cos(a) * x - np.sin(a) * y) / scale + (p.shape[1] - 1) / 2, (np.sin(a) * x + np.cos(a) * y) / scale + (p.shape[0] - 1) / 2
+    x, y = np.clip(x, 0, p.shape[1] - 1.001), np.clip(y, 0, p.shape[0] - 1.001)
+    i, j, fy, fx = y.astype(int), x.astype(int), y % 1, x % 1
+    return (p[i, j] * (1 - fx) + p[i, j + 1] * fx) * (1 - fy) + (p[i + 1, j] * (1 - fx) + p[i + 1, j + 1] * fx) * fy
+
+
+def large_pictures_and_crops(n):
+    """Pictures of 320 pixels, then crops to half and a quarter of their area, plain or scaled and turned."""
+    rng = np.random.default_rng(4)
+    whole = [media._box(media.scene(rng.normal(0, 0.12, 64).astype("<f4").tobytes(), 320), 1) for _ in range(n)]
+    rows, of = [(i, p) for i, p in enumerate(whole)], {}
+    for i, p in enumerate(whole):
+        for side in (226, 160):
+            for degrees, scale in ((0, 1), (90, 1), (30, 1), (0, 0.7071), (0, 0.8)):
+                y, x = rng.integers(0, 320 - side, 2)
+                q = seen(p[y : y + side, x : x + side], degrees, scale)
+                of[len(rows)] = i
+                rows.append((len(rows), np.clip(q * 0.95 + 5 + rng.normal(0, 1, q.shape), 0, 255)))
+    return rows, of
+
+
+def test_crops_of_large_pictures_are_found(spark):
+    rows, of = large_pictures_and_crops(4)
+    df = spark.createDataFrame([(i, media.write_picture(p)) for i, p in rows], "id long, image binary")
+    got = {r["id"]: r["class_id"] for r in media.media_copies(df).collect()}
+    assert sum(got[i] == w for i, w in of.items()) >= 0.95 * len(of)
+    assert all(got[i] == i for i in range(4))
+
+
+def test_every_pair_within_the_radius_is_found():
+    rng = np.random.default_rng(6)
+    a = rng.integers(0, 256, (300, 32), np.uint8)
+    flips = np.zeros((300, 256), np.uint8)
+    for k in range(300):
+        flips[k, rng.choice(256, k % 50, replace=False)] = 1
+    b = a ^ np.packbits(flips, axis=1)
+    i, j = media.close_pairs(a.view(np.uint64), b.view(np.uint64))
+    apart = np.bitwise_count(a[:, None] ^ b[None]).sum(axis=2, dtype=int)
+    assert set(zip(i.tolist(), j.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(apart <= media.RADIUS))))
+
+
+def test_links_do_not_depend_on_the_blocks(spark):
+    rows, _ = large_pictures_and_crops(2)
+    df = spark.createDataFrame([(i, media.write_picture(p)) for i, p in rows], "id long, image binary")
+    known = media.described(df).select("pic", "feats").cache()
+    want, pics = set(), [(r["pic"], r["feats"]) for r in known.collect()]
+    for a, fa in pics:  # all pairs of descriptors, all votes
+        for b, fb in pics:
+            if a < b:
+                cells = defaultdict(set)
+                wa, wb = (np.array([[f[f"b{k}"] for k in range(4)] for f in fs]).view(np.uint64) for fs in (fa, fb))
+                for i, j in zip(*np.nonzero(np.bitwise_count(wa[:, None] ^ wb[None]).sum(axis=2, dtype=int) <= media.RADIUS)):
+                    x, y = fa[i], fb[j]
+                    s, turn = y["scale"] / x["scale"], (y["angle"] - x["angle"]) % (2 * np.pi)
+                    c, d = s * np.cos(turn), s * np.sin(turn)
+                    tx, ty = y["x"] - (c * x["x"] - d * x["y"]), y["y"] - (d * x["x"] + c * x["y"])
+                    for h in (0, 0.5):
+                        cells[h, np.floor(np.log2(s) * 2 + 0.5), np.floor(turn / (np.pi / 6) + h) % 12, np.floor(tx / 16 + h), np.floor(ty / 16 + h)].add(x["no"])
+                most = max(map(len, cells.values()), default=0)
+                if most >= media.VOTES:
+                    want.add((a, b, most))
+    assert want
+    for block in (1 << 16, 900):
+        assert {tuple(r) for r in media.links(known, block=block).collect()} == want
+    known.unpersist()
+
+
 def test_corners_grow_with_the_picture():
     vector = np.random.default_rng(5).normal(0, 0.12, 64).astype("<f4").tobytes()
     small, large = (len(media.describe(media.scene(vector, side))) for side in (80, 320))
