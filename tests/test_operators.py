@@ -1,5 +1,7 @@
 """Small literal fixtures for operators whose rules SQL on the test tables does not pin down."""
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -18,6 +20,7 @@ from vecloom.operators import mutate as M
 from vecloom.operators import recall as R
 from vecloom.operators import relations as G
 from vecloom.operators import structured as Q
+from vecloom.plans.catalog import QUERIES
 from vecloom.sources import chunks as K
 from vecloom.sources import packs as P
 from vecloom.streaming import feed
@@ -162,6 +165,19 @@ def test_bodies_are_capped_at_their_tail(spark):
     assert one(spark, T.segments(F.lit("one\n\n--- update @ 5 ---\ntwo\n\n--- update @ 6 ---\nthree"), 2)) == ["two", "three"]
 
 
+def test_splicing_keeps_the_longest_documents(spark, tmp_path):
+    texts = {1: "r" * 95_000, 2: "s" * 10 + "t" * 95_990, 3: "u" * 90_000, 5: "v" * 100 + "w" * 96_000}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["body"] for r in QUERIES["splice_append"](spark, str(tmp_path)).collect()}
+    for i, text in texts.items():
+        body = text if i % 4 == 1 else f"old body\n\n--- update @ {i} ---\n{text}"
+        if len(body) > 96_000:
+            gone = len(body) - (96_000 - 64)
+            body = f"[body truncated — {gone} chars removed from head]\n\n{body[gone:]}"
+        assert got[i] == hashlib.sha256(body.encode()).hexdigest()
+    assert len(got) == 4
+
+
 def test_scrubbing_names_what_it_found(spark):
     clean, found = T.scrub(F.lit("a@b.org 123-45-6789 /home/me/x ~/y rtsp://cam/1 token: abc"))
     assert one(spark, clean) == "[REDACTED_EMAIL] [REDACTED_SSN] [REDACTED_PATH]/x [REDACTED_PATH] [REDACTED_STREAM] [REDACTED_SECRET]"
