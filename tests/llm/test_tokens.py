@@ -108,3 +108,15 @@ def test_viterbi_of_a_unigram_model(spark):
     for r in pieces.encode(spark.createDataFrame(rows, "doc_id long, text string"), m).collect():
         got = sum(m.rows[i][1] if i else -16.0 for i in r["ids"])
         assert got == pytest.approx(sum(best(w) for w in pieces.words_of(text[r["doc_id"]])))
+
+
+def test_viterbi_of_a_word_of_thousands_of_characters():
+    m = pieces.PieceModel([("<unk>", 0.0, 2), ("▁", -2.0, 1), ("a", -3.0, 1), ("b", -3.0, 1), ("ab", -4.0, 1), ("▁a", -3.5, 1), ("ba", -5.5, 1), ("▁ab", -6.0, 1), ("bab", -5.0, 1)], pieces.UNIGRAM)
+    rnd = random.Random(2)
+    word = "▁" + "".join(rnd.choice("ab") for _ in range(5000))
+    best, score = [(0.0, [])], {p: (i, v) for i, (p, v, _) in enumerate(m.rows) if i}
+    for e in range(1, len(word) + 1):
+        best.append(max(((best[s][0] + score[word[s:e]][1], (s, score[word[s:e]][0])) for s in range(max(0, e - 3), e) if word[s:e] in score), key=lambda x: x[0]))
+    ids = m.viterbi_long(word)
+    assert "".join(m.rows[i][0] for i in ids) == word
+    assert sum(m.rows[i][1] for i in ids) == pytest.approx(best[-1][0])

@@ -156,13 +156,24 @@ class PieceModel:
         out.sort()
         return out
 
-    def scored_edges(self, word: str) -> list[tuple[int, float]]:
-        """For Viterbi: single characters too, by end and start, with scores."""
+    def triples(self, word: str) -> list[tuple[int, int, int, float]]:
+        """For Viterbi: start, end, id and score of all pieces in a word of any length, single characters too, by end and start."""
         low = min((r[1] for r in self.rows), default=0.0) - 10.0
-        out = [((k >> 10) & 1023, k & 1023, (k >> 20) & FALLBACK) for k in self.edges(word)]
-        out += [(s, s + 1, self.ids.get(c, FALLBACK)) for s, c in enumerate(word)]
+        out = []
+        for s, c in enumerate(word):
+            out.append((s, s + 1, self.ids.get(c, FALLBACK)))
+            for e in range(s + 2, len(word) + 1):
+                i = self.starts.get(word[s:e])
+                if i is None:
+                    break
+                if i >= 0:
+                    out.append((s, e, i))
         out.sort(key=lambda x: (x[1], x[0]))
-        return [(i << 20 | s << 10 | e, self.rows[i][1] if i != FALLBACK else low) for s, e, i in out]
+        return [(s, e, i, self.rows[i][1] if i != FALLBACK else low) for s, e, i in out]
+
+    def scored_edges(self, word: str) -> list[tuple[int, float]]:
+        """The triples as packed edges, for words of ``LONG`` characters at most."""
+        return [(i << 20 | s << 10 | e, score) for s, e, i, score in self.triples(word)]
 
     def merge_long(self, word: str) -> list[int]:
         """The merges of one long word, with a heap over neighbouring symbols."""
@@ -195,8 +206,7 @@ class PieceModel:
 
     def viterbi_long(self, word: str) -> list[int]:
         best = [(0.0, 0, 0)] + [(-1e30, 0, 0)] * len(word)
-        for k, score in self.scored_edges(word):
-            s, e, i = (k >> 10) & 1023, k & 1023, k >> 20
+        for s, e, i, score in self.triples(word):
             if best[s][0] + score > best[e][0]:
                 best[e] = (best[s][0] + score, s, i)
         out, e = [], len(word)
