@@ -3,8 +3,10 @@
 import random
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tests.compare import connect, same
@@ -100,6 +102,42 @@ def test_edited_and_odd_license_texts(spark):
     assert licenses.license_scan(odd(spark, [])).count() == 0
 
 
+def test_templates_edited_at_the_edges_or_in_parts(spark, tmp_path):
+    texts = []
+    for _, _, text in licenses.TEMPLATES:
+        w = text.split()
+        half = len(w) // 2
+        texts += [" ".join(x) for x in (w[1:], w[:-1], ["odd", *w[1:]], [*w[:-1], "odd"], w[1:-1], [*w[half - 3 :], "odd", *w[: half + 1]])]
+    noise = " ".join(f"n{k}" for k in range(40))
+    texts += [f"{noise} {x} {noise}" for x in texts]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    same(queries.op6_licenses(spark, str(tmp_path)), connect_parts(tmp_path), queries.ORACLE_SQL["op6_licenses"])
+
+
+def shingle(words):
+    """Spark's xxhash64 of five words, signed."""
+    h = 42
+    for w in words:
+        h = xxhash.xxh64_intdigest(w.encode(), h)
+    return h - (h >> 63 << 64)
+
+
+def test_templates_of_eight_shingles_without_the_least(spark):
+    rnd, templates = random.Random(9), []
+    while len(templates) < 4:  # the first shingle is the least under either mask: only it is negative
+        w = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(12)]
+        if [shingle(w[k : k + 5]) < 0 for k in range(8)] == [True] + [False] * 7:
+            templates.append((f"t{len(templates)}", "x", " ".join(w)))
+    df = spark.createDataFrame([(k, text.split(" ", 1)[1]) for k, (_, _, text) in enumerate(templates)], "doc_id long, text string")
+    got = {(r["doc_id"], r["template"], r["containment"]) for r in licenses.license_scan(df, templates).collect()}
+    assert got == {(k, f"t{k}", 0.875) for k in range(4)}
+
+
+def connect_parts(path):
+    con = duckdb.connect()
+    con.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{path}/documents.parquet/*.parquet'")
+    return con
+
 # ---- media ----------------------------------------------------------------------------------
 
 

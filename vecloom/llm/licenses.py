@@ -3,10 +3,9 @@
 Texts and templates are lower-cased, cut into runs of letters and digits, and hashed as 5-word shingles.
 Windows of 1, 2, 3, 4 and 8 shingles start at every position; a window's signature in a band is
 the least of its shingle hashes under the band's mask. A template is indexed by the windows of the
-largest such size s that it has. If at least 0.8 of its n shingles occur in place, edits leave an
-unbroken run of at least s shingles (each edited word breaks at most 5: the longest run is at least
-20n/(n+25) > 8 for n > 16, and below 25 shingles no edit is allowed), and equal windows have equal
-signatures in every band, so such a match collides with certainty; further bands find looser ones.
+largest such size s that it has, and by its least single shingles, one more than a match may lack: of n
+shingles a text of containment 0.8 lacks floor(n / 5) at most, so it has one of floor(n / 5) + 1 wherever its
+parts lie, and is retrieved with certainty. The bands find looser matches.
 Candidates are then held to exact containment: shared distinct shingles / the template's.
 
 All work on a document stays in its row (array functions, no shuffle); only templates, a fixed
@@ -76,12 +75,13 @@ def _bands(size: int) -> range:
     return range(len(MASKS)) if size == SIZES[-1] else range(1)  # smaller windows must agree wholly
 
 
-def template_table(spark: SparkSession, templates: list[tuple[str, str, str]]) -> tuple[DataFrame, list[int]]:
+def template_table(spark: SparkSession, templates: list[tuple[str, str, str]], containment: float = CONTAINMENT) -> tuple[DataFrame, list[int]]:
     """``template, license, shingles, sig`` (a row per signature) and all signatures."""
     t = signatures(spark.createDataFrame(templates, "template string, license string, text string"), "text")
     size = F.size("h")
     n = F.array_distinct("h")
-    arrays = []
+    lacking = F.floor(F.size(n) * (1 - containment) + 1e-9).cast("int")
+    arrays = [F.slice(F.array_sort(n), F.lit(1), lacking + 1)]
     for k, s in enumerate(SIZES):
         top = SIZES[k + 1] if k + 1 < len(SIZES) else 1 << 30
         for b in _bands(s):
@@ -95,7 +95,7 @@ def template_table(spark: SparkSession, templates: list[tuple[str, str, str]]) -
 
 def license_scan(docs: DataFrame, templates: list[tuple[str, str, str]] | None = None, containment: float = CONTAINMENT) -> DataFrame:
     """A row per document and template it contains: ``doc_id, template, license, n_matched, containment, first_word``."""
-    table, sigs = template_table(docs.sparkSession, TEMPLATES if templates is None else templates)
+    table, sigs = template_table(docs.sparkSession, TEMPLATES if templates is None else templates, containment)
     d = signatures(docs.select("doc_id", text_of().alias("text")), "text")
     own = F.concat(*[F.col(f"s{s}_{b}") for s in SIZES for b in _bands(s)])
     index = F.array(*[F.lit(s) for s in sigs]).cast("array<bigint>")
