@@ -2,8 +2,9 @@
 
 1. Texts are cut into words where no piece can cross: before a space mark that follows another
    character, and, in long words, between characters that no piece has side by side.
-2. The distinct words of a chunk of documents are exploded into all substrings of bounded length
-   and equi-joined to the piece table; the edges found are grouped by word.
+2. The edges of the distinct words of a chunk of documents are looked up in a dict of all pieces and their
+   prefixes, in Arrow code. This replaces the method's explode of substrings and equi-join to a piece table: a
+   substring that begins no piece ends the search at its start, and no substring becomes a row.
 3. A higher-order ``aggregate`` folds each word's edges into its segmentation: a Viterbi fold for
    unigram models; for BPE models a fold of merges, the best-scored edge over two neighbouring
    symbols first, leftmost on ties. (Viterbi over BPE scores does not give the library's ids.)
