@@ -7,22 +7,18 @@ only cost their tasks.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vecloom.shared import cut
+
 #: How volatile an edge is when it does not say.
 LABEL_VOLATILITY = {"part_of": 0.12, "located_in": 0.12, "serves": 0.12, "decomposes_into": 0.12, "documents": 0.12, "prev_in_trace": 0.5, "next_in_trace": 0.5}
 
 
 def settle(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read back."""
-    spark = df.sparkSession
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
-    path = f"{base}/walk-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return cut(df, "walk")
 
 
 def neighbours(edges: DataFrame, seeds: DataFrame, direction: str = "out") -> DataFrame:

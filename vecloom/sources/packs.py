@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import struct
-import uuid
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vecloom.shared import shared_path
+
 SCHEMA = "concept string, body string, reliability double, kind string"
 VERSION = "record-pack-1"
 EXTENSIONS = ("rs", "py", "ts", "tsx", "js", "jsx", "go", "java", "c", "cpp", "cc", "h", "md", "toml", "txt", "json", "yaml", "yml", "sql", "sh")
@@ -109,8 +110,7 @@ def wire_decode():
 
 
 def pack_path(spark: SparkSession) -> str:
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
-    return f"{base}/pack-{uuid.uuid4().hex}"
+    return shared_path(spark, "pack")
 
 
 def kind_label(concept: Column) -> Column:

@@ -6,7 +6,6 @@ Streams are read with a schema, watermarked, and written with checkpoints under
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,17 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-
-def shared(spark: SparkSession, name: str) -> str:
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+from vecloom.shared import shared_path
 
 
 def replay(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a finite stream to its end into Parquet and read the result."""
     spark = stream.sparkSession
-    out = shared(spark, name)
-    q = stream.writeStream.format("parquet").option("checkpointLocation", shared(spark, f"{name}-state")).outputMode(mode).trigger(availableNow=True).start(out)
+    out = shared_path(spark, name)
+    q = stream.writeStream.format("parquet").option("checkpointLocation", shared_path(spark, f"{name}-state")).outputMode(mode).trigger(availableNow=True).start(out)
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
@@ -125,7 +121,7 @@ def branch_states(events: DataFrame) -> DataFrame:
 
 def sink_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], name: str, every: str = "5 seconds"):
     """Start a query that hands each micro-batch to ``write``; its id makes rewrites idempotent."""
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", shared(stream.sparkSession, name)).trigger(processingTime=every).start()
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", shared_path(stream.sparkSession, name)).trigger(processingTime=every).start()
 
 
 def watch_folder(spark: SparkSession, path: str, schema: str, pattern: str = "*.json", clean: str | None = None) -> DataFrame:
