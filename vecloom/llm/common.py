@@ -1,4 +1,4 @@
-"""What the operators share: word and white-space patterns, lineage cuts, skew-proof joins, components.
+"""What the operators share: word and white-space patterns, row keys, ranks of equal rows, components.
 
 White space is the ASCII set of the contracts, ``[\\x20\\x09-\\x0D]``; a word is a maximal run
 of anything else. Null texts count as empty everywhere.
@@ -6,36 +6,16 @@ of anything else. Null texts count as empty everywhere.
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SPACE = r"[\x20\x09-\x0D]+"
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is named (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
+from vecloom.shared import cut, remove, scratch, shared_path
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: short lineage that outlives executors."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["SPACE", "WORD", "components", "cut", "fold_of", "fresh", "gather", "left_join", "numbered", "pick", "remove", "row_key", "scratch", "shared_path", "slices", "text_of"]
 
-
-def drop_path(spark: SparkSession, df: DataFrame) -> None:
-    """Remove the files of an earlier ``cut`` that nothing reads any more."""
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        p = spark._jvm.org.apache.hadoop.fs.Path(f)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+SPACE = r"[\x20\x09-\x0D]+"
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def text_of(column: str | Column = "text") -> Column:
@@ -57,23 +37,69 @@ def fold_of(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
 
 
-SALTS = 16
+def row_key(text: Column, *others: Column) -> Column:
+    """128 bits (binary) that tell rows apart by the text and the other values, nulls included."""
+    known = [F.coalesce(F.concat(F.lit("v"), c.cast("string")), F.lit("n")) for c in others]
+    return F.unhex(F.md5(F.concat_ws("\0", *known, F.md5(text_of(text)))))
 
 
-def salted_left_join(left: DataFrame, right: DataFrame, keys: list[str], salt_by: str) -> DataFrame:
-    """Left join to a right side with unique keys.
+def left_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join to a right side with unique keys; null keys match null.
 
-    Each right row is repeated for every salt, so that a key holding a third of the left rows
-    is spread over ``SALTS`` tasks before adaptive splitting even starts. Null keys match null.
+    A key with a third of the left rows makes skewed partitions of the left side only, which adaptive
+    execution splits, each part with its copy of the one right row.
     """
-    salt = F.pmod(F.xxhash64(salt_by), F.lit(SALTS))
-    r = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    r = r.select("_salt", *[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
-    on = F.col("_l_salt") == F.col("_salt")
+    r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = F.lit(True)
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-    out = left.withColumn("_l_salt", salt.cast("long")).join(r, on, "left")
-    return out.drop("_salt", "_l_salt", *[f"_r_{k}" for k in keys])
+    return left.join(r, on, "left").drop(*[f"_r_{k}" for k in keys])
+
+
+def numbered(rows: DataFrame, key: str, uid: str, name: str) -> DataFrame:
+    """``rows`` with ``name``: 0 for the first of the rows with equal ``key``, 1 for the next, and so on.
+
+    ``rows`` is cut, and ``uid`` is the monotonically increasing id it was written with. Ranks are given within
+    each written partition and moved up by the counts of the partitions before, so no key is gathered in a task.
+    """
+    many = rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(F.col(key).alias("_key"))
+    if many.isEmpty():
+        return rows.withColumn(name, F.lit(0).cast("long"))
+    again = cut(rows.join(many, rows[key] == many["_key"]).select(F.col(key).alias("_key"), F.col(uid).alias("_uid")), "equal")
+    part = F.shiftright("_uid", 33)
+    counts = again.groupBy("_key", part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = cut(counts.select(F.col("_key").alias("_k"), F.col("_part").alias("_p"), before.alias("_before")), "equal")
+    own = again.withColumn("_in", F.row_number().over(Window.partitionBy("_key", part).orderBy("_uid")) - 1).withColumn("_part", part)
+    ranks = own.join(counts, (F.col("_key") == F.col("_k")) & (F.col("_part") == F.col("_p"))).select("_uid", (F.col("_in") + F.col("_before")).alias(name))
+    return rows.join(ranks, rows[uid] == ranks["_uid"], "left").drop("_uid").withColumn(name, F.coalesce(name, F.lit(0)).cast("long"))
+
+
+def pick(docs: DataFrame, stay: DataFrame, own: Column) -> DataFrame:
+    """The rows of ``docs`` whose key ``own`` is one of ``stay`` (key, n): of ``n`` > 1 equal rows, one."""
+    key, n = fresh(docs.columns, "_stay_key", "_stay_n")
+    stay = stay.select(F.col("key").alias(key), F.col("n").alias(n))
+    once = docs.join(stay.where(F.col(n) == 1), own == F.col(key), "left_semi")
+    again = stay.where(F.col(n) > 1)
+    if again.isEmpty():
+        return once
+    return once.unionByName(docs.join(again, own == F.col(key)).dropDuplicates([key]).drop(key, n))
+
+
+def slices(column, size: int):
+    """``(from, to)`` ranges of rows of an Arrow string or binary column, of about ``size`` bytes (one row at least)."""
+    ends, start = np.frombuffer(column.buffers()[1], np.int64 if "large" in str(column.type) else np.int32)[column.offset : column.offset + len(column) + 1], 0
+    while start < len(column):
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + size, side="right")) - 1)
+        yield start, min(stop, len(column))
+        start = stop
+
+
+def gather(values: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of entries laid end to end in ``values``, those of ``index`` laid end to end, and their sizes."""
+    at, own = np.concatenate(([0], np.cumsum(sizes)))[:-1], sizes[index]
+    before = np.concatenate(([0], np.cumsum(own)))
+    return values[np.repeat(at[index] - before[:-1], own) + np.arange(before[-1])], own
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -83,7 +109,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     priority (its own included), edges are rewritten to the chosen vertices and loops dropped;
     priorities are rehashed by round, so a chain shrinks by a constant factor too. The rounds'
     maps are then composed. Every aggregate is a min with a map-side part; no vertex's edges are
-    ever gathered. ``root`` is some vertex of the component, the same for all of them.
+    ever gathered. ``root`` is some vertex of the component, the same for all of them. Inside
+    ``scratch`` the rounds' files go with it.
     """
     e = cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b"), "edges")
     maps: list[DataFrame] = []

@@ -1,20 +1,21 @@
 """Exact de-duplication through an extendible-hash index on shared files (DataFrame operations only).
 
-1. Every row's text is normalised and hashed to a 64-bit key. Rows are grouped on (key, bytes):
-   the hash aggregate chains the entries of a key and compares their bytes, and its map-side part
-   collapses a group of copies in each task before anything is shuffled.
-2. The directory: occupancy is counted for the leading ``DEPTH`` key bits and doubled down from
-   one bucket: a bucket holding more than ``capacity`` entries splits on its next bit. A prefix's
-   local depth is thus the least depth whose bucket is not overfull. The directory has at most
-   2**DEPTH rows whatever the input.
-3. Index entries are laid out by bucket, in key order, so that each owner task holds a range of
-   keys; they are written to the shared folder.
-4. Every row looks its entry up by (key, digest), salted so that a group with a third of all rows
-   spreads over many tasks.
+1. Every row's text is normalised and hashed to a 64-bit key; keys are counted, with a map-side part.
+2. The directory: occupancy is counted for the leading ``bits`` of the keys and doubled down from one
+   bucket: a bucket that holds more than ``capacity`` keys splits on its next bit. A prefix's local
+   depth is thus the least depth whose bucket is not overfull. It has 2**bits rows, about eight to
+   sixteen for each bucket and at most 2**DEPTH, which is its proven size when it is broadcast.
+3. Rows go to the owner task of their key's bucket. The owner chains the entries of a key and compares
+   their bytes (a hash aggregate on key and text inside the bucket, with no further exchange); it
+   alone decides who stays and counts. Keys met in more than 1 / 50,000 of all rows (at most 50,000
+   keys, so they may be broadcast) are collapsed by key and text in their tasks before they travel.
+4. The entries are written to shared files, a range of buckets to each, and every row looks itself up
+   there by bucket, key and digest.
 
 Edge cases: a null text counts as empty; an empty text is a text like any other; rows with a null
-doc_id group by text but never stay before a row that has one; rows equal in both id and text are one
-document, so all of them carry its decision. Extra columns are ignored. An empty table gives no rows.
+doc_id group by text but never stay before a row that has one; rows equal in both id and text all carry
+the decision of ``exact_dedup``, and ``keep_first`` keeps one of them. Extra columns are ignored or, in
+``keep_first``, kept. Ties cannot arise otherwise. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,9 +23,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, salted_left_join, text_of
+from .common import SPACE, cut, left_join, pick, row_key, scratch, text_of
 
-DEPTH = 16
+DEPTH = 20
+CAPACITY = 1024
+SHARE = 50_000
 
 
 def normalised_of(text: Column) -> Column:
@@ -35,39 +38,62 @@ def normalised(column: str = "text") -> Column:
     return normalised_of(F.col(column))
 
 
-def directory(entries: DataFrame, capacity: int) -> DataFrame:
-    """``prefix, depth, bucket`` for each occupied prefix of DEPTH bits; bucket numbers follow key order."""
-    full = entries.groupBy(F.shiftrightunsigned("key", 64 - DEPTH).alias("prefix")).agg(F.count("*").alias("n"))
-    levels = full.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(DEPTH))))
-    top = lambda: F.expr(f"shiftrightunsigned(prefix, {DEPTH} - depth)")
+def prefix_bits(keys: int, capacity: int) -> int:
+    """The bits a directory may look at: three or four beyond those an even spread needs."""
+    return min(DEPTH, max(4, (keys // max(1, capacity)).bit_length() + 3))
+
+
+def prefix_of(bits: int, key: str = "key") -> Column:
+    return F.shiftrightunsigned(key, 64 - bits)
+
+
+def directory(keys: DataFrame, capacity: int, bits: int) -> DataFrame:
+    """``prefix, depth, bucket`` for each occupied prefix of ``bits`` bits; bucket numbers follow key order."""
+    full = keys.groupBy(prefix_of(bits).alias("prefix")).agg(F.count("*").alias("n"))
+    levels = full.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(bits))))
+    top = lambda: F.expr(f"shiftrightunsigned(prefix, {bits} - depth)")
     load = levels.groupBy("depth", top().alias("top")).agg(F.sum("n").alias("load"))
-    fits = levels.withColumn("top", top()).join(F.broadcast(load), ["depth", "top"]).where((F.col("load") <= capacity) | (F.col("depth") == DEPTH))
+    fits = levels.withColumn("top", top()).join(load, ["depth", "top"]).where((F.col("load") <= capacity) | (F.col("depth") == bits))
     local = fits.groupBy("prefix").agg(F.min("depth").alias("depth"))
-    return local.withColumn("bucket", F.expr(f"shiftleft(shiftrightunsigned(prefix, {DEPTH} - depth), {DEPTH} - depth)"))
-
-
-def build_index(docs: DataFrame, capacity: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One entry per distinct normalised text: ``key, text_sha256, keep_id, group_size, bucket``, on shared files."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), normalised(text_col).alias("norm")).withColumn("key", F.xxhash64("norm"))
-    chained = rows.groupBy("key", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    entries = cut(chained.select("key", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size"), "entries")
-    d = directory(entries, capacity)
-    owned = entries.withColumn("prefix", F.shiftrightunsigned("key", 64 - DEPTH)).join(F.broadcast(d), "prefix")  # at most 2**DEPTH rows
-    laid = owned.select("key", "text_sha256", "keep_id", "group_size", "bucket", F.shiftrightunsigned("key", 1).alias("_k"))
-    return cut(laid.repartitionByRange("bucket", "_k").sortWithinPartitions("bucket", "_k").drop("_k"), "index")
-
-
-def exact_dedup(docs: DataFrame, capacity: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256, bucket``."""
-    index = build_index(docs, capacity, id_col, text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), normalised(text_col).alias("norm")).select("doc_id", F.xxhash64("norm").alias("key"), F.sha2("norm", 256).alias("text_sha256"))
-    out = salted_left_join(rows, index, ["key", "text_sha256"], "doc_id")
-    return out.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "bucket")
-
-
-def keep_first(docs: DataFrame, capacity: int = 50_000) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: one per distinct normalised text."""
-    index = build_index(docs, capacity)
-    stay = index.select(F.col("keep_id").alias("_keep"), F.col("key").alias("_key"))
-    own = docs["doc_id"].eqNullSafe(stay["_keep"]) & (F.xxhash64(normalised_of(docs["text"])) == stay["_key"])
-    return docs.join(stay, own, "left_semi")
+    return local.withColumn("bucket", F.expr(f"shiftleft(shiftrightunsigned(prefix, {bits} - depth), {bits} - depth)"))
+
+
+def _placed(rows: DataFrame, d: DataFrame, bits: int) -> DataFrame:
+    """``rows`` (with ``key``) and their ``bucket`` through the directory, of 2**bits rows at most."""
+    return rows.withColumn("prefix", prefix_of(bits)).join(F.broadcast(d.select("prefix", "bucket")), "prefix").drop("prefix")
+
+
+def _indexed(docs: DataFrame, capacity: int, id_col: str, text_col: str, spread=directory) -> tuple[DataFrame, DataFrame]:
+    """The index ``bucket, key, text_sha256, keep_id, group_size`` on shared files, and ``doc_id, key, text_sha256, bucket`` of the rows."""
+    norm = docs.select(F.col(id_col).alias("doc_id"), normalised(text_col).alias("norm"), row_key(F.col(text_col), F.col(id_col)).alias("row")).withColumn("key", F.xxhash64("norm"))
+    digests = cut(norm.select("doc_id", "key", F.sha2("norm", 256).alias("text_sha256"), "row"), "digests")
+    met = cut(digests.groupBy("key").agg(F.count("*").alias("n")), "keys")
+    total, keys = met.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    bits = prefix_bits(keys, capacity)
+    d = cut(spread(met, capacity, bits), "directory")
+    hot = met.where(F.col("n") > max(1000, total // SHARE)).select("key", F.lit(True).alias("hot"))  # at most SHARE keys
+    rows = _placed(norm.select("doc_id", "norm", "key"), d, bits).join(F.broadcast(hot), "key", "left")
+    few = rows.where("hot").groupBy("bucket", "key", "norm").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    sent = rows.where("hot is null").select("bucket", "key", "norm", "doc_id", F.lit(1).cast("long").alias("n")).unionByName(few)
+    chained = sent.repartition("bucket").groupBy("bucket", "key", "norm").agg(F.min("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
+    index = cut(chained.select("bucket", "key", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size").sortWithinPartitions("bucket", "key"), "index")
+    return index, _placed(digests, d, bits)
+
+
+def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", spread=directory) -> DataFrame:
+    """Per row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256, bucket`` and the key ``row`` of id and text."""
+    with scratch(docs.sparkSession):
+        index, rows = _indexed(docs, capacity, id_col, text_col, spread)
+        out = left_join(rows, index, ["bucket", "key", "text_sha256"])
+        kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+        return cut(out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", "bucket", "row"), "exact", stay=True)
+
+
+def keep_first(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: one per distinct normalised text.
+
+    Of rows with equal ids the one with the least key stays; of rows equal in id and text, one.
+    """
+    own = exact_dedup(docs, capacity).where("kept").groupBy("bucket", "text_sha256", "row").agg(F.count("*").alias("n"))
+    stay = own.groupBy("bucket", "text_sha256").agg(F.min(F.struct("row", "n")).alias("x")).select(F.col("x.row").alias("key"), F.col("x.n").alias("n"))
+    return pick(docs, cut(stay, "stay", stay=True), row_key(docs["text"], docs["doc_id"]))

@@ -6,15 +6,16 @@
    whole blocks, so equality on one of the 15 pairs of blocks finds every link. A bucket with more
    than ``refine`` fingerprints is cut again in the same way on the bits it does not share yet.
 3. Buckets are dealt out as cells of at most 2 x ``cell`` rows (a larger bucket is salted into
-   parts, each pair of parts a cell), so no task ever holds an unbounded bucket.
+   parts, each pair of parts a cell), so no task ever holds an unbounded bucket. The copies this makes of a
+   bucket's rows grow with the square of its size; the finer cut of step 2 keeps buckets small before.
 4. In a cell the fingerprints are stored as 64 vertical bit planes. For each lag d, rows i and
    i + d of a bucket are compared 64 pairs to a machine word: differing bits are added into
    carry-save counters plane by plane, and words whose pairs all exceed the radius are abandoned.
    Links are reduced in the task to one edge per row; components are joined up across cells.
 
 Edge cases: null and empty texts have fingerprint zero and link like any other; fewer words than a
-shingle: the whole sequence is hashed; rows with equal ids each get a result, and rows equal in id and
-text are one document; a component's id is null only if all its ids are; extra columns are ignored; an empty table gives no rows.
+shingle: the whole sequence is hashed; rows with equal ids each get a result; a component's id is null only
+if all its ids are; ``keep_one`` keeps one row of a component, whatever ids repeat; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, salted_left_join, text_of
+from .common import components, cut, left_join, pick, row_key, scratch, text_of
 
 RADIUS = 4
 SEED = 42
@@ -56,15 +57,15 @@ def fingerprint(text: bytes, words: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """``doc_id, fp`` (the 64 bits as a signed long)."""
+    """``doc_id, row, fp``: the key of id and text, and the 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(x, words) for x in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
+            fp = np.array([fingerprint(x.as_py(), words) for x in b.column(2)], np.uint64).view(np.int64)  # one text at a time as a Python object
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], ["doc_id", "row", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs["text"], docs["doc_id"]).alias("row"), text_of().cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, row binary, fp long")
 
 
 # ---- candidate buckets --------------------------------------------------------------------
@@ -227,14 +228,15 @@ def links(fps: DataFrame, radius: int = RADIUS, cell: int = 4096, refine: int =
 
 
 def simhash_components(docs: DataFrame, words: int = 4, radius: int = RADIUS, cell: int = 4096, refine: int = 65_536) -> DataFrame:
-    """Per row of ``docs``: ``doc_id, fp, component_id``."""
-    rows = cut(fingerprints(docs, words), "fingerprints")
-    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    comp = cut(components(links(distinct.select("fp"), radius, cell, refine)), "components")
-    named = distinct.join(comp, distinct["fp"] == comp["v"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = named.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return salted_left_join(rows, by_fp, ["fp"], "doc_id").select("doc_id", "fp", "component_id")
+    """Per row of ``docs``: ``doc_id, fp, component_id``, and ``row``, the key of its id and text."""
+    with scratch(docs.sparkSession):
+        rows = cut(fingerprints(docs, words), "fingerprints", stay=True)
+        distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+        comp = cut(components(links(distinct.select("fp"), radius, cell, refine)), "components")
+        named = distinct.join(comp, distinct["fp"] == comp["v"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+        least = named.groupBy("root").agg(F.min("first").alias("component_id"), F.min("fp").alias("least_fp"))
+        by_fp = cut(named.select("fp", "root").join(least, "root").select("fp", "component_id", "least_fp"), "classes", stay=True)
+    return left_join(rows, by_fp, ["fp"]).select("doc_id", "fp", "component_id", "row", "least_fp")
 
 
 def hex_of(fp: str = "fp") -> Column:
@@ -242,6 +244,10 @@ def hex_of(fp: str = "fp") -> Column:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: the first document of each component."""
-    stay = simhash_components(docs).where("doc_id = component_id or component_id is null").select(F.col("doc_id").alias("_keep"))
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_keep"]), "left_semi")
+    """The rows of ``docs`` that stay, with all their columns: of each component one row, of the least doc_id.
+
+    Of rows with equal ids the one with the least key stays; of rows equal in id and text, one.
+    """
+    first = simhash_components(docs).where("doc_id <=> component_id").groupBy("least_fp", "row").agg(F.count("*").alias("n"))
+    stay = first.groupBy("least_fp").agg(F.min(F.struct("row", "n")).alias("x")).select(F.col("x.row").alias("key"), F.col("x.n").alias("n"))
+    return pick(docs, cut(stay, "stay", stay=True), row_key(docs["text"], docs["doc_id"]))
