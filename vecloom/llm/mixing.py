@@ -3,18 +3,20 @@
 A document of a source with target T and size S is due T/S copies. The whole copies are given to
 all; the fraction is rounded jointly: documents meet in pairs, and size-weighted mass moves from one
 to the other, at random but in a way that keeps both expectations, until one of them is integral;
-the other goes on. Each group of a reduction tree hands up at most one unresolved document, so
-each source's taken words end within one document's size of its target.
+the other goes on. A group of a reduction tree folds its documents from the largest down and hands up
+the one that is left open, with up to ``SPARE`` documents of all sizes that it set aside. The last
+group of a source settles those from the largest down, each by the words that are owed so far, so
+that a source ends within about half of its smallest spare document of its target.
 
-Leaves are hash groups of about ``FAN`` documents; level by level FAN groups merge into one, per
-source, until one group is left. A group at an inner level has at most FAN rows of a source, so a
-source with a third of all documents is never gathered. Every random number is a hash of the two
-documents and the seed: reruns agree.
+Leaves are hash groups of about ``LEAF`` documents; level by level ``FAN`` groups merge into one, per
+source, until one group is left. A group has at most LEAF rows or so of a source, so a source with a
+third of all documents is never gathered. Every random number is a hash of the two documents and
+the seed: reruns agree.
 
 Edge cases: null text has size 0; a document of size 0 is never drawn (its taken is 0); a null
 source is a source of its own, last in order; sources of size 0 have target 0; an empty table gives
-no rows; doc_ids that repeat are told apart by a row hash, and rows equal in all of id, source and
-text share one decision.
+no rows; doc_ids that repeat are told apart by a 128-bit row key; rows equal in all of id, source and
+text are documents of their own, told apart by their rank among each other.
 """
 
 from __future__ import annotations
@@ -24,33 +26,38 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, fresh, salted_left_join, text_of
+from .common import cut, fresh, left_join, numbered, row_key, scratch, text_of
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 CAP = 2.0
-FAN = 64
+LEAF = 512
+FAN = 24
+SPARE = 16
 EPS = 1e-9
+BLANK = " \t\n\x0b\x0c\r"
 
 
 def word_count(column: str = "text") -> Column:
-    return F.regexp_count(text_of(column), F.lit(WORD)).cast("long")
+    """Each word with the white space before it becomes one character; none is listed."""
+    text = F.rtrim(text_of(column), F.lit(BLANK))
+    return F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+", "x")).cast("long")
 
 
 def source_targets(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """``source, source_size, target``: water-filling, a source that would pass cap x its size stops there.
 
-    The level rises until no source is above its stop; only two sums reach the driver per step.
+    The level rises by Newton steps until no source is above its stop; only two sums reach the driver in each.
     """
     s = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     # ranks without a global window: sort by range, number inside partitions, add the partitions' offsets
     s = s.repartitionByRange(F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last())
     s = cut(s.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)), "sources")
-    parts = s.groupBy("_part").agg(F.count("*").alias("_n"))
+    parts = s.groupBy("_part").agg(F.count("*").alias("_n"))  # a row per written partition
     parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     s = s.join(parts.select("_part", "_before"), "_part").withColumn("_rank", F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
     w = F.element_at(F.array(*map(F.lit, weights)), (F.col("_rank") % len(weights) + 1).cast("int"))
-    s = cut(s.select("source", "source_size", w.alias("weight")), "sources")
+    s = s.select("source", "source_size", w.alias("weight"))
     total = s.agg(F.sum("source_size")).first()[0] or 0
     level, before = 0.0, -1.0
     stop = F.col("source_size") * cap
@@ -74,60 +81,87 @@ def _meet(acc: Column, x: Column, seed: int) -> Column:
     gain = _unit(F.lit(seed), c["id"], x["id"]) * (up + down) < down
     move = F.when(gain, up).otherwise(-down)
     snap = lambda p: F.when(p < EPS, 0.0).when(p > 1 - EPS, 1.0).otherwise(p)
-    a = F.struct(c["id"].alias("id"), c["size"].alias("size"), snap(c["p"] + move / c["size"]).alias("p"))
-    b = F.struct(x["id"].alias("id"), x["size"].alias("size"), snap(x["p"] - move / x["size"]).alias("p"))
+    a = F.struct(c["size"].alias("size"), c["h"].alias("h"), c["id"].alias("id"), snap(c["p"] + move / c["size"]).alias("p"))
+    b = F.struct(x["size"].alias("size"), x["h"].alias("h"), x["id"].alias("id"), snap(x["p"] - move / x["size"]).alias("p"))
     a_open = (a["p"] > 0) & (a["p"] < 1)
     return F.when(c.isNull(), F.struct(x.alias("cur"), acc["done"].alias("done"))).otherwise(
         F.struct(F.when(a_open, a).otherwise(b).alias("cur"), F.concat(acc["done"], F.array(F.when(a_open, b).otherwise(a))).alias("done"))
     )
 
 
+def _settle(acc: Column, x: Column) -> Column:
+    """One step at the root: the document is taken if that leaves less owed than leaving it."""
+    owed = acc["owed"] + x["size"] * x["p"]
+    take = owed * 2 >= x["size"]
+    p = F.when((x["p"] <= 0) | (x["p"] >= 1), x["p"]).otherwise(F.when(take, 1.0).otherwise(0.0))
+    kept = F.struct(x["id"].alias("id"), p.alias("p"))
+    return F.struct((owed - x["size"] * p).alias("owed"), F.concat(acc["done"], F.array(kept)).alias("done"))
+
+
 def pivotal(rows: DataFrame, seed: int = 7) -> DataFrame:
     """``rows``: id, grp, size > 0, p in (0, 1). Returns ``id, extra`` (0 or 1), jointly rounded within each grp."""
-    n = rows.count()
-    groups = max(1, math.ceil(n / FAN))
-    kind = "struct<id:bigint,size:double,p:double>"
-    level = rows.select("id", "grp", F.col("size").cast("double").alias("size"), F.col("p").cast("double").alias("p"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(groups)).alias("node"))
+    kind = f"struct<size:double,h:bigint,id:{dict(rows.dtypes)['id']},p:double>"
+    groups = max(1, math.ceil(rows.count() / LEAF))
+    node = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(groups))
+    level = rows.select("id", "grp", F.col("size").cast("double").alias("size"), F.col("p").cast("double").alias("p"), node.alias("node"))
     settled: list[DataFrame] = []
+    largest_first = lambda df: df.groupBy("grp", "node").agg(F.sort_array(F.collect_list(F.struct("size", F.xxhash64("id", F.lit(seed)).alias("h"), "id", "p")), asc=False).alias("xs"))
     while True:
-        item = F.struct(F.xxhash64("id").alias("h"), "id", "size", "p")
-        g = level.groupBy("grp", "node").agg(F.array_sort(F.collect_list(item)).alias("xs"))
+        g = largest_first(level)
+        n = F.size("xs")
+        every = F.greatest(F.lit(2), F.ceil(n / SPARE).cast("int"))
+        aside = lambda i: (i % every == every - 1) | (i == n - 1)  # noqa: B023,E731
         start = F.struct(F.lit(None).cast(kind).alias("cur"), F.array().cast(f"array<{kind}>").alias("done"))
-        items = F.transform("xs", lambda x: F.struct(x["id"].alias("id"), x["size"].alias("size"), x["p"].alias("p")))
-        g = cut(g.select("grp", "node", F.aggregate(items, start, lambda acc, x: _meet(acc, x, seed)).alias("acc")), "pivotal")
+        folded = F.aggregate(F.filter("xs", lambda x, i: ~aside(i)), start, lambda acc, x: _meet(acc, x, seed))
+        g = cut(g.select("grp", "node", F.filter("xs", lambda x, i: aside(i)).alias("spare"), folded.alias("acc")), "pivotal")
         settled.append(g.select(F.explode("acc.done").alias("x")).select("x.id", F.col("x.p").alias("p")))
-        left = g.select("grp", "node", "acc.cur.*").where(F.col("id").isNotNull())
+        # a pending document may be integral already; it still travels, and the next meeting leaves it unchanged
+        left = g.select("grp", "node", F.explode(F.concat("spare", F.filter(F.array("acc.cur"), lambda x: x.isNotNull()))).alias("x")).select("grp", "node", "x.*")
         if groups == 1:
-            settled.append(left.select("id", F.when(_unit(F.lit(seed), F.col("id"), F.lit(-1)) < F.col("p"), 1.0).otherwise(0.0).alias("p")))
             break
         groups = math.ceil(groups / FAN)
-        # a pending document may be integral already; it still travels, and the next meeting leaves it unchanged
         level = left.withColumn("node", F.floor(F.col("node") / FAN))
-    out = settled[0]
-    for s in settled[1:]:
+    none = F.struct(F.lit(0.0).alias("owed"), F.array().cast(f"array<struct<id:{dict(rows.dtypes)['id']},p:double>>").alias("done"))
+    root = largest_first(left).select(F.explode(F.aggregate("xs", none, _settle)["done"]).alias("x"))
+    out = root.select("x.id", F.col("x.p").alias("p"))
+    for s in settled:
         out = out.union(s)
     return out.select("id", F.round("p").cast("long").alias("extra"))
 
 
+def _key_of(docs: DataFrame) -> Column:
+    return row_key(docs["text"], docs["doc_id"], docs["source"])
+
+
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = 7) -> DataFrame:
-    """Per row of ``docs``: ``doc_id, source, size, source_size, target, copies, taken``."""
-    sized = cut(docs.select("doc_id", "source", word_count().alias("size"), F.xxhash64("doc_id", "source", text_of()).alias("_row")), "sized")
-    t = cut(source_targets(sized, weights, share, cap), "targets")
-    due = salted_left_join(sized, t, ["source"], "_row")
-    each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    due = due.withColumn("_each", F.least(each, F.lit(cap))).withColumn("_whole", F.floor(F.col("_each") + EPS)).withColumn("_p", F.greatest(F.col("_each") - F.col("_whole"), F.lit(0.0)))
-    due = cut(due, "due")
-    open_ = due.where((F.col("size") > 0) & (F.col("_p") > EPS)).dropDuplicates(["_row"])
-    extra = pivotal(open_.select(F.col("_row").alias("id"), F.xxhash64("source").alias("grp"), "size", F.col("_p").alias("p")), seed)
-    out = due.join(extra, due["_row"] == extra["id"], "left")
-    copies = F.when(F.col("size") > 0, F.col("_whole") + F.coalesce("extra", F.lit(0))).otherwise(F.lit(0)).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "_row")
+    """Per row of ``docs``: ``doc_id, source, size, source_size, target, copies, taken`` and its ``_row`` key."""
+    with scratch(docs.sparkSession):
+        sized = docs.select("doc_id", "source", word_count().alias("size"), _key_of(docs).alias("_row"))
+        sized = cut(sized.withColumn("_uid", F.monotonically_increasing_id()), "sized")
+        t = cut(source_targets(sized, weights, share, cap), "targets")
+        due = left_join(numbered(sized, "_row", "_uid", "_nth"), t, ["source"])
+        each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+        own = F.when(F.col("_nth") == 0, F.col("_row")).otherwise(F.unhex(F.md5(F.concat("_row", F.col("_nth").cast("string").cast("binary")))))
+        due = due.withColumn("_each", F.least(each, F.lit(cap))).withColumn("_whole", F.floor(F.col("_each") + EPS)).withColumn("_p", F.greatest(F.col("_each") - F.col("_whole"), F.lit(0.0)))
+        due = due.withColumn("_own", own)
+        open_ = due.where((F.col("size") > 0) & (F.col("_p") > EPS))
+        extra = pivotal(open_.select(F.col("_own").alias("id"), F.xxhash64("source").alias("grp"), "size", F.col("_p").alias("p")), seed)
+        out = due.join(extra, due["_own"] == extra["id"], "left")
+        copies = F.when(F.col("size") > 0, F.col("_whole") + F.coalesce("extra", F.lit(0))).otherwise(F.lit(0)).cast("long")
+        out = out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "_row")
+        return cut(out, "mix", stay=True)
 
 
 def mixed_rows(docs: DataFrame, seed: int = 7) -> DataFrame:
     """``docs`` with each row repeated as often as the mix takes it; documents without words stay once."""
-    row, copies, nth = fresh(docs.columns, "_row", "_copies", "_nth")
-    plan = mix(docs, seed=seed).select(F.col("_row").alias(row), F.when(F.col("size") > 0, F.col("copies")).otherwise(1).alias(copies)).dropDuplicates([row])
-    own = F.xxhash64(docs["doc_id"], docs["source"], text_of(docs["text"])) == plan[row]
-    out = docs.join(plan, own).where(F.col(copies) > 0)
-    return out.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)
+    row, copies, alike, nth, uid = fresh(docs.columns, "_row", "_copies", "_alike", "_nth", "_uid")
+    plan = mix(docs, seed=seed).groupBy(F.col("_row").alias(row))
+    plan = plan.agg(F.sum(F.when(F.col("size") > 0, F.col("copies")).otherwise(1)).alias(copies), F.count("*").alias(alike)).where(F.col(copies) > 0)
+    out = docs.join(plan, _key_of(docs) == plan[row])
+    single = out.where(F.col(alike) == 1)
+    if not plan.where(F.col(alike) > 1).isEmpty():  # equal rows share their copies, the first ones one more
+        again = cut(out.where(F.col(alike) > 1).withColumn(uid, F.monotonically_increasing_id()), "equal", stay=True)
+        own = F.floor(F.col(copies) / F.col(alike)) + (F.col(nth) < F.col(copies) % F.col(alike)).cast("int")
+        again = numbered(again, row, uid, nth).withColumn(copies, own).where(F.col(copies) > 0)
+        single = single.select(*docs.columns, copies).unionByName(again.select(*docs.columns, copies))
+    return single.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)
