@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 def spark():
     tmp = tempfile.mkdtemp(prefix="vecloom-tests-")
     s = (
-        SparkSession.builder.master("local[8]")
+        SparkSession.builder.master(os.environ.get("TEST_MASTER", "local[8]"))
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.driver.memory", "6g")
         .config("spark.sql.session.timeZone", "UTC")

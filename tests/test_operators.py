@@ -179,9 +179,9 @@ def test_splicing_keeps_the_longest_documents(spark, tmp_path):
 
 
 def test_scrubbing_names_what_it_found(spark):
-    clean, found = T.scrub(F.lit("a@b.org 123-45-6789 /home/me/x ~/y rtsp://cam/1 token: abc"))
-    assert one(spark, clean) == "[REDACTED_EMAIL] [REDACTED_SSN] [REDACTED_PATH]/x [REDACTED_PATH] [REDACTED_STREAM] [REDACTED_SECRET]"
-    assert one(spark, found) == ["ssn", "email", "home_path", "tilde_path", "rtsp", "api_secret"]
+    s = T.scrub(F.lit("a@b.org 123-45-6789 /home/me/x ~/y rtsp://cam/1 token: abc"))
+    assert one(spark, s["text"]) == "[REDACTED_EMAIL] [REDACTED_SSN] [REDACTED_PATH]/x [REDACTED_PATH] [REDACTED_STREAM] [REDACTED_SECRET]"
+    assert one(spark, s["found"]) == ["ssn", "email", "home_path", "tilde_path", "rtsp", "api_secret"]
 
 
 def test_fields_footers_and_json(spark):
@@ -229,8 +229,7 @@ def test_seals_and_chains(spark):
 
 def test_confirmation_comes_with_a_lead_of_one(spark):
     e = spark.createDataFrame([(1, i, ok) for i, ok in enumerate([True, True, False, True, True, True])] + [(2, 0, False)], "k int, ts int, ok boolean")
-    h = M.history(e, "k", ["ts"], "ok").select("k", M.hypothesis(F.col("xs"), lambda x: x["ok"]).alias("h"))
-    got = {r["k"]: r["h"] for r in h.collect()}
+    got = {r["k"]: r for r in M.hypothesis(e, "k", ["ts"], F.col("ok")).collect()}
     assert got[1]["confirmed"] and got[1]["support"] == 1.25 and got[1]["denial"] == 0.25
     assert not got[2]["confirmed"] and got[2]["streak"] == 1
 

@@ -53,7 +53,7 @@ def volatility_damp(volatility: Column) -> Column:
 
 
 def damp_exempt(concept: Column) -> Column:
-    return (concept == "primary_goal") | concept.startswith("dead_end:") | concept.startswith("helper:session_handoff") | concept.startswith("compression_handoff_")
+    return (concept == "primary_goal") | concept.startswith("scar:") | concept.startswith("helper:session_handoff") | concept.startswith("compression_handoff_")
 
 
 def damped(score: Column, volatility: Column, concept: Column) -> Column:
@@ -90,7 +90,7 @@ def goal_distance(concept: Column) -> Column:
     return (
         F.when((concept == "primary_goal") | starts("goal:"), 0)
         .when(starts("helper:session_", "process:", "ritual:", "trace:", "manifest:", "tile:session_boundary"), 1)
-        .when(starts("tile:", "dead_end:"), 2)
+        .when(starts("tile:", "scar:"), 2)
         .when(starts("metric:", "receipt:"), 5)
         .when(starts("local:", "geo_context:"), 6)
         .otherwise(3)

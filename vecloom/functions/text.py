@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .vector import let
+
 # What is scrubbed, in this order, and what stands in for it.
 SCRUB = [
     ("ssn", r"\b\d{3}-\d{2}-\d{4}\b", "[REDACTED_SSN]"),
@@ -17,13 +19,21 @@ SCRUB = [
 ]
 
 
-def scrub(text: Column, steps: list = SCRUB) -> tuple[Column, Column]:
-    """The scrubbed text, and the labels of the steps that found something."""
-    found = []
-    for label, pattern, token in steps:
-        found.append(F.when(text.rlike(pattern), F.lit(label)))
-        text = F.regexp_replace(text, pattern, token)
-    return text, F.array_compact(F.array(*found))
+def scrub(text: Column, steps: list = SCRUB) -> Column:
+    """``text``, scrubbed, and ``found``, the labels of the steps that changed it. Each step reads the text once:
+    what stands in for a finding never equals it."""
+    state = F.struct(text.alias("text"), F.array().cast("array<string>").alias("found"))
+
+    def one(label: str, pattern: str, token: str):
+        def after(s: Column) -> Column:
+            bare = F.regexp_replace(s["text"], pattern, token)
+            return let(bare, lambda t: F.struct(t.alias("text"), F.when(t == s["text"], s["found"]).otherwise(F.concat(s["found"], F.array(F.lit(label)))).alias("found")))
+
+        return after
+
+    for step in steps:
+        state = let(state, one(*step))
+    return state
 
 
 def export_denied(concept: Column, text: Column) -> Column:
@@ -124,9 +134,9 @@ def token_estimate(text: Column) -> Column:
 
 # ---- splices ------------------------------------------------------------------------------
 
-# Which bodies are replaced and which grow.
+# Which bodies are replaced and which grow; and the notice in `capped`.
 REPLACED = r"^(helper:session_handoff_latest|helper:session_sentinel_state)$|^manifest:rehydration_"
-GROWING = r"^(trace|design|progress|dead_end|tile|var|helper|goal|praxis|pattern):"
+GROWING = r"^(trace|design|progress|scar|tile|var|helper|goal|praxis|pattern):"
 SOURCE_KEYS = r"__(fn|struct|impl|mod|enum|trait)__"
 
 
@@ -150,7 +160,7 @@ BODY_CHARS = 96_000
 
 def capped(text: Column, most: int = BODY_CHARS) -> Column:
     gone = F.length(text) - (most - 64)
-    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.lit("[body truncated — "), gone.cast("string"), F.lit(" chars removed from head]\n\n"), F.substring(text, gone + 1, F.lit(most))))
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.lit("[provlog truncated — "), gone.cast("string"), F.lit(" chars removed from head]\n\n"), F.substring(text, gone + 1, F.lit(most))))
 
 
 def spliced(existing: Column, new: Column, mode: Column, ts: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
@@ -43,28 +43,33 @@ def blended(old: DataFrame, new: DataFrame, share: float = 0.2) -> DataFrame:
     )
 
 
-def history(events: DataFrame, by: str, order: list[str], *values: str) -> DataFrame:
-    """``by, xs``: each key's events in order."""
-    return events.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(*order, *values))).alias("xs"))
+def _running(by: str, order: list[str]) -> Window:
+    return Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
 
 
-def ema(xs: Column, value: str, share: float = 0.2) -> Column:
-    """Exponential mean from the first value on."""
-    return F.aggregate(xs, F.lit(None).cast("double"), lambda a, x: F.when(a.isNull(), x[value]).otherwise(a * (1 - share) + x[value] * share))
+def _from_the_end(events: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """``events`` with ``_first`` and ``_left``, the number of later events of the key. Sorted rows are streamed, none gathered."""
+    w = Window.partitionBy(by).orderBy(*order)
+    back = Window.partitionBy(by).orderBy(*[F.desc(c) for c in order])
+    return events.withColumn("_left", F.row_number().over(back) - 1).withColumn("_first", F.row_number().over(w) == 1)
 
 
-def hypothesis(xs: Column, success) -> Column:
-    """Support and denial grow by 0.25 to 2; a lead of 1 confirms for good; failures in a row are counted."""
-    kind = "struct<support:double,denial:double,streak:int,confirmed:boolean>"
-    start = F.struct(F.lit(0.0).alias("support"), F.lit(0.0).alias("denial"), F.lit(0).alias("streak"), F.lit(False).alias("confirmed"))
+def ema(events: DataFrame, by: str, order: list[str], value: str, share: float = 0.2) -> DataFrame:
+    """``by, mean, n``: exponential mean from the first value on, as a sum of values weighted by their age."""
+    x = _from_the_end(events, by, order)
+    weight = F.pow(F.lit(1 - share), F.col("_left")) * F.when(F.col("_first"), 1.0).otherwise(share)
+    return x.groupBy(by).agg(F.sum(F.col(value) * weight).alias("mean"), F.count("*").alias("n"))
 
-    def step(a: Column, x: Column) -> Column:
-        ok = success(x)
-        s = F.when(ok, F.least(a["support"] + 0.25, F.lit(2.0))).otherwise(a["support"])
-        d = F.when(ok, a["denial"]).otherwise(F.least(a["denial"] + 0.25, F.lit(2.0)))
-        return F.struct(s.alias("support"), d.alias("denial"), F.when(ok, 0).otherwise(a["streak"] + 1).alias("streak"), (a["confirmed"] | (s - d >= 1)).alias("confirmed")).cast(kind)
 
-    return F.aggregate(xs, start.cast(kind), step)
+def hypothesis(events: DataFrame, by: str, order: list[str], success: Column) -> DataFrame:
+    """``by, support, denial, streak, confirmed``: support and denial grow by 0.25 to 2; a lead of 1 confirms for
+    good; ``streak`` counts the failures since the last success."""
+    w = _running(by, order)
+    x = events.withColumn("_ok", F.sum(F.when(success, 1).otherwise(0)).over(w)).withColumn("_not", F.sum(F.when(success, 0).otherwise(1)).over(w))
+    up = lambda c: F.least(F.col(c) * 0.25, F.lit(2.0))
+    x = x.withColumn("_lead", up("_ok") - up("_not")).withColumn("_before", F.when(success, F.col("_not")))
+    top = lambda c: F.max(c)
+    return x.groupBy(by).agg(F.max(up("_ok")).alias("support"), F.max(up("_not")).alias("denial"), (top("_not") - F.coalesce(top("_before"), F.lit(0))).cast("int").alias("streak"), (F.max("_lead") >= 1).alias("confirmed"))
 
 
 def lyapunov(a: Column, d: Column, r: Column) -> Column:
@@ -72,14 +77,8 @@ def lyapunov(a: Column, d: Column, r: Column) -> Column:
     return (0.4 * a * a + 0.3 * d * d + 0.3 * r * r) / (total * total)
 
 
-def stability(xs: Column, gradient, drift, decay: float = 0.034, rate: float = 0.12) -> Column:
-    """Three leaky integrators of affirmation, denial and reconciliation."""
-    kind = "struct<a:double,d:double,r:double>"
-    start = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("d"), F.lit(0.0).alias("r")).cast(kind)
-
-    def step(s: Column, x: Column) -> Column:
-        g, m = gradient(x), F.least(drift(x), F.lit(1.0))
-        grow = lambda old, by: (1 - decay) * old + rate * by
-        return F.struct(grow(s["a"], F.greatest(1 - g, F.lit(0.0))).alias("a"), grow(s["d"], F.least(g, F.lit(1.0))).alias("d"), grow(s["r"], 1 - m).alias("r")).cast(kind)
-
-    return F.aggregate(xs, start, step)
+def stability(events: DataFrame, by: str, order: list[str], gradient: Column, drift: Column, decay: float = 0.034, rate: float = 0.12) -> DataFrame:
+    """``by, a, d, r``: three leaky integrators of affirmation, denial and reconciliation, as sums weighted by age."""
+    x = _from_the_end(events.withColumn("_g", gradient).withColumn("_m", F.least(drift, F.lit(1.0))), by, order)
+    grown = lambda v: F.sum(F.pow(F.lit(1 - decay), F.col("_left")) * rate * v)
+    return x.groupBy(by).agg(grown(F.greatest(1 - F.col("_g"), F.lit(0.0))).alias("a"), grown(F.least("_g", F.lit(1.0))).alias("d"), grown(1 - F.col("_m")).alias("r"))

@@ -7,11 +7,12 @@ top-k per partition and a merge, so no record vector is ever shuffled. Ties go b
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions import vector as V
+from .aggregate import number_rows
 
 
 def query_vector(records: DataFrame, vec_id: int, name: str = "query") -> DataFrame:
@@ -60,12 +61,19 @@ def momentum(records: DataFrame, query: DataFrame, k: int, first: int = 20) -> D
     return top_k(best.withColumn("score", F.round(blend, 6)), k)
 
 
-def two_phase(records: DataFrame, query: DataFrame, k: int, widen: int = 8) -> DataFrame:
-    """Pre-score narrow int8 codes, keep ``widen`` x k, then rescore those exactly."""
-    code = lambda c: F.transform(V.int8_codes(F.col(c)), lambda x: x.cast("double"))
-    s = with_query(records, query).withColumn("_near", V.dot(code("q"), code("query")))
-    best = s.orderBy(F.desc("_near"), "concept").limit(k * widen)
-    return top_k(best.withColumn("score", F.round(V.cosine(F.col("q"), F.col("query")), 6)), k)
+def coded(records: DataFrame) -> DataFrame:
+    """``concept, code``: an eighth of the vectors' bytes, to be stored beside them and read in a first phase."""
+    return records.select("concept", V.int8_codes(F.col("q")).alias("code"))
+
+
+def two_phase(records: DataFrame, query: DataFrame, k: int, widen: int = 8, codes: DataFrame | None = None) -> DataFrame:
+    """Pre-score narrow int8 codes (stored ones, if given), keep ``widen`` x k, then read and rescore those exactly."""
+    asked = query.withColumn("_asked", V.int8_codes(F.col("query")))  # one row
+    wide = lambda c: F.transform(F.col(c), lambda x: x.cast("double"))
+    near = with_query(coded(records) if codes is None else codes, asked.select("_asked")).withColumn("_near", V.dot(wide("code"), wide("_asked")))
+    best = near.orderBy(F.desc("_near"), "concept").limit(k * widen).select("concept")
+    found = records.join(F.broadcast(best), "concept", "left_semi")  # k * widen rows
+    return top_k(with_query(found, query).withColumn("score", F.round(V.cosine(F.col("q"), F.col("query")), 6)), k)
 
 
 def srht_codes(width: int, seed: int = 7):
@@ -94,8 +102,9 @@ def srht(records: DataFrame, query: DataFrame, k: int, width: int, widen: int =
     """Two phases over rotated 4-bit codes."""
     code = srht_codes(width)
     level = lambda c: F.transform(F.col(c), lambda x: x - 7.5)
-    coded = with_query(records, query).withColumn("_c", code("q")).withColumn("_d", code("query"))
-    best = coded.withColumn("_near", V.cosine(level("_c"), level("_d"))).orderBy(F.desc("_near"), "concept").limit(k * widen)
+    asked = query.select("query", code("query").alias("_d"))  # the one row is coded before it meets the records
+    near = with_query(records.withColumn("_c", code("q")), asked)
+    best = near.withColumn("_near", V.cosine(level("_c"), level("_d"))).orderBy(F.desc("_near"), "concept").limit(k * widen)
     return top_k(best.withColumn("score", F.round(V.cosine(F.col("q"), F.col("query")), 6)), k)
 
 
@@ -104,6 +113,6 @@ def page(df: DataFrame, offset: int, limit: int, *order: Column) -> DataFrame:
 
 
 def recency_ranks(access: DataFrame, key: str = "concept", ts: str = "ts") -> DataFrame:
-    """Position of each key by last access, 0 the newest: last accesses first, so the ranking sees one row a key."""
+    """Position of each key by last access, 0 the newest: a range sort of one row a key, and counts of its partitions."""
     last = access.groupBy(key).agg(F.max(ts).alias("last_ts"))
-    return last.withColumn("recency_rank", F.row_number().over(Window.orderBy(F.desc("last_ts"), key)) - 1)
+    return number_rows(last, [F.desc("last_ts"), F.asc(key)], "recency_rank")

@@ -56,19 +56,20 @@ def lineage(edges: DataFrame, labels: dict[str, str]) -> DataFrame:
     return edges.where(F.col("label").isin(*labels.values())).groupBy("src").agg(*pick)
 
 
-def expand(edges: DataFrame, seeds: DataFrame, budget: float, label: str | None = None, direction: str = "in", weighted: bool = True, rounds: int = 8) -> DataFrame:
-    """``concept, cost``: least cost of reaching each concept, within the budget.
+def expand(edges: DataFrame, seeds: DataFrame, budget: float, label: str | None = None, direction: str = "in", weighted: bool = True, most: float = 8.0) -> DataFrame:
+    """``concept, cost``: least cost of reaching each concept, within the budget, which counts as ``most`` where it is more.
 
     Each hop costs 1 + volatility (or 1). True minima: all cheaper ways are relaxed until none is
     left; a hop costs at least 1, so the budget bounds the rounds.
     """
+    budget = min(budget, most)
     own, other = ("dst", "src") if direction == "in" else ("src", "dst")
     e = edges if label is None else edges.where(F.col("label") == label)
     hop = 1 + F.col("volatility") if weighted else F.lit(1.0)
     e = volatility(e).select(F.col(own).alias("at"), F.col(other).alias("to"), hop.alias("hop"))
     reached = settle(seeds.select("concept", F.lit(0.0).alias("cost")).distinct())
     front = reached
-    for _ in range(min(rounds, int(budget))):
+    for _ in range(int(budget)):
         step = front.join(e, F.col("concept") == F.col("at")).select(F.col("to").alias("concept"), (F.col("cost") + F.col("hop")).alias("cost")).where(F.col("cost") <= budget)
         step = step.groupBy("concept").agg(F.min("cost").alias("cost"))
         old = reached.select("concept", F.col("cost").alias("old"))

@@ -13,7 +13,7 @@ def node_kind(concept: Column) -> Column:
 
 
 def category(concept: Column) -> Column:
-    return F.when(concept.startswith("trace:"), "trace").when(concept.startswith("tile:"), "tile").when(concept.startswith("praxis"), "praxis").when(concept.startswith("dead_end:"), "dead_end").otherwise("other")
+    return F.when(concept.startswith("trace:"), "trace").when(concept.startswith("tile:"), "tile").when(concept.startswith("praxis"), "praxis").when(concept.startswith("scar:"), "dead_end").otherwise("other")
 
 
 def tensor_eligible(concept: Column) -> Column:

@@ -77,7 +77,7 @@ def glob(column: Column, pattern: str) -> Column:
 #: Prefixes that may be shown on the surface.
 SURFACE = (
     "goal:", "trace:", "tile:", "helper:", "handoff:", "session_end_", "session_start_", "compression_intent_", "compression_handoff_", "manifest:", "uncertainty:",
-    "receipt:session_", "process:", "ritual:", "praxis:", "dead_end:", "local:", "host:", "env:", "tensor:", "design:",
+    "receipt:session_", "process:", "ritual:", "praxis:", "scar:", "local:", "host:", "env:", "tensor:", "design:",
 )
 
 

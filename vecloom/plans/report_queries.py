@@ -13,7 +13,7 @@ from ..sources.tables import edges, table
 from .graph_queries import EDGES
 from .registry import query
 
-_PRE = ["goal:", "trace:", "tile:", "helper:", "praxis:", "dead_end:", "metric:", "local:", "design:", ""]
+_PRE = ["goal:", "trace:", "tile:", "helper:", "praxis:", "scar:", "metric:", "local:", "design:", ""]
 NAMED = f""" c AS (SELECT doc_id, {_PRE}[doc_id % 10 + 1] || 'd' || doc_id AS concept, (doc_id * 31 % 100) / 100.0::DOUBLE AS reliability, doc_id * 7919 % 100000 AS ts, source, text AS body FROM documents)"""
 SERVES = " sv AS (SELECT concept AS src, 'serves' AS label, 'goal:d' || (doc_id // 100 * 100) AS dst FROM c WHERE doc_id % 10 = 1)"
 
@@ -45,12 +45,12 @@ def trusted_ranking(spark, sf_dir):
 
 
 @query(
-    f"""WITH {NAMED}, u AS (SELECT concept, ts, 0 AS source FROM c WHERE starts_with(concept, 'dead_end:') AND reliability >= 0.5 UNION ALL SELECT concept, ts, 1 FROM c WHERE reliability >= 0.9 UNION ALL SELECT concept, ts, 2 FROM c WHERE starts_with(concept, 'helper:')),
+    f"""WITH {NAMED}, u AS (SELECT concept, ts, 0 AS source FROM c WHERE starts_with(concept, 'scar:') AND reliability >= 0.5 UNION ALL SELECT concept, ts, 1 FROM c WHERE reliability >= 0.9 UNION ALL SELECT concept, ts, 2 FROM c WHERE starts_with(concept, 'helper:')),
     m AS (SELECT concept, min(source) AS source, max(ts) AS ts FROM u GROUP BY concept) SELECT concept, source, ts FROM m ORDER BY source, ts DESC, concept LIMIT 40"""
 )
 def anchors_prioritised(spark, sf_dir):
     c = named(spark, sf_dir)
-    return P.prioritised([c.where(F.col("concept").startswith("dead_end:") & (F.col("reliability") >= 0.5)), c.where("reliability >= 0.9"), c.where(F.col("concept").startswith("helper:"))], 40)
+    return P.prioritised([c.where(F.col("concept").startswith("scar:") & (F.col("reliability") >= 0.5)), c.where("reliability >= 0.9"), c.where(F.col("concept").startswith("helper:"))], 40)
 
 
 @query(f"WITH {NAMED}, {SERVES} SELECT concept, reliability FROM c WHERE concept IN (SELECT src FROM sv WHERE dst = 'goal:d100') ORDER BY reliability DESC, concept LIMIT 5")

@@ -16,13 +16,12 @@ from .vector_queries import REC
 _EV = " e AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events)"
 
 
-def _history(spark, sf_dir):
-    return M.history(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type", "value")
+_ORDER = ["ts", "event_id"]
 
 
 @query(f"WITH RECURSIVE {_EV}, w AS (SELECT user_id, rn, value::DOUBLE AS m FROM e WHERE rn = 1 UNION ALL SELECT e.user_id, e.rn, m * 0.8 + value * 0.2 FROM w JOIN e ON e.user_id = w.user_id AND e.rn = w.rn + 1) SELECT user_id, round(arg_max(m, rn), 6) AS mean, max(rn) AS n FROM w GROUP BY user_id")
 def ema_update_fold(spark, sf_dir):
-    return _history(spark, sf_dir).select("user_id", F.round(M.ema(F.col("xs"), "value"), 6).alias("mean"), F.size("xs").cast("long").alias("n"))
+    return M.ema(table(spark, sf_dir, "events"), "user_id", _ORDER, "value").select("user_id", F.round("mean", 6).alias("mean"), "n")
 
 
 @query(
@@ -33,8 +32,7 @@ def ema_update_fold(spark, sf_dir):
     SELECT user_id, arg_max(s, rn) AS support, arg_max(d, rn) AS denial, arg_max(k, rn) AS streak, arg_max(c, rn) AS confirmed FROM w GROUP BY user_id"""
 )
 def hypothesis_fold(spark, sf_dir):
-    h = M.hypothesis(F.col("xs"), lambda x: x["event_type"] != "error")
-    return _history(spark, sf_dir).select("user_id", h.alias("h")).select("user_id", "h.*")
+    return M.hypothesis(table(spark, sf_dir, "events"), "user_id", _ORDER, F.col("event_type") != "error")
 
 
 @query(
@@ -47,9 +45,8 @@ def hypothesis_fold(spark, sf_dir):
 def stability_fold(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = e.withColumn("g", F.least(F.col("value") / 100.0, F.lit(1.5))).withColumn("m", F.row_number().over(w) % 10 / 10.0)
-    s = M.stability(F.col("xs"), lambda x: x["g"], lambda x: x["m"])
-    out = M.history(e, "user_id", ["ts", "event_id"], "g", "m").select("user_id", s.alias("s")).select("user_id", "s.*")
+    e = e.withColumn("m", F.row_number().over(w) % 10 / 10.0)
+    out = M.stability(e, "user_id", _ORDER, F.least(F.col("value") / 100.0, F.lit(1.5)), F.col("m"))
     return out.select("user_id", *[F.round(c, 6).alias(c) for c in "adr"], F.round(M.lyapunov(F.col("a"), F.col("d"), F.col("r")), 6).alias("phi"))
 
 
@@ -61,15 +58,16 @@ def drift_lag(spark, sf_dir):
 
 
 @query(
-    f"""WITH {REC}, o AS (SELECT concept, q, drift, mass FROM rec WHERE vec_id < 300), n AS (SELECT 'rec:' || (vec_id - 200) AS concept, q AS nq FROM rec WHERE vec_id >= 400),
+    f"""WITH {REC}, o AS (SELECT concept, q, drift, mass FROM rec), n AS (SELECT 'rec:' || (vec_id * 2) AS concept, q AS nq FROM rec),
     j AS (SELECT coalesce(o.concept, n.concept) AS concept, q, nq, drift, mass, list_transform(range(1, 65), lambda i: 0.8 * q[i] + 0.2 * nq[i]) AS b FROM o FULL JOIN n ON o.concept = n.concept)
     SELECT concept, round(CASE WHEN q IS NOT NULL AND nq IS NOT NULL THEN b[1] / sqrt(list_dot_product(b, b)) ELSE coalesce(q, nq)[1] END, 6) + 0.0 AS first,
       round(CASE WHEN q IS NOT NULL AND nq IS NOT NULL THEN greatest(0.0, least(1.0, 1 - list_cosine_similarity(q, nq))) ELSE coalesce(drift, 0.0) END, 6) AS drift, coalesce(mass, 0) + (nq IS NOT NULL)::INT AS mass FROM j"""
 )
 def blended_update(spark, sf_dir):
+    """All records are old; the new vectors carry doubled ids: even ones blend, those past the end are inserts, odd ones stay."""
     r = records(spark, sf_dir)
-    new = r.where("vec_id >= 400").select(F.concat(F.lit("rec:"), F.col("vec_id") - 200).alias("concept"), "q")
-    out = M.blended(r.where("vec_id < 300").select("concept", "q", "drift", "mass"), new)
+    new = r.select(F.concat(F.lit("rec:"), F.col("vec_id") * 2).alias("concept"), "q")
+    out = M.blended(r.select("concept", "q", "drift", "mass"), new)
     return out.select("concept", (F.round(F.get("q", F.lit(0)), 6) + 0.0).alias("first"), F.round("drift", 6).alias("drift"), "mass")
 
 
@@ -141,18 +139,21 @@ def branch_states(spark, sf_dir):
     return S.branch_states(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("branch"), F.struct("o_orderdate", "o_orderkey").alias("ts"), action.alias("action")))
 
 
-@query("SELECT 'record-pack-1' AS version, count(*) AS n, sum(strlen(text))::BIGINT AS bytes FROM documents")
+@query("SELECT 'doc:' || doc_id AS concept, sha256(text) AS body, 0.8::DOUBLE AS reliability, 'doc' AS kind, (SELECT count(*) FROM documents) AS n, (SELECT sum(strlen(text))::BIGINT FROM documents) AS bytes FROM documents")
 def pack_round_trip(spark, sf_dir):
+    """Every record as it comes back from the pack, with its manifest's counts."""
     d = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc:"), "doc_id").alias("concept"), F.col("text").alias("body"), F.lit(0.8).alias("reliability"), F.lit("doc").alias("kind"))
     path = P.pack_path(spark)
     P.write_pack(d, path)
     P.check_manifest(spark, path)
-    return P.manifest(P.read_pack(spark, path))
+    back = P.read_pack(spark, path)
+    counts = P.manifest(back).select("n", "bytes")  # one row
+    return back.select("concept", F.sha2("body", 256).alias("body"), "reliability", "kind").crossJoin(F.broadcast(counts))
 
 
-@query("SELECT CASE WHEN doc_id % 3 = 0 THEN 'sync:doc:' || doc_id ELSE 'doc:' || doc_id END AS concept, least(0.9, 0.6)::DOUBLE AS reliability FROM documents")
+@query("SELECT CASE WHEN doc_id % 3 = 0 THEN 'sync:doc:' || doc_id ELSE 'doc:' || doc_id END AS concept, least((doc_id * 37 % 100) / 100.0::DOUBLE, 0.6)::DOUBLE AS reliability FROM documents")
 def sync_quarantine(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc:"), "doc_id").alias("concept"), F.col("text").alias("body"), F.lit(0.9).alias("reliability"), F.lit("doc").alias("kind"), "doc_id")
+    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc:"), "doc_id").alias("concept"), F.col("text").alias("body"), (F.col("doc_id") * 37 % 100 / 100.0).alias("reliability"), F.lit("doc").alias("kind"), "doc_id")
     return P.quarantined(d.drop("doc_id"), d.where("doc_id % 3 = 0")).select("concept", "reliability")
 
 

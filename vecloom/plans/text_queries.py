@@ -27,15 +27,14 @@ def _sql_found(column: str, steps) -> str:
 
 @query(f"SELECT doc_id, {_sql_scrub('text', T.SCRUB[:3])} AS clean FROM documents")
 def scrub_rest(spark, sf_dir):
-    clean, _ = T.scrub(F.col("text"), T.SCRUB[:3])
-    return table(spark, sf_dir, "documents").select("doc_id", clean.alias("clean"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.scrub(F.col("text"), T.SCRUB[:3])["text"].alias("clean"))
 
 
 @query(f"SELECT doc_id, sha256({_sql_scrub('text', T.SCRUB)}) AS clean, {_sql_found('text', T.SCRUB)} AS redacted FROM documents")
 def scrub_export_pipeline(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where(T.export_denied(F.concat(F.lit("doc:"), "doc_id"), F.col("text")).isNull())
-    clean, found = T.scrub(F.col("text"))
-    return d.select("doc_id", F.sha2(clean, 256).alias("clean"), found.alias("redacted"))
+    s = d.select("doc_id", T.scrub(F.col("text")).alias("s"))
+    return s.select("doc_id", F.sha2("s.text", 256).alias("clean"), F.col("s.found").alias("redacted"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'local_only_prefix' WHEN contains(text, '/home/') AND doc_id % 10 = 1 THEN 'handoff_may_contain_paths' END AS reason FROM documents")
@@ -49,9 +48,9 @@ _TOK = "list_distinct(list_filter(regexp_split_to_array(lower({t}), '[^\\p{{L}}\
 
 
 @query(
-    f"""WITH d AS (SELECT doc_id, {_TOK.format(t="text")} AS a FROM documents WHERE doc_id % 10 = 0), b AS (SELECT item_id, {_TOK.format(t="text")} AS b FROM benchmark),
+    f"""WITH d AS (SELECT doc_id, {_TOK.format(t="text")} AS a FROM documents), b AS (SELECT item_id, {_TOK.format(t="text")} AS b FROM benchmark),
     j AS (SELECT doc_id, item_id, len(list_intersect(a, b)) AS n, len(a) AS na, len(b) AS nb FROM d, b)
-    SELECT doc_id, max(round(CASE WHEN na = 0 OR nb = 0 THEN 0 ELSE n / (na + nb - n) END, 6)) AS overlap FROM j GROUP BY doc_id""".replace(" WHERE doc_id % 10 = 0", "")
+    SELECT doc_id, max(round(CASE WHEN na = 0 OR nb = 0 THEN 0 ELSE n / (na + nb - n) END, 6)) AS overlap FROM j GROUP BY doc_id"""
 )
 def jaccard_intent(spark, sf_dir):
     """Best token overlap of each document with any intent; the intents are a short list."""
@@ -127,8 +126,9 @@ def field_extract(spark, sf_dir):
 
 @query(
     """WITH k AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'tile:' || doc_id WHEN 1 THEN 'helper:session_handoff_latest' WHEN 2 THEN 'a__fn__b' ELSE 'plain' END AS concept, trim(text) AS new FROM documents),
-    m AS (SELECT *, CASE WHEN concept = 'helper:session_handoff_latest' THEN 'replace' ELSE 'append' END AS mode FROM k)
-    SELECT doc_id, mode, sha256(CASE WHEN mode = 'replace' THEN new WHEN new = '' THEN 'old body' ELSE 'old body' || chr(10) || chr(10) || '--- update @ ' || doc_id || ' ---' || chr(10) || new END) AS body FROM m WHERE length(new) < 90000"""
+    m AS (SELECT *, CASE WHEN concept = 'helper:session_handoff_latest' THEN 'replace' ELSE 'append' END AS mode FROM k),
+    b AS (SELECT doc_id, mode, CASE WHEN mode = 'replace' THEN new WHEN new = '' THEN 'old body' ELSE 'old body' || chr(10) || chr(10) || '--- update @ ' || doc_id || ' ---' || chr(10) || new END AS body FROM m)
+    SELECT doc_id, mode, sha256(CASE WHEN length(body) <= 96000 THEN body ELSE '[provlog truncated — ' || (length(body) - 95936) || ' chars removed from head]' || chr(10) || chr(10) || substring(body, length(body) - 95936 + 1) END) AS body FROM b"""
 )
 def splice_append(spark, sf_dir):
     i = F.col("doc_id")
@@ -220,8 +220,8 @@ def relation_lineage(spark, sf_dir):
     return stored.select("src", "dst", G.lineage_current().alias("current"))
 
 
-@query("SELECT doc_id, sha256(text) AS body, true AS foreign_key_fails FROM documents")
+@query("SELECT doc_id, sha256(text) AS body, strlen(text) + 28 AS sealed_bytes, true AS foreign_key_fails, true AS foreign_name_fails FROM documents")
 def sealed_bodies(spark, sf_dir):
     key, other, name = F.lit(b"0123456789abcdef").cast("binary"), F.lit(b"fedcba9876543210").cast("binary"), F.concat(F.lit("doc:"), F.col("doc_id"))
     d = table(spark, sf_dir, "documents").select("doc_id", I.sealed(F.col("text"), key, name).alias("s"), name.alias("name"))
-    return d.select("doc_id", F.sha2(I.opened(F.col("s"), key, F.col("name")), 256).alias("body"), I.opened(F.col("s"), other, F.col("name")).isNull().alias("foreign_key_fails"))
+    return d.select("doc_id", F.sha2(I.opened(F.col("s"), key, F.col("name")), 256).alias("body"), F.octet_length(F.unbase64("s")).cast("long").alias("sealed_bytes"), I.opened(F.col("s"), key, F.lit("doc:other")).isNull().alias("foreign_name_fails"), I.opened(F.col("s"), other, F.col("name")).isNull().alias("foreign_key_fails"))

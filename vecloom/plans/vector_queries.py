@@ -9,6 +9,7 @@ from ..functions import scores as S
 from ..functions import vector as V
 from ..functions import vector_udf as U
 from ..operators import recall as R
+from ..shared import cut
 from ..sources.tables import records
 from .registry import query
 
@@ -135,7 +136,8 @@ def recall_int8_hyperbolic(spark, sf_dir):
 
 @query()
 def recall_two_phase_int8(spark, sf_dir):
-    return R.two_phase(*_base(spark, sf_dir), K)
+    r, q = _base(spark, sf_dir)
+    return R.two_phase(r, q, K, codes=cut(R.coded(r), "codes"))
 
 
 @query()
