@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -54,10 +55,15 @@ def test_tokens_of_odd_rows(spark, bpe):
 
 def test_cut_texts_encode_like_whole_ones(bpe):
     e = token_store.Encoder(token_store.default_tokenizer())
-    rnd = random.Random(2)
+    rnd, texts = random.Random(2), []
     for _ in range(400):
         t = "".join(rnd.choice(["a", "Ab", " ", " ", "  ", "\n", "\t", "é", "1", ".", "'s", " ", "\x1c", "<|endoftext|>", "日本"]) for _ in range(rnd.randint(0, 14)))
-        assert e([t])[0] == np.array(bpe.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
+        texts.append(t)
+    ids, sizes = e(pa.array(texts), 7)
+    want = [[*bpe.encode(t, add_special_tokens=False).ids, 7] for t in texts]
+    assert sizes.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    for t, x in zip(texts, want):
+        assert e(pa.array([t]))[0].tolist() == x[:-1], repr(t)
 
 
 @settings(max_examples=60, deadline=None)
@@ -78,8 +84,8 @@ def test_pieces_are_the_librarys(spark, sf_dir, sp):
 def test_pieces_of_odd_texts(spark, sp):
     rows = [*ODD, (30, "  a  b\n c "), (31, "ab▁c Ａ😀 x" * 20), (32, "a" * 3000), (33, " " * 40 + "hello")]
     text = dict(rows)
-    for common in (True, False):
-        got = pieces.encode(odd(spark, rows), common=common).collect()
+    for table in (pieces.TABLE, 600, 0):
+        got = pieces.encode(odd(spark, rows), table=table).collect()
         assert len(got) == len(rows)
         for r in got:
             assert r["ids"] == sp.encode(text[r["doc_id"]] or "")
@@ -107,7 +113,7 @@ def test_viterbi_of_a_unigram_model(spark):
     text = dict(rows)
     for r in pieces.encode(spark.createDataFrame(rows, "doc_id long, text string"), m).collect():
         got = sum(m.rows[i][1] if i else -16.0 for i in r["ids"])
-        assert got == pytest.approx(sum(best(w) for w in pieces.words_of(text[r["doc_id"]])))
+        assert got == pytest.approx(sum(best("▁" + w) for w in pieces.words_of(text[r["doc_id"]])))
 
 
 def test_viterbi_of_a_word_of_thousands_of_characters():
@@ -120,3 +126,21 @@ def test_viterbi_of_a_word_of_thousands_of_characters():
     ids = m.viterbi_long(word)
     assert "".join(m.rows[i][0] for i in ids) == word
     assert sum(m.rows[i][1] for i in ids) == pytest.approx(best[-1][0])
+
+
+def test_words_of_thousands_of_characters(spark, sp):
+    rnd = random.Random(5)
+    rows = [(1, "ab" * 450), (2, "".join(rnd.choice("abcde") for _ in range(1000))), (3, "x" + "a" * 1500), (4, "".join(rnd.choice("ab1_") for _ in range(2500)))]
+    text = dict(rows)
+    for r in pieces.encode(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert r["ids"] == sp.encode(text[r["doc_id"]])
+    m = pieces.PieceModel([("<unk>", 0.0, 2), ("▁", -2.0, 1), ("a", -3.0, 1), ("b", -3.0, 1), ("ab", -4.0, 1), ("▁a", -3.5, 1), ("ba", -5.5, 1), ("▁ab", -6.0, 1), ("bab", -5.0, 1)], pieces.UNIGRAM)
+    word = "".join(rnd.choice("ab") for _ in range(5000))
+    got = pieces.encode(spark.createDataFrame([(1, word)], "doc_id long, text string"), m).first()["ids"]
+    assert "".join(m.rows[i][0] for i in got) == "▁" + word
+    assert sum(m.rows[i][1] for i in got) == pytest.approx(sum(m.rows[i][1] for i in m.viterbi_long("▁" + word)))
+
+
+def test_decoding_keeps_a_column_named_decoded(spark):
+    df = pieces.encode(spark.createDataFrame([(1, "a b")], "doc_id long, text string")).selectExpr("doc_id", "ids", "7 AS decoded")
+    assert pieces.decode(df).columns == ["doc_id", "ids", "decoded", "decoded_"] and pieces.decode(df).first()["decoded_"] == "a b"

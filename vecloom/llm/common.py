@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from vecloom.shared import cut, remove, scratch, shared_path
 
-__all__ = ["SPACE", "WORD", "components", "cut", "fold_of", "fresh", "gather", "left_join", "numbered", "pick", "remove", "row_key", "scratch", "shared_path", "slices", "text_of"]
+__all__ = ["SPACE", "WORD", "components", "cut", "fold_of", "fresh", "gather", "left_join", "numbered", "pick", "pieces_at", "remove", "row_key", "scratch", "shared_path", "slices", "text_of"]
 
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -95,11 +95,16 @@ def slices(column, size: int):
         start = stop
 
 
+def pieces_at(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ``values`` with these starts and sizes, laid end to end."""
+    ends = np.cumsum(sizes)
+    return values[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 def gather(values: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of entries laid end to end in ``values``, those of ``index`` laid end to end, and their sizes."""
-    at, own = np.concatenate(([0], np.cumsum(sizes)))[:-1], sizes[index]
-    before = np.concatenate(([0], np.cumsum(own)))
-    return values[np.repeat(at[index] - before[:-1], own) + np.arange(before[-1])], own
+    at, own = np.cumsum(sizes) - sizes, sizes[index]
+    return pieces_at(values, at[index], own), own
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -1,23 +1,24 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
 1. Texts are cut into words where no piece can cross: before a space mark that follows another
-   character, and, in long words, between characters that no piece has side by side.
-2. The edges of the distinct words of a chunk of documents are looked up in a dict of all pieces and their
-   prefixes, in Arrow code. This replaces the method's explode of substrings and equi-join to a piece table: a
-   substring that begins no piece ends the search at its start, and no substring becomes a row.
+   character, and between characters that no piece has side by side. The distinct words of all texts
+   are counted, with a map-side part.
+2. Every distinct word's substrings of at most the longest piece's length are exploded and joined, on
+   equality, to the broadcast piece table (whose size is the model's). The edges found are grouped by
+   word; words are dealt out once, by their count, and no further exchange is needed.
 3. A higher-order ``aggregate`` folds each word's edges into its segmentation: a Viterbi fold for
    unigram models; for BPE models a fold of merges, the best-scored edge over two neighbouring
    symbols first, leftmost on ties. (Viterbi over BPE scores does not give the library's ids.)
-4. The documents' words are replaced by their folded ids inside the same row. Nothing is shuffled.
-
-A table of common words, folded in the same way, is broadcast (at most ``COMMON`` words) so that
-they are not folded again in each chunk. It only saves work: ids do not depend on it. It is drawn
-from a sample of about ``COMMON_FROM`` documents.
+4. The table of words and ids goes back to the documents: the most frequent words, up to ``TABLE``
+   bytes, in a broadcast; where the corpus has more words, each task lists the others that its chunks
+   of documents use, they are joined to the table, and the chunks are filled in.
 
 Edge cases: null and empty texts give no ids and decode to the empty text; characters without a
-piece become byte pieces, or the unknown id where the model has none; words over ``LONG``
-characters are merged with a heap in the task (quadratic folds would not end); rows that repeat are
-each encoded; extra columns are ignored; an empty table gives no rows.
+piece become byte pieces, or the unknown id where the model has none; words of more than ``LONG``
+characters are segmented by the same rules with a heap or an array in the task, as their edges or steps
+would outgrow one row; rows that repeat are each encoded; ties are leftmost (merges) or the
+earliest start (Viterbi); extra columns are ignored; an empty table gives no rows. ``decode`` adds a
+column named ``decoded`` (lengthened where one of that name exists).
 """
 
 from __future__ import annotations
@@ -25,31 +26,26 @@ from __future__ import annotations
 import heapq
 import re
 import struct
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import cut, fresh, gather, pieces_at, scratch, slices, text_of
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 UNIGRAM, BPE = 1, 2
-CHUNK = 1 << 19
-SLICE = 256
-COMMON = 1 << 18
-COMMON_FROM = 20_000
-LONG = 256
-FALLBACK = (1 << 20) - 1
-
-#: An edge is one number: rank << 40 | id << 20 | start << 10 | end; ranks order merges, best first.
-LATTICE = "array<struct<n:int,edges:array<bigint>,scores:array<float>,chars:array<int>,bytes:array<array<int>>>>"
-ROW = f"words {LATTICE}, docs array<struct<doc_id:bigint,parts:array<int>,n_bytes:bigint,crc:bigint>>"
+SLICE = 3 << 20
+TABLE = 128 << 20
+LONG = {BPE: 1024, UNIGRAM: 1 << 16}
+MISSING = (1 << 20) - 1
 
 
 def default_model() -> str:
@@ -91,7 +87,7 @@ def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += n
 
 
-@dataclass
+@dataclass(eq=False)
 class PieceModel:
     """The piece table of a model file, or one given as ``(piece, score, type)`` rows in id order."""
 
@@ -102,8 +98,6 @@ class PieceModel:
     unknown: int = 0
     longest: int = 1
     neighbours: frozenset[str] = frozenset()
-    starts: dict[str, int] = field(default_factory=dict)
-    key: list[int] = field(default_factory=list)
 
     def __post_init__(self):
         self.ids = {p: i for i, (p, _, t) in enumerate(self.rows) if t not in (UNKNOWN, CONTROL, BYTE)}
@@ -112,11 +106,6 @@ class PieceModel:
         self.unknown = next((i for i, r in enumerate(self.rows) if r[2] == UNKNOWN), 0)
         self.longest = max(map(len, self.ids), default=1)
         self.neighbours = frozenset(p[k : k + 2] for p in self.ids for k in range(len(p) - 1))
-        self.starts = {p[:k]: -1 for p in self.ids for k in range(2, len(p))} | {p: i for p, i in self.ids.items() if len(p) > 1}
-        order = sorted(range(len(self.rows)), key=lambda i: (-self.rows[i][1], i))
-        self.key = [0] * len(order)
-        for rank, i in enumerate(order):
-            self.key[i] = rank << 40 | i << 20
         crossing = [p for p in self.ids if re.search(f"[^{MARK}]{MARK}", p)]
         if crossing:
             raise ValueError(f"pieces that cross words are not supported: {crossing[:3]}")
@@ -143,38 +132,18 @@ class PieceModel:
             return [i]
         return [self.byte_ids[b] for b in c.encode()] if self.byte_ids else [self.unknown]
 
-    def edges(self, word: str) -> list[int]:
-        """All substrings of two characters and more that are pieces, best first; a piece's prefixes end the search."""
-        starts, key, n, out = self.starts, self.key, len(word), []
-        for s in range(n - 1):
-            at = s << 10
-            for e in range(s + 2, n + 1):
-                i = starts.get(word[s:e])
-                if i is None:
-                    break
-                if i >= 0:
-                    out.append(key[i] + at + e)
-        out.sort()
-        return out
-
     def triples(self, word: str) -> list[tuple[int, int, int, float]]:
         """For Viterbi: start, end, id and score of all pieces in a word of any length, single characters too, by end and start."""
         low = min((r[1] for r in self.rows), default=0.0) - 10.0
         out = []
         for s, c in enumerate(word):
-            out.append((s, s + 1, self.ids.get(c, FALLBACK)))
-            for e in range(s + 2, len(word) + 1):
-                i = self.starts.get(word[s:e])
-                if i is None:
-                    break
-                if i >= 0:
+            out.append((s, s + 1, self.ids.get(c, MISSING)))
+            for e in range(s + 2, min(len(word), s + self.longest) + 1):
+                i = self.ids.get(word[s:e])
+                if i is not None:
                     out.append((s, e, i))
         out.sort(key=lambda x: (x[1], x[0]))
-        return [(s, e, i, self.rows[i][1] if i != FALLBACK else low) for s, e, i in out]
-
-    def scored_edges(self, word: str) -> list[tuple[int, float]]:
-        """The triples as packed edges, for words of ``LONG`` characters at most."""
-        return [(i << 20 | s << 10 | e, score) for s, e, i, score in self.triples(word)]
+        return [(s, e, i, self.rows[i][1] if i != MISSING else low) for s, e, i in out]
 
     def merge_long(self, word: str) -> list[int]:
         """The merges of one long word, with a heap over neighbouring symbols."""
@@ -213,7 +182,7 @@ class PieceModel:
         out, e = [], len(word)
         while e:
             _, s, i = best[e]
-            out.append([i] if i != FALLBACK else self.single(word[s]))
+            out.append([i] if i != MISSING else self.single(word[s]))
             e = s
         return [i for x in reversed(out) for i in x]
 
@@ -226,104 +195,102 @@ def _model(path: str) -> PieceModel:
     return PieceModel.read(path)
 
 
-# ---- words and lattice rows ---------------------------------------------------------------
+# ---- words --------------------------------------------------------------------------------
 
-_RUN = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+_RUN = re.compile(f"{MARK}+[^{MARK}]*")
 
 
 def words_of(text: str) -> list[str]:
-    if not text:
-        return []
-    if "  " in text or MARK in text or text[0] == " ":
-        return _RUN.findall(MARK + text.replace(" ", MARK))
-    return [MARK + w for w in text.split(" ")]
-
-
-def safe_parts(word: str, model: PieceModel) -> list[str]:
-    """``word`` cut where no piece has the two characters side by side."""
-    out, start = [], 0
-    for k in range(1, len(word)):
-        if word[k - 1 : k + 1] not in model.neighbours:
-            out.append(word[start:k])
-            start = k
-    return [*out, word[start:]]
-
-
-def _lattice(words: Iterable[str], model: PieceModel) -> pa.Array:
-    """A struct per word: its length, its edges, the ids of its characters, byte ids where one has no piece."""
-    n, at, edges, scores, chars, char_at, byte_rows = [], [0], [], [], [], [0], []
-    viterbi, ids = model.kind != BPE, model.ids
-    for w in words:
-        n.append(len(w))
-        if viterbi:
-            for k, v in model.scored_edges(w):
-                edges.append(k)
-                scores.append(v)
-        else:
-            edges += model.edges(w)
-        at.append(len(edges))
-        own = [ids.get(c, FALLBACK) for c in w]
-        chars += own
-        char_at.append(len(chars))
-        byte_rows.append([model.single(c) for c in w] if FALLBACK in own else [])
-    offsets = pa.array(at, pa.int32())
-    return pa.StructArray.from_arrays(
-        [
-            pa.array(n, pa.int32()),
-            pa.ListArray.from_arrays(offsets, pa.array(edges, pa.int64())),
-            pa.ListArray.from_arrays(offsets if viterbi else pa.array([0] * len(at), pa.int32()), pa.array(scores, pa.float32())),
-            pa.ListArray.from_arrays(pa.array(char_at, pa.int32()), pa.array(chars, pa.int32())),
-            pa.array(byte_rows, pa.list_(pa.list_(pa.int32()))),
-        ],
-        ["n", "edges", "scores", "chars", "bytes"],
-    )
-
-
-def _int32(ids: list[int]) -> bytes:
-    return np.array(ids, "<i4").tobytes()
-
-
-def _chunk(docs: list[tuple[int, str]], common: dict[str, bytes], model: PieceModel) -> pa.RecordBatch:
-    """One row: the lattice of the chunk's other words, and its documents as ids or -1 - k for the k-th such word."""
-    import zlib
-
-    split = [words_of(t) for _, t in docs]
-    new = set().union(*split).difference(common)
-    rare: dict[str, int] = {}
-    code: dict[str, bytes] = {}
-    for w in new:
-        seq = []
-        for p in safe_parts(w, model):
-            known = common.get(p)
-            if known is None:
-                known = _int32([-1 - rare.setdefault(p, len(rare))] if len(p) <= LONG else model.fold_long(p))
-            seq.append(known)
-        code[w] = b"".join(seq)
-    raw = [b"".join([common[w] if w in common else code[w] for w in ws]) for ws in split]
-    offsets = np.concatenate(([0], np.cumsum([len(r) // 4 for r in raw]))).astype(np.int32)
-    parts = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), "<i4")))
-    plain = [t.encode() for _, t in docs]
-    doc = pa.StructArray.from_arrays([pa.array([d for d, _ in docs], pa.int64()), parts, pa.array([len(x) for x in plain], pa.int64()), pa.array([zlib.crc32(x) for x in plain], pa.int64())], ["doc_id", "parts", "n_bytes", "crc"])
-    one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-    return pa.RecordBatch.from_arrays([one(_lattice(rare, model)), one(doc)], ["words", "docs"])
-
-
-def _chunks(batches: Iterator[pa.RecordBatch], common: dict[str, bytes], model: PieceModel, size: int) -> Iterator[pa.RecordBatch]:
-    held, n = [], 0
+    """The words of a text, each without its first space mark."""
+    return [w[1:] for w in _RUN.findall(MARK + text.replace(" ", MARK))] if text else []
+
+
+@lru_cache(maxsize=2)
+def _sides(model: PieceModel) -> tuple[np.ndarray, np.ndarray]:
+    """A class for each character that a longer piece has (0: none), and whether a piece has two classes side by side."""
+    chars = sorted(set("".join(model.neighbours)))
+    kind = np.zeros(0x110000, np.uint16)
+    kind[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+    side = np.zeros((len(chars) + 1, len(chars) + 1), bool)
+    for x in model.neighbours:
+        side[kind[ord(x[0])], kind[ord(x[1])]] = True
+    return kind, side
+
+
+def parts_of(words: pa.Array, model: PieceModel) -> tuple[pa.Array, np.ndarray]:
+    """The words, each with its space mark, cut where no piece has the two characters side by side: all parts end to
+    end, and the place of each word's first part."""
+    marked = pc.binary_join_element_wise(MARK, words, "")
+    raw = b"".join([marked.buffers()[2].to_pybytes()]) if len(words) else b""
+    code = np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32)
+    kind, side = _sides(model)
+    c = kind[code]
+    cuts = np.ones(len(code), bool)
+    cuts[1:] = ~side[c[:-1], c[1:]]
+    ends = np.cumsum(pc.utf8_length(marked).to_numpy(zero_copy_only=False), dtype=np.int64)
+    firsts = np.concatenate(([0], ends))[: len(words)].astype(np.int64)
+    cuts[firsts] = True
+    width = 1 + (code > 0x7F).astype(np.int32) + (code > 0x7FF) + (code > 0xFFFF)
+    at = np.flatnonzero(cuts)
+    offsets = np.append((np.cumsum(width) - width)[at], len(raw)).astype(np.int32)
+    parts = pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw)])
+    return parts, np.searchsorted(at, firsts)
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of the texts, the place of each word of each text among them, and where each text begins."""
+    odd = pc.or_(pc.or_(pc.starts_with(texts, " "), pc.match_substring(texts, "  ")), pc.or_(pc.match_substring(texts, MARK), pc.equal(pc.binary_length(texts), 0)))
+    lists = pc.split_pattern(texts, " ")
+    if pc.any(odd).as_py():
+        own = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        order = np.arange(len(texts))
+        order[own] = len(texts) + np.arange(len(own))
+        lists = pa.concat_arrays([lists, pa.array([words_of(t) for t in texts.take(pa.array(own)).to_pylist()], pa.list_(pa.string()))]).take(pa.array(order))
+    values = lists.flatten().dictionary_encode()
+    starts = np.asarray(lists.offsets).astype(np.int64)
+    return values.dictionary, values.indices.to_numpy(zero_copy_only=False).astype(np.int64), starts - starts[0]
+
+
+def _tally(batches: Iterator[pa.RecordBatch], model: PieceModel) -> Iterator[pa.RecordBatch]:
+    """The parts of words and how often they occur, for about ``SLICE`` bytes of text at a time."""
     for b in batches:
-        for k in range(0, b.num_rows, SLICE):  # few texts at a time as Python strings
-            part = b.slice(k, SLICE)
-            for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                held.append((d, t))
-                n += len(t)
-                if n >= size:
-                    yield _chunk(held, common, model)
-                    held, n = [], 0
-    if held:
-        yield _chunk(held, common, model)
+        for lo, hi in slices(b.column(0), SLICE):
+            words, index, _ = split_words(b.column(0)[lo:hi])
+            parts, firsts = parts_of(words, model)
+            known = parts.dictionary_encode()
+            each = np.repeat(np.bincount(index, minlength=len(words)), np.diff(np.append(firsts, len(parts))))
+            n = np.bincount(known.indices.to_numpy(zero_copy_only=False), weights=each, minlength=len(known.dictionary)).astype(np.int64)
+            out = pa.RecordBatch.from_arrays([known.dictionary, pa.array(n)], ["w", "n"])
+            yield out.filter(pc.less_equal(pc.utf8_length(known.dictionary), LONG[model.kind]))
+
+
+# ---- lattice and folds --------------------------------------------------------------------
+
+
+def piece_table(spark: SparkSession, model: PieceModel) -> DataFrame:
+    """``piece, id, score`` of the pieces that stand for text: a row for each piece of the model."""
+    known = list(model.ids.items())
+    return spark.createDataFrame(pa.table({"piece": [p for p, _ in known], "id": pa.array([i for _, i in known], pa.int32()), "score": pa.array([model.rows[i][1] for _, i in known], pa.float64())}, schema=pa.schema([("piece", pa.string()), ("id", pa.int32()), ("score", pa.float64())])))
+
+
+def lattice(words: DataFrame, model: PieceModel) -> DataFrame:
+    """``w, n, edges, chars`` of each distinct ``w``: edges ``(k, s, e, id)`` of two characters and more, best (least k) first,
+    and the ids of its characters in order (MISSING where one is no piece)."""
+    tails = words.select("w", "n", F.explode(F.sequence(F.lit(1), F.char_length("w"))).alias("at")).withColumn("tail", F.expr(f"substring(w, at, {model.longest})"))
+    subs = tails.select("w", "n", (F.col("at") - 1).alias("s"), "tail", F.explode(F.sequence(F.lit(1), F.char_length("tail"))).alias("l"))
+    subs = subs.select("w", "n", "s", "l", F.expr("substring(tail, 1, l)").alias("sub"))
+    found = subs.join(F.broadcast(piece_table(words.sparkSession, model)), F.col("sub") == F.col("piece"), "left").where("id is not null or l = 1")
+    order = -F.col("score") if model.kind == BPE else (F.col("s") + F.col("l")).cast("double")
+    edge = F.struct(order.alias("k"), "s", (F.col("s") + F.col("l")).alias("e"), "id", *([] if model.kind == BPE else [F.col("score").alias("v")]))
+    grouped = found.groupBy("w").agg(
+        F.max("n").alias("n"),
+        F.sort_array(F.collect_list(F.when(F.col("l") > (1 if model.kind == BPE else 0), edge))).alias("edges"),
+        F.sort_array(F.collect_list(F.when(F.col("l") == 1, F.struct("s", F.coalesce("id", F.lit(MISSING)).alias("id"))))).alias("chars"),
+    )
+    return grouped.select("w", "n", "edges", F.col("chars.id").alias("chars"))
 
 
-# ---- folds --------------------------------------------------------------------------------
+BLOCK = 64
 
 
 def _bind(value: Column, use) -> Column:
@@ -331,119 +298,278 @@ def _bind(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _start(x: Column) -> Column:
-    return F.shiftright(x, 10).bitwiseAND(F.lit(1023)).cast("int")
+def _at(st: Column, i: Column) -> Column:
+    return F.get(F.get(st, F.shiftright(i, 6)), i.bitwiseAND(F.lit(BLOCK - 1)))
+
+
+def _blocks(n: Column, value) -> Column:
+    """``value(i)`` for i in 0 .. n - 1, in blocks, so that a change copies one block and not all."""
+    count = F.floor((n + BLOCK - 1) / BLOCK).cast("int")
+    return F.transform(F.sequence(F.lit(0), count - 1), lambda b: F.transform(F.sequence(b * BLOCK, F.least(b * BLOCK + BLOCK, n) - 1), value))
+
 
+def _missing(w: Column, s: Column, model: PieceModel) -> Column:
+    """The ids of the character at ``s`` that is no piece."""
+    if not model.byte_ids:
+        return F.array(F.lit(model.unknown))
+    code = F.hex(F.encode(F.substring(w, s + 1, F.lit(1)), "UTF-8"))
+    table = F.array(*map(F.lit, model.byte_ids))
+    return F.transform(F.sequence(F.lit(1), F.length(code) - 1, F.lit(2)), lambda k: F.get(table, F.conv(F.substring(code, k, F.lit(2)), 16, 10).cast("int")))
 
-def _end(x: Column) -> Column:
-    return x.bitwiseAND(F.lit(1023)).cast("int")
 
+def _merge_fold(w: Column, edges: Column, chars: Column, model: PieceModel) -> Column:
+    """State: the edges whose two ends are still boundaries between symbols, each with the number of boundaries inside it
+    and their sum. An edge with one boundary inside covers two neighbouring symbols. Each step makes the best such merge:
+    the boundary goes, and with it the edges that end there. ``made`` keeps the merges."""
+    n = F.size(chars)
+    edge = lambda x, c, t: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["id"].alias("id"), c.cast("int").alias("c"), t.cast("int").alias("t"))
+    inner = lambda x: x["e"] - x["s"] - 1
+    open_ = F.transform(edges, lambda x: edge(x, inner(x), (x["s"] + x["e"]) * inner(x) / 2))
 
-def _id(x: Column) -> Column:
-    return F.shiftright(x, 20).bitwiseAND(F.lit(FALLBACK)).cast("int")
+    def step(acc: Column, _: Column) -> Column:
+        def merge(x: Column) -> Column:
+            m = x["t"]
+            rest = F.filter(acc["open"], lambda y: (y["s"] != m) & (y["e"] != m) & ((y["s"] != x["s"]) | (y["e"] != x["e"])))
+            less = F.transform(rest, lambda y: F.when((y["s"] < m) & (m < y["e"]), edge(y, y["c"] - 1, y["t"] - m)).otherwise(y))
+            return F.when(x.isNull(), F.struct(F.slice(acc["open"], 1, 0).alias("open"), acc["made"].alias("made"))).otherwise(F.struct(less.alias("open"), F.concat(acc["made"], F.array(x)).alias("made")))
 
+        return F.when(F.size(acc["open"]) == 0, acc).otherwise(_bind(F.get(F.filter(acc["open"], lambda x: x["c"] == 1), F.lit(0)), merge))
 
-def _merge_fold(w: Column) -> Column:
-    """State: the boundaries between symbols. Each step takes the best edge over two symbols and drops the one inside."""
-    place = lambda st, x: F.array_position(st, x)
+    kind = "array<struct<s:int,e:int,id:int,c:int,t:int>>"
+    start = F.struct(open_.cast(kind).alias("open"), F.array().cast(kind).alias("made"))
+    made = F.aggregate(F.slice(edges, F.lit(1), F.greatest(n - 1, F.lit(0))), start, step, lambda acc: acc["made"])
 
-    def step(st: Column, _: Column) -> Column:
-        fits = lambda x: (place(st, _end(x)) - place(st, _start(x)) == 2) & (place(st, _start(x)) > 0)
-        best = F.get(F.filter(w["edges"], fits), F.lit(0))
-        return F.coalesce(_bind(best, lambda b: F.array_remove(st, F.get(st, place(st, _start(b)).cast("int")))), st)
+    def ids(made: Column) -> Column:
+        # the symbols: what was made and has both ends left, and single characters
+        def symbols(gone: Column) -> Column:
+            starts = F.array_except(F.sequence(F.lit(0), n - 1), gone)
 
-    steps = F.slice(w["edges"], F.lit(1), F.greatest(w["n"] - 1, F.lit(0)))
-    ends = F.aggregate(steps, F.sequence(F.lit(0), w["n"]), step)
+            def one(s: Column, k: Column) -> Column:
+                alone = F.get(chars, s)
+                wide = F.get(F.filter(made, lambda x: (x["s"] == s) & (x["e"] == F.coalesce(F.get(starts, k + 1), n))), F.lit(0))
+                plain = F.when(alone == MISSING, _missing(w, s, model)).otherwise(F.array(alone))
+                return F.when(F.coalesce(F.get(starts, k + 1), n) == s + 1, plain).otherwise(F.array(wide["id"]))
 
-    def ids(st: Column) -> Column:
-        def one(s: Column, i: Column) -> Column:
-            e = F.get(st, i + 1)
-            alone = F.get(w["chars"], s)
-            plain = F.when(alone == FALLBACK, F.get(w["bytes"], s)).otherwise(F.array(alone))
-            wide = F.get(F.filter(w["edges"], lambda x: (_start(x) == s) & (_end(x) == e)), F.lit(0))
-            return F.when(e.isNull(), F.array().cast("array<int>")).when(e - s == 1, plain).otherwise(F.array(_id(wide)))
+            return F.flatten(F.transform(starts, one))
 
-        return F.flatten(F.transform(st, one))
+        return _bind(F.transform(made, lambda x: x["t"]), symbols)
 
-    return _bind(ends, ids)
+    return _bind(made, ids)
 
 
-def _viterbi_fold(w: Column) -> Column:
-    """State: for each position the best score, and the start and id of the edge that reaches it."""
-    cell = lambda s, b, i: F.struct(s.cast("double").alias("score"), b.cast("int").alias("s"), i.cast("int").alias("id"))
-    start = F.concat(F.array(cell(F.lit(0.0), F.lit(0), F.lit(0))), F.transform(w["chars"], lambda c: cell(F.lit(-1e30), F.lit(0), F.lit(0))))
+def _viterbi_fold(w: Column, edges: Column, chars: Column, model: PieceModel) -> Column:
+    """State: for each position the best score, and the start and id of the edge that reaches it. Edges come by end and start."""
+    low = min((r[1] for r in model.rows), default=0.0) - 10.0
+    n = F.size(chars)
+    cell = lambda v, s, i: F.struct(v.cast("double").alias("v"), s.cast("int").alias("s"), i.cast("int").alias("id"))
+    start = _blocks(n + 1, lambda i: cell(F.when(i == 0, 0.0).otherwise(-1e30), F.lit(0), F.lit(0)))
 
     def step(st: Column, x: Column) -> Column:
-        s, e = _start(x["k"]), _end(x["k"])
-        score = F.get(st, s)["score"] + x["v"]
-        return _bind(score, lambda v: F.when(v > F.get(st, e)["score"], F.transform(st, lambda old, i: F.when(i == e, cell(v, s, _id(x["k"]))).otherwise(old))).otherwise(st))
+        put = lambda v: F.transform(st, lambda old, b: F.when(b == F.shiftright(x["e"], 6), F.transform(old, lambda c, i: F.when(b * BLOCK + i == x["e"], cell(v, x["s"], F.coalesce(x["id"], F.lit(MISSING)))).otherwise(c))).otherwise(old))
+        score = _at(st, x["s"])["v"] + F.coalesce(x["v"], F.lit(low))
+        return _bind(score, lambda v: F.when(v > _at(st, x["e"])["v"], put(v)).otherwise(st))
 
-    edges = F.zip_with(w["edges"], w["scores"], lambda k, v: F.struct(k.alias("k"), v.alias("v")))
     best = F.aggregate(edges, start, step)
-    empty = F.struct(w["n"].alias("at"), F.array().cast("array<int>").alias("ids"))
 
-    def back(acc: Column, st: Column) -> Column:
-        x = F.get(st, acc["at"])
-        ids = F.when(x["id"] == FALLBACK, F.get(w["bytes"], x["s"])).otherwise(F.array(x["id"]))
-        return F.when(acc["at"] == 0, acc).otherwise(F.struct(x["s"].alias("at"), F.concat(ids, acc["ids"]).alias("ids")))
+    def path(st: Column) -> Column:
+        def back(acc: Column, _: Column) -> Column:
+            def go(c: Column) -> Column:
+                own = F.when(c["id"] == MISSING, F.reverse(_missing(w, c["s"], model))).otherwise(F.array(c["id"]))
+                last = F.get(acc["ids"], F.size(acc["ids"]) - 1)
+                full = F.size(last) >= 4 * BLOCK  # appended to the last run of ids, so that a long word is not copied at each step
+                grown = F.when(full, F.concat(acc["ids"], F.array(own))).otherwise(F.concat(F.slice(acc["ids"], F.lit(1), F.size(acc["ids"]) - 1), F.array(F.concat(last, own))))
+                return F.struct(c["s"].alias("at"), grown.alias("ids"))
 
-    return _bind(best, lambda st: F.aggregate(F.transform(w["chars"], lambda c: st), empty, back)["ids"])
+            return F.when(acc["at"] == 0, acc).otherwise(_bind(_at(st, acc["at"]), go))
 
+        empty = F.struct(n.alias("at"), F.array(F.array().cast("array<int>")).alias("ids"))
+        return F.aggregate(chars, empty, back, lambda acc: F.reverse(F.flatten(acc["ids"])))
 
-def _encoded(rows: DataFrame, kind: int) -> DataFrame:
-    fold = _merge_fold if kind == BPE else _viterbi_fold
-    fill = lambda ids, d: F.flatten(F.transform(d["parts"], lambda p: F.when(p >= 0, F.array(p)).otherwise(F.get(ids, -1 - p))))
-    each = lambda ids: F.transform("docs", lambda d: F.struct(d["doc_id"].alias("doc_id"), fill(ids, d).alias("ids"), d["n_bytes"].alias("n_bytes"), d["crc"].alias("crc")))
-    out = rows.select(F.explode(_bind(F.transform("words", fold), each)).alias("x"))
-    return out.select("x.doc_id", "x.ids", "x.n_bytes", "x.crc")
+    return _bind(best, path)
 
 
-# ---- operators ----------------------------------------------------------------------------
+def word_table(docs: DataFrame, model: PieceModel) -> DataFrame:
+    """``w, n, ids`` of all distinct words of ``docs`` (with ``text``) of up to LONG characters."""
+    tallied = docs.select(text_of().alias("text")).mapInArrow(lambda it: _tally(it, model), "w string, n long")
+    words = tallied.groupBy("w").agg(F.sum("n").alias("n"))
+    fold = _merge_fold if model.kind == BPE else _viterbi_fold
+    return lattice(words, model).select("w", "n", fold(F.col("w"), F.col("edges"), F.col("chars"), model).alias("ids"))
 
 
-def _common_words(docs: DataFrame, model: PieceModel) -> dict[str, bytes]:
-    """The ids of frequent words, through the same lattice and fold; at most COMMON of them."""
+# ---- back to the documents ----------------------------------------------------------------
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c: Counter[str] = Counter()
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                c.update(words_of(t))
-        parts: Counter[str] = Counter()
-        for w, n in c.items():  # words of more than one part are looked up part by part
-            for p in {w, *safe_parts(w, model)}:
-                parts[p] += n
-        c = {w: n for w, n in parts.items() if n > 1 and len(w) <= 32}
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["w", "n"])
-
-    part = min(1.0, COMMON_FROM / max(1, docs.count()))
-    drawn = docs.select(text_of().alias("text")).sample(part, seed=1).mapInArrow(tally, "w string, n long")
-    top = drawn.groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(COMMON).select("w")
-
-    def lattice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ws = b.column(0).to_pylist()
-            for k in range(0, len(ws), 4096):
-                part = ws[k : k + 4096]
-                yield pa.RecordBatch.from_arrays([pa.array(part), _lattice(part, model)], ["w", "l"])
 
-    fold = _merge_fold if model.kind == BPE else _viterbi_fold
-    edges = top.repartition(docs.sparkSession.sparkContext.defaultParallelism).mapInArrow(lattice, f"w string, l {LATTICE[6:-1]}")
-    return {r[0]: _int32(r[1]) for r in edges.select("w", fold(F.col("l"))).collect()}  # at most COMMON words
+class Packed:
+    """A table of words and ids in a few arrays, found by hash and compared as texts."""
+
+    def __init__(self, words: pa.Array, ids: pa.ListArray):
+        h = self._hashes(words)
+        order = np.argsort(h, kind="stable")
+        self.hashes, self.words = h[order], words.take(pa.array(order))
+        at, flat = np.asarray(ids.offsets).astype(np.int64), ids.values.to_numpy(zero_copy_only=False)
+        sizes = np.diff(at)[order]
+        self.at = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+        self.ids = pieces_at(flat.astype(np.uint16 if len(flat) == 0 or flat.max() < 1 << 16 else np.int32), at[:-1][order], sizes)
 
+    @staticmethod
+    def _hashes(words: pa.Array) -> np.ndarray:
+        if not len(words):
+            return np.zeros(0, np.uint64)
+        ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].tolist()
+        raw = words.buffers()[2].to_pybytes()
+        return np.fromiter((xxhash.xxh64_intdigest(raw[a:b]) for a, b in zip(ends, ends[1:])), np.uint64, len(words))
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """The row of each word in the table, or -1."""
+        place = np.full(len(words), -1, np.int64)
+        h = self._hashes(words)
+        lo, hi = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
+        for step in range(int((hi - lo).max(initial=0))):  # more than once only where hashes collide
+            asked = np.flatnonzero((lo + step < hi) & (place < 0))
+            rows = lo[asked] + step
+            same = pc.equal(self.words.take(pa.array(rows)), words.take(pa.array(asked))).to_numpy(zero_copy_only=False)
+            place[asked[same]] = rows[same]
+        return place
+
+
+class Filler:
+    """Turns texts into ids with a table; words that the table lacks become -1 - k, k their place in the list of the rest."""
+
+    def __init__(self, model: PieceModel, table: Packed):
+        self.model, self.table = model, table
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """The ids of all texts end to end, where each text begins (and the last ends), and the words that are missing."""
+        words, index, starts = split_words(texts)
+        if not len(index):
+            return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64), []
+        parts, firsts = parts_of(words, self.model)
+        known = parts.dictionary_encode()
+        place, table = self.table.find(known.dictionary), self.table
+        found = place >= 0
+        at, sizes = np.zeros(len(place), np.int64), np.ones(len(place), np.int64)
+        at[found], sizes[found] = table.at[place[found]], table.at[place[found] + 1] - table.at[place[found]]
+        # the table's ids that are asked for, then those of the words it lacks
+        own = pieces_at(table.ids, at[found], sizes[found]).astype(np.int32)
+        at[found] = np.cumsum(sizes[found]) - sizes[found]
+        values, rest, end = [own], [], len(own)
+        for k in np.flatnonzero(~found).tolist():
+            w = known.dictionary[k].as_py()
+            if len(w) > LONG[self.model.kind]:
+                values.append(np.array(self.model.fold_long(w), np.int32))
+            else:
+                values.append(np.array([-1 - len(rest)], np.int32))
+                rest.append(w)
+            at[k], sizes[k] = end, len(values[-1])
+            end += len(values[-1])
+        of = known.indices.to_numpy(zero_copy_only=False)
+        by_word = pieces_at(np.concatenate(values), at[of], sizes[of])
+        ids, own = gather(by_word, np.add.reduceat(sizes[of], firsts), index)
+        return ids, np.concatenate(([0], np.cumsum(own)))[starts], rest
+
+
+def _encode(batches: Iterator[pa.RecordBatch], shared) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray, np.ndarray, list[str]]]:
+    """For a slice of rows at a time: ids of rows, texts, and what ``Filler`` gives."""
+    model, table = shared.value
+    fill = Filler(model, table)
+    for b in batches:
+        for lo, hi in slices(b.column(1), SLICE):
+            texts = b.column(1)[lo:hi]
+            yield b.column(0)[lo:hi], texts, *fill(texts)
+        pa.default_memory_pool().release_unused()
+
+
+def _lists(ids: np.ndarray, starts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids.astype(np.int32, copy=False)))
+
+
+def _digests(texts: pa.Array) -> list[pa.Array]:
+    import zlib
+
+    raw = [t.as_buffer() for t in texts]
+    return [pa.array([x.size for x in raw], pa.int64()), pa.array([zlib.crc32(x) for x in raw], pa.int64())]
+
+
+ENCODED = "doc_id long, ids array<int>, n_bytes long, crc long"
+
+
+def _table_of(docs: DataFrame, model: PieceModel, table: int) -> tuple[Packed, DataFrame | None]:
+    """The words that fit in ``table`` bytes, the most frequent first; and all words, if some do not fit."""
+    words = cut(word_table(docs, model), "words")
+    cost = F.octet_length("w") + 4 * F.size("ids") + 24
+    bytes_at = words.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.sum(cost).alias("b")).orderBy(F.desc("n")).collect()  # at most 1000 rows
+    least, total = None, 0
+    for r in bytes_at:
+        total += r["b"]
+        if total > table:
+            break
+        least = r["n"]
+    head = words.where(F.lit(False) if least is None else F.col("n") >= least).select("w", "ids")
+    got = head.toArrow().combine_chunks()  # at most ``table`` bytes
+    ws, ids = (c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in got.columns)
+    return Packed(ws.cast(pa.string()), ids), None if total <= table else words
 
-def encode(docs: DataFrame, model: PieceModel | str | None = None, common: bool = True) -> DataFrame:
+
+def encode(docs: DataFrame, model: PieceModel | str | None = None, table: int = TABLE) -> DataFrame:
     """Per row of ``docs``: ``doc_id, ids`` and the text's ``n_bytes, crc``."""
     m = model if isinstance(model, PieceModel) else _model(model or default_model())
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast((m, _common_words(docs, m) if common else {}))
+    return _encoded(docs, m, table, None)
+
+
+def _encoded(docs: DataFrame, m: PieceModel, table: int, finish) -> DataFrame:
+    """As ``encode``; with ``finish``, what it makes of ``(doc_ids, ids, starts, texts or None, digests)`` and its schema."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    with scratch(docs.sparkSession):
+        packed, words = _table_of(docs, m, table)
+        shared = docs.sparkSession.sparkContext.broadcast((m, packed))
+        if words is None:
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for doc_ids, texts, ids, starts, _ in _encode(batches, shared):
+                    if finish:
+                        yield finish[0](doc_ids, ids, starts, texts, None)
+                    else:
+                        yield pa.RecordBatch.from_arrays([doc_ids, _lists(ids, starts), *_digests(texts)], ["doc_id", "ids", "n_bytes", "crc"])
+
+            return rows.mapInArrow(run, finish[1] if finish else ENCODED)
+
+        def list_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            part = TaskContext.get().partitionId()
+            for seq, (doc_ids, texts, ids, starts, rest) in enumerate(_encode(batches, shared)):
+                docs = pa.StructArray.from_arrays([doc_ids, _lists(ids, starts), *_digests(texts)], ["doc_id", "ids", "n_bytes", "crc"])
+                one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+                yield pa.RecordBatch.from_arrays([pa.array([part << 32 | seq]), one(pa.array(rest, pa.string())), one(docs)], ["chunk", "rest", "docs"])
+
+        # written once: the numbers of chunks and the places of their words hold from here on
+        chunks = cut(rows.mapInArrow(list_rest, f"chunk long, rest array<string>, docs array<struct<{ENCODED.replace(' ', ':').replace(',:', ',')}>>"), "chunks", stay=True)
+        used = chunks.select("chunk", F.posexplode("rest").alias("k", "w"))
+        joined = used.join(words.select("w", F.col("ids").alias("own")), "w")
+        filled = cut(joined.groupBy(F.col("chunk").alias("_chunk")).agg(F.sort_array(F.collect_list(F.struct("k", "own"))).alias("own")), "filled", stay=True)
+    whole = chunks.join(filled, F.col("chunk") == F.col("_chunk"), "left").select(F.col("own.own").alias("own"), "docs")
+
+    def put_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                own, docs = b.column(0)[k].values, b.column(1)[k].values
+                doc_ids, lists, n_bytes, crc = docs.flatten()
+                coded, starts = lists.flatten().to_numpy(zero_copy_only=False), np.asarray(lists.offsets).astype(np.int64)
+                starts, absent = starts - starts[0], coded < 0
+                entries = own.values.slice(own.offsets[0].as_py(), own.offsets[-1].as_py() - own.offsets[0].as_py()).to_numpy(zero_copy_only=False) if own is not None else np.zeros(0, np.int32)
+                sizes = np.diff(np.asarray(own.offsets)).astype(np.int64) if own is not None else np.zeros(0, np.int64)
+                index = np.where(absent, -1 - coded, len(sizes) + np.cumsum(~absent) - 1).astype(np.int64)
+                values, each = gather(np.concatenate((entries, coded[~absent])), np.concatenate((sizes, np.ones(int((~absent).sum()), np.int64))), index)
+                starts = np.concatenate(([0], np.cumsum(each)))[starts]
+                if finish:
+                    yield finish[0](doc_ids, values, starts, None, (n_bytes, crc))
+                else:
+                    yield pa.RecordBatch.from_arrays([doc_ids, _lists(values, starts), n_bytes, crc], ["doc_id", "ids", "n_bytes", "crc"])
+
+    return whole.mapInArrow(put_in, finish[1] if finish else ENCODED)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, words = shared.value
-        return _chunks(batches, words, model, CHUNK)
 
-    return _encoded(rows.mapInArrow(run, ROW), m.kind)
+# ---- decoding -----------------------------------------------------------------------------
 
 
 def decode_ids(ids: Iterable[int], table: list[bytes | None]) -> bytes:
@@ -460,24 +586,31 @@ def decode(encoded: DataFrame, model: PieceModel | str | None = None) -> DataFra
     """``encoded`` (with ``ids``) plus ``decoded``, the text; bytes that are not UTF-8 are replaced."""
     m = model if isinstance(model, PieceModel) else _model(model or default_model())
     table = piece_bytes(m)  # as long as the piece table
-    at = encoded.columns.index("ids")
-    schema = ", ".join(f"`{c}` {t}" for c, t in encoded.dtypes) + ", decoded string"
+    at, (name,) = encoded.columns.index("ids"), fresh(encoded.columns, "decoded")
+    schema = ", ".join(f"`{c}` {t}" for c, t in encoded.dtypes) + f", `{name}` string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for k in range(0, whole.num_rows, SLICE):
-                b = whole.slice(k, SLICE)
-                col = b.column(at)
-                ids, ends = col.values.to_numpy(zero_copy_only=False), col.offsets.to_numpy()
-                out = [decode_ids(ids[x:y].tolist(), table).decode("utf-8", "replace") for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, "decoded"])
+            for k in range(0, whole.num_rows, 256):
+                b = whole.slice(k, 256)
+                out = [decode_ids(x.values.to_numpy(zero_copy_only=False).tolist(), table).decode("utf-8", "replace") for x in b.column(at)]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, name])
 
     return encoded.mapInArrow(run, schema)
 
 
-def encode_documents(docs: DataFrame, model: PieceModel | str | None = None) -> DataFrame:
+def encode_documents(docs: DataFrame, model: PieceModel | str | None = None, table: int = TABLE) -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_pieces, ids, round_trip`` (the ids decode to the whole text)."""
-    out = decode(encode(docs, model), model)
-    raw = F.col("decoded").cast("binary")
-    same = (F.octet_length(raw) == F.col("n_bytes")) & (F.crc32(raw) == F.col("crc"))
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", same.alias("round_trip"))
+    import zlib
+
+    m = model if isinstance(model, PieceModel) else _model(model or default_model())
+    decoded_as = piece_bytes(m)
+
+    def check(doc_ids: pa.Array, ids: np.ndarray, starts: np.ndarray, texts: pa.Array | None, digests: tuple | None) -> pa.RecordBatch:
+        same, each = [], ids.tolist()
+        for k, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist())):
+            raw = decode_ids(each[a:b], decoded_as)
+            same.append(raw == texts[k].as_buffer().to_pybytes() if texts is not None else (len(raw), zlib.crc32(raw)) == (digests[0][k].as_py(), digests[1][k].as_py()))
+        return pa.RecordBatch.from_arrays([doc_ids, pa.array(np.diff(starts)), _lists(ids, starts), pa.array(same, pa.bool_())], ["doc_id", "n_pieces", "ids", "round_trip"])
+
+    return _encoded(docs, m, table, (check, "doc_id long, n_pieces long, ids array<int>, round_trip boolean"))
