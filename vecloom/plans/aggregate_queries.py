@@ -11,7 +11,7 @@ from ..operators import consolidate as C
 from ..operators import recall as R
 from ..sources.tables import records, table
 from .registry import query
-from .vector_queries import REC
+from .vector_queries import _EASED, _RK4, REC
 
 
 @query(
@@ -41,11 +41,17 @@ def distill_chunks(spark, sf_dir):
     return d.select("chunk", "n", "mean", "names", (F.round(F.get("v", F.lit(0)), 6) + 0.0).alias("first"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {REC}, {_RK4}, {_EASED}, r AS (SELECT rec.vec_id, rec.q, query, c, c < 0.30 AS rub FROM s AS rec WHERE reliability >= 0.85),
+    j AS (SELECT r.*, w.q AS pulled, z.q AS eased, greatest(-1.0, least(1.0, list_cosine_similarity(z.q, r.query))) >= 0.74 AS good FROM r JOIN w ON w.vec_id = r.vec_id AND w.s = 4 JOIN z ON z.vec_id = r.vec_id AND z.s = 12),
+    k AS (SELECT rub, query, CASE WHEN NOT rub THEN pulled WHEN good THEN eased ELSE list_transform(q, lambda x: x / sqrt(list_dot_product(q, q))) END AS v, CASE WHEN rub AND NOT good THEN 0.1 ELSE 1.0 END AS weight FROM j),
+    x AS (SELECT i, sum(v[i] * weight) AS x FROM k, range(1, 65) t(i) GROUP BY i), y AS (SELECT list(x ORDER BY i) AS y FROM x), u AS (SELECT list_transform(y, lambda a: a / sqrt(list_dot_product(y, y))) AS v FROM y)
+    SELECT (SELECT count(*) FROM k) AS n, (SELECT sum(rub::INT)::BIGINT FROM k) AS friction, list_transform(range(1, 5), lambda i: round(v[i], 6) + 0.0) AS head, 1.0::DOUBLE AS momentum_norm FROM u"""
+)
 def weighted_centroid(spark, sf_dir):
     r = records(spark, sf_dir)
     out = C.consolidate(r, R.query_vector(r, 0, "centroid"))
-    return out.select("n", "friction", F.transform(F.slice("v", 1, 4), lambda x: F.round(x, 6)).alias("head"), F.round(V.norm(F.col("momentum")), 6).alias("momentum_norm"))
+    return out.select("n", "friction", F.transform(F.slice("v", 1, 4), lambda x: F.round(x, 6) + 0.0).alias("head"), F.round(V.norm(F.col("momentum")), 6).alias("momentum_norm"))
 
 
 _TR = " t AS (SELECT 'trace:' || event_id AS concept, 'Fix the ' || event_type || '! now' AS decision, 'f' || user_id % 3 AS stem, 'tool' || event_id % 4 AS tools, event_type <> 'error' AS success, (event_id * 13 % 100) / 100.0::DOUBLE AS reliability FROM events)"

@@ -112,7 +112,7 @@ def stream_feed_dedup(spark, sf_dir):
     return S.replay(S.deduplicated(s, ["event_id"]).select("event_id", "event_type"), "dedup")
 
 
-@query()
+@query(f"SELECT * FROM ({_SESS}) WHERE last_ts + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
 def stream_session_turns(spark, sf_dir):
     """Closed sessions; those the watermark has not passed at the end of the input stay open."""
     return S.replay(S.sessions(S.read_table(spark, sf_dir, "events"), "user_id"), "sessions")
@@ -123,7 +123,12 @@ def event_windows(spark, sf_dir):
     return S.windows(table(spark, sf_dir, "events"), "event_type", "1 day")
 
 
-@query()
+@query(
+    """WITH RECURSIVE r AS (SELECT event_type AS resource, user_id AS holder, epoch_us(ts) AS moment, event_id AS "order", row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events),
+    w AS (SELECT resource, rn, "order", holder, true AS granted, holder AS own, moment + 3600000000 AS until FROM r WHERE rn = 1
+      UNION ALL SELECT r.resource, r.rn, r."order", r.holder, until <= moment OR own = r.holder, CASE WHEN until <= moment OR own = r.holder THEN r.holder ELSE own END, CASE WHEN until <= moment OR own = r.holder THEN moment + 3600000000 ELSE until END FROM w JOIN r ON r.resource = w.resource AND r.rn = w.rn + 1)
+    SELECT resource, "order", holder, granted FROM w"""
+)
 def stream_lease_ttl(spark, sf_dir):
     """Leases of an hour on event types, asked for by users; the state store keeps one lease a resource."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

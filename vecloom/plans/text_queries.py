@@ -96,9 +96,16 @@ def decision_normalise(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.normalised_decision(F.col("text")).alias("decision"))
 
 
-@query()
+@query(
+    r"""WITH RECURSIVE w AS (SELECT doc_id, coalesce(text, '') AS t, -1 AS part, 0 AS a, 0 AS e FROM documents
+      UNION ALL SELECT doc_id, t, part + 1, e, CASE WHEN e + 2000 >= length(t) THEN length(t) WHEN regexp_matches(sub, '[ 
+	]') THEN e + 1 + length(sub) - length(regexp_extract(sub, '[^ 
+	]*$')) ELSE e + 2000 END
+      FROM (SELECT *, substring(t, e + 2, 1999) AS sub FROM w WHERE e < length(t)))
+    SELECT doc_id, part, 'doc' || doc_id || '_part' || part AS name, e - a AS n_chars FROM w WHERE part >= 0"""
+)
 def chunk_text(spark, sf_dir):
-    """Whole texts in chunks of 2000 characters; a test holds the chunks' concatenation against the text."""
+    """Whole texts in chunks of at most 2000 characters, cut after white space."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     return d.lateralJoin(K.ChunkText(F.concat(F.lit("doc"), F.col("doc_id").outer()), F.col("text").outer(), F.lit(2000))).select("doc_id", "part", "name", F.length("chunk").alias("n_chars"))
 

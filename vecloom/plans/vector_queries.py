@@ -314,20 +314,47 @@ def vec_flatten(spark, sf_dir):
 
 def _iterative(spark, sf_dir, udf) -> DataFrame:
     s = R.with_query(*_base(spark, sf_dir))
-    return s.select("vec_id", udf("q", "query").alias("v")).select("vec_id", F.transform(F.slice("v", 1, 4), lambda x: F.round(x, 6)).alias("head"), F.round(V.norm(F.col("v")), 6).alias("norm"))
+    return s.select("vec_id", udf("q", "query").alias("v")).select("vec_id", F.transform(F.slice("v", 1, 4), lambda x: F.round(x, 6) + 0.0).alias("head"), F.round(V.norm(F.col("v")), 6).alias("norm"))
 
 
-@query()
+def _unit(v: str, n: str) -> str:
+    return f"list_transform({v}, lambda x: CASE WHEN {n} > 1e-8 THEN x / {n} ELSE 0.0 END)"
+
+
+def _heads(source: str) -> str:
+    return f"SELECT vec_id, list_transform(range(1, 5), lambda i: round(v[i], 6) + 0.0) AS head, round(sqrt(list_dot_product(v, v)), 6) AS norm FROM {source}"
+
+
+def _stages(h: float) -> str:
+    """One Runge-Kutta step of ``q`` towards ``query`` as nested selects."""
+    step = "SELECT *, list_transform(range(1, 65), lambda i: query[i] - list_dot_product(query, q) * q[i]) AS k1 FROM w"
+    for k, by in ((2, h / 2), (3, h / 2), (4, h)):
+        moved = f"SELECT *, list_transform(range(1, 65), lambda i: q[i] + {by} * k{k - 1}[i]) AS y{k} FROM ({step})"
+        x = f"SELECT *, {_unit(f'y{k}', f'sqrt(list_dot_product(y{k}, y{k}))')} AS x{k} FROM ({moved})"
+        step = f"SELECT *, list_transform(range(1, 65), lambda i: query[i] - list_dot_product(query, x{k}) * x{k}[i]) AS k{k} FROM ({x})"
+    return f"SELECT vec_id, s + 1 AS s, query, list_transform(range(1, 65), lambda i: q[i] + {h / 6} * (k1[i] + 2 * k2[i] + 2 * k3[i] + k4[i])) AS y FROM ({step})"
+
+
+_RK4 = f"""w AS (SELECT vec_id, 0 AS s, query, {_unit('q', 'sqrt(list_dot_product(q, q))')} AS q FROM rec, qv
+    UNION ALL SELECT vec_id, s, query, {_unit('y', 'sqrt(list_dot_product(y, y))')} FROM ({_stages(0.1)}) WHERE s <= 4)"""
+_EASED = f"""z AS (SELECT vec_id, 0 AS s, query, {_unit('q', 'sqrt(list_dot_product(q, q))')} AS q FROM rec, qv
+    UNION ALL SELECT vec_id, s + 1, query, {_unit('y', 'sqrt(list_dot_product(y, y))')} FROM (SELECT vec_id, s, query, list_transform(range(1, 65), lambda i: (1 - greatest(0.30 - 0.017 * s, 0.10)) * q[i] + greatest(0.30 - 0.017 * s, 0.10) * query[i]) AS y FROM z WHERE s < 12))"""
+
+
+@query(
+    f"""WITH {REC}, g AS (SELECT vec_id, list_transform(range(1, 65), lambda i: q[i] - list_dot_product(q, query) / greatest(list_dot_product(query, query), 1e-8) * query[i]) AS y FROM rec, qv),
+    u AS (SELECT vec_id, {_unit('y', 'sqrt(list_dot_product(y, y))')} AS v FROM g) {_heads('u')}"""
+)
 def vec_gram_schmidt(spark, sf_dir):
     return _iterative(spark, sf_dir, U.gram_schmidt())
 
 
-@query()
+@query(f"WITH RECURSIVE {REC}, {_RK4} {_heads('(SELECT vec_id, q AS v FROM w WHERE s = 4)')}")
 def vec_rk4(spark, sf_dir):
     return _iterative(spark, sf_dir, U.rk4(steps=4))
 
 
-@query()
+@query(f"WITH RECURSIVE {REC}, {_EASED} {_heads('(SELECT vec_id, q AS v FROM z WHERE s = 12)')}")
 def vec_reconcile(spark, sf_dir):
     return _iterative(spark, sf_dir, U.reconcile(12))
 
