@@ -2,6 +2,11 @@
 
 Each stage works on all rows its predecessor kept. All stages but the last return the columns of
 ``documents``; the last returns one row per document it encodes.
+
+Edge cases: null texts count as empty at every stage and null ids and sources are values like any other; of
+rows with equal texts one stays (the least id; rows without an id last), of near copies too, ties going by the
+row's key; documents without words are neither repeated nor dropped by the mix; very long texts pass whole; extra
+columns, whatever their names, are carried to the last stage; an empty table gives no rows at any stage.
 """
 
 from __future__ import annotations
