@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 
 from tests.llm.test_dedup import ODD, odd
 from vecloom.llm import pieces, queries, token_store
+from vecloom.llm.common import Packed
 
 
 @pytest.fixture(scope="module")
@@ -54,7 +55,9 @@ def test_tokens_of_odd_rows(spark, bpe):
 
 
 def test_cut_texts_encode_like_whole_ones(bpe):
-    e = token_store.Encoder(token_store.default_tokenizer())
+    words = ["a", "Ab", "1.", "é'sAb", "日本", "<|endoftext|>", "a\n"]
+    known = pa.array([bpe.encode(" " + w, add_special_tokens=False).ids for w in words], pa.list_(pa.int32()))
+    e = token_store.Encoder(token_store.default_tokenizer(), Packed(pa.array(words), known))
     rnd, texts = random.Random(2), []
     for _ in range(400):
         t = "".join(rnd.choice(["a", "Ab", " ", " ", "  ", "\n", "\t", "é", "1", ".", "'s", " ", "\x1c", "<|endoftext|>", "日本"]) for _ in range(rnd.randint(0, 14)))

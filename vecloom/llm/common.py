@@ -6,13 +6,20 @@ of anything else. Null texts count as empty everywhere.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecloom.shared import cut, remove, scratch, shared_path
 
-__all__ = ["SPACE", "WORD", "components", "cut", "fold_of", "fresh", "gather", "left_join", "numbered", "pick", "pieces_at", "remove", "row_key", "scratch", "shared_path", "slices", "text_of"]
+__all__ = ["SPACE", "WORD", "Packed", "components", "cut", "fold_of", "fresh", "gather", "left_join", "most_frequent", "numbered", "pick", "pieces_at", "release", "remove", "row_key", "scratch", "shared_path", "slices", "text_of"]
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # absent where the C library is not glibc
 
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -86,6 +93,13 @@ def pick(docs: DataFrame, stay: DataFrame, own: Column) -> DataFrame:
     return once.unionByName(docs.join(again, own == F.col(key)).dropDuplicates([key]).drop(key, n))
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers are kept between tasks, beside a JVM that needs it."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def slices(column, size: int):
     """``(from, to)`` ranges of rows of an Arrow string or binary column, of about ``size`` bytes (one row at least)."""
     ends, start = np.frombuffer(column.buffers()[1], np.int64 if "large" in str(column.type) else np.int32)[column.offset : column.offset + len(column) + 1], 0
@@ -107,6 +121,66 @@ def gather(values: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> tuple[np
     return pieces_at(values, at[index], own), own
 
 
+class Packed:
+    """A table of words and ids in a few arrays, found by hash and compared as texts."""
+
+    def __init__(self, words: pa.Array, ids: pa.ListArray):
+        h = self._hashes(words)
+        order = np.argsort(h, kind="stable")
+        self.hashes, self.words = h[order], words.take(pa.array(order))
+        ids = ids.take(pa.array(order))
+        self.at = np.array(ids.offsets, np.int32)
+        flat = ids.values.to_numpy(zero_copy_only=False)[self.at[0] : self.at[-1]]
+        self.at -= self.at[0]
+        self.ids = flat.astype(np.uint16 if len(flat) == 0 or flat.max() < 1 << 16 else np.int32)
+
+    @staticmethod
+    def _hashes(words: pa.Array) -> np.ndarray:
+        if not len(words):
+            return np.zeros(0, np.uint64)
+        ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+        raw, out = memoryview(words.buffers()[2]), np.empty(len(words), np.uint64)
+        for k in range(0, len(words), 1 << 16):
+            at = ends[k : k + (1 << 16) + 1].tolist()
+            out[k : k + (1 << 16)] = [xxhash.xxh64_intdigest(raw[a:b]) for a, b in zip(at, at[1:])]
+        return out
+
+    @staticmethod
+    def read(table: DataFrame) -> Packed:
+        """From rows ``w, ids`` of bounded size, which come to the driver."""
+        got = table.toArrow()
+        ws, ids = (pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type) for c in got.columns)
+        del got
+        out = Packed(ws.cast(pa.string()), ids)
+        del ws, ids
+        release()
+        return out
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """The row of each word in the table, or -1."""
+        place = np.full(len(words), -1, np.int64)
+        h = self._hashes(words)
+        lo, hi = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
+        for step in range(int((hi - lo).max(initial=0))):  # more than once only where hashes collide
+            asked = np.flatnonzero((lo + step < hi) & (place < 0))
+            rows = lo[asked] + step
+            same = pc.equal(self.words.take(pa.array(rows)), words.take(pa.array(asked))).to_numpy(zero_copy_only=False)
+            place[asked[same]] = rows[same]
+        return place
+
+
+def most_frequent(words: DataFrame, cost: Column, most: int) -> tuple[DataFrame, bool]:
+    """The rows of ``words`` (with a count ``n``) of highest counts whose ``cost`` in bytes sums to ``most`` at most, and whether that is all."""
+    by_n = words.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.sum(cost).alias("b")).orderBy(F.desc("n")).collect()  # at most 1000 rows
+    least, total = None, 0
+    for r in by_n:
+        total += r["b"]
+        if total > most:
+            break
+        least = r["n"]
+    return words.where(F.lit(False) if least is None else F.col("n") >= least), total <= most
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected edge list: rows ``v, root`` for every vertex of an edge.
 

@@ -33,16 +33,16 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, gather, pieces_at, scratch, slices, text_of
+from .common import Packed, cut, fresh, gather, most_frequent, pieces_at, release, scratch, slices, text_of
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 UNIGRAM, BPE = 1, 2
-SLICE = 3 << 20
+SLICE = 2 << 20
+SHARE = 20_000
 TABLE = 128 << 20
 LONG = {BPE: 1024, UNIGRAM: 1 << 16}
 MISSING = (1 << 20) - 1
@@ -262,32 +262,38 @@ def _tally(batches: Iterator[pa.RecordBatch], model: PieceModel) -> Iterator[pa.
             n = np.bincount(known.indices.to_numpy(zero_copy_only=False), weights=each, minlength=len(known.dictionary)).astype(np.int64)
             out = pa.RecordBatch.from_arrays([known.dictionary, pa.array(n)], ["w", "n"])
             yield out.filter(pc.less_equal(pc.utf8_length(known.dictionary), LONG[model.kind]))
+            release()
 
 
 # ---- lattice and folds --------------------------------------------------------------------
 
 
 def piece_table(spark: SparkSession, model: PieceModel) -> DataFrame:
-    """``piece, id, score`` of the pieces that stand for text: a row for each piece of the model."""
+    """``piece, id, score, rank`` of the pieces that stand for text, equal scores with equal ranks: a row for each piece."""
     known = list(model.ids.items())
-    return spark.createDataFrame(pa.table({"piece": [p for p, _ in known], "id": pa.array([i for _, i in known], pa.int32()), "score": pa.array([model.rows[i][1] for _, i in known], pa.float64())}, schema=pa.schema([("piece", pa.string()), ("id", pa.int32()), ("score", pa.float64())])))
+    order = {v: k for k, v in enumerate(sorted({-model.rows[i][1] for _, i in known}))}
+    rank = [order[-model.rows[i][1]] for _, i in known]
+    columns = {"piece": pa.array([p for p, _ in known], pa.string()), "id": pa.array([i for _, i in known], pa.int32()), "score": pa.array([model.rows[i][1] for _, i in known], pa.float64()), "rank": pa.array(rank, pa.int64())}
+    return spark.createDataFrame(pa.table(columns))
 
 
 def lattice(words: DataFrame, model: PieceModel) -> DataFrame:
-    """``w, n, edges, chars`` of each distinct ``w``: edges ``(k, s, e, id)`` of two characters and more, best (least k) first,
-    and the ids of its characters in order (MISSING where one is no piece)."""
+    """``w, n, edges, chars`` of each distinct ``w``: for BPE models edges ``(s, e, id)`` of two characters and more, best
+    first and leftmost on ties, for others edges ``(k, s, e, id, v)`` of all lengths by end and start; and the ids of its
+    characters in order (MISSING where one is no piece). An edge of a merge is one number until it is sorted."""
     tails = words.select("w", "n", F.explode(F.sequence(F.lit(1), F.char_length("w"))).alias("at")).withColumn("tail", F.expr(f"substring(w, at, {model.longest})"))
     subs = tails.select("w", "n", (F.col("at") - 1).alias("s"), "tail", F.explode(F.sequence(F.lit(1), F.char_length("tail"))).alias("l"))
     subs = subs.select("w", "n", "s", "l", F.expr("substring(tail, 1, l)").alias("sub"))
     found = subs.join(F.broadcast(piece_table(words.sparkSession, model)), F.col("sub") == F.col("piece"), "left").where("id is not null or l = 1")
-    order = -F.col("score") if model.kind == BPE else (F.col("s") + F.col("l")).cast("double")
-    edge = F.struct(order.alias("k"), "s", (F.col("s") + F.col("l")).alias("e"), "id", *([] if model.kind == BPE else [F.col("score").alias("v")]))
-    grouped = found.groupBy("w").agg(
-        F.max("n").alias("n"),
-        F.sort_array(F.collect_list(F.when(F.col("l") > (1 if model.kind == BPE else 0), edge))).alias("edges"),
-        F.sort_array(F.collect_list(F.when(F.col("l") == 1, F.struct("s", F.coalesce("id", F.lit(MISSING)).alias("id"))))).alias("chars"),
-    )
-    return grouped.select("w", "n", "edges", F.col("chars.id").alias("chars"))
+    end = F.col("s") + F.col("l")
+    if model.kind == BPE:  # positions are below 2**11, as LONG bounds these words
+        packed = F.shiftleft("rank", 42).bitwiseOR(F.shiftleft(F.col("s").cast("long"), 31)).bitwiseOR(F.shiftleft(end.cast("long"), 20)).bitwiseOR(F.col("id").cast("long"))
+        edges = F.sort_array(F.collect_list(F.when(F.col("l") > 1, packed)))
+    else:
+        edges = F.sort_array(F.collect_list(F.struct(end.cast("double").alias("k"), "s", end.alias("e"), "id", F.col("score").alias("v"))))
+    own = F.shiftleft(F.col("s").cast("long"), 20).bitwiseOR(F.coalesce("id", F.lit(MISSING)).cast("long"))
+    grouped = found.groupBy("w").agg(F.max("n").alias("n"), edges.alias("edges"), F.sort_array(F.collect_list(F.when(F.col("l") == 1, own))).alias("chars"))
+    return grouped.select("w", "n", "edges", F.transform("chars", lambda x: x.bitwiseAND(F.lit(MISSING)).cast("int")).alias("chars"))
 
 
 BLOCK = 64
@@ -322,9 +328,14 @@ def _merge_fold(w: Column, edges: Column, chars: Column, model: PieceModel) -> C
     and their sum. An edge with one boundary inside covers two neighbouring symbols. Each step makes the best such merge:
     the boundary goes, and with it the edges that end there. ``made`` keeps the merges."""
     n = F.size(chars)
-    edge = lambda x, c, t: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["id"].alias("id"), c.cast("int").alias("c"), t.cast("int").alias("t"))
-    inner = lambda x: x["e"] - x["s"] - 1
-    open_ = F.transform(edges, lambda x: edge(x, inner(x), (x["s"] + x["e"]) * inner(x) / 2))
+    edge = lambda x, c, t: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["id"].alias("id"), c.alias("c"), t.alias("t"))
+
+    def read(x: Column) -> Column:
+        bits = lambda at, mask: F.shiftright(x, at).bitwiseAND(F.lit(mask)).cast("int")
+        s, e = bits(31, 2047), bits(20, 2047)
+        return F.struct(s.alias("s"), e.alias("e"), bits(0, MISSING).alias("id"), (e - s - 1).alias("c"), F.shiftright((s + e) * (e - s - 1), 1).alias("t"))
+
+    open_ = F.transform(edges, read)
 
     def step(acc: Column, _: Column) -> Column:
         def merge(x: Column) -> Column:
@@ -389,49 +400,21 @@ def _viterbi_fold(w: Column, edges: Column, chars: Column, model: PieceModel) ->
 
 
 def word_table(docs: DataFrame, model: PieceModel) -> DataFrame:
-    """``w, n, ids`` of all distinct words of ``docs`` (with ``text``) of up to LONG characters."""
+    """``w, n, ids`` of all distinct words of ``docs`` (with ``text``) of up to LONG characters.
+
+    Words are dealt out ``SHARE`` to a partition, so that few substrings are sorted at a time; a task takes some in turn.
+    """
     tallied = docs.select(text_of().alias("text")).mapInArrow(lambda it: _tally(it, model), "w string, n long")
-    words = tallied.groupBy("w").agg(F.sum("n").alias("n"))
+    words = cut(tallied.groupBy("w").agg(F.sum("n").alias("n")), "tally")
+    parts = max(1, -(-words.count() // SHARE))
     fold = _merge_fold if model.kind == BPE else _viterbi_fold
-    return lattice(words, model).select("w", "n", fold(F.col("w"), F.col("edges"), F.col("chars"), model).alias("ids"))
+    table = lattice(words.repartition(parts, "w"), model).select("w", "n", fold(F.col("w"), F.col("edges"), F.col("chars"), model).alias("ids"))
+    return table.coalesce(max(1, parts // 4)) if parts > 24 else table
 
 
 # ---- back to the documents ----------------------------------------------------------------
 
 
-class Packed:
-    """A table of words and ids in a few arrays, found by hash and compared as texts."""
-
-    def __init__(self, words: pa.Array, ids: pa.ListArray):
-        h = self._hashes(words)
-        order = np.argsort(h, kind="stable")
-        self.hashes, self.words = h[order], words.take(pa.array(order))
-        at, flat = np.asarray(ids.offsets).astype(np.int64), ids.values.to_numpy(zero_copy_only=False)
-        sizes = np.diff(at)[order]
-        self.at = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-        self.ids = pieces_at(flat.astype(np.uint16 if len(flat) == 0 or flat.max() < 1 << 16 else np.int32), at[:-1][order], sizes)
-
-    @staticmethod
-    def _hashes(words: pa.Array) -> np.ndarray:
-        if not len(words):
-            return np.zeros(0, np.uint64)
-        ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].tolist()
-        raw = words.buffers()[2].to_pybytes()
-        return np.fromiter((xxhash.xxh64_intdigest(raw[a:b]) for a, b in zip(ends, ends[1:])), np.uint64, len(words))
-
-    def find(self, words: pa.Array) -> np.ndarray:
-        """The row of each word in the table, or -1."""
-        place = np.full(len(words), -1, np.int64)
-        h = self._hashes(words)
-        lo, hi = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
-        for step in range(int((hi - lo).max(initial=0))):  # more than once only where hashes collide
-            asked = np.flatnonzero((lo + step < hi) & (place < 0))
-            rows = lo[asked] + step
-            same = pc.equal(self.words.take(pa.array(rows)), words.take(pa.array(asked))).to_numpy(zero_copy_only=False)
-            place[asked[same]] = rows[same]
-        return place
-
-
 class Filler:
     """Turns texts into ids with a table; words that the table lacks become -1 - k, k their place in the list of the rest."""
 
@@ -476,7 +459,7 @@ def _encode(batches: Iterator[pa.RecordBatch], shared) -> Iterator[tuple[pa.Arra
         for lo, hi in slices(b.column(1), SLICE):
             texts = b.column(1)[lo:hi]
             yield b.column(0)[lo:hi], texts, *fill(texts)
-        pa.default_memory_pool().release_unused()
+            release()
 
 
 def _lists(ids: np.ndarray, starts: np.ndarray) -> pa.Array:
@@ -496,18 +479,8 @@ ENCODED = "doc_id long, ids array<int>, n_bytes long, crc long"
 def _table_of(docs: DataFrame, model: PieceModel, table: int) -> tuple[Packed, DataFrame | None]:
     """The words that fit in ``table`` bytes, the most frequent first; and all words, if some do not fit."""
     words = cut(word_table(docs, model), "words")
-    cost = F.octet_length("w") + 4 * F.size("ids") + 24
-    bytes_at = words.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.sum(cost).alias("b")).orderBy(F.desc("n")).collect()  # at most 1000 rows
-    least, total = None, 0
-    for r in bytes_at:
-        total += r["b"]
-        if total > table:
-            break
-        least = r["n"]
-    head = words.where(F.lit(False) if least is None else F.col("n") >= least).select("w", "ids")
-    got = head.toArrow().combine_chunks()  # at most ``table`` bytes
-    ws, ids = (c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in got.columns)
-    return Packed(ws.cast(pa.string()), ids), None if total <= table else words
+    head, whole = most_frequent(words, F.octet_length("w") + 4 * F.size("ids") + 24, table)
+    return Packed.read(head.select("w", "ids")), None if whole else words
 
 
 def encode(docs: DataFrame, model: PieceModel | str | None = None, table: int = TABLE) -> DataFrame:

@@ -3,24 +3,27 @@
 A byte goes if it lies in a ``length``-byte string that also starts anywhere else in the corpus.
 
 1. Every window of ``length`` bytes is assigned to its anchor, the k-gram in it with the least hash
-   (leftmost on ties). Equal windows have equal anchors, so repeats can only lie between the
-   contexts (the windows of one anchor in one place) of the same anchor hash.
-2. Anchors met once are dropped. Of identical contexts two are kept, which is all that the
-   question "does it start elsewhere" needs; a passage in a third of all documents thus costs few rows.
-3. The contexts are dealt by anchor into shards. Each shard's suffix array is built by induced
-   sorting: suffixes are classified, the leftmost-smaller substrings are sorted by inducing, named
-   and sorted recursively, and the order is induced for all suffixes, a bucket at a time in vector
-   steps. Permuted common prefixes follow: irreducible positions are compared, the others derived.
-4. Starts whose common prefix with a neighbour in the suffix array reaches ``length`` are repeated.
-   They go back to all places of their context, and the documents' bytes are cut.
-
-An anchor with more than ``hot`` different contexts would make one shard large; its windows are
-counted one by one instead, as digests, with map-side sums.
+   (leftmost on ties). Equal windows have equal anchors at equal places, so repeats can only lie between
+   different contexts (the windows of one anchor in one place) of the same anchor hash, never in one.
+2. Anchors met once are dropped. A context that is met again, byte for byte, is repeated as a whole, which
+   its count tells; a passage in a third of all documents thus costs one row.
+3. Only the windows of contexts met once remain open: they may still lie in another context of their anchor.
+   For anchors with such a context and at least one other, one copy of each context is dealt into shards by
+   anchor. Each shard's suffix array is built by induced sorting: suffixes are classified, the
+   leftmost-smaller substrings are sorted by inducing, named and sorted recursively, and the order is induced
+   for all suffixes, a bucket at a time in vector steps. Permuted common prefixes follow: irreducible positions
+   are compared, the others derived.
+4. Starts whose common prefix with a neighbour in the suffix array reaches ``length`` are repeated, and the
+   documents' bytes are cut.
+
+A shard is about ``SHARD`` bytes of whole anchors. An anchor with more than ``hot`` different contexts (some
+3 MB of text) would make one shard large; its windows are counted one by one instead, as 128-bit digests,
+with map-side sums. Both decide the same question, and the rule is the same at every size of the input.
 
 Edge cases: null and empty texts have no bytes and the digest of nothing; texts shorter than
 ``length`` are never cut; repeated rows are copies of each other; long texts are anchored in
 pieces that overlap by ``length`` - 1 bytes; extra columns are ignored; an empty table gives no rows.
-Identity of contexts is that of their 128-bit XXH3 digests.
+Identity of contexts is that of their 128-bit XXH3 digests, that of rows of 128 bits over id and text.
 """
 
 from __future__ import annotations
@@ -34,12 +37,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_of
+from .common import cut, release, row_key, scratch, text_of
 
 LENGTH = 400
 GRAM = 64
 PIECE = 1 << 20
 SHARD = 1 << 21
+HOT = 4096
 
 
 # ---- suffix arrays ------------------------------------------------------------------------
@@ -235,26 +239,28 @@ def anchors(buf: bytes, stops: np.ndarray, length: int, gram: int) -> tuple[np.n
     return first, last, h[at[first]].view(np.int64)
 
 
-OCC = "anchor long, d0 long, d1 long, row long, n int, starts array<long>"
+OCC = "anchor long, d0 long, d1 long, row binary, n int, starts array<long>"
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    def emit(rows: list[int], offs: list[int], parts: list[bytes]) -> pa.RecordBatch:
+    def emit(rows: list[bytes], offs: list[int], parts: list[bytes]) -> pa.RecordBatch:
         buf = b"".join(parts)
-        stops = np.cumsum([len(p) for p in parts])
+        sizes = np.array([len(p) for p in parts])
+        stops = np.cumsum(sizes)
         first, last, key = anchors(buf, stops, length, gram)
         digest = xxhash.xxh3_128_digest
-        d = np.frombuffer(b"".join([digest(buf[a : e + length]) for a, e in zip(first.tolist(), last.tolist())]), "<i8").reshape(-1, 2)
+        d = np.frombuffer(b"".join([digest(buf[a:e]) for a, e in zip(first.tolist(), (last + length).tolist())]), "<i8").reshape(-1, 2)
         text = np.searchsorted(stops, first, side="right")
-        row = np.array(rows, np.int64)[text]
-        start = first - (stops - np.array([len(p) for p in parts]))[text] + np.array(offs)[text]
-        o = np.lexsort((start, d[:, 1], d[:, 0], row))
-        row, d, key, start, n = row[o], d[o], key[o], start[o], (last - first + 1)[o]
+        own = np.unique(np.frombuffer(b"".join(rows), "S16"), return_inverse=True)[1].ravel()[text]  # pieces of one row meet again
+        start = first - (stops - sizes)[text] + np.array(offs)[text]
+        o = np.lexsort((start, d[:, 1], d[:, 0], own))
+        own, text, d, key, start, n = own[o], text[o], d[o], key[o], start[o], (last - first + 1)[o]
         new = np.ones(len(o), bool)
-        new[1:] = (row[1:] != row[:-1]) | (d[1:] != d[:-1]).any(axis=1)
+        new[1:] = (own[1:] != own[:-1]) | (d[1:] != d[:-1]).any(axis=1)
         g = np.flatnonzero(new)
         lists = pa.ListArray.from_arrays(pa.array(np.append(g, len(o)), pa.int32()), pa.array(start))
-        return pa.RecordBatch.from_arrays([pa.array(key[g]), pa.array(d[g, 0]), pa.array(d[g, 1]), pa.array(row[g]), pa.array(n[g], pa.int32()), lists], ["anchor", "d0", "d1", "row", "n", "starts"])
+        row = pa.array([rows[k] for k in text[g].tolist()], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(key[g]), pa.array(d[g, 0]), pa.array(d[g, 1]), row, pa.array(n[g], pa.int32()), lists], ["anchor", "d0", "d1", "row", "n", "starts"])
 
     rows, offs, parts, size = [], [], [], 0
     for b in batches:
@@ -266,6 +272,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> I
                 if size + len(p) > PIECE + length:
                     yield emit(rows, offs, parts)
                     rows, offs, parts, size = [], [], [], 0
+                    release()
                 rows.append(r)
                 offs.append(k)
                 parts.append(p)
@@ -276,19 +283,20 @@ def _occurrences(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> I
 
 # ---- shards -------------------------------------------------------------------------------
 
-CTX = "anchor long, d0 long, d1 long, bytes binary"
-RUNS = "d0 long, d1 long, lo array<int>, hi array<int>"
+CTX = "anchor long, row binary, start long, open boolean, bytes binary, kinds long"
+SPANS = "row binary, a long, b long"
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cut the asked contexts out of the texts: columns text, asked array<struct<anchor,d0,d1,start,size>>."""
+    """Cut the asked contexts out of the texts: columns row, text, asked array<struct<anchor,start,size,open,kinds>>."""
     for b in batches:
-        out = ([], [], [], [])
-        for t, asked in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        out = ([], [], [], [], [], [])
+        for r, t, asked in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+            t = memoryview(t.as_buffer())
             for x in asked:
-                for c, v in zip(out, (x["anchor"], x["d0"], x["d1"], t[x["start"] : x["start"] + x["size"]])):
+                for c, v in zip(out, (x["anchor"], r, x["start"], x["open"], bytes(t[x["start"] : x["start"] + x["size"]]), x["kinds"])):
                     c.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], ["anchor", "d0", "d1", "bytes"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.binary(), pa.int64(), pa.bool_(), pa.binary(), pa.int64()))], ["anchor", "row", "start", "open", "bytes", "kinds"])
 
 
 def _runs(mask: np.ndarray) -> tuple[list[int], list[int]]:
@@ -297,40 +305,43 @@ def _runs(mask: np.ndarray) -> tuple[list[int], list[int]]:
 
 
 def _search(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor; a shard is as many whole anchors as fit."""
+    """Rows sorted by anchor; a shard is as many whole anchors as fit. Spans of repeated starts of the open contexts."""
 
     def shard(rows: list[tuple]) -> pa.RecordBatch:
-        out = ([], [], [], [])
-        for (_, d0, d1, _), mask in zip(rows, repeated_starts([r[3] for r in rows], length)):
-            if mask.any():
-                for c, v in zip(out, (d0, d1, *_runs(mask))):
-                    c.append(v)
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int32())), pa.array(out[3], pa.list_(pa.int32()))], ["d0", "d1", "lo", "hi"])
+        out = ([], [], [])
+        for (_, row, start, open_, _), mask in zip(rows, repeated_starts([r[4] for r in rows], length)):
+            if open_ and mask.any():
+                for lo, hi in zip(*_runs(mask)):
+                    for c, v in zip(out, (row, start + lo, start + hi)):
+                        c.append(v)
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], ["row", "a", "b"])
 
     held, size = [], 0
     for b in batches:
-        for r in zip(*[b.column(k).to_pylist() for k in range(4)]):
+        for r in zip(*[b.column(k).to_pylist() for k in range(5)]):
             if size >= SHARD and r[0] != held[-1][0]:
                 yield shard(held)
                 held, size = [], 0
+                release()
             held.append(r)
-            size += len(r[3])
+            size += len(r[4])
     if held:
         yield shard(held)
 
 
 def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for d0, d1, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+        for row, start, open_, t in zip(*[b.column(k).to_pylist() for k in (1, 2, 3, 4)]):
             n = len(t) - length + 1
             w = np.frombuffer(b"".join([xxhash.xxh3_128_digest(t[k : k + length]) for k in range(n)]), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, d0)), pa.array(np.full(n, d1)), pa.array(np.arange(n), pa.int32()), pa.array(w[:, 0]), pa.array(w[:, 1])], ["d0", "d1", "at", "w0", "w1"])
+            yield pa.RecordBatch.from_arrays([pa.array([row] * n, pa.binary()), pa.array(start + np.arange(n)), pa.array(np.full(n, open_)), pa.array(w[:, 0]), pa.array(w[:, 1])], ["row", "at", "open", "w0", "w1"])
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = ([], [], [], [])
-        for t, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+        for t, spans in zip(b.column(1), b.column(2).to_pylist()):
+            t = t.as_buffer().to_pybytes()
             if spans:
                 d = np.zeros(len(t) + 1, np.int32)
                 np.add.at(d, [x["a"] for x in spans], 1)
@@ -345,39 +356,40 @@ def _cut_out(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, pa.int64()) for x in out[:3]], pa.array(out[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = 50_000) -> DataFrame:
-    """``row, spans``: runs [a, b) of repeated starts. ``docs``: row, text (binary)."""
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """``row, spans``: runs [a, b) of repeated starts. ``docs``: row, text (binary). Rests on cuts of the open scratch."""
     occ = cut(docs.select("row", "text").mapInArrow(lambda it: _occurrences(it, length, gram), OCC), "occurrences")
-    met = occ.groupBy("anchor").agg(F.sum(F.size("starts")).alias("met")).where("met > 1").select("anchor")
-    cand = cut(occ.join(met, "anchor"), "candidates")
-    place = lambda f: F.struct("row", f("starts").alias("start"))
-    kinds = cand.groupBy("anchor", "d0", "d1").agg(F.min("n").alias("n"), F.min(place(F.array_min)).alias("p"), F.max(place(F.array_max)).alias("q"))
-    load = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    ask = F.explode(F.array_distinct(F.array("p", "q"))).alias("at")
-    asked = kinds.join(load, "anchor").select("anchor", "d0", "d1", (F.col("n") + length - 1).alias("size"), "kinds", ask)
-    asked = cut(asked.groupBy("at.row").agg(F.collect_list(F.struct("anchor", "d0", "d1", "at.start", "size", "kinds")).alias("asked")), "asked")
-    texts = docs.select(F.col("row").alias("_row"), "text")
-    joined = texts.join(asked, texts["_row"] == asked["row"])
-
-    cool = joined.select("text", F.expr(f"filter(asked, x -> x.kinds <= {hot})").alias("asked")).mapInArrow(_fetch, CTX)
-    dealt = cool.repartition("anchor").sortWithinPartitions("anchor")
-    found = dealt.mapInArrow(lambda it: _search(it, length), RUNS)
+    which = F.struct("d0", "d1")
+    met = occ.groupBy("anchor").agg(F.sum(F.size("starts")).alias("met"), F.min(which).alias("x"), F.max(which).alias("y")).where("met > 1")
+    # both sides of these joins grow with the corpus: they are merged at every size
+    cand = cut(occ.hint("merge").join(met.select("anchor", (F.col("x") == F.col("y")).alias("alike")), "anchor"), "candidates")
+    # with one context for the anchor, all its places are repeated; else those of a context met again are
+    mixed = cand.where(~F.col("alike"))
+    kinds = mixed.groupBy("anchor", "d0", "d1").agg(F.min("n").alias("n"), F.min(F.struct("row", F.array_min("starts").alias("start"))).alias("at"), F.sum(F.size("starts")).alias("times"))
+    kinds = cut(kinds, "kinds")
+    again = mixed.hint("merge").join(kinds.where("times > 1").select("d0", "d1"), ["d0", "d1"])
+    whole = cand.where("alike").select("row", "n", "starts").union(again.select("row", "n", "starts")).select("row", "n", F.explode("starts").alias("a")).select("row", "a", (F.col("a") + F.col("n")).alias("b"))
+
+    load = cut(kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.count_if(F.col("times") == 1).alias("open")).where("open > 0"), "load")
+    x = F.struct("anchor", "at.start", (F.col("n") + length - 1).alias("size"), (F.col("times") == 1).alias("open"), "kinds")
+    asked = kinds.hint("merge").join(load.select("anchor", "kinds"), "anchor").select(F.col("at.row").alias("_row"), x.alias("x"))
+    asked = cut(asked.groupBy("_row").agg(F.collect_list("x").alias("asked")), "asked")  # a row's contexts: as many as its text has
+    joined = docs.hint("merge").join(asked, docs["row"] == asked["_row"])
+    ctx = cut(joined.select("row", "text", "asked").mapInArrow(_fetch, CTX), "contexts")
+    dealt = ctx.where(F.col("kinds") <= hot).repartition("anchor").sortWithinPartitions("anchor")
+    found = dealt.mapInArrow(lambda it: _search(it, length), SPANS)
     if not load.where(F.col("kinds") > hot).isEmpty():
-        warm = joined.select("text", F.expr(f"filter(asked, x -> x.kinds > {hot})").alias("asked")).mapInArrow(_fetch, CTX)
-        w = cut(warm.mapInArrow(lambda it: _windows(it, length), "d0 long, d1 long, at int, w0 long, w1 long"), "windows")
+        w = cut(ctx.where(F.col("kinds") > hot).mapInArrow(lambda it: _windows(it, length), "row binary, at long, open boolean, w0 long, w1 long"), "windows")
         twice = w.groupBy("w0", "w1").agg(F.count("*").alias("c")).where("c > 1").select("w0", "w1")
-        more = w.join(twice, ["w0", "w1"]).select("d0", "d1", F.array("at").alias("lo"), F.array(F.col("at") + 1).alias("hi"))
-        found = found.union(more)
-    runs = found.select("d0", "d1", F.explode(F.arrays_zip("lo", "hi")).alias("r")).select("d0", "d1", "r.lo", "r.hi").distinct()
-    runs = cut(runs.groupBy("d0", "d1").agg(F.collect_set(F.struct("lo", "hi")).alias("runs")), "runs")
-    at = cand.join(runs, ["d0", "d1"]).select("row", F.explode("starts").alias("s"), "runs").select("row", "s", F.explode("runs").alias("r"))
-    spans = at.groupBy("row").agg(F.collect_set(F.struct((F.col("s") + F.col("r.lo")).alias("a"), (F.col("s") + F.col("r.hi")).alias("b"))).alias("spans"))
-    return spans
+        found = found.union(w.where("open").join(twice, ["w0", "w1"]).select("row", F.col("at").alias("a"), (F.col("at") + 1).alias("b")))
+    spans = whole.union(found)
+    return spans.groupBy("row").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = 50_000) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("binary").alias("text"), F.xxhash64("doc_id", text_of()).alias("row"))
-    spans = cut(repeated_spans(rows, length, gram, hot).withColumnRenamed("row", "_row"), "spans")
-    out = rows.join(spans, rows["row"] == spans["_row"], "left").select("doc_id", "text", "spans")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("binary").alias("text"), row_key(docs["text"], docs["doc_id"]).alias("row"))
+    with scratch(docs.sparkSession):
+        spans = cut(repeated_spans(rows, length, gram, hot).withColumnRenamed("row", "_row"), "spans", stay=True)
+    out = rows.hint("merge").join(spans, rows["row"] == spans["_row"], "left").select("doc_id", "text", "spans")
     return out.mapInArrow(lambda it: _cut_out(it, length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

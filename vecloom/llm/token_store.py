@@ -14,11 +14,12 @@ place at the next level is the rank of that bit. Segments hold whole documents,
 order within a part; parts are ascending too, so ``(part, seq)`` is the order of the corpus.
 
 Texts are encoded by the tokenizers library, whole. A space between two non-space characters always
-starts a new pre-token, so texts are cut there and each worker encodes a distinct cut once, keeping a
-bounded table of results.
+starts a new pre-token, so texts are cut there. The distinct cuts of all texts are counted; those met again
+are encoded once, the most frequent up to ``TABLE`` bytes, and broadcast; each task encodes what the table lacks.
 
 Edge cases: null and empty texts have only the end id; rows with equal ids stay apart, in a fixed
-order; a null doc_id comes first (in the file: the least 64-bit number); very long texts have a segment of their own; extra columns are
+order; a null doc_id comes first (in the file: the least 64-bit number, which a doc_id must not be: a row with it
+is refused); very long texts have a segment of their own; extra columns are
 ignored; an empty table gives an empty dataset and no rows.
 """
 
@@ -29,18 +30,22 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_path, text_of
+from .common import Packed, cut, gather, most_frequent, pieces_at, release, scratch, shared_path, slices, text_of
 
 END = 0
 SEGMENT = 1 << 20
-KNOWN = 500_000
+SLICE = 3 << 20
+TABLE = 96 << 20
+RUN = 32
+#: Fixed value: how the byte-level vocabulary writes a space.
+SPACED = "Ġ"
 NO_ID = -(1 << 63)
 SCHEMA = "part int, seq int, base long, n_docs long, n_tokens long, blob binary"
 
@@ -55,36 +60,125 @@ def default_tokenizer() -> str:
 
 _SPACES = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: At least what Python and the library call white space.
+SPACE_LAST = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]$"
+TWO_SPACES = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]{2}"
 
 
 class Encoder:
-    """Ids of texts as packed unsigned 32-bit integers, with a bounded table of known cuts."""
+    """Ids of texts from a table of known cuts and the library.
 
-    def __init__(self, path: str):
+    Cuts that the table lacks are encoded ``RUN`` to a string. A cut has one space, its first character, so that the
+    ids whose piece starts with a space tell where each begins; a cut with other spaces is encoded alone.
+    """
+
+    def __init__(self, path: str, table: Packed | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        vocab = self.library.get_vocab()
+        self.spaced = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.spaced[[i for piece, i in vocab.items() if piece.startswith(SPACED)]] = True
+        self.table = table
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts end to end, and how many each has."""
+        out = [np.array(e.ids, np.int32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([*out, np.zeros(0, np.int32)]), np.fromiter(map(len, out), np.int64, len(out))
+
+    def after_space(self, cuts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of cuts that follow a space, end to end, and how many each has."""
+        alone = pc.or_(pc.or_(pc.equal(pc.binary_length(cuts), 0), pc.match_substring(cuts, " ")), pc.match_substring_regex(cuts, SPACE_LAST)).to_numpy(zero_copy_only=False)
+        plain = np.flatnonzero(~alone)
+        ws = cuts.take(pa.array(plain)).to_pylist()
+        parts, sizes = [], np.zeros(len(cuts), np.int64)
+        runs = [ws[k : k + RUN] for k in range(0, len(ws), RUN)]
+        at = 0
+        for k in range(0, len(runs), 64):
+            for run, e in zip(runs[k : k + 64], self.library.encode_batch_fast([" " + " ".join(run) for run in runs[k : k + 64]], add_special_tokens=False)):
+                ids = np.array(e.ids, np.int32)
+                first = np.flatnonzero(self.spaced[ids])
+                if len(first) == len(run) and first[0] == 0:
+                    own = np.diff(np.append(first, len(ids)))
+                else:
+                    ids, own = self._encode([" " + w for w in run])
+                parts.append(ids)
+                sizes[plain[at : at + len(run)]] = own
+                at += len(run)
+        values = np.concatenate([*parts, np.zeros(0, np.int32)])
+        if len(plain) == len(cuts):
+            return values, sizes
+        more, own = self._encode([" " + w for w in cuts.take(pa.array(np.flatnonzero(alone))).to_pylist()])
+        sizes[alone] = own
+        each = np.concatenate((sizes[plain], own))
+        place = np.empty(len(cuts), np.int64)
+        place[np.concatenate((plain, np.flatnonzero(alone)))] = np.arange(len(cuts))
+        return gather(np.concatenate((values, more)), each, place)
+
+    def __call__(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts laid end to end (each closed by ``end``), and how many each has."""
+        cuts, index, firsts = split_cuts(texts)
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        place = self.table.find(cuts) if self.table is not None else np.full(len(cuts), -1, np.int64)
+        new, known = np.flatnonzero(place < 0), np.flatnonzero(place >= 0)
+        used = np.zeros(len(cuts), bool)  # a cut that only begins texts is not needed after a space
+        inner = np.ones(len(index), bool)
+        inner[firsts] = False
+        used[index[inner]] = True
+        new = new[used[new]]
+        own, n_new = self.after_space(cuts.take(pa.array(new)))
+        heads, n_heads = self._encode(cuts.take(pa.array(index[firsts])).to_pylist())
+        sizes = np.zeros(len(cuts) + len(firsts) + 1, np.int64)
+        starts = np.zeros(len(sizes), np.int64)
+        if self.table is not None:
+            t = self.table
+            starts[known], sizes[known] = t.at[place[known]], t.at[place[known] + 1] - t.at[place[known]]
+            found = pieces_at(t.ids, starts[known], sizes[known]).astype(np.int32)
+            starts[known] = np.cumsum(sizes[known]) - sizes[known]
+        else:
+            found = np.zeros(0, np.int32)
+        sizes[new], starts[new] = n_new, len(found) + np.cumsum(n_new) - n_new
+        base = len(cuts)
+        sizes[base:-1], starts[base:-1] = n_heads, len(found) + len(own) + np.cumsum(n_heads) - n_heads
+        values = np.concatenate((found, own, heads, [0 if end is None else end])).astype(np.int64)
+        sizes[-1], starts[-1] = 1, len(values) - 1
+        index[firsts] = base + np.arange(len(firsts))
+        if end is not None:
+            index, firsts = np.insert(index, np.append(firsts[1:], len(index)), len(sizes) - 1), firsts + np.arange(len(firsts))
+        return pieces_at(values, starts[index], sizes[index]).astype(np.uint32), np.add.reduceat(sizes[index], firsts)
+
+
+def split_cuts(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct cuts of the texts, the place of each cut of each text among them, and where each text begins."""
+    lists = pc.split_pattern(texts, " ")
+    if pc.any(pc.match_substring_regex(texts, TWO_SPACES)).as_py():  # a cut only between two other characters
+        lists = pa.array([_CUT.split(t) if _SPACES.search(t) else t.split(" ") for t in texts.to_pylist()], pa.list_(pa.string()))
+    values = lists.flatten().dictionary_encode()
+    return values.dictionary, values.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.asarray(lists.offsets)[:-1].astype(np.int64) - lists.offsets[0].as_py()
+
+
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for lo, hi in slices(b.column(0), SLICE):
+            cuts, index, _ = split_cuts(b.column(0)[lo:hi])
+            yield pa.RecordBatch.from_arrays([cuts, pa.array(np.bincount(index, minlength=len(cuts)))], ["w", "n"])
+            release()
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        cuts = [_CUT.split(t) if _SPACES.search(t) else t.split(" ") for t in texts]
-        new = list(set().union(*[c[1:] for c in cuts]).difference(self.known))
-        if len(self.known) + len(new) > KNOWN:
-            self.known.clear()
-            new = list(set().union(*[c[1:] for c in cuts]))
-        known = self.known
-        known.update(zip(new, self._encode([" " + w for w in new])))
-        first = self._encode([c[0] for c in cuts])
-        return [f + b"".join([known[w] for w in c[1:]]) for f, c in zip(first, cuts)]
+def _looked_up(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    encode = Encoder(path)
+    for b in batches:
+        values, sizes = encode.after_space(b.column(0))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(values))], ["w", "ids"])
 
 
-@lru_cache(maxsize=2)
-def _encoder(path: str) -> Encoder:
-    return Encoder(path)
+def cut_table(docs: DataFrame, path: str, most: int) -> Packed:
+    """The ids of the cuts that are met again, the most frequent first, in at most ``most`` bytes."""
+    cuts = docs.select(text_of().alias("text")).mapInArrow(_tally, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).where("n > 1")
+    head, _ = most_frequent(cut(cuts, "cuts"), F.octet_length("w") + F.lit(40), most)
+    return Packed.read(head.select("w").mapInArrow(lambda it: _looked_up(it, path), "w string, ids array<int>"))
 
 
 # ---- the format ---------------------------------------------------------------------------
@@ -159,67 +253,79 @@ class Segment:
 # ---- writing and reading ------------------------------------------------------------------
 
 
-def _segments(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[pa.RecordBatch]:
+def _segments(batches: Iterator[pa.RecordBatch], path: str, table: Packed, end: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    part, encode, stop = TaskContext.get().partitionId(), _encoder(path), struct.pack("<I", end)
-    doc_ids: list[int] = []
-    raw: list[bytes] = []
+    part, encode = TaskContext.get().partitionId(), Encoder(path, table)
+    doc_ids: list[np.ndarray] = []
+    ids: list[np.ndarray] = []
+    counts: list[np.ndarray] = []
     n = base = seq = 0
 
     def flush() -> pa.RecordBatch:
-        nonlocal doc_ids, raw, n, base, seq
-        ends = np.cumsum([len(r) // 4 for r in raw])
-        blob = pack(np.array(doc_ids, np.int64), ends, np.frombuffer(b"".join(raw), "<u4"))
-        out = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([base]), pa.array([len(raw)]), pa.array([n]), pa.array([blob], pa.binary())], ["part", "seq", "base", "n_docs", "n_tokens", "blob"])
-        base, seq, n, doc_ids, raw = base + n, seq + 1, 0, [], []
+        nonlocal doc_ids, ids, counts, n, base, seq
+        ends = np.cumsum(np.concatenate(counts))
+        blob = pack(np.concatenate(doc_ids), ends, np.concatenate(ids))
+        out = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([base]), pa.array([len(ends)]), pa.array([n]), pa.array([blob], pa.binary())], ["part", "seq", "base", "n_docs", "n_tokens", "blob"])
+        base, seq, n, doc_ids, ids, counts = base + n, seq + 1, 0, [], [], []
         return out
 
     for b in batches:
-        ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-        for k in range(0, len(ids), 256):
-            for d, r in zip(ids[k : k + 256], encode(texts[k : k + 256])):
-                raw.append(r + stop)
-                doc_ids.append(NO_ID if d is None else d)
-                n += len(r) // 4 + 1
-                if n >= SEGMENT:
-                    yield flush()
-    if raw:
+        for lo, hi in slices(b.column(1), SLICE):
+            x, c = encode(b.column(1)[lo:hi], end)
+            doc_ids.append(pc.fill_null(b.column(0)[lo:hi], NO_ID).to_numpy(zero_copy_only=False))
+            ids.append(x)
+            counts.append(c)
+            n += len(x)
+            if n >= SEGMENT:
+                yield flush()
+            release()
+    if n:
         yield flush()
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = END) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = END, table: int = TABLE) -> None:
     """Encode ``docs`` and write the dataset at ``path``, ids in ascending doc_id order."""
     file = tokenizer or default_tokenizer()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    known = F.when(F.col("doc_id") == F.lit(NO_ID + 1) - 1, F.raise_error(F.lit("doc_id -2**63 stands for null in token files"))).otherwise(F.col("doc_id").cast("long"))
+    rows = docs.select(known.cast("long").alias("doc_id"), text_of().alias("text"))
     ranged = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ranged.mapInArrow(lambda it: _segments(it, file, end), SCHEMA).write.parquet(path)
+    with scratch(docs.sparkSession):
+        shared = docs.sparkSession.sparkContext.broadcast(cut_table(docs, file, table))
+        ranged.mapInArrow(lambda it: _segments(it, file, shared.value, end), SCHEMA).write.parquet(path)
+    shared.unpersist()
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """Per document of the dataset: ``doc_id, start, n_tokens, ids`` (packed u32), in no order."""
+def _read(spark: SparkSession, path: str, column: str, kind: str, value) -> DataFrame:
+    """Per document of the dataset: ``doc_id, start, n_tokens`` and ``column``, what ``value`` makes of the packed ids."""
     seg = spark.read.schema(SCHEMA).parquet(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part, base, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 s = Segment(blob.as_buffer())
-                raw = memoryview(s.all().astype("<u4").tobytes())
+                raw = memoryview(s.all().astype("<u4", copy=False)).cast("B")
                 starts = np.concatenate(([0], s.ends[:-1]))
-                ids = [bytes(raw[4 * a : 4 * e]) for a, e in zip(starts.tolist(), s.ends.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids, mask=s.doc_ids == NO_ID), pa.array(np.full(len(ids), part, np.int32)), pa.array(base + starts), pa.array(s.ends - starts), pa.array(ids, pa.binary())], ["doc_id", "part", "start", "n_tokens", "ids"])
+                own = pa.array([value(raw[4 * a : 4 * e]) for a, e in zip(starts.tolist(), s.ends.tolist())], pa.binary() if kind == "binary" else pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids, mask=s.doc_ids == NO_ID), pa.array(np.full(len(own), part, np.int32)), pa.array(base + starts), pa.array(s.ends - starts), own], ["doc_id", "part", "start", "n_tokens", column])
 
-    docs = seg.select("part", "base", "blob").mapInArrow(run, "doc_id long, part int, start long, n_tokens long, ids binary")
-    parts = seg.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # a row per written part
+    docs = seg.select("part", "base", "blob").mapInArrow(run, f"doc_id long, part int, start long, n_tokens long, {column} {kind}")
+    parts = seg.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return docs.join(before, "part").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids")
+    # a row for each written part: as many as the write had tasks
+    return docs.join(F.broadcast(before), "part").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", column)
+
+
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """Per document of the dataset: ``doc_id, start, n_tokens, ids`` (packed u32), in no order."""
+    return _read(spark, path, "ids", "binary", bytes)
 
 
 def token_digests(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """Write ``docs`` as tokens, read the files back: ``doc_id, start, n_tokens, ids_crc32``."""
     path = shared_path(docs.sparkSession, "tokens")
     write_tokens(docs, path, tokenizer)
-    return read_tokens(docs.sparkSession, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return _read(docs.sparkSession, path, "ids_crc32", "long", zlib.crc32)
 
 
 def crc_of(ids: list[int]) -> int:
