@@ -82,19 +82,41 @@ def test_two_phase_recall_finds_the_exact_top(spark):
     assert len(exact & {x["concept"] for x in R.srht(df, q, 10, 32).collect()}) >= 9
 
 
+def test_recall_through_the_index(spark, sf_dir):
+    from vecloom.plans import catalog
+
+    big = sf_dir.replace("sf0.001", "sf0.1")
+    x = np.array([r["embedding"] for r in spark.read.parquet(f"{big}/embeddings.parquet").orderBy("vec_id").collect()])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = {}
+    for r in catalog.QUERIES["recall_indexed"](spark, big).collect():
+        got.setdefault(r["query_id"], set()).add(int(r["concept"].split(":")[1]))
+    assert sorted(got) == list(range(0, len(x), 100))
+    hits = [len(got[q] & set(np.argsort(-(x @ x[q]), kind="stable")[:10].tolist())) for q in got]
+    assert np.mean(hits) >= 9
+
+
+def test_fixed_prefixes_and_notices(spark):
+    d = lambda c: one(spark, S.goal_distance(F.lit(c)))
+    assert [d(c) for c in ("primary_goal", "goal:x", "trace:x", "tile:x", "scar:x", "metric:x", "local:x", "note")] == [0, 0, 1, 2, 2, 5, 6, 3]
+    assert one(spark, T.splice_mode(F.lit("scar:x"), F.lit("pub fn a() {}"))) == "append"
+    long = one(spark, T.spliced(F.lit(""), F.lit("é" * 96_001), F.lit("append"), F.lit(1)))
+    assert long.startswith("[provlog truncated — 65 chars removed from head]\n\né") and long.count("é") == 95_936
+
+
 # ---- structured -----------------------------------------------------------------------------
 
 
 def test_structured_fixture(spark):
-    rows = spark.createDataFrame([("goal:a", 0.9, 100, None), ("goal:b", 0.7, 200, None), ("trace:x", 0.5, 300, "store.rs"), ("metric:noise", 0.4, 50, None)], "concept string, reliability double, recency long, path string")
-    edges = spark.createDataFrame([("goal:a", "decomposes_into", "goal:b", None)], "src string, label string, dst string, volatility double")
+    rows = spark.createDataFrame([("goal:ship", 0.86, 41, None), ("goal:plan", 0.62, 93, None), ("trace:k7", 0.55, 170, "walk.py"), ("metric:beat", 0.31, 12, None)], "concept string, reliability double, recency long, path string")
+    edges = spark.createDataFrame([("goal:ship", "decomposes_into", "goal:plan", None)], "src string, label string, dst string, volatility double")
     names = lambda q: [r["concept"] for r in Q.run(rows, q, edges).collect()]
-    assert names(Q.Query(prefix="goal:", least=0.8)) == ["goal:a"]
-    assert names(Q.Query(related_to="goal:a")) == ["goal:a", "goal:b"]
-    assert names(Q.Query(related_to="goal:b", direction="in", label="decomposes_into")) == ["goal:a", "goal:b"]
+    assert names(Q.Query(prefix="goal:", least=0.8)) == ["goal:ship"]
+    assert names(Q.Query(related_to="goal:ship")) == ["goal:ship", "goal:plan"]
+    assert names(Q.Query(related_to="goal:plan", direction="in", label="decomposes_into")) == ["goal:ship", "goal:plan"]
     assert len(names(Q.Query(limit=2))) == 2
-    assert names(Q.Query(stem="store")) == ["trace:x"]
-    assert names(Q.Query(order="recency", limit=1)) == ["trace:x"]
+    assert names(Q.Query(stem="walk")) == ["trace:k7"]
+    assert names(Q.Query(order="recency", limit=1)) == ["trace:k7"]
     assert Q.Query.of({"limit": 999, "order": "odd"}) == Q.Query(limit=200)
 
 

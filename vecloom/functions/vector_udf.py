@@ -90,21 +90,40 @@ def srht(width: int, seed: int = 7):
     return vectorised(lambda a, b: srht_rows(a, seed))
 
 
+# The generator of the noise, and the hash that weighs components, with its seed.
+STEP, SHIFT = 6_364_136_223_846_793_005, 1
+SEED = 0x454E4752
+FINAL = ((16, 0x85EBCA6B), (13, 0xC2B2AE35))
+
+
+def phases(width: int, seed: int, spread: float) -> np.ndarray:
+    """Seeded numbers in ``spread`` times [-1, 1] from the high halves of a 64-bit linear congruence."""
+    out, x = [], seed
+    for _ in range(width):
+        x = (x * STEP + SHIFT) % (1 << 64)
+        out.append(((x >> 32) / 0xFFFFFFFF * 2 - 1) * spread)
+    return np.array(out)
+
+
 def bind_noisy(width: int, seed: int = 7, spread: float = 0.05):
-    """Elementwise product with seeded noise on each factor, at unit length."""
-    noise = np.cos(np.random.default_rng(seed).uniform(-spread, spread, width) * np.pi)
-    return vectorised(lambda a, b: unit(a * b * noise))
+    """Elementwise product turned by a seeded phase, at unit length: real parts, then imaginary ones."""
+    turn = phases(width, seed, spread)
+    return vectorised(lambda a, b: unit(np.concatenate((a * b * np.cos(turn), a * b * np.sin(turn)), axis=1)))
+
+
+def hash_weights(n: int) -> np.ndarray:
+    """The finalised 32-bit hash of each number below ``n``, in [-1, 1]."""
+    h = np.arange(n, dtype=np.uint64) ^ np.uint64(SEED)
+    for by, times in FINAL:
+        h ^= h >> np.uint64(by)
+        h = h * np.uint64(times) & np.uint64(0xFFFFFFFF)
+    h ^= h >> np.uint64(16)
+    return h.astype(np.float64) / 0xFFFFFFFF * 2 - 1
 
 
 def project_3d(width: int):
-    """Sums of |q_i| with fixed pseudo-random weights in [-1, 1] for each axis."""
-    i = np.arange(3 * width, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        x = (i + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        x ^= x >> np.uint64(32)
-        x *= np.uint64(0xD6E8FEB86659FD93)
-        x ^= x >> np.uint64(32)
-    weights = (x.astype(np.float64) / 2**63 - 1).reshape(width, 3)
+    """Sums of |q_i| with hashed weights for each of three axes."""
+    weights = hash_weights(3 * width).reshape(width, 3)
 
     @F.pandas_udf("array<double>")
     def run(v: pd.Series) -> pd.Series:

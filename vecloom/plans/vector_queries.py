@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..functions import vector as V
 from ..functions import vector_udf as U
+from ..operators import index as X
 from ..operators import recall as R
 from ..shared import cut
 from ..sources.tables import records
@@ -140,6 +141,15 @@ def recall_two_phase_int8(spark, sf_dir):
     return R.two_phase(r, q, K, codes=cut(R.coded(r), "codes"))
 
 
+@query()
+def recall_indexed(spark, sf_dir):
+    """Every record whose id is divisible by 100, against all records, through the index."""
+    r, _ = _base(spark, sf_dir)
+    centroids = X.fit(r, 32)
+    asked = r.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("q").alias("query"))
+    return X.search(cut(X.indexed(r, centroids), "index"), asked, centroids, K, 22)
+
+
 @query()
 def recall_srht_b4(spark, sf_dir):
     return R.srht(*_base(spark, sf_dir), K, D)
@@ -364,12 +374,21 @@ def vec_srht(spark, sf_dir):
     return _iterative(spark, sf_dir, U.srht(D))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {REC}, g AS (SELECT 0 AS i, 7::HUGEINT AS x UNION ALL SELECT i + 1, (x * 6364136223846793005 + 1) % 18446744073709551616::HUGEINT FROM g WHERE i < 64),
+    t AS (SELECT list(((x // 4294967296)::DOUBLE / 4294967295.0::DOUBLE * 2 - 1) * 0.05::DOUBLE ORDER BY i) AS t FROM g WHERE i > 0),
+    b AS (SELECT vec_id, list_transform(range(1, 65), lambda i: q[i] * query[i] * cos(t[i])) || list_transform(range(1, 65), lambda i: q[i] * query[i] * sin(t[i])) AS y FROM rec, qv, t),
+    u AS (SELECT vec_id, {_unit('y', 'sqrt(list_dot_product(y, y))')} AS v FROM b) {_heads('u')}"""
+)
 def vec_bind_stochastic(spark, sf_dir):
     return _iterative(spark, sf_dir, U.bind_noisy(D))
 
 
-@query()
+@query(
+    f"""WITH {REC}, h AS (SELECT k, xor(k, 1162757970)::HUGEINT AS h FROM range(192) t(k)), a AS (SELECT k, (xor(h::BIGINT, h::BIGINT >> 16)::HUGEINT * 2246822507) % 4294967296 AS h FROM h),
+    b AS (SELECT k, (xor(h::BIGINT, h::BIGINT >> 13)::HUGEINT * 3266489909) % 4294967296 AS h FROM a), w AS (SELECT list(xor(h::BIGINT, h::BIGINT >> 16)::DOUBLE / 4294967295.0::DOUBLE * 2 - 1 ORDER BY k) AS w FROM b)
+    SELECT vec_id, list_transform(range(0, 3), lambda j: round(list_sum(list_transform(range(0, 64), lambda i: abs(q[i + 1]) * w[i * 3 + j + 1])), 6)) AS position FROM rec, w"""
+)
 def vec_project_3d(spark, sf_dir):
     return records(spark, sf_dir).select("vec_id", U.project_3d(D)("q").alias("p")).select("vec_id", F.transform("p", lambda x: F.round(x, 6)).alias("position"))
 
