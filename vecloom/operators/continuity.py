@@ -283,3 +283,88 @@ def few_neighbours(edges: DataFrame, slots: DataFrame, most_slots: int = 16, mos
     e = edges.join(F.broadcast(kept), edges["src"] == kept["slot"])
     w = Window.partitionBy("slot").orderBy("label", "dst")
     return e.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most).select("slot", "label", F.col("dst").alias("other"))
+
+
+# ---- lists of a report ----------------------------------------------------------------------
+
+
+def recent(access: DataFrame, most: int) -> DataFrame:
+    """The last accessed names (concept, ts), the newest first."""
+    last = access.groupBy("concept").agg(F.max("ts").alias("ts"))
+    return last.orderBy(F.desc("ts"), "concept").limit(most)
+
+
+def uncertainty_receipts(rows: DataFrame, access: DataFrame, near: DataFrame, most: int) -> DataFrame:
+    """``uncertainty:`` rows: those among the last 200 accessed first, then those a recall found (concept, score),
+    at least 4 in all if there are so many. ``rows``: concept, reliability."""
+    own = rows.where(F.col("concept").startswith("uncertainty:"))
+    a = own.join(F.broadcast(recent(access, 200)), "concept").select("concept", "reliability", F.lit(0).alias("source"), (-F.col("ts")).cast("double").alias("k"))
+    b = own.join(near.select("concept", "score"), "concept").select("concept", "reliability", F.lit(1).alias("source"), (-F.col("score")).cast("double").alias("k"))
+    first = a.unionByName(b).groupBy("concept").agg(F.min_by(F.struct("reliability", "source", "k"), F.struct("source", "k")).alias("x")).select("concept", "x.*")
+    return first.orderBy("source", "k", "concept").limit(max(most, 4)).select("concept", "reliability", "source")
+
+
+def active_groups(rows: DataFrame, access: DataFrame, most: int = 25) -> DataFrame:
+    """``kind, concepts`` of the last accessed names: tiles, traces and goals, the newest first."""
+    c = F.col("concept")
+    kind = F.when(c.startswith("tile:"), "tiles").when(c.startswith("trace:"), "traces").when(c.startswith("goal:") | (c == "primary_goal"), "goals")
+    r = recent(access, most).join(rows.select("concept"), "concept", "left_semi").withColumn("kind", kind).where("kind is not null")
+    return r.groupBy("kind").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("ts")).alias("k"), "concept"))), lambda x: x["concept"]).alias("concepts"))
+
+
+def hotspots(traces: DataFrame, items: DataFrame, most: int = 24) -> DataFrame:
+    """The newest located rows: traces (concept, ts, file, line) and items of source (concept, ts, file, line)."""
+    both = traces.withColumn("kind", F.lit("trace")).unionByName(items.withColumn("kind", F.lit("item"))).where("file <> ''")
+    return both.orderBy(F.desc("ts"), "concept").limit(most).select("concept", "kind", "file", "line", "ts")
+
+
+def as_json(rows: DataFrame, *columns: str) -> DataFrame:
+    """One JSON text a row."""
+    return rows.select(F.to_json(F.struct(*columns)).alias("json"))
+
+
+def external_pointer(uri: Column, content_hash: Column, size: Column, metadata: Column) -> Column:
+    """The name, descriptor and reliability of a row that points to data elsewhere."""
+    text = F.concat(F.lit("EXTERNAL_POINTER_V1\nuri: "), uri, F.lit("\ncontent_hash: "), content_hash, F.lit("\nsize_bytes: "), size.cast("string"), F.lit("\nmetadata: "), F.when(metadata == "", "{}").otherwise(metadata), F.lit("\n"))
+    return F.struct(F.concat(F.lit("pointer:"), T.slug(F.substring_index(uri, "/", -1), 48)).alias("concept"), text.alias("body"), F.lit(0.91).alias("reliability"))
+
+
+# ---- words ----------------------------------------------------------------------------------
+
+
+def symbolic(z: V.Z) -> V.Z:
+    """Phases from each component's angle, times its place, plus its length; at unit length."""
+    angle = F.zip_with(z.im, z.re, lambda i, r: F.atan2(i, r))
+    length = F.zip_with(z.re, z.im, lambda r, i: F.sqrt(r * r + i * i))
+    phase = F.zip_with(F.transform(angle, lambda a, k: a * k), length, lambda a, n: a + n)
+    return V.zunit(V.Z(F.transform(phase, lambda p: F.cos(p)), F.transform(phase, lambda p: F.sin(p))))
+
+
+def compressed(words: DataFrame, by: str, coeff: str, re: str, im: str) -> DataFrame:
+    """``by, re, im``: half of each word's coefficients bound with its phases, summed over the bundle, at unit length.
+
+    ``words``: a row for each word of a bundle, its coefficients padded to the width of its phase vector.
+    """
+    n = words.select(by, F.posexplode(F.arrays_zip(F.col(coeff).alias("c"), F.col(re).alias("r"), F.col(im).alias("i"))).alias("k", "x"))
+    s = n.groupBy(by, "k").agg(F.sum(F.col("x.c") * F.col("x.r") * 0.5).alias("re"), F.sum(F.col("x.c") * F.col("x.i") * 0.5).alias("im"))
+    g = s.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("k", "re", "im"))).alias("v"))  # as many as the width
+    z = V.zunit(V.Z(F.transform("v", lambda x: x["re"]), F.transform("v", lambda x: x["im"])))
+    return g.select(by, z.re.alias("re"), z.im.alias("im"))
+
+
+def equivalence(a: V.Z, b: V.Z) -> Column:
+    """The cosine of two compressed bundles: how far two presentations say the same."""
+    return V.dot(a.re, b.re) + V.dot(a.im, b.im)
+
+
+def lexicon_entry(word: V.Z, definition: V.Z, note: V.Z) -> V.Z:
+    """A word bound with its definition and its history; unbinding gives either back."""
+    return V.bind(V.bind(word, definition), note)
+
+
+def lexicon_upsert(entries: DataFrame, new: DataFrame) -> DataFrame:
+    """Entries (word, body) with new ones: an unknown word is added, a known one's body grows by the new note."""
+    n = new.select("word", F.col("body").alias("_new"))
+    both = entries.join(n, "word", "full_outer")
+    body = F.when(F.col("body").isNull(), F.col("_new")).when(F.col("_new").isNull(), F.col("body")).otherwise(F.concat("body", F.lit("\n"), "_new"))
+    return both.select("word", body.alias("body"), F.when(F.col("body").isNull(), "minted").when(F.col("_new").isNull(), "kept").otherwise("updated").alias("status"))

@@ -318,3 +318,96 @@ def map_functions(spark, sf_dir):
     g = table(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.count("*").alias("n"))
     m = g.groupBy("o_custkey").agg(F.map_from_entries(F.collect_list(F.struct("o_orderpriority", "n"))).alias("m"))  # five priorities at most
     return m.select("o_custkey", F.array_sort(F.map_keys("m")).alias("keys"), F.aggregate(F.map_values("m"), F.lit(0).cast("long"), lambda a, x: a + x).alias("n"), F.coalesce(F.try_element_at("m", F.lit("1-URGENT")), F.lit(0)).alias("urgent"))
+
+
+# ---- lists of a report ----------------------------------------------------------------------
+
+_UNC = "un AS (SELECT doc_id, CASE WHEN doc_id % 10 = 9 THEN 'uncertainty:d' || doc_id ELSE concept END AS concept, reliability, ts FROM c)"
+
+
+def _doubted(spark, sf_dir):
+    return named(spark, sf_dir).withColumn("concept", F.when(F.col("doc_id") % 10 == 9, F.concat(F.lit("uncertainty:d"), "doc_id")).otherwise(F.col("concept")))
+
+
+@query(
+    f"""WITH {NAMED}, {_UNC}, l AS (SELECT concept, ts FROM un WHERE doc_id % 3 = 0 ORDER BY ts DESC, concept LIMIT 200), o AS (SELECT * FROM un WHERE starts_with(concept, 'uncertainty:')),
+    x AS (SELECT concept, reliability, 0 AS source, -l.ts::DOUBLE AS k FROM o JOIN l USING (concept) UNION ALL SELECT concept, reliability, 1, -(doc_id % 89)::DOUBLE FROM o WHERE doc_id % 2 = 1),
+    f AS (SELECT concept, reliability, source, k, row_number() OVER (PARTITION BY concept ORDER BY source, k) AS r FROM x) SELECT concept, reliability, source FROM f WHERE r = 1 ORDER BY source, k, concept LIMIT 30"""
+)
+def uncertainty_receipts(spark, sf_dir):
+    d = _doubted(spark, sf_dir)
+    near = d.where("doc_id % 2 = 1").select("concept", (F.col("doc_id") % 89).alias("score"))
+    return C.uncertainty_receipts(d.select("concept", "reliability"), d.where("doc_id % 3 = 0").select("concept", "ts"), near, 30)
+
+
+@query(f"WITH {NAMED}, l AS (SELECT concept, ts FROM c ORDER BY ts DESC, concept LIMIT 25), k AS (SELECT *, CASE WHEN starts_with(concept, 'tile:') THEN 'tiles' WHEN starts_with(concept, 'trace:') THEN 'traces' WHEN starts_with(concept, 'goal:') THEN 'goals' END AS kind FROM l) SELECT kind, list(concept ORDER BY ts DESC, concept) AS concepts FROM k WHERE kind IS NOT NULL GROUP BY kind")
+def active_groups(spark, sf_dir):
+    n = named(spark, sf_dir)
+    return C.active_groups(n, n.select("concept", "ts"))
+
+
+@query(f"WITH {NAMED}, h AS (SELECT concept, CASE WHEN starts_with(concept, 'trace:') THEN 'trace' ELSE 'item' END AS kind, CASE WHEN doc_id % 4 = 0 THEN '' ELSE source || '.py' END AS file, doc_id % 500 AS line, ts FROM c WHERE doc_id % 10 IN (1, 8)) SELECT * FROM h WHERE file <> '' ORDER BY ts DESC, concept LIMIT 24")
+def spatial_hotspots(spark, sf_dir):
+    n = named(spark, sf_dir).withColumn("file", F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.concat("source", F.lit(".py")))).withColumn("line", F.col("doc_id") % 500)
+    pick = lambda k: n.where(F.col("doc_id") % 10 == k).select("concept", "ts", "file", "line")
+    return C.hotspots(pick(1), pick(8))
+
+
+@query(f"""WITH {NAMED} SELECT '{{"concept":"' || concept || '","ts":' || ts || '}}' AS json FROM c""")
+def rows_as_json(spark, sf_dir):
+    return C.as_json(named(spark, sf_dir), "concept", "ts")
+
+
+@query("SELECT 'pointer:' || regexp_replace(lower(left(string_split(url, '/')[-1], 48)), '[^a-z0-9-]', '-', 'g') AS concept, 'EXTERNAL_POINTER_V1' || chr(10) || 'uri: ' || url || chr(10) || 'content_hash: sha256:' || sha256(html) || chr(10) || 'size_bytes: ' || strlen(html) || chr(10) || 'metadata: {}' || chr(10) AS body, 0.91::DOUBLE AS reliability FROM pages")
+def external_pointers(spark, sf_dir):
+    p = C.external_pointer(F.col("url"), F.concat(F.lit("sha256:"), F.sha2("html", 256)), F.octet_length("html"), F.lit(""))
+    return table(spark, sf_dir, "pages").select(p.alias("p")).select("p.concept", "p.body", F.col("p.reliability").cast("double").alias("reliability"))
+
+
+# ---- words ----------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {REC}, s2 AS (SELECT vec_id, list_transform(range(1, 65), lambda i: atan2(q[65 - i], q[i]) * (i - 1) + sqrt(q[i] * q[i] + q[65 - i] * q[65 - i])) AS p FROM rec)
+    SELECT vec_id, round(cos(p[1]) / 8, 6) + 0.0 AS re_first, round(sin(p[64]) / 8, 6) + 0.0 AS im_last FROM s2"""
+)
+def vec_symbolic(spark, sf_dir):
+    z = C.symbolic(V.Z(F.col("q"), F.reverse("q")))
+    return records(spark, sf_dir).select("vec_id", (F.round(F.get(z.re, F.lit(0)), 6) + 0.0).alias("re_first"), (F.round(F.get(z.im, F.lit(63)), 6) + 0.0).alias("im_last"))
+
+
+_WORDS = f"""w AS (SELECT item_id, unnest(string_split(text, ' ')[1:6]) AS w, generate_subscripts(string_split(text, ' ')[1:6], 1) AS k FROM benchmark),
+    x AS (SELECT item_id, i, (k % 5 + i) / 10.0::DOUBLE AS c, ('0x' || md5(w || '#' || i)[1:8])::BIGINT / 4294967296.0::DOUBLE * 2 * pi() AS a FROM w, range({_D}) t(i)),
+    s AS (SELECT item_id, i, sum(c * cos(a) * 0.5) AS re, sum(c * sin(a) * 0.5) AS im FROM x GROUP BY ALL), n AS (SELECT item_id, sqrt(sum(re * re + im * im)) AS n FROM s GROUP BY item_id)"""
+
+
+@query(f"WITH {_WORDS}, v AS (SELECT item_id, list(re / n ORDER BY i) || list(im / n ORDER BY i) AS v FROM s JOIN n USING (item_id) GROUP BY item_id), f AS (SELECT v AS f FROM v WHERE item_id = (SELECT min(item_id) FROM benchmark)) SELECT item_id, round(v[1], 6) + 0.0 AS first, round(list_dot_product(v, f), 6) + 0.0 AS equivalence FROM v, f")
+def word_compression(spark, sf_dir):
+    """Bundles of words as one vector, and how far each says the same as the first."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.slice(F.split("text", " "), 1, 6)).alias("k", "w"))
+    at = F.sequence(F.lit(0), F.lit(_D - 1))
+    ws = b.select("item_id", F.transform(at, lambda i: ((F.col("k") + 1) % 5 + i) / 10.0).alias("c"), F.transform(at, lambda i: F.cos(E.lane(F.col("w"), i))).alias("re"), F.transform(at, lambda i: F.sin(E.lane(F.col("w"), i))).alias("im"))
+    v = C.compressed(ws, "item_id", "c", "re", "im")
+    first = v.orderBy("item_id").limit(1).select(F.col("re").alias("fr"), F.col("im").alias("fi"))
+    e = C.equivalence(V.Z(F.col("re"), F.col("im")), V.Z(F.col("fr"), F.col("fi")))
+    return v.crossJoin(F.broadcast(first)).select("item_id", (F.round(F.get("re", F.lit(0)), 6) + 0.0).alias("first"), (F.round(e, 6) + 0.0).alias("equivalence"))
+
+
+@query(f"WITH a AS (SELECT doc_id, i, ('0x' || md5(lang || '#' || i)[1:8])::BIGINT / 4294967296.0::DOUBLE * 2 * pi() AS x, ('0x' || md5(source || '#' || i)[1:8])::BIGINT / 4294967296.0::DOUBLE * 2 * pi() AS y, ('0x' || md5('note' || '#' || i)[1:8])::BIGINT / 4294967296.0::DOUBLE * 2 * pi() AS z FROM documents, range({_D}) t(i)) SELECT doc_id, round(max(CASE WHEN i = 0 THEN cos(x + y + z) END) / sqrt({_D}), 6) + 0.0 AS first, 1.0::DOUBLE AS recovered FROM a GROUP BY doc_id")
+def lexicon_bind(spark, sf_dir):
+    """Word, definition and note on the unit circle, bound; unbinding word and note gives the definition back."""
+    at = F.sequence(F.lit(0), F.lit(_D - 1))
+    phase = lambda t: V.Z(F.transform(at, lambda i: F.cos(E.lane(t, i))), F.transform(at, lambda i: F.sin(E.lane(t, i))))
+    w, d, n = phase(F.col("lang")), phase(F.col("source")), phase(F.lit("note"))
+    z = C.lexicon_entry(w, d, n)
+    rows = table(spark, sf_dir, "documents").select("doc_id", *[x.alias(k) for k, x in (("zr", z.re), ("zi", z.im), ("wr", w.re), ("wi", w.im), ("dr", d.re), ("di", d.im), ("nr", n.re), ("ni", n.im))])
+    c = lambda k: V.Z(F.col(f"{k}r"), F.col(f"{k}i"))
+    back = V.zunit(V.product(V.product(c("z"), V.conjugate(c("w"))), V.conjugate(c("n"))))
+    own = V.zunit(c("d"))
+    return rows.select("doc_id", (F.round(F.get("zr", F.lit(0)), 6) + 0.0).alias("first"), F.round(C.equivalence(back, own), 6).alias("recovered"))
+
+
+@query("SELECT 'w' || c_custkey AS word, CASE WHEN c_custkey % 2 = 0 AND c_custkey % 3 = 0 THEN 'old' || chr(10) || c_mktsegment WHEN c_custkey % 2 = 0 THEN 'old' ELSE c_mktsegment END AS body, CASE WHEN c_custkey % 2 = 0 AND c_custkey % 3 = 0 THEN 'updated' WHEN c_custkey % 2 = 0 THEN 'kept' ELSE 'minted' END AS status FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0")
+def lexicon_upsert(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").withColumn("word", F.concat(F.lit("w"), "c_custkey"))
+    return C.lexicon_upsert(c.where("c_custkey % 2 = 0").select("word", F.lit("old").alias("body")), c.where("c_custkey % 3 = 0").select("word", F.col("c_mktsegment").alias("body")))
