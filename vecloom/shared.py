@@ -32,6 +32,12 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove the files of an earlier cut that nothing reads any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        remove(df.sparkSession, path)
+
+
 def cut(df: DataFrame, name: str = "cut", stay: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: short lineage that outlives executors.
 
