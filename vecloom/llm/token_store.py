@@ -14,8 +14,8 @@ place at the next level is the rank of that bit. Segments hold whole documents,
 order within a part; parts are ascending too, so ``(part, seq)`` is the order of the corpus.
 
 Texts are encoded by the tokenizers library, whole. A space between two non-space characters always
-starts a new pre-token, so texts are cut there. The distinct cuts of all texts are counted; those met again
-are encoded once, the most frequent up to ``TABLE`` bytes, and broadcast; each task encodes what the table lacks.
+starts a new pre-token, so texts are cut there and each worker encodes a distinct cut once, keeping a
+bounded table of results (in packed arrays, two generations of ``KNOWN`` cuts).
 
 Edge cases: null and empty texts have only the end id; rows with equal ids stay apart, in a fixed
 order; a null doc_id comes first (in the file: the least 64-bit number, which a doc_id must not be: a row with it
@@ -30,6 +30,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +38,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Packed, cut, gather, most_frequent, pieces_at, release, scratch, shared_path, slices, text_of
+from .common import Packed, gather, pieces_at, release, shared_path, slices, text_of
 
 END = 0
 SEGMENT = 1 << 20
-SLICE = 3 << 20
-TABLE = 96 << 20
+SLICE = 8 << 20
+KNOWN = 800_000
 RUN = 32
 #: Fixed value: how the byte-level vocabulary writes a space.
 SPACED = "Ġ"
@@ -72,7 +73,7 @@ class Encoder:
     ids whose piece starts with a space tell where each begins; a cut with other spaces is encoded alone.
     """
 
-    def __init__(self, path: str, table: Packed | None = None):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -80,7 +81,8 @@ class Encoder:
         vocab = self.library.get_vocab()
         self.spaced = np.zeros(max(vocab.values(), default=0) + 1, bool)
         self.spaced[[i for piece, i in vocab.items() if piece.startswith(SPACED)]] = True
-        self.table = table
+        self.tables: list[Packed] = []  # the newest first
+        self.pending: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts end to end, and how many each has."""
@@ -116,38 +118,62 @@ class Encoder:
         place[np.concatenate((plain, np.flatnonzero(alone)))] = np.arange(len(cuts))
         return gather(np.concatenate((values, more)), each, place)
 
+    def _learn(self, cuts: pa.Array, values: np.ndarray, sizes: np.ndarray) -> None:
+        """Keep new results; they join the newest table some at a time, and that grows old when it is full."""
+        self.pending.append((cuts, values, sizes))
+        if sum(len(c) for c, _, _ in self.pending) < KNOWN // 4:
+            return
+        words, ids, n = (list(x) for x in zip(*self.pending))
+        self.pending = []
+        if self.tables and len(self.tables[0].words) < KNOWN:
+            t = self.tables.pop(0)
+            words, ids, n = [t.words, *words], [t.ids.astype(np.int32), *ids], [np.diff(t.at), *n]
+        ends = np.concatenate(([0], np.cumsum(np.concatenate(n)))).astype(np.int32)
+        self.tables.insert(0, Packed(pa.concat_arrays(words), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))))
+        del self.tables[2:]
+
     def __call__(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts laid end to end (each closed by ``end``), and how many each has."""
-        cuts, index, firsts = split_cuts(texts)
         if not len(texts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        place = self.table.find(cuts) if self.table is not None else np.full(len(cuts), -1, np.int64)
-        new, known = np.flatnonzero(place < 0), np.flatnonzero(place >= 0)
-        used = np.zeros(len(cuts), bool)  # a cut that only begins texts is not needed after a space
+        cuts, index, firsts = split_cuts(texts)
         inner = np.ones(len(index), bool)
         inner[firsts] = False
-        used[index[inner]] = True
-        new = new[used[new]]
-        own, n_new = self.after_space(cuts.take(pa.array(new)))
-        heads, n_heads = self._encode(cuts.take(pa.array(index[firsts])).to_pylist())
-        sizes = np.zeros(len(cuts) + len(firsts) + 1, np.int64)
-        starts = np.zeros(len(sizes), np.int64)
-        if self.table is not None:
-            t = self.table
-            starts[known], sizes[known] = t.at[place[known]], t.at[place[known] + 1] - t.at[place[known]]
-            found = pieces_at(t.ids, starts[known], sizes[known]).astype(np.int32)
-            starts[known] = np.cumsum(sizes[known]) - sizes[known]
-        else:
-            found = np.zeros(0, np.int32)
-        sizes[new], starts[new] = n_new, len(found) + np.cumsum(n_new) - n_new
+        wanted = np.zeros(len(cuts), bool)  # a cut that only begins texts is not needed after a space
+        wanted[index[inner]] = True
         base = len(cuts)
-        sizes[base:-1], starts[base:-1] = n_heads, len(found) + len(own) + np.cumsum(n_heads) - n_heads
-        values = np.concatenate((found, own, heads, [0 if end is None else end])).astype(np.int64)
-        sizes[-1], starts[-1] = 1, len(values) - 1
+        sizes, starts = np.zeros(base + len(firsts) + 1, np.int64), np.zeros(base + len(firsts) + 1, np.int64)
+        values, total = [], 0
+
+        def put(at: np.ndarray | slice, ids: np.ndarray, own: np.ndarray) -> None:
+            nonlocal total
+            sizes[at], starts[at] = own, total + np.cumsum(own) - own
+            values.append(ids.astype(np.int32, copy=False))
+            total += len(ids)
+
+        left = np.flatnonzero(wanted)
+        for t in self.tables:
+            place = t.find(cuts if len(left) == base else cuts.take(pa.array(left)))
+            hit = place >= 0
+            rows = place[hit]
+            own = (t.at[rows + 1] - t.at[rows]).astype(np.int64)
+            put(left[hit], pieces_at(t.ids, t.at[rows].astype(np.int64), own), own)
+            left = left[~hit]
+        new = cuts.take(pa.array(left))
+        ids, own = self.after_space(new)
+        put(left, ids, own)
+        put(slice(base, base + len(firsts)), *self._encode(cuts.take(pa.array(index[firsts])).to_pylist()))
+        put(slice(base + len(firsts), None), np.array([end or 0]), np.ones(1, np.int64))
+        self._learn(new, ids, own)
         index[firsts] = base + np.arange(len(firsts))
         if end is not None:
             index, firsts = np.insert(index, np.append(firsts[1:], len(index)), len(sizes) - 1), firsts + np.arange(len(firsts))
-        return pieces_at(values, starts[index], sizes[index]).astype(np.uint32), np.add.reduceat(sizes[index], firsts)
+        return pieces_at(np.concatenate(values), starts[index], sizes[index]).view(np.uint32), np.add.reduceat(sizes[index], firsts)
+
+
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def split_cuts(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -159,28 +185,6 @@ def split_cuts(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return values.dictionary, values.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.asarray(lists.offsets)[:-1].astype(np.int64) - lists.offsets[0].as_py()
 
 
-def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for lo, hi in slices(b.column(0), SLICE):
-            cuts, index, _ = split_cuts(b.column(0)[lo:hi])
-            yield pa.RecordBatch.from_arrays([cuts, pa.array(np.bincount(index, minlength=len(cuts)))], ["w", "n"])
-            release()
-
-
-def _looked_up(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    encode = Encoder(path)
-    for b in batches:
-        values, sizes = encode.after_space(b.column(0))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(values))], ["w", "ids"])
-
-
-def cut_table(docs: DataFrame, path: str, most: int) -> Packed:
-    """The ids of the cuts that are met again, the most frequent first, in at most ``most`` bytes."""
-    cuts = docs.select(text_of().alias("text")).mapInArrow(_tally, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).where("n > 1")
-    head, _ = most_frequent(cut(cuts, "cuts"), F.octet_length("w") + F.lit(40), most)
-    return Packed.read(head.select("w").mapInArrow(lambda it: _looked_up(it, path), "w string, ids array<int>"))
-
-
 # ---- the format ---------------------------------------------------------------------------
 
 
@@ -253,10 +257,10 @@ class Segment:
 # ---- writing and reading ------------------------------------------------------------------
 
 
-def _segments(batches: Iterator[pa.RecordBatch], path: str, table: Packed, end: int) -> Iterator[pa.RecordBatch]:
+def _segments(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    part, encode = TaskContext.get().partitionId(), Encoder(path, table)
+    part, encode = TaskContext.get().partitionId(), _encoder(path)
     doc_ids: list[np.ndarray] = []
     ids: list[np.ndarray] = []
     counts: list[np.ndarray] = []
@@ -279,21 +283,18 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str, table: Packed, end:
             n += len(x)
             if n >= SEGMENT:
                 yield flush()
-            release()
+        release()
     if n:
         yield flush()
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = END, table: int = TABLE) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = END) -> None:
     """Encode ``docs`` and write the dataset at ``path``, ids in ascending doc_id order."""
     file = tokenizer or default_tokenizer()
     known = F.when(F.col("doc_id") == F.lit(NO_ID + 1) - 1, F.raise_error(F.lit("doc_id -2**63 stands for null in token files"))).otherwise(F.col("doc_id").cast("long"))
     rows = docs.select(known.cast("long").alias("doc_id"), text_of().alias("text"))
     ranged = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    with scratch(docs.sparkSession):
-        shared = docs.sparkSession.sparkContext.broadcast(cut_table(docs, file, table))
-        ranged.mapInArrow(lambda it: _segments(it, file, shared.value, end), SCHEMA).write.parquet(path)
-    shared.unpersist()
+    ranged.mapInArrow(lambda it: _segments(it, file, end), SCHEMA).write.parquet(path)
 
 
 def _read(spark: SparkSession, path: str, column: str, kind: str, value) -> DataFrame:
