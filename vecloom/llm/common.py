@@ -15,9 +15,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecloom.shared import cut, remove, scratch, shared_path
+from vecloom.shared import cut, discard, remove, scratch, shared_path
 
-__all__ = ["SPACE", "WORD", "Packed", "components", "cut", "fold_of", "fresh", "gather", "left_join", "most_frequent", "numbered", "pick", "pieces_at", "release", "remove", "row_key", "scratch", "shared_path", "slices", "text_of"]
+__all__ = ["SPACE", "WORD", "Packed", "components", "cut", "discard", "fold_of", "fresh", "gather", "left_join", "most_frequent", "numbered", "pick", "pieces_at", "release", "remove", "row_key", "scratch", "shared_path", "slices", "text_of"]
 
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # absent where the C library is not glibc
 
@@ -160,12 +160,16 @@ class Packed:
         """The row of each word in the table, or -1."""
         place = np.full(len(words), -1, np.int64)
         h = self._hashes(words)
-        lo, hi = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
-        for step in range(int((hi - lo).max(initial=0))):  # more than once only where hashes collide
-            asked = np.flatnonzero((lo + step < hi) & (place < 0))
-            rows = lo[asked] + step
-            same = pc.equal(self.words.take(pa.array(rows)), words.take(pa.array(asked))).to_numpy(zero_copy_only=False)
-            place[asked[same]] = rows[same]
+        at = np.searchsorted(self.hashes, h)
+        open_ = np.arange(len(words))
+        while len(open_):  # more than once only where hashes collide
+            open_ = open_[at[open_] < len(self.hashes)]
+            open_ = open_[self.hashes[at[open_]] == h[open_]]
+            rows = at[open_]
+            same = pc.equal(self.words.take(pa.array(rows)), words.take(pa.array(open_))).to_numpy(zero_copy_only=False)
+            place[open_[same]] = rows[same]
+            open_ = open_[~same]
+            at[open_] += 1
         return place
 
 

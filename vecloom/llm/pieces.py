@@ -41,7 +41,7 @@ from .common import Packed, cut, fresh, gather, most_frequent, pieces_at, releas
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 UNIGRAM, BPE = 1, 2
-SLICE = 2 << 20
+SLICE = 4 << 20
 SHARE = 20_000
 TABLE = 128 << 20
 LONG = {BPE: 1024, UNIGRAM: 1 << 16}
@@ -262,7 +262,7 @@ def _tally(batches: Iterator[pa.RecordBatch], model: PieceModel) -> Iterator[pa.
             n = np.bincount(known.indices.to_numpy(zero_copy_only=False), weights=each, minlength=len(known.dictionary)).astype(np.int64)
             out = pa.RecordBatch.from_arrays([known.dictionary, pa.array(n)], ["w", "n"])
             yield out.filter(pc.less_equal(pc.utf8_length(known.dictionary), LONG[model.kind]))
-            release()
+        release()
 
 
 # ---- lattice and folds --------------------------------------------------------------------
@@ -459,7 +459,7 @@ def _encode(batches: Iterator[pa.RecordBatch], shared) -> Iterator[tuple[pa.Arra
         for lo, hi in slices(b.column(1), SLICE):
             texts = b.column(1)[lo:hi]
             yield b.column(0)[lo:hi], texts, *fill(texts)
-            release()
+        release()
 
 
 def _lists(ids: np.ndarray, starts: np.ndarray) -> pa.Array:
