@@ -5,7 +5,7 @@ in reach; the difference of the two sizes over their maximum is turned into a pr
 curve fitted on rows that the dictionaries have not seen. Label, language, source and id are no input.
 
 The fit uses a bounded sample: at most ``SAMPLE`` labelled rows of each class, those with the least
-hash of their id, outside the held-out fold, of at most ``LONGEST`` characters each. Scoring reads every row.
+hash of their id, outside the held-out fold, of at most ``LONGEST`` bytes each. Scoring reads every row.
 
 Edge cases: null and empty texts score the curve at difference zero; with no labelled rows of one
 class the score is the other's share; rows that repeat score alike; extra columns are ignored; an empty
@@ -24,10 +24,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, text_of
+from .common import fold_of, release, text_of
 
 SAMPLE = 3000
-LONGEST = 100_000
+LONGEST = 16_384  # bytes, so that a sample has 98 MB at most
 DICT_BYTES = 112_640
 FRAME = 4096
 LEVEL = 3
@@ -40,7 +40,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     """
     known = labels.where(F.col(label).isin(0, 1) & (fold_of() != 0)).select(F.col("doc_id").alias("_id"), F.col(label).alias("_y"), F.xxhash64("doc_id").alias("_h"))
     picked = known.where("_y = 1").orderBy("_h", "_id").limit(per_class).union(known.where("_y = 0").orderBy("_h", "_id").limit(per_class))
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).where(F.length(text_of()) <= longest)
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).where(F.octet_length(text_of()) <= longest)
     got = rows.select("_h", "_id", "_y", text_of().cast("binary").alias("text")).collect()  # at most 2 x per_class rows
     return [(r[2], bytes(r[3])) for r in sorted(got, key=lambda r: (r[0], r[1], bytes(r[3])))]
 
@@ -152,5 +152,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Dat
         for b in batches:
             p = m.probability(np.array([meter((t or "").encode()) for t in b.column(at).to_pylist()], float))
             yield b.filter(pa.array(p >= threshold))
+            release()
 
     return docs.mapInArrow(run, schema)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, left_join, pick, row_key, scratch, text_of
+from .common import components, cut, left_join, pick, release, row_key, scratch, text_of
 
 RADIUS = 4
 SEED = 42
@@ -63,6 +63,7 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
         for b in batches:
             fp = np.array([fingerprint(x.as_py(), words) for x in b.column(2)], np.uint64).view(np.int64)  # one text at a time as a Python object
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], ["doc_id", "row", "fp"])
+            release()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs["text"], docs["doc_id"]).alias("row"), text_of().cast("binary").alias("text"))
     return rows.mapInArrow(run, "doc_id long, row binary, fp long")
