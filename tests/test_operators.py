@@ -183,7 +183,7 @@ def test_splice_modes(spark, concept, text, mode):
 
 def test_bodies_are_capped_at_their_tail(spark):
     got = one(spark, T.capped(F.lit("a" * 100 + "b" * 100), 150))
-    assert got.startswith("[body truncated — 114 chars removed from head]\n\n") and got.endswith("b" * 86) and "a" not in got.split("\n\n")[1]
+    assert got.startswith("[provlog truncated — 114 chars removed from head]\n\n") and got.endswith("b" * 86) and "a" not in got.split("\n\n")[1]
     assert one(spark, T.segments(F.lit("one\n\n--- update @ 5 ---\ntwo\n\n--- update @ 6 ---\nthree"), 2)) == ["two", "three"]
 
 
@@ -195,7 +195,7 @@ def test_splicing_keeps_the_longest_documents(spark, tmp_path):
         body = text if i % 4 == 1 else f"old body\n\n--- update @ {i} ---\n{text}"
         if len(body) > 96_000:
             gone = len(body) - (96_000 - 64)
-            body = f"[body truncated — {gone} chars removed from head]\n\n{body[gone:]}"
+            body = f"[provlog truncated — {gone} chars removed from head]\n\n{body[gone:]}"
         assert got[i] == hashlib.sha256(body.encode()).hexdigest()
     assert len(got) == 4
 
