@@ -173,16 +173,28 @@ class Packed:
         return place
 
 
-def most_frequent(words: DataFrame, cost: Column, most: int) -> tuple[DataFrame, bool]:
-    """The rows of ``words`` (with a count ``n``) of highest counts whose ``cost`` in bytes sums to ``most`` at most, and whether that is all."""
-    by_n = words.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.sum(cost).alias("b")).orderBy(F.desc("n")).collect()  # at most 1000 rows
-    least, total = None, 0
-    for r in by_n:
-        total += r["b"]
-        if total > most:
+def most_frequent(words: DataFrame, key: str, cost: Column, most: int) -> tuple[DataFrame, bool]:
+    """The rows of ``words`` (with a count ``n``) of highest counts whose ``cost`` in bytes sums to ``most`` at most, and whether that is all.
+
+    Counts are classed by powers of two; of the class that no longer fits whole, rows are taken by a hash of ``key``
+    until the bound is reached.
+    """
+    level, bucket = F.floor(F.log2("n")), F.pmod(F.xxhash64(key), F.lit(1024))
+    least, room, whole = None, most, True
+    for r in words.groupBy(level.alias("level")).agg(F.sum(cost).alias("b")).orderBy(F.desc("level")).collect():  # 63 at most
+        if r["b"] > room:
+            whole = False
             break
-        least = r["n"]
-    return words.where(F.lit(False) if least is None else F.col("n") >= least), total <= most
+        least, room = r["level"], room - r["b"]
+    fits = F.lit(False) if least is None else level >= least
+    if not whole:
+        upto = 0
+        for x in words.where(level == r["level"]).groupBy(bucket.alias("bucket")).agg(F.sum(cost).alias("b")).orderBy("bucket").collect():  # 1024 at most
+            if x["b"] > room:
+                break
+            room, upto = room - x["b"], x["bucket"] + 1
+        fits = fits | ((level == r["level"]) & (bucket < upto))
+    return words.where(fits), whole
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

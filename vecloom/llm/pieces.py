@@ -479,7 +479,7 @@ ENCODED = "doc_id long, ids array<int>, n_bytes long, crc long"
 def _table_of(docs: DataFrame, model: PieceModel, table: int) -> tuple[Packed, DataFrame | None]:
     """The words that fit in ``table`` bytes, the most frequent first; and all words, if some do not fit."""
     words = cut(word_table(docs, model), "words")
-    head, whole = most_frequent(words, F.octet_length("w") + 4 * F.size("ids") + 24, table)
+    head, whole = most_frequent(words, "w", F.octet_length("w") + 4 * F.size("ids") + 24, table)
     return Packed.read(head.select("w", "ids")), None if whole else words
 
 

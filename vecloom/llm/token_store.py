@@ -73,11 +73,14 @@ class Encoder:
     ids whose piece starts with a space tell where each begins; a cut with other spaces is encoded alone.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False, known: int | None = None):
+        """``plain``: the strings of special tokens are text like any other; ``known``: cuts in a generation of the table."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.known = known or KNOWN
         self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = plain
         vocab = self.library.get_vocab()
         self.spaced = np.zeros(max(vocab.values(), default=0) + 1, bool)
         self.spaced[[i for piece, i in vocab.items() if piece.startswith(SPACED)]] = True
@@ -121,11 +124,11 @@ class Encoder:
     def _learn(self, cuts: pa.Array, values: np.ndarray, sizes: np.ndarray) -> None:
         """Keep new results; they join the newest table some at a time, and that grows old when it is full."""
         self.pending.append((cuts, values, sizes))
-        if sum(len(c) for c, _, _ in self.pending) < KNOWN // 4:
+        if sum(len(c) for c, _, _ in self.pending) < self.known // 4:
             return
         words, ids, n = (list(x) for x in zip(*self.pending))
         self.pending = []
-        if self.tables and len(self.tables[0].words) < KNOWN:
+        if self.tables and len(self.tables[0].words) < self.known:
             t = self.tables.pop(0)
             words, ids, n = [t.words, *words], [t.ids.astype(np.int32), *ids], [np.diff(t.at), *n]
         ends = np.concatenate(([0], np.cumsum(np.concatenate(n)))).astype(np.int32)
