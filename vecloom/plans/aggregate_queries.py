@@ -136,7 +136,7 @@ def source_histogram(spark, sf_dir):
 
 
 @query(
-    """WITH RECURSIVE e AS (SELECT user_id, event_id, 1 + floor(value)::BIGINT AS cost, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events WHERE event_id < 2000),
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, 1 + floor(value)::BIGINT AS cost, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
     w AS (SELECT user_id, rn, CASE WHEN cost <= 40 THEN cost ELSE 0 END AS used, CASE WHEN cost <= 40 THEN 1 ELSE 0 END AS kept FROM e WHERE rn = 1
       UNION ALL SELECT e.user_id, e.rn, CASE WHEN used + cost <= 40 THEN used + cost ELSE used END, CASE WHEN used + cost <= 40 THEN kept + 1 ELSE kept END FROM w JOIN e ON e.user_id = w.user_id AND e.rn = w.rn + 1)
     SELECT user_id, arg_max(used, rn) AS used, arg_max(kept, rn)::INT AS kept FROM w GROUP BY user_id"""
