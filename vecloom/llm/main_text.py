@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ from .common import cut, left_join, slices, text_of
 WORDS = 5
 PAGES = 3
 COVERED = 0.8
-CHUNK = 1 << 20
+CHUNK = 1 << 17
 SLICE = 4 << 20
 OPEN, MARKED, DECLARED = 0, 1, 2
 
@@ -163,30 +164,44 @@ def blocks_of(page: str) -> tuple[list[str], list[int]]:
     return texts, [MARKED if v < 0 else DECLARED if top and v >= top else OPEN for v in levels]
 
 
-PARSED = "row long, page_id long, url string, host string, page long, texts array<string>, kinds array<int>, words binary, sizes array<int>"
-
-
-def parsed(pages: DataFrame) -> DataFrame:
-    """Per page its blocks; ``words`` are the hashes of the words of blocks that are not declared, ``sizes`` how many each has."""
-    names = [c.split()[0] for c in PARSED.split(", ")]
+def read_pages(pages: DataFrame, schema: str, make) -> DataFrame:
+    """``make`` of ``(page_id, url, host, digest, texts, kinds)`` for some pages at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi in slices(b.column(4), SLICE):
-                out: list[list] = [[], [], [], [], []]
-                for page in b.column(4)[lo:hi].to_pylist():
-                    texts, kinds = blocks_of(page)
-                    words = [[] if k == DECLARED else t.split() for t, k in zip(texts, kinds)]
-                    digest = xxhash.xxh64_intdigest("\0".join([*texts, *map(str, kinds)])) - (1 << 63)
-                    raw = np.array([xxhash.xxh64_intdigest(w) for ws in words for w in ws], "<u8").tobytes()
-                    for c, v in zip(out, (digest, texts, kinds, raw, [len(ws) for ws in words])):
-                        c.append(v)
-                kinds = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int32())]
-                yield pa.RecordBatch.from_arrays([*(b.column(c)[lo:hi] for c in range(4)), *(pa.array(c, k) for c, k in zip(out, kinds))], names)
+            for lo, hi in slices(b.column(3), SLICE):
+                got = [blocks_of(page) for page in b.column(3)[lo:hi].to_pylist()]
+                digests = pa.array([xxhash.xxh64_intdigest("\0".join([*texts, *map(str, kinds)])) - (1 << 63) for texts, kinds in got], pa.int64())
+                yield make(*(b.column(c)[lo:hi] for c in range(3)), digests, got)
 
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), text_of("html").alias("html"))
-    return cut(rows.mapInArrow(run, PARSED), "pages", stay=True)
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), text_of("html").alias("html"))
+    return rows.mapInArrow(run, schema)
+
+
+def streams(pages: DataFrame) -> DataFrame:
+    """``host, page, words, sizes`` of each distinct page with words to look at: their hashes, and how many each block has."""
+
+    def make(page_id, url, host, digests, got) -> pa.RecordBatch:
+        words = [[[] if k == DECLARED else t.split() for t, k in zip(*page)] for page in got]
+        raw = pa.array([np.array([xxhash.xxh64_intdigest(w) for ws in page for w in ws], "<u8").tobytes() for page in words], pa.binary())
+        sizes = pa.array([list(map(len, page)) for page in words], pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays([host, digests, raw, sizes], ["host", "page", "words", "sizes"])
+
+    rows = read_pages(pages, "host string, page long, words binary, sizes array<int>", make).where(F.octet_length("words") > 0)
+    return cut(rows.groupBy("host", "page").agg(F.first("words").alias("words"), F.first("sizes").alias("sizes")), "streams", stay=True)
+
+
+def packed(pages: DataFrame) -> DataFrame:
+    """Per row of ``pages``: the texts of its blocks, compressed, since they travel once; marked ones are left empty."""
+
+    def make(page_id, url, host, digests, got) -> pa.RecordBatch:
+        pack = zstandard.ZstdCompressor(level=9)
+        blobs = [pack.compress("\0".join("" if k == MARKED else t.replace("\0", " ") for t, k in zip(*page)).encode()) for page in got]
+        kinds = pa.array([bytes(kinds) for _, kinds in got], pa.binary())
+        return pa.RecordBatch.from_arrays([page_id, url, host, digests, pa.array(blobs, pa.binary()), kinds], ["page_id", "url", "host", "page", "texts", "kinds"])
+
+    return read_pages(pages, "page_id long, url string, host string, page long, texts binary, kinds binary", make)
 
 
 # ---- suffix arrays of hosts ---------------------------------------------------------------
@@ -240,8 +255,7 @@ def _streams(t: pa.Table) -> list[np.ndarray]:
 
 def repeats(pages: DataFrame) -> DataFrame:
     """``host, page, gone, n_repeated``: the blocks of each distinct page that repeats cover, and its covered words."""
-    streams = pages.where(F.octet_length("words") > 0).groupBy("host", "page").agg(F.first("words").alias("words"), F.first("sizes").alias("sizes"))
-    sized = cut(streams, "streams", stay=True)
+    sized = streams(pages)
     parts = sized.groupBy("host").agg(F.ceil(F.sum(F.octet_length("words")) / (8 * CHUNK)).cast("int").alias("parts")).where("parts > 1")
     chunk = F.pmod(F.xxhash64("page"), F.coalesce("parts", F.lit(1))).cast("int")
     dealt = left_join(sized, parts, ["host"]).withColumn("chunk", chunk)
@@ -282,8 +296,16 @@ def repeats(pages: DataFrame) -> DataFrame:
 
 def main_text(pages: DataFrame) -> DataFrame:
     """Per row of ``pages``: ``page_id, url, text, n_chars`` and ``n_repeated``, the words that the host's suffix array covers."""
-    rows = parsed(pages)
-    both = left_join(rows.select("page_id", "url", "host", "page", "texts", "kinds"), repeats(rows), ["host", "page"])
-    stays = lambda t, i: (F.col("kinds")[i] == DECLARED) | ((F.col("kinds")[i] == OPEN) & ~F.coalesce(F.array_contains("gone", i), F.lit(False)))
-    text = F.array_join(F.filter("texts", stays), "\n\n")
-    return both.select("page_id", "url", text.alias("text"), F.char_length(text).cast("long").alias("n_chars"), F.coalesce("n_repeated", F.lit(0)).alias("n_repeated"))
+    both = left_join(packed(pages), repeats(pages), ["host", "page"]).select("page_id", "url", "texts", "kinds", "gone", "n_repeated")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for b in batches:
+            for lo, hi in slices(b.column(2), SLICE):
+                part, out = b.slice(lo, hi - lo), []
+                for blob, kinds, gone in zip(*(part.column(c).to_pylist() for c in (2, 3, 4))):
+                    texts, away = unpack.decompress(blob).decode().split("\0"), set(gone or ())
+                    out.append("\n\n".join(t for i, (t, k) in enumerate(zip(texts, kinds)) if k == DECLARED or (k == OPEN and i not in away)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.string()), pa.array(list(map(len, out)), pa.int64()), part.column(5).fill_null(0)], ["page_id", "url", "text", "n_chars", "n_repeated"])
+
+    return both.mapInArrow(run, "page_id long, url string, text string, n_chars long, n_repeated long")
