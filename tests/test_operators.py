@@ -82,20 +82,6 @@ def test_two_phase_recall_finds_the_exact_top(spark):
     assert len(exact & {x["concept"] for x in R.srht(df, q, 10, 32).collect()}) >= 9
 
 
-def test_recall_through_the_index(spark, sf_dir):
-    from vecloom.plans import catalog
-
-    big = sf_dir.replace("sf0.001", "sf0.1")
-    x = np.array([r["embedding"] for r in spark.read.parquet(f"{big}/embeddings.parquet").orderBy("vec_id").collect()])
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    got = {}
-    for r in catalog.QUERIES["recall_indexed"](spark, big).collect():
-        got.setdefault(r["query_id"], set()).add(int(r["concept"].split(":")[1]))
-    assert sorted(got) == list(range(0, len(x), 100))
-    hits = [len(got[q] & set(np.argsort(-(x @ x[q]), kind="stable")[:10].tolist())) for q in got]
-    assert np.mean(hits) >= 9
-
-
 def test_fixed_prefixes_and_notices(spark):
     d = lambda c: one(spark, S.goal_distance(F.lit(c)))
     assert [d(c) for c in ("primary_goal", "goal:x", "trace:x", "tile:x", "scar:x", "metric:x", "local:x", "note")] == [0, 0, 1, 2, 2, 5, 6, 3]

@@ -91,7 +91,8 @@ class Store:
         return self.publish(m, m["version"])
 
     def _files(self, t: dict, parts: list[int] | None = None) -> DataFrame:
-        dirs = [f"{self.root}/{d}" for p, d in t["dirs"].items() if parts is None or int(p) in parts]
+        wanted = None if parts is None else set(parts)
+        dirs = [f"{self.root}/{d}" for p, ds in t["dirs"].items() if wanted is None or int(p) in wanted for d in ds]
         if not dirs:
             return self.spark.createDataFrame([], t["schema"])
         return self.spark.read.schema(t["schema"]).parquet(*dirs)
@@ -99,9 +100,13 @@ class Store:
     def read(self, table: str, version: int | None = None) -> DataFrame:
         return self._files(self.manifest(version)["tables"][table])
 
-    def files(self, table: str, version: int | None = None) -> dict[int, str]:
-        """The folder of each part."""
-        return {int(p): d for p, d in self.manifest(version)["tables"][table]["dirs"].items()}
+    def read_parts(self, table: str, parts: list[int], version: int | None = None) -> DataFrame:
+        """Only the folders of these parts are listed and read."""
+        return self._files(self.manifest(version)["tables"][table], parts)
+
+    def files(self, table: str, version: int | None = None) -> dict[int, list[str]]:
+        """The folders of each part."""
+        return {int(p): ds for p, ds in self.manifest(version)["tables"][table]["dirs"].items()}
 
     def marks(self, version: int | None = None) -> dict[str, str]:
         return self.manifest(version)["marks"]
@@ -118,7 +123,7 @@ class Store:
         known = self.versions()
         for n in [n for n in self._numbers() if n not in known[-keep:]]:
             self._fs.delete(self._path(f"versions/{n:012}.json"), False)
-        used = {d.split("/")[1] for n in known[-keep:] for t in self.manifest(n)["tables"].values() for d in t["dirs"].values()}
+        used = {d.split("/")[1] for n in known[-keep:] for t in self.manifest(n)["tables"].values() for ds in t["dirs"].values() for d in ds}
         gone = [s.getPath().getName() for s in self._fs.listStatus(self._path("data")) if s.getPath().getName() not in used] if self.exists("data") else []
         for name in gone:
             remove(self.spark, f"{self.root}/data/{name}")
@@ -163,6 +168,18 @@ class Change:
         other = cut(other.select(*t["key"], "_new.*").select(*names, self._part(t).alias("part")), "change", stay=True)
         return self._rewrite(table, other)
 
+    def put_parts(self, table: str, rows: DataFrame, part: str) -> int:
+        """Adds rows, whose keys are new, to the parts that the column ``part`` names; files that are there stay. Returns the parts that grow."""
+        t = self.manifest["tables"][table]
+        folder = f"data/{table}-{uuid.uuid4().hex}"
+        rows.withColumn("part", F.col(part)).hint("rebalance", "part").write.partitionBy("part").parquet(f"{self.store.root}/{folder}")
+        grown = [n.split("=")[1] for s in self.store._fs.listStatus(self.store._path(folder)) if (n := s.getPath().getName()).startswith("part=")]
+        for p in grown:
+            t["dirs"].setdefault(p, []).append(f"{folder}/part={p}")
+        if grown:
+            self.touched[table] = self.touched.get(table, 0) + len(grown)
+        return len(grown)
+
     def delete(self, table: str, keys: DataFrame) -> int:
         t = self.manifest["tables"][table]
         met = self.read(table).join(keys.select(*t["key"]).distinct(), t["key"], "left_semi")
@@ -186,7 +203,7 @@ class Change:
         for p in parts:
             t["dirs"].pop(str(p), None)
             if self.store.exists(f"{folder}/part={p}"):
-                t["dirs"][str(p)] = f"{folder}/part={p}"
+                t["dirs"][str(p)] = [f"{folder}/part={p}"]
         self.touched[table] = self.touched.get(table, 0) + len(parts)
         return len(parts)
 
