@@ -10,6 +10,7 @@ from ..operators import mutate as M
 from ..sources import packs as P
 from ..sources.tables import records, table
 from ..streaming import feed as S
+from ..streaming.ordered import stateful_session
 from .registry import query
 from .vector_queries import REC
 
@@ -131,8 +132,7 @@ def event_windows(spark, sf_dir):
 )
 def stream_lease_ttl(spark, sf_dir):
     """Leases of an hour on event types, asked for by users; the state store keeps one lease a resource."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    e = S.read_table(spark, sf_dir, "events")
+    e = S.read_table(stateful_session(spark), sf_dir, "events")
     req = e.select(F.col("event_type").alias("resource"), F.col("user_id").alias("holder"), F.unix_micros("ts").alias("ts"), F.col("event_id").alias("order"))
     return S.replay(S.leases(req, 3_600_000_000), "leases")
 
