@@ -216,7 +216,7 @@ def test_extracted_items():
     assert [(r.kind, r.title) for r in K.toml_items("a=1\n[x.y]\nb=2\n[[z]]\nc=3")] == [("table", "x.y"), ("table_array", "z")]
     assert [(r.kind, r.title) for r in K.python_items("class A:\n    def f(self):\n        pass")] == [("class", "A"), ("function", "f")]
     rust = "/// Doc\npub fn f(x: u8) -> u8 {\n    x\n}\nstruct S;\nimpl S {\n    fn g() {}\n}"
-    assert [(r.kind, r.title, r.start, r.stop) for r in K.braced_items(rust, "rs")] == [("fn", "f", 2, 4), ("struct", "S", 5, 5), ("impl", "S", 6, 8), ("fn", "g", 7, 7)]
+    assert [(r.kind, r.title, r.start, r.stop) for r in K.code_items(rust, "rs")] == [("fn", "f", 2, 4), ("struct", "S", 5, 5), ("impl", "S", 6, 8), ("fn", "g", 7, 7)]
     assert K.leading_comment(rust.split("\n"), 2) == "Doc"
     assert list(K.python_items("def (")) == []
 

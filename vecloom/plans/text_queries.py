@@ -117,6 +117,24 @@ def markdown_items(spark, sf_dir):
     return d.lateralJoin(K.ExtractItems(F.lit("md"), F.col("md").outer())).select("doc_id", "kind", "level", "title", "start", "stop")
 
 
+_LINES = "length(t) - length(replace(t, chr(10), ''))"
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, lang, replace(coalesce(text, ''), '*/', '') AS t FROM documents), n AS (SELECT *, ({_LINES})::INT AS n FROM d)
+    SELECT doc_id, 'impl' AS kind, 'Doc' || doc_id AS title, '' AS owner, 1 AS start, 9 + n AS stop, '' AS doc FROM n
+    UNION ALL SELECT doc_id, 'fn', 'read_' || lang, 'Doc' || doc_id, 3, 8 + n, 'reads {{' FROM n
+    UNION ALL SELECT doc_id, 'struct', 'End', '', 10 + n, 10 + n, '' FROM n"""
+)
+def code_items(spark, sf_dir):
+    """Each text as a comment of a method, between strings and characters with braces."""
+    t = F.replace(F.coalesce("text", F.lit("")), F.lit("*/"), F.lit(""))
+    parts = ["impl Doc", F.col("doc_id"), " {\n    /// reads {\n    pub fn read_", F.col("lang"), "(&self) -> &'static str {\n        let c = '{'; // }\n        let s = r#\"} \"{\"#;\n        /* /* nested */ ", t, " */\n        \"}\"\n    }\n}\npub struct End;\n"]
+    code = F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    d = table(spark, sf_dir, "documents").select("doc_id", code.alias("code"))
+    return d.lateralJoin(K.ExtractItems(F.lit("rs"), F.col("code").outer())).select("doc_id", "kind", "title", "owner", "start", "stop", "doc")
+
+
 _FLD = "'**decision:** ' || lang || ' first' || chr(10) || 'x' || chr(10) || '**spatial:** src/' || source || '.rs:' || doc_id || chr(10) || '**recorded_at:** 12'"
 
 

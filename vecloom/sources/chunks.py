@@ -9,6 +9,8 @@ from collections.abc import Iterator
 from pyspark.sql import functions as F
 from pyspark.sql.types import Row
 
+from .code import LANGUAGES, code_items
+
 
 def chunk_spans(text: str, most: int) -> Iterator[str]:
     """Pieces of at most ``most`` characters, cut after the last white space if there is one."""
@@ -38,7 +40,7 @@ def markdown_items(text: str) -> Iterator[Row]:
     if rows and rows[0].strip() == "---":
         for k in range(1, len(rows)):
             if rows[k].strip() == "---":
-                yield Row(kind="frontmatter", level=0, title="", start=1, stop=k + 1, body="\n".join(rows[1:k]))
+                yield Row(kind="frontmatter", level=0, title="", start=1, stop=k + 1, body="\n".join(rows[1:k]), owner="")
                 start = k + 1
                 break
     fence, heads = None, []
@@ -47,13 +49,13 @@ def markdown_items(text: str) -> Iterator[Row]:
         if mark and fence is None:
             fence = (k, mark[1], mark[2])
         elif mark and fence and rows[k].startswith(fence[1]):
-            yield Row(kind="code", level=0, title=fence[2], start=fence[0] + 1, stop=k + 1, body="\n".join(rows[fence[0] + 1 : k]))
+            yield Row(kind="code", level=0, title=fence[2], start=fence[0] + 1, stop=k + 1, body="\n".join(rows[fence[0] + 1 : k]), owner="")
             fence = None
         elif fence is None and (h := re.match(r"^(#{1,6})\s+(.*?)\s*#*$", rows[k])):
             heads.append((k, len(h[1]), h[2]))
     for n, (k, level, title) in enumerate(heads):
         stop = next((j for j, other, _ in heads[n + 1 :] if other <= level), len(rows))
-        yield Row(kind="section", level=level, title=title, start=k + 1, stop=stop, body="\n".join(rows[k:stop]))
+        yield Row(kind="section", level=level, title=title, start=k + 1, stop=stop, body="\n".join(rows[k:stop]), owner=next((t for j, other, t in reversed(heads[:n]) if other < level), ""))
 
 
 def toml_items(text: str) -> Iterator[Row]:
@@ -61,7 +63,7 @@ def toml_items(text: str) -> Iterator[Row]:
     heads = [(k, m[1], m[2]) for k, r in enumerate(rows) if (m := re.match(r"^\s*(\[\[?)\s*([^\]]+?)\s*\]\]?\s*(?:#.*)?$", r))]
     for n, (k, mark, title) in enumerate(heads):
         stop = heads[n + 1][0] if n + 1 < len(heads) else len(rows)
-        yield Row(kind="table_array" if mark == "[[" else "table", level=0, title=title, start=k + 1, stop=stop, body="\n".join(rows[k:stop]).rstrip())
+        yield Row(kind="table_array" if mark == "[[" else "table", level=0, title=title, start=k + 1, stop=stop, body="\n".join(rows[k:stop]).rstrip(), owner="")
 
 
 def python_items(text: str) -> Iterator[Row]:
@@ -69,39 +71,14 @@ def python_items(text: str) -> Iterator[Row]:
         tree = ast.parse(text)
     except (SyntaxError, ValueError):
         return
-    rows = text.split("\n")
+    rows, owners = text.split("\n"), {}
     for node in ast.walk(tree):
+        own = getattr(node, "name", None) if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef) else owners.get(node, "")
+        for child in ast.iter_child_nodes(node):
+            owners[child] = own
         if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
             kind = "class" if isinstance(node, ast.ClassDef) else "function"
-            yield Row(kind=kind, level=node.col_offset, title=node.name, start=node.lineno, stop=node.end_lineno, body="\n".join(rows[node.lineno - 1 : node.end_lineno]))
-
-
-#: What opens an item, by language.
-OPENERS = {
-    "rs": r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+)*(fn|struct|enum|trait|impl|mod)\s+(?:<[^>]*>\s*)?([A-Za-z_]\w*)",
-    "go": r"^\s*(func|type)\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)",
-    "js": r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?(function|class|interface)\s+([A-Za-z_$]\w*)",
-    "java": r"^\s*(?:public|private|protected|static|final|abstract|\s)*\s*(class|interface|enum)\s+([A-Za-z_]\w*)",
-    "c": r"^(struct|enum|union|[A-Za-z_][\w\s*]*?)\s+\**([A-Za-z_]\w*)\s*(?:\(|\{)",
-}
-OPENERS |= {"ts": OPENERS["js"], "tsx": OPENERS["js"], "jsx": OPENERS["js"], "cpp": OPENERS["c"], "cc": OPENERS["c"], "h": OPENERS["c"]}
-
-
-def braced_items(text: str, language: str) -> Iterator[Row]:
-    """Items opened by a pattern and closed by their last brace (or a semicolon before any)."""
-    rows = text.split("\n")
-    for k, r in enumerate(rows):
-        m = re.match(OPENERS[language], r)
-        if not m:
-            continue
-        depth, seen, stop = 0, False, len(rows)
-        for j in range(k, len(rows)):
-            depth += rows[j].count("{") - rows[j].count("}")
-            seen |= "{" in rows[j]
-            if (seen and depth <= 0) or (not seen and rows[j].rstrip().endswith(";")):
-                stop = j + 1
-                break
-        yield Row(kind=m[1].split()[-1], level=len(r) - len(r.lstrip()), title=m[2], start=k + 1, stop=stop, body="\n".join(rows[k:stop]))
+            yield Row(kind=kind, level=node.col_offset, title=node.name, start=node.lineno, stop=node.end_lineno, body="\n".join(rows[node.lineno - 1 : node.end_lineno]), owner=owners.get(node, ""))
 
 
 def leading_comment(rows: list[str], start: int) -> str:
@@ -114,19 +91,19 @@ def leading_comment(rows: list[str], start: int) -> str:
     return "\n".join(reversed(out))
 
 
-@F.udtf(returnType="kind string, level int, title string, start int, stop int, body string, doc string, label string")
+@F.udtf(returnType="kind string, level int, title string, start int, stop int, body string, doc string, label string, owner string")
 class ExtractItems:
     """``extract_items(language, text)``: items of markdown, TOML or source code."""
 
     def eval(self, language: str, text: str):
         text = text or ""
         by = {"md": markdown_items, "toml": toml_items, "py": python_items}
-        items = by[language](text) if language in by else braced_items(text, language) if language in OPENERS else ()
+        items = by[language](text) if language in by else code_items(text, language) if language in LANGUAGES else ()
         rows = text.split("\n")
         for r in items:
             doc = leading_comment(rows, r.start) if language not in ("md", "toml") else ""
             head = r.body.split("\n", 1)[0].strip()
-            yield r.kind, r.level, r.title, r.start, r.stop, r.body, doc, f"{r.title}: {doc} — {head}"
+            yield r.kind, r.level, r.title, r.start, r.stop, r.body, doc, f"{r.title}: {doc} — {head}", r.owner
 
 
 def register(spark) -> None:
