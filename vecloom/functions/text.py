@@ -191,3 +191,61 @@ def first_json(text: Column) -> Column:
     """The text from its first opening brace to its last closing one, if it parses."""
     body = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
     return F.when(F.try_parse_json(body).isNotNull() & (body != ""), body)
+
+
+# ---- conditions that would overturn a decision ----------------------------------------------
+
+_BULLET = r"^(?:[-*•+] |[0-9]+[.)] )"
+_EDGES = " \t\r\x0b\x0c"
+
+
+def _bare(line: Column) -> Column:
+    """Without bullet marks, white space and quotes around it."""
+    return F.trim(F.regexp_replace(F.trim(F.ltrim(line, F.lit("-*+")), F.lit(_EDGES)), r'^[`"]+|[`"]+$', ""), F.lit(_EDGES))
+
+
+def _tells(v: Column) -> Column:
+    t = F.trim(v, F.lit(_EDGES))
+    return (F.octet_length(t) >= 3) & ~t.rlike(r"^[\[{]") & ~F.lower(t).isin("falsifiers", "falsifier") & t.rlike(r"[\p{L}\p{N}]")
+
+
+def falsifiers(text: Column) -> Column:
+    """What a summary says would overturn it, in order, each once.
+
+    Bullets below a heading of that name, the strings of a JSON array behind the key ``"falsifiers"`` (up to its closing
+    bracket; brackets and escaped quotes inside strings are text), values of lines that begin with ``falsifiers:``
+    (parted by semicolons), and lines that say so in words. Headings, bare keys and mentions in other lines are noise.
+    """
+    start = F.struct(F.lit(False).alias("inside"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, line: Column) -> Column:
+        raw = F.trim(line, F.lit(_EDGES))
+        low = F.lower(raw)
+        head = F.rtrim(F.trim(F.ltrim(low, F.lit("#")), F.lit(_EDGES)), F.lit(":"))
+        opens = head.isin("falsifiers", "falsifier", "would_falsify") | head.contains("would reverse")
+        inner = F.regexp_extract(raw, r'(?i)"falsifiers"[^\[]*\[((?:[^"\]]|"(?:[^"\\]|\\.)*")*)', 1)
+        items = F.transform(F.regexp_extract_all(inner, F.lit(r'"((?:[^"\\]|\\.)*)"'), F.lit(1)), lambda s: F.regexp_replace(s, r'\\(["\\/])', "$1"))
+        bare = F.trim(F.ltrim(raw, F.lit("-*+")), F.lit(_EDGES))
+        keyed = F.lower(bare).rlike("^falsifiers?:")
+        value = F.trim(F.regexp_replace(F.trim(F.regexp_replace(bare, "(?i)^falsifiers?:", ""), F.lit(_EDGES)), r'^[`"]+|[`"]+$', ""), F.lit(_EDGES))
+        parted = F.when(_tells(value), F.filter(F.transform(F.split(value, ";"), lambda p: F.trim(p, F.lit(_EDGES))), _tells)).otherwise(F.array().cast("array<string>"))
+        own = F.when(_tells(_bare(raw)), F.array(_bare(raw))).otherwise(F.array().cast("array<string>"))
+        said = (acc["inside"] & raw.rlike(_BULLET)) | low.rlike("would reverse|would_falsify")
+        more = F.when(low.contains('"falsifiers"'), F.filter(items, _tells)).when(keyed, parted).when(said, own).otherwise(F.array().cast("array<string>"))
+        heading = raw.startswith("#")
+        return F.when(raw == "", acc).otherwise(F.struct(F.when(heading, opens).otherwise(acc["inside"]).alias("inside"), F.when(heading, acc["out"]).otherwise(F.concat(acc["out"], more)).alias("out")))
+
+    return F.array_distinct(F.aggregate(lines(F.coalesce(text, F.lit(""))), start, step)["out"])
+
+
+def justification(text: Column) -> Column:
+    """A short reason: what follows ``justification:``, else ``decision_point:``, else ``decision:``; else the first telling line."""
+    out = None
+    for key in ("justification:", "decision_point:", "decision:"):
+        at = F.instr(F.lower(text), key)
+        cut = F.regexp_replace(F.trim(F.substring(text, at + len(key), F.lit(105)), F.lit(_EDGES + "\n")), "\n", " ")
+        short = F.when(F.octet_length(cut) > 100, F.concat(F.substring(cut, 1, 97), F.lit("…"))).otherwise(cut)
+        hit = (at > 0) & (F.octet_length(cut) > 3)
+        out = F.when(hit, short) if out is None else out.when(hit, short)
+    telling = F.get(F.filter(F.transform(lines(text), lambda t: F.trim(t, F.lit(_EDGES))), lambda t: (t != "") & ~t.startswith("**") & ~t.startswith("goal:")), F.lit(0))
+    return out.otherwise(F.coalesce(F.substring(telling, 1, 90), F.substring(text, 1, 85)))

@@ -135,6 +135,39 @@ def code_items(spark, sf_dir):
     return d.lateralJoin(K.ExtractItems(F.lit("rs"), F.col("code").outer())).select("doc_id", "kind", "title", "owner", "start", "stop", "doc")
 
 
+_BARE = "trim(regexp_replace(trim(ltrim({v}, '-*+')), '^[`\"]+|[`\"]+$', '', 'g'))"
+
+
+@query(
+    f"""WITH c AS (SELECT conv_id, turn, trim(string_split(coalesce(text, ''), chr(10))[1]) AS first FROM conversations), b AS (SELECT *, {_BARE.format(v="'- ' || first")} AS bare FROM c)
+    SELECT conv_id, turn, list_filter([CASE WHEN strlen(bare) >= 3 AND NOT regexp_matches(bare, '^[\\[{{]') AND regexp_matches(bare, '[\\p{{L}}\\p{{N}}]') THEN bare END, '2) `turn ' || turn || ' fails', 'a "quoted] ' || conv_id, 'one ' || turn, 'two', 'this would reverse it'], lambda x: x IS NOT NULL) AS falsifiers FROM b"""
+)
+def handoff_falsifiers(spark, sf_dir):
+    """Each turn's first line as a bullet of the section, between other forms and noise."""
+    c = table(spark, sf_dir, "conversations")
+    first = F.trim(F.get(F.split(F.coalesce("text", F.lit("")), "\n"), F.lit(0)))
+    parts = [
+        F.coalesce("text", F.lit("")), "\nship: falsifier parse\n### Falsifiers:\n- ", first, "\n2) `turn ", F.col("turn"), " fails`\n- ab\n{ \"falsifiers\": [\"a \\\"quoted] ", F.col("conv_id"), "\", \"[no\", \"x\"], \"other\": [\"not this\"] }\n"
+        "# Next\n- not in the section\n* falsifiers: one ", F.col("turn"), "; two; x\n- falsifiers:\n- this would reverse it\n- this would reverse it\n",
+    ]
+    summary = F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    return c.select("conv_id", "turn", T.falsifiers(summary).alias("falsifiers"))
+
+
+@query(
+    """WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), b AS (SELECT doc_id, t, CASE doc_id % 3 WHEN 0 THEN '**justification:** ' || t WHEN 1 THEN 'x' || chr(10) || 'Decision_point:  ' || t ELSE chr(10) || '**head**' || chr(10) || t END AS body FROM d),
+    r AS (SELECT *, CASE doc_id % 3 WHEN 0 THEN replace(trim(('** ' || t)[1:105], ' ' || chr(10) || chr(9) || chr(13) || chr(11) || chr(12)), chr(10), ' ') WHEN 1 THEN replace(trim(('  ' || t)[1:105], ' ' || chr(10) || chr(9) || chr(13) || chr(11) || chr(12)), chr(10), ' ') END AS cut,
+      list_filter(list_transform(string_split(body, chr(10)), lambda l: trim(l, ' ' || chr(9) || chr(13) || chr(11) || chr(12))), lambda l: l <> '' AND NOT starts_with(l, '**') AND NOT starts_with(l, 'goal:'))[1] AS line FROM b)
+    SELECT doc_id, CASE WHEN cut IS NOT NULL AND strlen(cut) > 3 THEN CASE WHEN strlen(cut) > 100 THEN cut[1:97] || '…' ELSE cut END ELSE coalesce(line[1:90], body[1:85]) END AS reason FROM r
+    WHERE doc_id % 3 <> 2 OR NOT regexp_matches(lower(body), 'justification:|decision_point:|decision:')"""
+)
+def justification_excerpts(spark, sf_dir):
+    i, t = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    body = F.when(i % 3 == 0, F.concat(F.lit("**justification:** "), t)).when(i % 3 == 1, F.concat(F.lit("x\nDecision_point:  "), t)).otherwise(F.concat(F.lit("\n**head**\n"), t))
+    d = table(spark, sf_dir, "documents").select("doc_id", body.alias("body"))
+    return d.where((i % 3 != 2) | ~F.lower("body").rlike("justification:|decision_point:|decision:")).select("doc_id", T.justification(F.col("body")).alias("reason"))
+
+
 _FLD = "'**decision:** ' || lang || ' first' || chr(10) || 'x' || chr(10) || '**spatial:** src/' || source || '.rs:' || doc_id || chr(10) || '**recorded_at:** 12'"
 
 

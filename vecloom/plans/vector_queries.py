@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..functions import vector as V
 from ..functions import vector_udf as U
+from ..operators import bake as B
 from ..operators import index as X
 from ..operators import recall as R
 from ..shared import cut
@@ -150,6 +151,32 @@ def recall_indexed(spark, sf_dir):
     return index.search(asked, K, index.calibrate(K))
 
 
+_MANY = f"""WITH {REC}, a AS (SELECT vec_id AS query_id, q AS asked FROM rec WHERE vec_id % 10 = 0),
+ m AS (SELECT query_id, concept, round(greatest(-1.0, least(1.0, list_cosine_similarity(q, asked))), 6) AS score FROM rec, a),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, concept) AS rank FROM m)"""
+
+
+def _asked(spark, sf_dir):
+    r = records(spark, sf_dir)
+    return r, r.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("q").alias("query"))
+
+
+@query(f"{_MANY} SELECT query_id, concept, score, rank FROM r WHERE rank <= {K}")
+def recall_many(spark, sf_dir):
+    """Every tenth record asks all records, in one pass."""
+    return B.recall_many(*_asked(spark, sf_dir), K)
+
+
+@query(
+    f"""{_MANY}, t AS (SELECT concept, max(score) AS score FROM r WHERE rank <= 15 GROUP BY 1 ORDER BY score DESC, concept LIMIT 15), n AS (SELECT concept, vec_id FROM rec ORDER BY vec_id DESC LIMIT 15)
+    SELECT 'fixed' AS section, x.position, x.concept, NULL::DOUBLE AS score FROM (VALUES (1, 'rec:3'), (2, 'rec:none'), (3, 'rec:1')) AS x(position, concept) JOIN rec USING (concept)
+    UNION ALL SELECT 'top', row_number() OVER (ORDER BY score DESC, concept), concept, score FROM t UNION ALL SELECT 'recent', row_number() OVER (ORDER BY vec_id DESC), concept, NULL FROM n"""
+)
+def context_bake(spark, sf_dir):
+    r, asked = _asked(spark, sf_dir)
+    return B.context_bake(r.select("concept", "q", F.col("vec_id").alias("ts")), asked, ["rec:3", "rec:none", "rec:1"], 15)
+
+
 @query()
 def recall_srht_b4(spark, sf_dir):
     return R.srht(*_base(spark, sf_dir), K, D)
