@@ -194,6 +194,9 @@ def test_pictures_read_as_written():
     p = np.arange(12.0).reshape(3, 4)
     assert (media.read_picture(media.write_picture(p)) == p).all()
     assert media.read_picture(b"P6 # note\n2 1\n255\n" + bytes([3, 3, 3, 9, 9, 9])).tolist() == [[3.0, 9.0]]
+    odd = [b"P5 99999999999999999999999 1 255 ", b"P5 4000000000 4000000000 255 x", b"P5 2 2 255 abc", b"P6 2 2 255 " + b"x" * 11, b"P5 0 5 255 ", b"P5 2 2 65535 abcdefgh", b"P5 # no end", b"P5 1 1 999999999999 a", b"P5 -1 2 255 ab", b"P5"]
+    assert [media.read_picture(raw) for raw in odd] == [None] * len(odd)
+    assert media.read_picture(b"P5 2 2 255 abcdef").shape == (2, 2)  # bytes behind the picture are left alone
 
 
 def seen(p, degrees, scale):

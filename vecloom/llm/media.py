@@ -43,6 +43,7 @@ VOTES = 3
 TABLES = 6
 MEETS = 256
 HEAVY = 20_000
+SEEN = 1 << 18
 
 # the places of the 256 tests: pairs of points around the corner
 _rng = np.random.default_rng(11)
@@ -64,17 +65,17 @@ def read_picture(raw: bytes | None) -> np.ndarray | None:
                 at = raw.index(b"\n", at)
                 continue
             end = at
-            while raw[end : end + 1].isdigit():
+            while raw[end : end + 1].isdigit() and end - at < 10:  # more digits than any picture has pixels are no size
                 end += 1
             parts.append(int(raw[at:end]))
             at = end
         w, h, most = parts
         n = 1 if raw[:2] == b"P5" else 3
-        if most > 255:
+        if most > 255 or not 0 < w * h * n <= len(raw) - at - 1:
             return None
         p = np.frombuffer(raw, np.uint8, w * h * n, at + 1).reshape(h, w, n)
         return p.mean(axis=2, dtype=np.float32)
-    except (ValueError, IndexError):
+    except (ValueError, IndexError, OverflowError):
         return None
 
 
@@ -156,6 +157,8 @@ def described(rows: DataFrame) -> DataFrame:
                 pics.append(pic)
                 absent.append(pic in seen)
                 if pic not in seen:
+                    if len(seen) >= SEEN:
+                        seen.clear()  # a picture met again is described again
                     seen.add(pic)
                     p = read_picture(raw)
                     for no, (x, y, s, a, d) in enumerate(describe(p) if p is not None and min(p.shape) > 1 else []):
