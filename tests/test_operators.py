@@ -306,3 +306,46 @@ def test_chunk_query_keeps_every_character(spark, sf_dir):
     got = {r["doc_id"]: r["n"] for r in catalog.QUERIES["chunk_text"](spark, sf_dir).groupBy("doc_id").agg(F.sum("n_chars").alias("n")).collect()}
     want = {r["doc_id"]: r["n"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", "length(text) as n").collect()}
     assert got == want
+
+
+# ---- groups that may hold most of the rows ---------------------------------------------------
+
+
+def test_neighbours_and_ranks_within_groups(spark):
+    rows = [("hot", k, f"n{k}") for k in range(50)] + [("a", 1, "x"), (None, 5, "y"), (None, 6, "z")]
+    df = spark.createDataFrame(rows, "g string, t long, name string").repartition(7)
+    got = {(r["g"], r["t"]): (r["after"], r["rank"]) for r in A.ranks_within(A.beside(df, "g", [F.asc("t")], 1, after="name"), "g", [F.desc("t")], "rank").collect()}
+    assert len(got) == 53 and got["hot", 48] == ("n49", 2) and got["hot", 49] == (None, 1) and got["hot", 0] == ("n1", 50)
+    assert got["a", 1] == (None, 1) and got[None, 5] == ("z", 2) and got[None, 6] == (None, 1)
+
+
+def test_slots_are_packed_by_priority(spark):
+    rows = [("a", 1, "x", 30), ("a", 2, "big", 20), ("a", 3, "y", 10), ("a", 3, "yy", 1), ("b", 1, "z", 99), (None, 1, "n", 5), ("a", 0, "none", None)]
+    df = spark.createDataFrame(rows, "g string, priority int, name string, cost int").repartition(5)
+    got = {r["g"]: (r["used"], r["kept"]) for r in A.packed_slots(df, "g", 40).collect()}
+    assert got == {"a": (40, ["x", "y"]), "b": (0, []), None: (5, ["n"])}
+    assert A.packed_slots(df.limit(0), "g", 40).count() == 0
+
+
+def test_best_overlap_by_index_and_by_join(spark, monkeypatch):
+    from vecloom.operators import overlap
+
+    many = spark.createDataFrame([(1, ["a", "b"]), (2, ["a", "c", "d"]), (3, []), (4, None), (5, ["q"]), (1, ["a", "b"])], "doc_id long, a array<string>")
+    few = spark.createDataFrame([(1, ["a", "b", "e"]), (2, ["d", "c"]), (3, []), (4, None)], "item_id long, b array<string>")
+    want = [(1, 2 / 3), (1, 2 / 3), (2, 2 / 3), (3, 0.0), (4, 0.0), (5, 0.0)]
+    for held in (overlap.HELD, 0):
+        monkeypatch.setattr(overlap, "HELD", held)
+        got = sorted(map(tuple, overlap.best_overlap(many, few).collect()))
+        assert [i for i, _ in got] == [i for i, _ in want] and [v for _, v in got] == pytest.approx([v for _, v in want])
+    assert {r["overlap"] for r in overlap.best_overlap(many, few.limit(0)).collect()} == {0.0}
+
+
+def test_signs_come_from_the_congruence():
+    x, out = 7, []
+    for _ in range(8):
+        x = (x * 6364136223846793005 + 1) % 2**64
+        out.append(-1.0 if x >> 63 else 1.0)
+    assert U.signs(8, 7).tolist() == out
+    v = np.arange(8.0)[None]
+    y = U.srht_rows(v, 7)
+    assert np.isclose(np.linalg.norm(y), np.linalg.norm(v)) and np.isclose(y[0, 0] * np.sqrt(8), (v[0] * out).sum())

@@ -74,8 +74,9 @@ def reconcile(steps: int):
 
 
 def srht_rows(x: np.ndarray, seed: int = 7) -> np.ndarray:
+    """Rows with seeded signs, through the Walsh-Hadamard transform, at their length."""
     n = x.shape[1]
-    x = x * np.where(np.random.default_rng(seed).random(n) < 0.5, -1.0, 1.0)
+    x = x * signs(n, seed)
     h = 1
     while h < n:
         x = x.reshape(len(x), -1, 2, h)
@@ -105,6 +106,15 @@ def phases(width: int, seed: int, spread: float) -> np.ndarray:
     return np.array(out)
 
 
+def signs(width: int, seed: int) -> np.ndarray:
+    """Seeded signs from the highest bits of the same congruence."""
+    out, x = [], seed
+    for _ in range(width):
+        x = (x * STEP + SHIFT) % (1 << 64)
+        out.append(-1.0 if x >> 63 else 1.0)
+    return np.array(out)
+
+
 def bind_noisy(width: int, seed: int = 7, spread: float = 0.05):
     """Elementwise product turned by a seeded phase, at unit length: real parts, then imaginary ones."""
     turn = phases(width, seed, spread)

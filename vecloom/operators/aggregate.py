@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
 from ..functions import vector as V
@@ -49,6 +53,23 @@ def number_rows(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return s.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_part", "_before")
 
 
+def beside(df: DataFrame, by: str, order: list[Column], step: int, **columns: str) -> DataFrame:
+    """``df`` with columns of the row ``step`` places on in its group (null where there is none): ``new name = column``.
+
+    Rows find one another by their number in a range sort; no group is gathered, whatever its share of all rows.
+    """
+    n = number_rows(df, [F.asc(by), *order], "_n")
+    other = n.select((F.col("_n") - step).alias("_m"), F.col(by).alias("_by"), *[F.col(c).alias(name) for name, c in columns.items()])
+    return n.join(other, (F.col("_n") == F.col("_m")) & F.col(by).eqNullSafe(F.col("_by")), "left").drop("_n", "_m", "_by")
+
+
+def ranks_within(df: DataFrame, by: str, order: list[Column], name: str) -> DataFrame:
+    """Row numbers from 1 in each group, from a range sort and the least number of each group."""
+    n = number_rows(df, [F.asc(by), *order], "_n")
+    first = n.groupBy(F.col(by).alias("_by")).agg(F.min("_n").alias("_first"))
+    return n.join(first, F.col(by).eqNullSafe(F.col("_by"))).withColumn(name, (F.col("_n") - F.col("_first") + 1).cast("int")).drop("_n", "_by", "_first")
+
+
 def skill_clusters(traces: DataFrame, least: int = 3, most: int = 50) -> DataFrame:
     """Successful reliable traces that repeat: same decision (normalised), file stem and tools."""
     key = F.concat_ws("|", T.normalised_decision(F.col("decision")), F.col("stem"), F.col("tools"))
@@ -107,9 +128,33 @@ def gate_violations(events: DataFrame, by: str, order: list[str], recalls: Colum
 def packed_slots(slots: DataFrame, by: str, budget: int) -> DataFrame:
     """Greedy packing by priority: what does not fit is left out and later, smaller slots may still fit.
 
-    ``slots``: by, priority, name, cost. A report's slots are few; a running sum would stop too early.
+    ``slots``: by, priority, name, cost. A running sum would stop too early. Slots are sorted by report within partitions
+    and read as a stream: a task keeps what it has kept of one report, not the report. Rows without a cost are left out.
     """
-    xs = F.array_sort(F.collect_list(F.struct("priority", "name", "cost")))
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<string>").alias("kept"))
-    step = lambda a, x: F.when(a["used"] + x["cost"] <= budget, F.struct((a["used"] + x["cost"]).cast("bigint").alias("used"), F.concat(a["kept"], F.array(x["name"])).alias("kept"))).otherwise(a)
-    return slots.groupBy(by).agg(F.aggregate(xs, start, step).alias("a")).select(by, "a.used", "a.kept")
+    kind = dict(slots.dtypes)[by]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        key, used, kept, open_ = None, 0, [], False
+        for b in batches:
+            for k, name, cost in zip(*(b.column(c).to_pylist() for c in range(3))):
+                if not open_ or k != key:
+                    if open_:
+                        out.append((key, used, kept))
+                    key, used, kept, open_ = k, 0, [], True
+                if cost is not None and used + cost <= budget:
+                    used += cost
+                    kept.append(name)
+            if len(out) > 1024:
+                yield batch(out)
+                out = []
+        yield batch([*out, (key, used, kept)] if open_ else out)
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows) if rows else [()] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (arrow, pa.int64(), pa.list_(pa.string())))], [by, "used", "kept"])
+
+    rows = slots.select(by, F.col("name").cast("string").alias("name"), F.col("cost").cast("long").alias("cost"), "priority")
+    arrow = to_arrow_type(slots.schema[by].dataType)
+    ordered = rows.repartition(by).sortWithinPartitions(by, "priority", "name", "cost")
+    return ordered.select(by, "name", "cost").mapInArrow(run, f"`{by}` {kind}, used long, kept array<string>")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vector as V
+from .aggregate import beside, ranks_within
 
 # Thresholds of alignment, surprise, promotion and consolidation.
 ALIGNED = 0.08
@@ -111,8 +112,7 @@ def action_rank(nudge: Column, reason: Column, concept: Column, priority: Column
 
 def ranked_actions(actions: DataFrame, by: str) -> DataFrame:
     """``actions`` (with ``rank`` and ``name``) renumbered from 1 within each report ``by``."""
-    w = Window.partitionBy(by).orderBy(F.desc("rank"), "name")  # a report's actions are few
-    return actions.withColumn("priority", F.row_number().over(w))
+    return ranks_within(actions, by, [F.desc("rank"), F.asc("name")], "priority")
 
 
 def open_scars(rows: DataFrame, recent: DataFrame, most: int = 5) -> DataFrame:
@@ -195,8 +195,8 @@ def auto_related(new: DataFrame, goal: str = "primary_goal") -> DataFrame:
 
 def glued(items: DataFrame) -> DataFrame:
     """Items of one file, in order, each linked to the next. ``items``: concept, file, start. As many edges as items."""
-    w = Window.partitionBy("file").orderBy("start", "concept")
-    return items.select("concept", F.lead("concept").over(w).alias("dst")).where("dst is not null").select(F.col("concept").alias("src"), F.lit("same_file").alias("label"), "dst")
+    near = beside(items.select("concept", "file", "start"), "file", [F.asc("start"), F.asc("concept")], 1, dst="concept")
+    return near.where("dst is not null").select(F.col("concept").alias("src"), F.lit("same_file").alias("label"), "dst")
 
 
 def fetch_or_encode(asked: DataFrame, stored: DataFrame, encoded: DataFrame) -> DataFrame:

@@ -6,12 +6,14 @@ top-k per partition and a merge, so no record vector is ever shuffled. Ties go b
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions import vector as V
+from ..functions.vector_udf import srht_rows
 from .aggregate import number_rows
 
 
@@ -78,20 +80,11 @@ def two_phase(records: DataFrame, query: DataFrame, k: int, widen: int = 8, code
 
 def srht_codes(width: int, seed: int = 7):
     """A Pandas UDF: sign flips, Walsh-Hadamard, then 16 levels per component."""
-    import numpy as np
-
-    signs = np.where(np.random.default_rng(seed).random(width) < 0.5, -1.0, 1.0)
-
     @F.pandas_udf("array<tinyint>")
     def code(v: pd.Series) -> pd.Series:
         if not len(v):
             return pd.Series([], dtype=object)
-        x = np.stack(v.to_numpy()).astype(np.float64) * signs
-        h = 1
-        while h < width:
-            x = x.reshape(len(x), -1, 2, h)
-            x = np.concatenate((x[:, :, :1] + x[:, :, 1:], x[:, :, :1] - x[:, :, 1:]), axis=2).reshape(len(x), -1)
-            h *= 2
+        x = srht_rows(np.stack(v.to_numpy()).astype(np.float64), seed)
         x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-12
         return pd.Series(list(np.clip(np.rint(x * np.sqrt(width) * 2.5 + 7.5), 0, 15).astype(np.int8)))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vector as V
 from ..operators import mutate as M
+from ..operators.aggregate import beside
 from ..sources import packs as P
 from ..sources.tables import records, table
 from ..streaming import feed as S
@@ -53,8 +54,7 @@ def stability_fold(spark, sf_dir):
 
 @query(f"WITH {REC}, l AS (SELECT label, vec_id, q, lag(q) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM rec) SELECT vec_id, round(1 - greatest(-1.0, least(1.0, list_cosine_similarity(q, p))), 6) AS drift FROM l WHERE p IS NOT NULL")
 def drift_lag(spark, sf_dir):
-    w = Window.partitionBy("label").orderBy("vec_id")
-    r = records(spark, sf_dir).withColumn("p", F.lag("q").over(w)).where("p is not null")
+    r = beside(records(spark, sf_dir).select("label", "vec_id", "q"), "label", [F.asc("vec_id")], -1, p="q").where("p is not null")
     return r.select("vec_id", F.round(1 - V.cosine(F.col("q"), F.col("p")), 6).alias("drift"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import encode as E
 from ..operators import integrity as I
+from ..operators import overlap as N
 from ..sources import chunks as K
 from ..sources.tables import edges, table
 from .registry import query
@@ -25,6 +26,9 @@ def _sql_found(column: str, steps) -> str:
     return f"list_filter([{', '.join(out)}], lambda x: x IS NOT NULL)"
 
 
+_LINES = "length(t) - length(replace(t, chr(10), ''))"
+
+
 @query(f"SELECT doc_id, {_sql_scrub('text', T.SCRUB[:3])} AS clean FROM documents")
 def scrub_rest(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.scrub(F.col("text"), T.SCRUB[:3])["text"].alias("clean"))
@@ -53,14 +57,10 @@ _TOK = "list_distinct(list_filter(regexp_split_to_array(lower({t}), '[^\\p{{L}}\
     SELECT doc_id, max(round(CASE WHEN na = 0 OR nb = 0 THEN 0 ELSE n / (na + nb - n) END, 6)) AS overlap FROM j GROUP BY doc_id"""
 )
 def jaccard_intent(spark, sf_dir):
-    """Best token overlap of each document with any intent; the intents are a short list."""
+    """Best token overlap of each document with any intent."""
     d = table(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("a"))
     b = table(spark, sf_dir, "benchmark").select("item_id", T.tokens(F.col("text")).alias("b"))
-    n = d.select("doc_id", F.size("a").alias("na"), F.explode_outer("a").alias("w"))
-    m = b.select("item_id", F.size("b").alias("nb"), F.explode("b").alias("w"))
-    both = n.join(m, "w").groupBy("doc_id", "na", "item_id", "nb").agg(F.count("*").alias("n"))
-    best = both.groupBy("doc_id").agg(F.max(F.round(F.col("n") / (F.col("na") + F.col("nb") - F.col("n")), 6)).alias("overlap"))
-    return d.select("doc_id").join(best, "doc_id", "left").select("doc_id", F.coalesce("overlap", F.lit(0.0)).alias("overlap"))
+    return N.best_overlap(d, b).select("doc_id", F.round("overlap", 6).alias("overlap"))
 
 
 _L = "list_transform(regexp_split_to_array({t}, '\\r?\\n'), lambda t: trim(t))"
@@ -110,14 +110,17 @@ def chunk_text(spark, sf_dir):
     return d.lateralJoin(K.ChunkText(F.concat(F.lit("doc"), F.col("doc_id").outer()), F.col("text").outer(), F.lit(2000))).select("doc_id", "part", "name", F.length("chunk").alias("n_chars"))
 
 
-@query()
+@query(
+    f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, ({_LINES.replace("length(t)", "length(coalesce(text, ''))").replace("replace(t,", "replace(coalesce(text, ''),")})::INT AS n FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id, 'frontmatter' AS kind, 0 AS level, '' AS title, 1 AS start, 3 AS stop FROM d UNION ALL SELECT doc_id, 'section', 1, 'Head', 4, 10 + n FROM d
+    UNION ALL SELECT doc_id, 'section', 2, 'Sub', 6 + n, 10 + n FROM d UNION ALL SELECT doc_id, 'code', 0, 'py', 7 + n, 9 + n FROM d"""
+)
 def markdown_items(spark, sf_dir):
     md = F.concat(F.lit("---\nid: "), F.col("doc_id"), F.lit("\n---\n# Head\n"), F.col("text"), F.lit("\n## Sub\n```py\nx = 1\n```\n"))
     d = table(spark, sf_dir, "documents").select("doc_id", md.alias("md"))
     return d.lateralJoin(K.ExtractItems(F.lit("md"), F.col("md").outer())).select("doc_id", "kind", "level", "title", "start", "stop")
 
 
-_LINES = "length(t) - length(replace(t, chr(10), ''))"
 
 
 @query(

@@ -11,7 +11,6 @@ from ..functions import vector_udf as U
 from ..operators import bake as B
 from ..operators import index as X
 from ..operators import recall as R
-from ..shared import cut
 from ..sources.tables import records
 from .registry import query
 
@@ -123,6 +122,7 @@ def recall_grounded(spark, sf_dir):
     return R.top_k(s, K, "reliability")
 
 
+_CODE = "list_transform({v}, lambda x: greatest(-127.0, least(127.0, round(x * 127))))"
 _I8 = "list_transform(range(1, 65), lambda i: greatest(-127.0, least(127.0, round({v}[i] * 127))) / 127.0 * 0.5)"
 
 
@@ -136,10 +136,12 @@ def recall_int8_hyperbolic(spark, sf_dir):
     return R.recall(*_base(spark, sf_dir), K, V.hyperbolic_score(half("q"), half("query")))
 
 
-@query()
+@query(
+    f"""WITH {REC}, i AS (SELECT concept, c, list_dot_product({_CODE.format(v='q')}, {_CODE.format(v='query')}) AS near FROM s), b AS (SELECT concept, c FROM i ORDER BY near DESC, concept LIMIT {8 * K})
+    SELECT concept, round(c, 6) AS score FROM b ORDER BY score DESC, concept LIMIT {K}"""
+)
 def recall_two_phase_int8(spark, sf_dir):
-    r, q = _base(spark, sf_dir)
-    return R.two_phase(r, q, K, codes=cut(R.coded(r), "codes"))
+    return R.two_phase(*_base(spark, sf_dir), K)
 
 
 @query()
@@ -396,7 +398,11 @@ def vec_reconcile(spark, sf_dir):
     return _iterative(spark, sf_dir, U.reconcile(12))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {REC}, g AS (SELECT 0 AS i, 7::HUGEINT AS x UNION ALL SELECT i + 1, (x * 6364136223846793005 + 1) % 18446744073709551616::HUGEINT FROM g WHERE i < 64),
+    t AS (SELECT list(CASE WHEN x >= 9223372036854775808::HUGEINT THEN -1.0 ELSE 1.0 END::DOUBLE ORDER BY i) AS t FROM g WHERE i > 0),
+    u AS (SELECT vec_id, list_transform(range(0, 64), lambda i: list_sum(list_transform(range(0, 64), lambda j: CASE WHEN bit_count((i & j)::INT) % 2 = 0 THEN q[j + 1] * t[j + 1] ELSE -q[j + 1] * t[j + 1] END)) / 8.0) AS v FROM rec, t) {_heads('u')}"""
+)
 def vec_srht(spark, sf_dir):
     return _iterative(spark, sf_dir, U.srht(D))
 
