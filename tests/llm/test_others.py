@@ -248,7 +248,7 @@ def test_every_pair_of_a_group_within_the_radius_is_found():
     assert got == want and got
 
 
-def test_recall_of_links_against_all_pairs(spark):
+def test_recall_of_links_against_all_pairs(spark, monkeypatch):
     rows, _ = large_pictures_and_crops(3)
     df = spark.createDataFrame([(i, media.write_picture(p)) for i, p in rows], "id long, image binary")
     known = media.described(df).select(F.col("id").alias("pic"), "feats").cache()
@@ -274,9 +274,23 @@ def test_recall_of_links_against_all_pairs(spark):
     got = got[40]
     assert all(k in want and n <= want[k] for k, n in got.items())
     assert len(got) >= 0.9 * len(want)
+    for bits in (18, 26, 34):  # keys as the features of check_l, of 30 GB and of two terabytes get
+        monkeypatch.setattr(media, "key_bits", lambda n, bits=bits: bits)
+        got = {(r["a"], r["b"]): r["n"] for r in media.links(known).collect()}
+        assert all(k in want and n <= want[k] for k, n in got.items())
+        assert len(got) >= 0.9 * len(want)
     known.unpersist()
 
 
+def test_tables_keep_their_chance_as_keys_grow():
+    from math import comb
+
+    n = [media.tables_for(bits) for bits in range(8, 41)]
+    assert n == sorted(n) and n[0] <= 8 and n[-1] <= 256
+    for bits, tables in zip(range(8, 41), n):
+        assert 1 - (1 - comb(256 - media.DIFFER, bits) / comb(256, bits)) ** tables >= media.SURE or tables == 256
+
+
 def test_corners_grow_with_the_picture():
     vector = np.random.default_rng(5).normal(0, 0.12, 64).astype("<f4").tobytes()
     small, large = (len(media.describe(media.scene(vector, side))) for side in (80, 320))

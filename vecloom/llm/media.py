@@ -6,10 +6,11 @@
    ``REACH`` pixels of its level (a rule of the neighbourhood: corners grow with the area, and a crop keeps those
    of its part), the orientation of the intensity centroid around each, and 256 binary tests in the frame
    turned by it.
-3. Hamming tables: in each of ``TABLES`` tables a feature is keyed by some bits of its descriptor, drawn once; more
-   bits the more features there are, so that a feature meets about ``MEETS`` unrelated ones in a table whatever
-   the size of the corpus. Features of one key are compared whole, and pairs within ``RADIUS`` bits go on. A true
-   match shares a key in one of the tables the more surely the fewer of its bits differ; a copy has many
+3. Hamming tables: in each table a feature is keyed by some bits of its descriptor, drawn once; more bits the more
+   features there are, so that a feature meets about ``MEETS`` unrelated ones in a table whatever the size of the
+   corpus, and more tables the longer the keys, so that a match of ``DIFFER`` differing bits shares a key in one of them
+   with the chance ``SURE`` at every size (of 256 tables at most, which keys of 39 bits need). Features
+   of one key are compared whole, and pairs within ``RADIUS`` bits go on. A copy has many
    more matches than the votes it needs, so that links are found more surely than matches. (All pairs of features
    would be certain, at the square of their number.) Keys are counted first: one met very often is cut into parts, and
    each pair of parts is a group of its own, so that no task holds an unbounded key and no pair is left out.
@@ -40,7 +41,6 @@ REACH = 3
 MARGIN = 11
 RADIUS = 40
 VOTES = 3
-TABLES = 6
 MEETS = 256
 HEAVY = 20_000
 SEEN = 1 << 18
@@ -177,7 +177,9 @@ def described(rows: DataFrame) -> DataFrame:
 # ---- Hamming tables -------------------------------------------------------------------------
 
 #: In each table, the bits of a descriptor in the order in which a key takes them.
-ORDERS = np.stack([_rng.permutation(256) for _ in range(TABLES)])
+ORDERS = np.stack([_rng.permutation(256) for _ in range(256)])
+#: A match of so many differing bits shares a key in one of the tables with this chance, however long keys are.
+DIFFER, SURE = 24, 0.985
 #: How often a bit agrees between features of unrelated pictures.
 CHANCE = 0.6
 
@@ -187,11 +189,18 @@ def key_bits(n: int) -> int:
     return int(np.clip(np.ceil(np.log(max(n, 2) / MEETS) / -np.log(CHANCE)), 8, 40))
 
 
+def tables_for(bits: int) -> int:
+    """How many tables keys of so many bits need: the longer the keys, the more."""
+    share = np.prod(1 - DIFFER / (256 - np.arange(bits)))  # of the tables in which none of a key's bits differs
+    return int(np.clip(np.ceil(np.log(1 - SURE) / np.log(1 - share)), 1, len(ORDERS)))
+
+
 def keys_of(words: np.ndarray, bits: int) -> np.ndarray:
     """A key for each table (rows) and feature (columns); tables have keys of their own."""
     each = np.unpackbits(words.view(np.uint8).reshape(len(words), 32), axis=1)
-    out = np.empty((TABLES, len(words)), np.uint64)
-    for t in range(TABLES):
+    tables = tables_for(bits)
+    out = np.empty((tables, len(words)), np.uint64)
+    for t in range(tables):
         key = np.full(len(words), t + 1, np.uint64)
         for b in ORDERS[t, :bits]:
             key = (key << np.uint64(1)) | each[:, b].astype(np.uint64)
@@ -229,7 +238,7 @@ def _deal(batches: Iterator[pa.RecordBatch], bits: int, cells: int, heavy: dict[
         for lo in range(0, b.num_rows, 512):
             pic, no, at, words = _flat(b.slice(lo, 512))
             keys = keys_of(words, bits).ravel()
-            feature = np.tile(np.arange(len(pic)), TABLES)
+            feature = np.tile(np.arange(len(pic)), len(keys) // max(len(pic), 1))
             grp, side = _mixed(keys), np.zeros(len(keys), bool)
             if len(hot):
                 place = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
@@ -362,9 +371,11 @@ def _vote(batches: Iterator[pa.RecordBatch], votes: int) -> Iterator[pa.RecordBa
 def links(known: DataFrame, votes: int = VOTES, heavy: int = HEAVY) -> DataFrame:
     """``a, b, n``: pictures of ``known`` (pic, feats) with ``votes`` different features in one cell of transforms."""
     n = known.agg(F.sum(F.size("feats"))).first()[0] or 0
-    bits, cells = key_bits(n), max(1, -(-n * TABLES // 150_000))
+    bits = key_bits(n)
+    keyed = n * tables_for(bits)
+    cells = max(1, -(-keyed // 150_000))
     some = known.where(F.size("feats") > 0).select("pic", "feats")
-    bound = max(heavy, n * TABLES // 10_000)  # so that at most 10,000 keys are cut
+    bound = max(heavy, keyed // 10_000)  # so that at most 10,000 keys are cut
     keys = some.mapInArrow(lambda it: _count(it, bits), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > bound)
     parts = {r["key"]: -(-r["n"] // bound) for r in keys.collect()}
     dealt = some.mapInArrow(lambda it: _deal(it, bits, cells, parts), GROUP)
