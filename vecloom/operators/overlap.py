@@ -22,8 +22,8 @@ def best_overlap(many: DataFrame, few: DataFrame) -> DataFrame:
     """
     total = few.agg(F.sum(F.size("b"))).first()[0] or 0
     if total > HELD:
-        n = many.select("doc_id", F.monotonically_increasing_id().alias("_row"), F.size("a").alias("na"), F.explode_outer("a").alias("w"))
-        m = few.select(F.monotonically_increasing_id().alias("_set"), F.size("b").alias("nb"), F.explode("b").alias("w"))
+        n = many.withColumn("_row", F.monotonically_increasing_id()).select("doc_id", "_row", F.size("a").alias("na"), F.explode_outer("a").alias("w"))
+        m = few.withColumn("_set", F.monotonically_increasing_id()).select("_set", F.size("b").alias("nb"), F.explode("b").alias("w"))
         both = n.join(m, "w", "left").groupBy("_row", "doc_id", "na", "_set", "nb").agg(F.count("_set").alias("n"))
         return both.groupBy("_row", "doc_id").agg(F.coalesce(F.max(F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))), F.lit(0.0)).alias("overlap")).drop("_row")
     sets = [r["b"] or [] for r in few.select("b").collect()]  # HELD tokens at most
