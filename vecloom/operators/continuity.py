@@ -6,6 +6,8 @@ fixed number of neighbours), never by the store.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -368,3 +370,35 @@ def lexicon_upsert(entries: DataFrame, new: DataFrame) -> DataFrame:
     both = entries.join(n, "word", "full_outer")
     body = F.when(F.col("body").isNull(), F.col("_new")).when(F.col("_new").isNull(), F.col("body")).otherwise(F.concat("body", F.lit("\n"), "_new"))
     return both.select("word", body.alias("body"), F.when(F.col("body").isNull(), "minted").when(F.col("_new").isNull(), "kept").otherwise("updated").alias("status"))
+
+
+# ---- clocks and places ----------------------------------------------------------------------
+
+#: Turns and minutes after which a session is due for a handoff.
+MAX_TURNS, MAX_MINUTES = 30, 120
+
+
+def sentinel_clock(events: DataFrame, by: str, order: list[str], ts: str, handoff: Column) -> DataFrame:
+    """``events`` with ``turns`` and whole ``minutes`` since the key's last handoff (0 minutes before any), and whether one is ``due``."""
+    w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    last = F.last(F.when(handoff, micros), ignorenulls=True).over(w)
+    x = sentinel_turns(events.withColumn("_last", last), by, order, handoff)
+    minutes = F.coalesce(F.greatest(F.floor((micros - F.col("_last")) / 60_000_000), F.lit(0)), F.lit(0)).cast("long")
+    return x.withColumn("minutes", minutes).withColumn("due", (F.col("turns") >= MAX_TURNS) | (F.col("minutes") >= MAX_MINUTES)).drop("_last")
+
+
+#: The factors of the hash that places a concept.
+FRAME_FACTOR, BYTE_FACTOR = 0x9E3779B97F4A7C15, 0x0100000001B3
+
+
+def place(concept: Column, frame: int = 0) -> Column:
+    """``lat, lng`` (radians) of a concept that is bound to no place: from a 64-bit hash of its bytes and the frame's number."""
+    whole, room = F.lit(str(1 << 64)).cast("decimal(20,0)"), "decimal(20,0)"
+    code = F.transform(F.filter(F.split(F.hex(F.encode(concept, "UTF-8")), "(?<=\\G..)"), lambda b: b != ""), lambda b: F.conv(b, 16, 10).cast("decimal(3,0)"))
+    start = F.lit(str(frame * FRAME_FACTOR % (1 << 64))).cast(room)
+    h = F.aggregate(code, start, lambda s, b: F.pmod((s * F.lit(BYTE_FACTOR).cast("decimal(14,0)")).cast("decimal(37,0)") + b, whole).cast(room))
+    turn = lambda x: F.pmod(x, F.lit(628)).cast("double") / 100.0
+    lat = F.sin(turn(h) - F.lit(math.pi / 2)) * 0.88
+    lng = turn(F.floor(h / F.lit(65536))) * F.lit(2 * math.pi) - F.lit(math.pi)
+    return F.when(concept.isNotNull(), F.struct(lat.alias("lat"), lng.alias("lng")))

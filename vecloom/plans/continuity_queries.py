@@ -278,6 +278,30 @@ def sentinel_turns(spark, sf_dir):
     return C.sentinel_turns(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.col("event_type") == "purchase").select("event_id", "turns")
 
 
+@query(
+    """WITH r AS (SELECT *, epoch_us(ts) AS us, sum((event_type = 'purchase')::INT) OVER w AS run, last_value(CASE WHEN event_type = 'purchase' THEN epoch_us(ts) END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS last FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    t AS (SELECT event_id, row_number() OVER (PARTITION BY user_id, run ORDER BY ts, event_id) - (run > 0)::INT AS turns, coalesce(greatest((us - last) // 60000000, 0), 0) AS minutes, least(1.0, 0.65 * least(1.0, value / 250.0) + 0.35 * (event_id % 10) / 10.0::DOUBLE) AS p FROM r),
+    e AS (SELECT *, greatest(30 - round(p * 12)::INT, 8) AS most FROM t)
+    SELECT event_id, turns, minutes, turns >= 30 OR minutes >= 120 AS due, CASE WHEN turns >= most AND p >= 0.5 AND turns < 30 THEN 'surprise' WHEN turns >= most THEN 'turns' WHEN minutes >= 120 THEN 'time' ELSE '' END AS nudge FROM e"""
+)
+def sentinel_clock(spark, sf_dir):
+    """Turns and minutes since a user's last purchase, and what a session under some pressure is told."""
+    out = C.sentinel_clock(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "ts", F.col("event_type") == "purchase")
+    p = S.pressure(F.col("value") / 250.0, F.col("event_id") % 10 / 10.0)
+    return out.select("event_id", "turns", "minutes", "due", S.nudge(F.col("turns"), F.col("minutes"), p).alias("nudge"))
+
+
+@query(
+    """WITH c AS (SELECT 'customer:' || c_custkey AS concept FROM customer), h AS (SELECT concept, list_reduce(list_prepend(((3::HUGEINT * 11400714819323198485::HUGEINT) % 18446744073709551616::HUGEINT)::HUGEINT, list_transform(string_split(concept, ''), lambda x: ascii(x)::HUGEINT)),
+      lambda s, b: (s * 1099511628211::HUGEINT + b) % 18446744073709551616::HUGEINT) AS h FROM c)
+    SELECT concept, round(sin((h % 628)::DOUBLE / 100 - pi() / 2) * 0.88, 6) AS lat, round(((h // 65536) % 628)::DOUBLE / 100 * 2 * pi() - pi(), 6) AS lng FROM h"""
+)
+def concept_places(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("customer:"), "c_custkey").alias("concept"))
+    at = c.select("concept", C.place(F.col("concept"), 3).alias("p"))
+    return at.select("concept", F.round("p.lat", 6).alias("lat"), F.round("p.lng", 6).alias("lng"))
+
+
 # ---- parsing --------------------------------------------------------------------------------
 
 
