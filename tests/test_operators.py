@@ -349,3 +349,31 @@ def test_signs_come_from_the_congruence():
     v = np.arange(8.0)[None]
     y = U.srht_rows(v, 7)
     assert np.isclose(np.linalg.norm(y), np.linalg.norm(v)) and np.isclose(y[0, 0] * np.sqrt(8), (v[0] * out).sum())
+
+
+# ---- clocks and places -----------------------------------------------------------------------
+
+
+def test_turns_and_minutes_since_a_handoff(spark):
+    from datetime import UTC, datetime
+
+    from vecloom.operators import continuity as N
+
+    at = lambda m: datetime.fromtimestamp(1_700_000_000 + 60 * m, UTC)
+    rows = [("a", 0, at(0), False), ("a", 1, at(300), False), ("a", 2, at(301), True), ("a", 3, at(302), False), ("a", 4, at(421), False), ("b", 0, at(5), True)]
+    got = N.sentinel_clock(spark.createDataFrame(rows, "g string, i int, ts timestamp, h boolean"), "g", ["i"], "ts", F.col("h")).orderBy("g", "i").collect()
+    assert [(r["turns"], r["minutes"], r["due"]) for r in got] == [(1, 0, False), (2, 0, False), (0, 0, False), (1, 1, False), (2, 120, True), (0, 0, False)]
+
+
+def test_places_of_concepts(spark):
+    from vecloom.operators import continuity as N
+
+    def plain(c, frame):
+        h = frame * 0x9E3779B97F4A7C15 % 2**64
+        for b in c.encode():
+            h = (h * 0x0100000001B3 + b) % 2**64
+        return np.sin(h % 628 / 100 - np.pi / 2) * 0.88, (h >> 16) % 628 / 100 * 2 * np.pi - np.pi
+
+    for c, frame in (("goal:x", 0), ("", 7), ("zażółć 🙂", 12345678901), ("w" * 300, 2)):
+        assert tuple(one(spark, N.place(F.lit(c), frame))) == pytest.approx(plain(c, frame), abs=1e-6)
+    assert one(spark, N.place(F.lit(None).cast("string"))) is None
