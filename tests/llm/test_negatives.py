@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 
+from tests.compare import connect, same
 from vecloom.llm import negatives, queries
 
 COLUMNS = ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
@@ -48,6 +49,10 @@ def test_embeddings_against_brute_force(spark, sf_dir):
     assert rows_of(queries.op11_hard_negatives(spark, sf_dir)) == brute(rows)
 
 
+def test_embeddings_against_sql(spark, sf_dir):
+    same(queries.op11_hard_negatives(spark, sf_dir), connect(sf_dir), queries.ORACLE_SQL["op11_hard_negatives"])
+
+
 def test_deep_trees_and_many_tiles(spark, sf_dir, small):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", "embedding").collect()]
     assert rows_of(queries.op11_hard_negatives(spark, sf_dir)) == brute(rows)
