@@ -1,6 +1,7 @@
 """Many queries at once, baked contexts, and what summaries say would overturn them."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,3 +73,20 @@ def test_justifications(spark):
     long = why("justification: " + "w" * 200)
     assert len(long) == 98 and long.endswith("…")
     assert why("**only**") == "**only**" and why(None) is None
+
+
+def test_a_task_holds_a_bounded_part_of_the_scores(monkeypatch, spark):
+    import tracemalloc
+
+    r = np.random.default_rng(3)
+    asked = spark.createDataFrame([(k, r.normal(size=4).tolist()) for k in range(3000)], "query_id long, query array<double>")
+    caught = {}
+    monkeypatch.setattr(type(asked), "mapInArrow", lambda self, run, schema: caught.setdefault("run", run) and asked.selectExpr("query_id", "'' AS concept", "0.0 AS score"))
+    B.recall_many(rows(spark, r.normal(size=(3, 4))), asked, 5)
+    x = r.normal(size=(2048, 4))
+    batch = pa.RecordBatch.from_arrays([pa.array([f"r{k:04}" for k in range(2048)]), pa.array(x.tolist(), pa.list_(pa.float64()))], ["concept", "q"])
+    tracemalloc.start()
+    got = sum(b.num_rows for b in caught["run"](iter([batch, batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == 3000 * 5 and peak < 32 << 20  # all scores of a batch alone take 49 MB

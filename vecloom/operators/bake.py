@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from ..functions.vector_udf import unit
 
-#: Bytes of query vectors that a task holds at a time.
+#: Bytes of query vectors, and of the lists of their best, that a task holds at a time.
 QUERY_BYTES = 32 << 20
 BATCH = 2048
+#: Scores that a task computes at a time: a batch meets as many queries at once as this allows.
+SCORES = 1 << 20
 
 
 def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -28,28 +30,50 @@ def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Best:
-    """Per query at most ``k`` names with their scores, by score and then name."""
+    """Per query at most ``k`` names with their scores, by score and then name, in a few arrays."""
 
     def __init__(self, n: int, k: int):
-        self.k, self.rows, self.floor = k, [[] for _ in range(n)], np.full(n, -np.inf)
-
-    def offer(self, scores: np.ndarray, names: list[str]) -> None:
-        """``scores``: a row for each name, a column for each query."""
-        for j in np.flatnonzero((scores >= self.floor).any(axis=0)):
-            s = scores[:, j]
-            at = np.flatnonzero(s >= self.floor[j])
-            if len(at) > self.k:
-                at = at[s[at] >= np.partition(s[at], -self.k)[-self.k]]  # with all ties of the last
-            self.rows[j] = sorted(self.rows[j] + [(-float(s[i]), names[i]) for i in at])[: self.k]
-            if len(self.rows[j]) == self.k:
-                self.floor[j] = -self.rows[j][-1][0]
+        self.k, self.floor = k, np.full(n, -np.inf)
+        self.scores, self.at = np.full((n, k), -np.inf), np.full((n, k), -1, np.int64)  # by query; ``at`` is a place in ``names``
+        self.names = pa.array([], pa.string())
+
+    def offer(self, first: int, scores: np.ndarray) -> None:
+        """``scores``: a row for each name of ``start``, a column for each query from ``first`` on."""
+        floor = self.floor[first : first + scores.shape[1]]
+        for j in np.flatnonzero((scores >= floor).any(axis=0)).tolist():
+            s, q = scores[:, j], first + j
+            new = np.flatnonzero(s >= floor[j])
+            if len(new) > self.k:
+                new = new[s[new] >= np.partition(s[new], -self.k)[-self.k]]  # with all ties of the last
+            old = self.at[q][self.at[q] >= 0]
+            own, at = np.concatenate((self.scores[q][: len(old)], s[new])), np.concatenate((old, self.base + new))
+            order = np.argsort(-own, kind="stable")
+            if len(order) > self.k and own[order[self.k - 1]] == own[order[self.k]]:  # names decide only where the last ties
+                words = self.names.take(pa.array(at)).to_pylist()
+                order = sorted(range(len(own)), key=lambda i: (-own[i], words[i]))
+            order = order[: self.k]
+            self.scores[q, : len(order)], self.at[q, : len(order)] = own[order], at[order]
+            if len(order) == self.k:
+                floor[j] = own[order[-1]]
+
+    def start(self, names: pa.Array) -> None:
+        """The next names to be offered join those that are kept."""
+        self.base = len(self.names)
+        self.names = pa.concat_arrays([self.names, names])
+
+    def settle(self) -> None:
+        """Forgets the names that no list holds."""
+        used, at = np.unique(self.at, return_inverse=True)
+        none = int(len(used) > 0 and used[0] < 0)
+        self.at = at.reshape(self.at.shape).astype(np.int64) - none
+        self.names = self.names.take(pa.array(used[none:]))
 
 
 def recall_many(records: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """``query_id, concept, score, rank``: the k records (concept, q) nearest to each query (query_id, query) by cosine.
 
-    Records are read once for each ``QUERY_BYTES`` of queries, and never shuffled; a task multiplies batches of them with the
-    matrix of queries and hands on k names per query, which a window merges. Ties go by name. Vectors that are null, without a
+    Records are read once for each ``QUERY_BYTES`` of queries, and never shuffled; a task multiplies batches of them with parts of
+    the matrix of queries, ``SCORES`` products at a time, and hands on k names per query, which a window merges. Ties go by name. Vectors that are null, without a
     direction or of another length than most queries have no part. ``query_id`` must be a long.
     """
     known = queries.where(F.size("query") > 0).select(F.col("query_id").cast("long").alias("query_id"), F.col("query").cast("array<double>").alias("query"))
@@ -58,7 +82,7 @@ def recall_many(records: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     if most is None:
         return records.sparkSession.createDataFrame([], schema + ", rank int")
     dim = most["d"]
-    blocks = max(1, math.ceil(most["n"] * dim * 8 / QUERY_BYTES))
+    blocks = max(1, math.ceil(most["n"] * (dim * 8 + k * 16) / QUERY_BYTES))
     dealt = known.where(F.size("query") == dim).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
     rows = records.select("concept", F.col("q").cast("array<double>").alias("q"))
 
@@ -70,16 +94,27 @@ def recall_many(records: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, asked = shared.value
-            best = Best(len(ids), k)
+            best, wide = Best(len(ids), k), max(1, SCORES // BATCH)
             for b in batches:
                 for at in range(0, b.num_rows, BATCH):
                     part = b.slice(at, BATCH)
                     own, fine = _matrix(part.column(1), dim)
-                    if len(own) and len(ids):
-                        scores = np.floor(np.clip(own @ asked.T, -1.0, 1.0) * 1e6 + 0.5) / 1e6
-                        best.offer(scores, part.column(0).filter(pa.array(fine)).to_pylist())
-            out = [(int(i), name, -s) for i, rows in zip(ids, best.rows) for s, name in rows]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 3, (pa.int64(), pa.string(), pa.float64()))], ["query_id", "concept", "score"])
+                    if not len(own):
+                        continue
+                    best.start(part.column(0).filter(pa.array(fine)))
+                    for first in range(0, len(ids), wide):
+                        scores = own @ asked[first : first + wide].T
+                        np.clip(scores, -1.0, 1.0, out=scores)
+                        scores *= 1e6
+                        scores += 0.5
+                        np.floor(scores, out=scores)
+                        scores /= 1e6
+                        best.offer(first, scores)
+                    best.settle()
+            for first in range(0, len(ids), wide):
+                query, place = np.nonzero(best.at[first : first + wide] >= 0)
+                query += first
+                yield pa.RecordBatch.from_arrays([pa.array(ids[query]), best.names.take(pa.array(best.at[query, place])), pa.array(best.scores[query, place])], ["query_id", "concept", "score"])
 
         return rows.where("concept IS NOT NULL").mapInArrow(run, schema)
 
