@@ -148,3 +148,15 @@ def test_words_of_thousands_of_characters(spark, sp):
 def test_decoding_keeps_a_column_named_decoded(spark):
     df = pieces.encode(spark.createDataFrame([(1, "a b")], "doc_id long, text string")).selectExpr("doc_id", "ids", "7 AS decoded")
     assert pieces.decode(df).columns == ["doc_id", "ids", "decoded", "decoded_"] and pieces.decode(df).first()["decoded_"] == "a b"
+
+
+def test_rows_that_wait_for_rare_words_hold_one_document(spark, sp, monkeypatch):
+    kept, cut = [], pieces.cut
+    monkeypatch.setattr(pieces, "cut", lambda df, name, stay=False: kept.append((stay, cut(df, name, stay=stay))) or kept[-1][1])
+    rnd = random.Random(8)
+    rows = [(k, " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(1, 9))) for _ in range(20)) if k % 9 else None) for k in range(300)]
+    text = dict(rows)
+    got = pieces.encode(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), table=400).collect()
+    assert len(got) == 300 and all(r["ids"] == sp.encode(text[r["doc_id"]] or "") for r in got)
+    for df in [df for stay, df in kept if stay]:
+        assert df.selectExpr("max(length(to_json(struct(*))))").first()[0] < 3000

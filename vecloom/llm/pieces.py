@@ -10,8 +10,8 @@
    unigram models; for BPE models a fold of merges, the best-scored edge over two neighbouring
    symbols first, leftmost on ties. (Viterbi over BPE scores does not give the library's ids.)
 4. The table of words and ids goes back to the documents: the most frequent words, up to ``TABLE``
-   bytes, in a broadcast; where the corpus has more words, each task lists the others that its chunks
-   of documents use, they are joined to the table, and the chunks are filled in.
+   bytes, in a broadcast; where the corpus has more words, each task lists the others that its
+   documents use, they are joined to the table, and the documents are filled in, one to a row.
 
 Edge cases: null and empty texts give no ids and decode to the empty text; characters without a
 piece become byte pieces, or the unknown id where the model has none; words of more than ``LONG``
@@ -509,39 +509,73 @@ def _encoded(docs: DataFrame, m: PieceModel, table: int, finish) -> DataFrame:
         def list_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
-            part = TaskContext.get().partitionId()
-            for seq, (doc_ids, texts, ids, starts, rest) in enumerate(_encode(batches, shared)):
-                docs = pa.StructArray.from_arrays([doc_ids, _lists(ids, starts), *_digests(texts)], ["doc_id", "ids", "n_bytes", "crc"])
-                one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-                yield pa.RecordBatch.from_arrays([pa.array([part << 32 | seq]), one(pa.array(rest, pa.string())), one(docs)], ["chunk", "rest", "docs"])
-
-        # written once: the numbers of chunks and the places of their words hold from here on
-        chunks = cut(rows.mapInArrow(list_rest, f"chunk long, rest array<string>, docs array<struct<{ENCODED.replace(' ', ':').replace(',:', ',')}>>"), "chunks", stay=True)
-        used = chunks.select("chunk", F.posexplode("rest").alias("k", "w"))
+            row = TaskContext.get().partitionId() << 33
+            for doc_ids, texts, ids, starts, rest in _encode(batches, shared):
+                ids, own, sizes = _own_rest(ids, starts, len(rest))
+                words = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(rest, pa.string()).take(pa.array(own)))
+                rows = pa.array(np.arange(row, row + len(doc_ids)))
+                row += len(doc_ids)
+                yield pa.RecordBatch.from_arrays([rows, words, doc_ids, _lists(ids, starts), *_digests(texts)], ["row", "rest", "doc_id", "ids", "n_bytes", "crc"])
+
+        # written once: the numbers of rows and the places of their words hold from here on. A row holds one document,
+        # so that what a reader, a join or a group has in memory at a time does not grow with a slice of texts
+        coded = cut(rows.mapInArrow(list_rest, f"row long, rest array<string>, {ENCODED}"), "coded", stay=True)
+        used = coded.select("row", F.posexplode("rest").alias("k", "w"))
         joined = used.join(words.select("w", F.col("ids").alias("own")), "w")
-        filled = cut(joined.groupBy(F.col("chunk").alias("_chunk")).agg(F.sort_array(F.collect_list(F.struct("k", "own"))).alias("own")), "filled", stay=True)
-    whole = chunks.join(filled, F.col("chunk") == F.col("_chunk"), "left").select(F.col("own.own").alias("own"), "docs")
+        filled = cut(joined.groupBy(F.col("row").alias("_row")).agg(F.sort_array(F.collect_list(F.struct("k", "own"))).alias("own")), "filled", stay=True)
+    # small files of lists may be large in memory: no broadcast
+    whole = coded.drop("rest").join(filled.hint("merge"), F.col("row") == F.col("_row"), "left").select(F.col("own.own").alias("own"), "doc_id", "ids", "n_bytes", "crc")
 
     def put_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(b.num_rows):
-                own, docs = b.column(0)[k].values, b.column(1)[k].values
-                doc_ids, lists, n_bytes, crc = docs.flatten()
-                coded, starts = lists.flatten().to_numpy(zero_copy_only=False), np.asarray(lists.offsets).astype(np.int64)
-                starts, absent = starts - starts[0], coded < 0
-                entries = own.values.slice(own.offsets[0].as_py(), own.offsets[-1].as_py() - own.offsets[0].as_py()).to_numpy(zero_copy_only=False) if own is not None else np.zeros(0, np.int32)
-                sizes = np.diff(np.asarray(own.offsets)).astype(np.int64) if own is not None else np.zeros(0, np.int64)
-                index = np.where(absent, -1 - coded, len(sizes) + np.cumsum(~absent) - 1).astype(np.int64)
-                values, each = gather(np.concatenate((entries, coded[~absent])), np.concatenate((sizes, np.ones(int((~absent).sum()), np.int64))), index)
-                starts = np.concatenate(([0], np.cumsum(each)))[starts]
+            ids, lists = b.column(2), b.column(0)
+            for lo, hi in _runs(ids, SLICE // 4):
+                part = b.slice(lo, hi - lo)
+                values, starts = _put_in(lists[lo:hi], ids[lo:hi])
                 if finish:
-                    yield finish[0](doc_ids, values, starts, None, (n_bytes, crc))
+                    yield finish[0](part.column(1), values, starts, None, (part.column(3), part.column(4)))
                 else:
-                    yield pa.RecordBatch.from_arrays([doc_ids, _lists(values, starts), n_bytes, crc], ["doc_id", "ids", "n_bytes", "crc"])
+                    yield pa.RecordBatch.from_arrays([part.column(1), _lists(values, starts), part.column(3), part.column(4)], ["doc_id", "ids", "n_bytes", "crc"])
+            release()
 
     return whole.mapInArrow(put_in, finish[1] if finish else ENCODED)
 
 
+def _own_rest(ids: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Missing words counted by text: ``ids`` with -1 - k for the k-th missing word of a text, which of the ``n`` missing
+    words each text has (end to end), and how many."""
+    at = np.flatnonzero(ids < 0)
+    text = np.searchsorted(starts, at, side="right") - 1
+    pairs, place = np.unique(text * max(n, 1) + (-1 - ids[at].astype(np.int64)), return_inverse=True)
+    of = pairs // max(n, 1)
+    out = ids.copy()
+    out[at] = -1 - (place - np.searchsorted(of, text))
+    return out, pairs % max(n, 1), np.bincount(of, minlength=len(starts) - 1)
+
+
+def _runs(lists: pa.ListArray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of lists with about ``most`` values, one list at least."""
+    ends, lo = np.asarray(lists.offsets), 0
+    while lo < len(lists):
+        hi = min(len(lists), max(lo + 1, int(np.searchsorted(ends, ends[lo] + most, side="right")) - 1))
+        yield lo, hi
+        lo = hi
+
+
+def _put_in(own: pa.ListArray, ids: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """``ids`` with the entries of each row's ``own`` (a list of ids for each of its missing words, or null) in their places."""
+    coded, starts = ids.flatten().to_numpy(zero_copy_only=False), np.asarray(ids.offsets).astype(np.int64)
+    starts, absent = starts - starts[0], coded < 0
+    entries = own.flatten()  # of null rows nothing
+    n_own = np.nan_to_num(pc.list_value_length(own).to_numpy(zero_copy_only=False).astype(np.float64)).astype(np.int64)
+    first = np.cumsum(n_own) - n_own
+    values, sizes = entries.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(entries).to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(ids)), np.diff(starts))
+    index = np.where(absent, first[row] - 1 - coded, len(sizes) + np.cumsum(~absent) - 1).astype(np.int64)
+    out, each = gather(np.concatenate((values, coded[~absent])), np.concatenate((sizes, np.ones(int((~absent).sum()), np.int64))), index)
+    return out, np.concatenate(([0], np.cumsum(each)))[starts]
+
+
 # ---- decoding -----------------------------------------------------------------------------
 
 
