@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from vecloom.shared import shared_path
 
+#: Rows that leases fold and hand on at a time.
+SLICE = 10_000
+
 
 def replay(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a finite stream to its end into Parquet and read the result."""
@@ -65,7 +69,7 @@ class Leases(StatefulProcessor):
     """One lease per resource: a request is granted if none is live or the same holder asks again.
 
     Rows: resource, holder, ts (microseconds), order. A lease lives ``ttl`` microseconds from its grant.
-    Each batch of a resource is taken in order of time.
+    Each batch of a resource is taken in order of time; it waits as three numbers a row and is folded a slice at a time.
     """
 
     def __init__(self, ttl: int):
@@ -75,18 +79,23 @@ class Leases(StatefulProcessor):
         self.lease = handle.getValueState("lease", "holder long, until long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["ts", "order"])
+        parts = [part[["ts", "order", "holder"]].to_numpy(np.int64) for part in rows]
+        batch = np.concatenate(parts)
+        del parts
+        place = np.lexsort((batch[:, 1], batch[:, 0]))
         live = self.lease.get() if self.lease.exists() else None
-        out = []
-        for r in batch.itertuples():
-            held = live is not None and live[1] > r.ts
-            ok = not held or live[0] == r.holder
-            if ok:
-                live = (int(r.holder), int(r.ts) + self.ttl)
-            out.append((key[0], int(r.order), int(r.holder), ok))
-        if live is not None:
-            self.lease.update(live)
-        yield pd.DataFrame(out, columns=["resource", "order", "holder", "granted"])
+        holder, until = live if live is not None else (0, None)
+        for at in range(0, len(place), SLICE):
+            part = batch[place[at : at + SLICE]]
+            out = []
+            for ts, _, asks in part.tolist():
+                ok = until is None or until <= ts or holder == asks
+                if ok:
+                    holder, until = asks, ts + self.ttl
+                out.append(ok)
+            yield pd.DataFrame({"resource": key[0], "order": part[:, 1], "holder": part[:, 2], "granted": out})
+        if until is not None:
+            self.lease.update((holder, until))
 
     def close(self) -> None:
         pass
