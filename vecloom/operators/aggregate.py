@@ -53,6 +53,37 @@ def number_rows(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return s.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_part", "_before")
 
 
+def quantiles(df: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """``_by`` (the group) and for each ``name = share`` its exact quantile of ``value``, between neighbours in proportion; nulls do not count.
+
+    Equal values are counted first; a range sort of the counts and their sums per partition place each value in its
+    group, so that no group is gathered, whatever its share of all rows.
+    """
+    from .relations import settle
+
+    n = df.where(F.col(value).isNotNull()).groupBy(F.col(by).alias("_by"), F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    s = settle(n.repartitionByRange("_by", "_v").withColumn("_part", F.spark_partition_id()))
+    parts = s.groupBy("_by", "_part").agg(F.sum("_n").alias("_rows"))
+    own = Window.partitionBy("_by")  # a row for each partition
+    before = F.coalesce(F.sum("_rows").over(own.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = parts.select(F.col("_by").alias("_g"), F.col("_part").alias("_p"), before.alias("_before"), F.sum("_rows").over(own).alias("_all"))
+    j = s.join(places, F.col("_by").eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p")))
+    inside = F.sum("_n").over(Window.partitionBy("_by", "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    j = j.withColumn("_end", F.col("_before") + inside)
+    low = lambda x: F.floor(F.lit(x) * (F.col("_all") - 1))
+    high = lambda x: F.ceil(F.lit(x) * (F.col("_all") - 1))
+    holds = lambda place: (F.col("_end") - F.col("_n") <= place) & (place < F.col("_end"))
+    met = F.lit(False)
+    for x in shares.values():
+        met = met | holds(low(x)) | holds(high(x))
+    out = []
+    for name, x in shares.items():
+        at = F.lit(x) * (F.max("_all") - 1)
+        a, b = F.max(F.when(holds(low(x)), F.col("_v"))), F.max(F.when(holds(high(x)), F.col("_v")))
+        out.append((a + (b - a) * (at - F.floor(at))).alias(name))
+    return j.where(met).groupBy("_by").agg(*out)
+
+
 def beside(df: DataFrame, by: str, order: list[Column], step: int, **columns: str) -> DataFrame:
     """``df`` with columns of the row ``step`` places on in its group (null where there is none): ``new name = column``.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators.aggregate import quantiles
 from ..sources.tables import table
 from .registry import query
 
@@ -77,7 +78,11 @@ def rank_frames(spark, sf_dir):
 
 @query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.95), 4) AS p95, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY 1")
 def percentiles(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(F.percentile("l_extendedprice", F.lit(0.5)), 4).alias("p50"), F.round(F.percentile("l_extendedprice", F.lit(0.95)), 4).alias("p95"), F.countDistinct("l_partkey").alias("parts"))
+    t = table(spark, sf_dir, "lineitem")
+    parts = t.groupBy("l_returnflag").agg(F.countDistinct("l_partkey").alias("parts"))
+    q = quantiles(t, "l_returnflag", "l_extendedprice", {"p50": 0.5, "p95": 0.95})
+    j = parts.join(q, F.col("l_returnflag").eqNullSafe(F.col("_by")), "left")
+    return j.select("l_returnflag", F.round("p50", 4).alias("p50"), F.round("p95", 4).alias("p95"), "parts")
 
 
 @query("SELECT event_id, json_extract(props, '$.k')::INT AS k, year(ts) AS y, date_diff('day', DATE '2024-01-01', ts::DATE) AS day FROM events")
