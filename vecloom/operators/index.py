@@ -32,6 +32,8 @@ PER_CELL = 32
 #: Bytes of centroids that tasks hold: bounds the number of cells.
 CENTROIDS = 64 << 20
 ASKED = 64
+#: Scores of rows against centroids that a task computes at a time.
+SCORES = 1 << 18
 ENTRIES = "cell int, concept string, q array<double>, code array<tinyint>"
 CELLS = "cell int, center array<double>"
 
@@ -64,11 +66,12 @@ def nearest(centroids: np.ndarray, most: int):
     def run(q: pd.Series) -> pd.Series:
         x, ok = _rows(q, centroids.shape[1])
         out: list = [None] * len(q)
-        if len(x):
-            near = x @ centroids.T
-            first = np.argsort(-near, axis=1, kind="stable")[:, :most].astype(np.int32)
-            for k, row in zip(np.flatnonzero(ok), first):
-                out[k] = row.tolist()
+        at, step = np.flatnonzero(ok), max(1, SCORES // len(centroids))
+        for lo in range(0, len(x), step):  # a part of the batch at a time, so that memory does not grow with the cells
+            near = x[lo : lo + step] @ centroids.T
+            first = near.argmax(axis=1)[:, None] if most == 1 else np.argsort(-near, axis=1, kind="stable")[:, :most]
+            for k, row in zip(at[lo : lo + step].tolist(), first.astype(np.int32)):
+                out[k] = row
         return pd.Series(out, dtype=object)
 
     return run
