@@ -10,6 +10,7 @@ from ..functions import vector as V
 from ..operators import continuity as C
 from ..operators import encode as E
 from ..operators import recall as R
+from ..shared import cut
 from ..sources.tables import edges, records, table
 from .graph_queries import EDGES
 from .registry import query
@@ -424,11 +425,14 @@ def lexicon_bind(spark, sf_dir):
     phase = lambda t: V.Z(F.transform(at, lambda i: F.cos(E.lane(t, i))), F.transform(at, lambda i: F.sin(E.lane(t, i))))
     w, d, n = phase(F.col("lang")), phase(F.col("source")), phase(F.lit("note"))
     z = C.lexicon_entry(w, d, n)
-    rows = table(spark, sf_dir, "documents").select("doc_id", *[x.alias(k) for k, x in (("zr", z.re), ("zi", z.im), ("wr", w.re), ("wi", w.im), ("dr", d.re), ("di", d.im), ("nr", n.re), ("ni", n.im))])
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    # each word and definition is bound once, however many documents have them
+    rows = docs.select("lang", "source").distinct().select(F.col("lang").alias("_l"), F.col("source").alias("_s"), *[x.alias(k) for k, x in (("zr", z.re), ("zi", z.im), ("wr", w.re), ("wi", w.im), ("dr", d.re), ("di", d.im), ("nr", n.re), ("ni", n.im))])
     c = lambda k: V.Z(F.col(f"{k}r"), F.col(f"{k}i"))
     back = V.zunit(V.product(V.product(c("z"), V.conjugate(c("w"))), V.conjugate(c("n"))))
     own = V.zunit(c("d"))
-    return rows.select("doc_id", (F.round(F.get("zr", F.lit(0)), 6) + 0.0).alias("first"), F.round(C.equivalence(back, own), 6).alias("recovered"))
+    bound = cut(rows.select("_l", "_s", (F.round(F.get("zr", F.lit(0)), 6) + 0.0).alias("first"), F.round(C.equivalence(back, own), 6).alias("recovered")), "bound")
+    return docs.join(bound, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left").select("doc_id", "first", "recovered")
 
 
 @query("SELECT 'w' || c_custkey AS word, CASE WHEN c_custkey % 2 = 0 AND c_custkey % 3 = 0 THEN 'old' || chr(10) || c_mktsegment WHEN c_custkey % 2 = 0 THEN 'old' ELSE c_mktsegment END AS body, CASE WHEN c_custkey % 2 = 0 AND c_custkey % 3 = 0 THEN 'updated' WHEN c_custkey % 2 = 0 THEN 'kept' ELSE 'minted' END AS status FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0")
