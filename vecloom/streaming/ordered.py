@@ -1,8 +1,8 @@
 """Stateful operators in event time: rows wait until the watermark has passed them, then are folded in order.
 
 How the input is cut into batches, and in what order rows of a batch come, thus makes no difference. Time is cut into slots;
-the rows of a key and slot wait in a map, and a timer at the slot's end folds them. Memory is bounded by a slot
-of a key, not by a key's history or by a batch. Timers fire as the watermark moves on, input for the key or none, and
+the rows of a slot wait in a map by bucket of keys, and a timer at the slot's end folds them, key by key. Memory is bounded by a
+slot of a bucket and the states of its keys, not by a key's history or by a batch. Timers fire as the watermark moves on, input for the key or none, and
 fire once: state, timers and output advance together with the checkpoint.
 
 Rows: ``key``, ``ts`` (the watermarked time), ``seq`` (breaks ties), and the columns that a fold asks for.
@@ -13,12 +13,15 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Buckets that keys share. A task holds a slot of a bucket and the states of its keys.
+BUCKETS = 1024
 
 
 def stateful_session(spark: SparkSession) -> SparkSession:
@@ -63,52 +66,74 @@ class Fold:
 
 
 class Ordered(StatefulProcessor):
+    """Keys share ``BUCKETS`` buckets, so that state is read and written, and timers are set, for a bucket and not for each key."""
+
     def __init__(self, fold: Fold, slot_us: int):
         self.fold, self.slot = fold, slot_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "slot long", "rows string")
-        self.kept = handle.getValueState("kept", "state string")
+        self.waiting = handle.getMapState("waiting", "slot long, part int", "rows string")
+        # the parts of each slot that waits, and the state of each key
+        self.parts = handle.getValueState("parts", "slots string")
+        self.kept = handle.getValueState("kept", "states string")
 
     def _timer(self, end: int) -> None:
         self.handle.registerTimer(end // 1000)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for part in rows:
-            by: dict[int, list] = {}
-            for ts, seq, *values in part[["us", "seq", *self.fold.columns]].itertuples(index=False):
-                plain = [None if v is None or v != v else v.item() if hasattr(v, "item") else v for v in values]
-                by.setdefault(int(ts) // self.slot, []).append([int(ts), int(seq), plain])
-            for slot, own in by.items():
-                if self.waiting.containsKey((slot,)):
-                    own = json.loads(self.waiting.getValue((slot,))[0]) + own
-                else:
+        parts = json.loads(self.parts.get()[0]) if self.parts.exists() else {}
+        for frame in rows:
+            slots, texts = frame["slot"].to_numpy(), frame["row"].to_numpy()
+            order = np.argsort(slots, kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(slots[order])) + 1):
+                slot = int(slots[own[0]])
+                n = parts.get(str(slot), 0)
+                if not n:
                     self._timer((slot + 1) * self.slot)
-                self.waiting.updateValue((slot,), (json.dumps(own),))
+                self.waiting.updateValue((slot, n), ("[" + ",".join(texts[own]) + "]",))
+                parts[str(slot)] = n + 1
+        self.parts.update((json.dumps(parts),))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         end = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        state, out = json.loads(self.kept.get()[0]) if self.kept.exists() else {}, []
-        slot = (end // self.slot - 1,)
-        if self.waiting.containsKey(slot):
-            for ts, seq, values in sorted(json.loads(self.waiting.getValue(slot)[0]), key=lambda r: r[:2]):
-                out += self.fold.row(key[0], state, ts, seq, values)
-            self.waiting.removeKey(slot)
-        out += self.fold.passed(key[0], state, end)
-        due, passed = self.fold.next_due(state), timerValues.getCurrentWatermarkInMs() * 1000
+        states = json.loads(self.kept.get()[0]) if self.kept.exists() else {}
+        parts, out, by, slot = json.loads(self.parts.get()[0]), [], {}, end // self.slot - 1
+        if n := parts.pop(str(slot), 0):
+            for k in range(n):
+                for r in json.loads(self.waiting.getValue((slot, k))[0]):
+                    own, ts, seq, *values = r.values()
+                    by.setdefault(json.dumps(own), []).append((ts, seq, values))
+                self.waiting.removeKey((slot, k))
+            self.parts.update((json.dumps(parts),))
+        for name, rows in by.items():
+            state, own = states.setdefault(name, {}), json.loads(name)
+            for ts, seq, values in sorted(rows, key=lambda r: r[:2]):
+                out += [(own, *x) for x in self.fold.row(own, state, ts, seq, values)]
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        first = min(((int(s) + 1) * self.slot for s in parts), default=None)
         # what falls due by the watermark where no rows wait comes now: a timer set here for a time gone by would not fire in this batch
-        while due is not None:
-            end = max(-(-due // self.slot) * self.slot, end + self.slot)
-            if end > passed or any((s[0] + 1) * self.slot <= end for s in self.waiting.keys()):
+        while True:
+            due = []
+            for name, state in states.items():
+                at = self.fold.next_due(state)
+                if name in by or at is not None and at <= end:
+                    own = json.loads(name)
+                    out += [(own, *x) for x in self.fold.passed(own, state, end)]
+                    at = self.fold.next_due(state)
+                if at is not None:
+                    due.append(at)
+            by = {}
+            if not due:
+                break
+            end = max(-(-min(due) // self.slot) * self.slot, end + self.slot)
+            if end > passed or first is not None and first <= end:
                 self._timer(end)
                 break
-            out += self.fold.passed(key[0], state, end)
-            due = self.fold.next_due(state)
-        self.kept.update((json.dumps(state),))
+        self.kept.update((json.dumps({k: v for k, v in states.items() if v}),))
         if out:
-            yield pd.DataFrame([(key[0], *r) for r in out], columns=[c.split()[0] for c in self.fold.schema.split(", ")])
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in self.fold.schema.split(", ")])
 
     def close(self) -> None:
         pass
@@ -118,8 +143,11 @@ def folded(feed: DataFrame, fold: Fold, slot: str = "1 hour", delay: str = "0 se
     """``feed`` is a stream with key, ts, seq and the fold's columns; a slot is folded once the watermark has passed its end."""
     n, unit = slot.split()
     us = int(n) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")] * 1_000_000
-    rows = feed.withWatermark("ts", delay).select("key", "ts", F.unix_micros("ts").alias("us"), "seq", *fold.columns)
-    return rows.groupBy("key").transformWithStateInPandas(Ordered(fold, us), fold.schema, "Append", "EventTime")
+    at = F.unix_micros("ts")
+    row = F.to_json(F.struct("key", at.alias("us"), "seq", *fold.columns), {"ignoreNullFields": "false"})
+    bucket = F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).alias("bucket")
+    rows = feed.withWatermark("ts", delay).select(bucket, "ts", ((at - F.pmod(at, F.lit(us))) / us).cast("long").alias("slot"), row.alias("row"))
+    return rows.groupBy("bucket").transformWithStateInPandas(Ordered(fold, us), fold.schema, "Append", "EventTime")
 
 
 # ---- folds --------------------------------------------------------------------------------
