@@ -45,7 +45,7 @@ def append(store: Store, rows: DataFrame, batch: int) -> int:
             return c.base
         new = minted(rows).dropDuplicates(["name"])
         # a chain may hold a third of the rows: their order is a range sort, and each finds the row before it by number
-        placed = number_rows(new, [F.asc("chain"), F.asc("us"), F.asc("seq"), F.asc("name")], "_n")
+        placed = number_rows(new.select("name", "chain", "us", "seq"), [F.asc("chain"), F.asc("us"), F.asc("seq"), F.asc("name")], "_n")
         before = placed.select((F.col("_n") + 1).alias("_m"), F.col("chain").alias("_chain"), F.col("name").alias("_before"))
         linked = placed.join(before, (F.col("_n") == F.col("_m")) & (F.col("chain") == F.col("_chain")), "left").drop("_m", "_chain")
         heads = c.read("heads").select(F.col("chain").alias("_c"), F.col("name").alias("_head"))
