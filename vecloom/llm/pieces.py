@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Packed, cut, fresh, gather, most_frequent, pieces_at, release, scratch, slices, text_of
+from .common import Packed, Pressed, cut, fresh, gather, most_frequent, pieces_at, release, scratch, slices, text_of
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
@@ -454,7 +454,7 @@ class Filler:
 def _encode(batches: Iterator[pa.RecordBatch], shared) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray, np.ndarray, list[str]]]:
     """For a slice of rows at a time: ids of rows, texts, and what ``Filler`` gives."""
     model, table = shared.value
-    fill = Filler(model, table)
+    fill = Filler(model, table.unpacked())
     for b in batches:
         for lo, hi in slices(b.column(1), SLICE):
             texts = b.column(1)[lo:hi]
@@ -476,11 +476,11 @@ def _digests(texts: pa.Array) -> list[pa.Array]:
 ENCODED = "doc_id long, ids array<int>, n_bytes long, crc long"
 
 
-def _table_of(docs: DataFrame, model: PieceModel, table: int) -> tuple[Packed, DataFrame | None]:
+def _table_of(docs: DataFrame, model: PieceModel, table: int) -> tuple[Pressed, DataFrame | None]:
     """The words that fit in ``table`` bytes, the most frequent first; and all words, if some do not fit."""
     words = cut(word_table(docs, model), "words")
     head, whole = most_frequent(words, "w", F.octet_length("w") + 4 * F.size("ids") + 24, table)
-    return Packed.read(head.select("w", "ids")), None if whole else words
+    return Pressed.read(head.select("w", "ids")), None if whole else words
 
 
 def encode(docs: DataFrame, model: PieceModel | str | None = None, table: int = TABLE) -> DataFrame:
@@ -493,8 +493,9 @@ def _encoded(docs: DataFrame, m: PieceModel, table: int, finish) -> DataFrame:
     """As ``encode``; with ``finish``, what it makes of ``(doc_ids, ids, starts, texts or None, digests)`` and its schema."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     with scratch(docs.sparkSession):
-        packed, words = _table_of(docs, m, table)
-        shared = docs.sparkSession.sparkContext.broadcast((m, packed))
+        pressed, words = _table_of(docs, m, table)
+        shared = docs.sparkSession.sparkContext.broadcast((m, pressed))
+        del pressed
         if words is None:
 
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -614,9 +615,9 @@ def encode_documents(docs: DataFrame, model: PieceModel | str | None = None, tab
     decoded_as = piece_bytes(m)
 
     def check(doc_ids: pa.Array, ids: np.ndarray, starts: np.ndarray, texts: pa.Array | None, digests: tuple | None) -> pa.RecordBatch:
-        same, each = [], ids.tolist()
+        same = []
         for k, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist())):
-            raw = decode_ids(each[a:b], decoded_as)
+            raw = decode_ids(ids[a:b].tolist(), decoded_as)  # of one text at a time: a list of numbers is large
             same.append(raw == texts[k].as_buffer().to_pybytes() if texts is not None else (len(raw), zlib.crc32(raw)) == (digests[0][k].as_py(), digests[1][k].as_py()))
         return pa.RecordBatch.from_arrays([doc_ids, pa.array(np.diff(starts)), _lists(ids, starts), pa.array(same, pa.bool_())], ["doc_id", "n_pieces", "ids", "round_trip"])
 
