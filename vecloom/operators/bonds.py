@@ -53,10 +53,8 @@ def backfill(store: Store, embed: Callable[[Column], Column], table: str = "vect
     a second run writes no file and no version. Returns the parts rewritten.
     """
     with store.change() as c:
-        rows = c.read(table)
-        due = rows.where(F.coalesce(F.length("text"), F.lit(0)) > 0)
+        due = F.coalesce(F.length("text"), F.lit(0)) > 0
         if not force:
-            due = due.where(~has_vector(F.col("vector")))
-        done = due.withColumn("vector", embed(F.col("text"))).where(F.col("vector").isNotNull())
-        n = c.upsert(table, done)
+            due = due & ~has_vector(F.col("vector"))
+        n = c.update(table, "vector", F.coalesce(F.when(due, embed(F.col("text"))), F.col("vector")))
     return {"parts": n}

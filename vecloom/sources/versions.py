@@ -160,6 +160,8 @@ class Change:
         kinds = self.store.spark.createDataFrame([], t["schema"]).schema
         rows = rows.select(*[F.col(n).cast(kinds[n].dataType).alias(n) for n in names])
         new = rows.groupBy(*t["key"]).agg(F.max(F.struct(*rest)).alias("_new"))
+        if not t["dirs"]:  # all keys are new
+            return self.put_parts(table, new.select(*t["key"], "_new.*").select(*names, self._part(t).alias("part")), "part")
         old = self.read(table).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(t["key"])], F.struct(*rest).alias("_old"))
         on = F.lit(True)
         for i, k in enumerate(t["key"]):
@@ -178,8 +180,24 @@ class Change:
             t["dirs"].setdefault(p, []).append(f"{folder}/part={p}")
         if grown:
             self.touched[table] = self.touched.get(table, 0) + len(grown)
+        else:
+            remove(self.store.spark, f"{self.store.root}/{folder}")
         return len(grown)
 
+    def update(self, table: str, column: str, value: Column) -> int:
+        """``column``, no part of the key, of every row becomes ``value``; parts in which that changes nothing stay. Returns the parts rewritten.
+
+        Keys do not change, so rows stay in their parts: nothing is grouped, joined or compared across rows.
+        """
+        t = self.manifest["tables"][table]
+        own = self.store.spark.createDataFrame([], t["schema"]).schema[column].dataType
+        rows = self.read(table).withColumn("part", self._part(t))
+        due = rows.where(~value.cast(own).eqNullSafe(F.col(column)))
+        parts = sorted(r["part"] for r in due.select("part").distinct().collect())  # as many as the table's parts at most
+        if not parts:
+            return 0
+        return self._put(table, self.store._files(t, parts).withColumn(column, value.cast(own)).withColumn("part", self._part(t)), parts)
+
     def delete(self, table: str, keys: DataFrame) -> int:
         t = self.manifest["tables"][table]
         met = self.read(table).join(keys.select(*t["key"]).distinct(), t["key"], "left_semi")
@@ -196,8 +214,11 @@ class Change:
         for c in on[1:]:
             cond = cond & c
         kept = self.store._files(t, parts).join(keys, cond, "left_anti").withColumn("part", self._part(t))
-        folder = f"data/{table}-{uuid.uuid4().hex}"
-        out = kept if gone else kept.unionByName(other)
+        return self._put(table, kept if gone else kept.unionByName(other), parts)
+
+    def _put(self, table: str, out: DataFrame, parts: list[int]) -> int:
+        """``out`` (with ``part``) becomes all that these parts hold."""
+        t, folder = self.manifest["tables"][table], f"data/{table}-{uuid.uuid4().hex}"
         # one file for a part, more where the part is large
         out.hint("rebalance", "part").write.partitionBy("part").parquet(f"{self.store.root}/{folder}")
         for p in parts:
