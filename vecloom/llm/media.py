@@ -14,6 +14,11 @@
    more matches than the votes it needs, so that links are found more surely than matches. (All pairs of features
    would be certain, at the square of their number.) Keys are counted first: one met very often is cut into parts, and
    each pair of parts is a group of its own, so that no task holds an unbounded key and no pair is left out.
+   Features are moved in one of two ways, whichever moves them less. With at most as many blocks of ``BLOCK`` features
+   as there are tables, each pair of blocks is compared in a task of its own, straight from the written blocks: features are
+   written once, nothing is shuffled, and a pair of pictures is counted where it is found. Tables cost no disk there, so
+   that keys are longer, with so many more tables that no match within ``RADIUS`` is found less surely. Beyond that, each
+   feature is sent to one cell for each table.
 4. Each match gives a similarity transform; transforms vote in two staggered grids of scale, turn and
    shift. Pictures linked by at least ``VOTES`` different features in one cell of the grid are copies.
 5. Links are joined into classes.
@@ -295,6 +300,14 @@ def near_pairs(grp: np.ndarray, side: np.ndarray, pic: np.ndarray, words: np.nda
                 yield x, y
 
 
+def transforms(a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+    """``scale, turn, tx, ty`` that carry places ``a`` (rows of x, y, scale, angle) to ``b``."""
+    (ax, ay, a_scale, a_angle), (bx, by, b_scale, b_angle) = a.T, b.T
+    s, turn = b_scale / a_scale, (b_angle - a_angle) % (2 * np.pi)
+    c, d = s * np.cos(turn), s * np.sin(turn)
+    return [x.astype(np.float32) for x in (s, turn, bx - (c * ax - d * ay), by - (d * ax + c * ay))]
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The matches of each cell; rows come sorted by cell."""
 
@@ -307,10 +320,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j in near_pairs(grp, side, pic, words):
             swap = pic[i] > pic[j]
             i, j = np.where(swap, j, i), np.where(swap, i, j)
-            (ax, ay, a_scale, a_angle), (bx, by, b_scale, b_angle) = at[i].T, at[j].T
-            s, turn = b_scale / a_scale, (b_angle - a_angle) % (2 * np.pi)
-            c, d = s * np.cos(turn), s * np.sin(turn)
-            floats = [pa.array(x.astype(np.float32)) for x in (s, turn, bx - (c * ax - d * ay), by - (d * ax + c * ay))]
+            floats = [pa.array(x) for x in transforms(at[i], at[j])]
             yield pa.RecordBatch.from_arrays([pa.array(pic[i]), pa.array(pic[j]), pa.array(no[i]), *floats], ["a", "b", "no", "scale", "turn", "tx", "ty"])
 
     held: list[pa.RecordBatch] = []
@@ -368,13 +378,211 @@ def _vote(batches: Iterator[pa.RecordBatch], votes: int) -> Iterator[pa.RecordBa
         yield links(held)
 
 
+# ---- pairs of blocks ------------------------------------------------------------------------
+
+BLOCK, FEW, SPREAD = 3 << 16, 1 << 14, 8
+MORE = 8
+MOST, SLICE = 3 << 20, 1 << 17
+Features = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # picture, number, place and words, picture by picture
+
+
+def blocks_for(n: int) -> int:
+    """How many blocks hold ``n`` features: some for every core, of about ``BLOCK``."""
+    return max(1, -(-n // BLOCK), min(SPREAD, -(-n // FEW)))
+
+
+def longer_keys(bits: int) -> tuple[int, int]:
+    """Bits and tables of keys up to ``MORE`` bits longer than ``bits``, by which no match within ``RADIUS`` is found less surely."""
+    missed = lambda k: np.log1p(-np.prod(1 - RADIUS / (256 - np.arange(k))))
+    for k in range(bits + MORE, bits, -1):
+        tables = max(tables_for(k), int(np.ceil(tables_for(bits) * missed(bits) / missed(k))))
+        if tables <= len(ORDERS):
+            return k, tables
+    return bits, tables_for(bits)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Rows of whole pictures with about ``size`` features (one picture at least)."""
+
+    def block() -> pa.RecordBatch:
+        parts = [np.concatenate(x) for x in zip(*held)]
+        return pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(x, k).tobytes()], pa.binary()) for x, k in zip(parts, ("<i8", "<i4", "<f4", "<i8"))], ["pic", "no", "at", "words"])
+
+    held, n = [], 0
+    for b in batches:
+        flat = _flat(b)
+        ends, lo = np.cumsum(pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False)), 0
+        while lo < len(flat[0]):
+            fit = int(np.searchsorted(ends, lo + size - n, "right"))
+            hi = int(ends[fit - 1]) if fit else 0
+            if hi <= lo and not n:
+                hi = int(ends[np.searchsorted(ends, lo, "right")])
+            if hi > lo:
+                held.append(tuple(x[lo:hi] for x in flat))
+                n, lo = n + hi - lo, hi
+            if lo < len(flat[0]) or n >= size:
+                yield block()
+                held, n = [], 0
+    if n:
+        yield block()
+
+
+def _distinct(parts: list[np.ndarray]) -> np.ndarray:
+    """The sorted values of ``parts``, which is emptied."""
+    x = np.concatenate(parts)
+    parts.clear()
+    x.sort()
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
+def matches_of(pic: np.ndarray, words: np.ndarray, left: int, bits: int, tables: int, radius: int = RADIUS, most: int | None = None) -> np.ndarray | None:
+    """``i * n + j`` of the ``n`` features that share a key and differ in at most ``radius`` bits: ``i`` of the first ``left`` and ``j`` of
+    the others, or (``left`` = 0) any two of different pictures. None if there are more than ``most``."""
+    n = len(pic)
+    shift = np.uint64(n.bit_length())
+    low = (np.uint64(1) << shift) - np.uint64(1)
+    octets = np.ascontiguousarray(words.view(np.uint8).reshape(n, 32).T)
+    found, size, known = [np.zeros(0, np.int64)], 0, 0
+    for t in range(tables):
+        key = np.zeros(n, np.uint64)
+        for k in range(0, bits, 8):
+            octet = np.zeros(n, np.uint8)
+            for b in ORDERS[t, k : min(k + 8, bits)].tolist():
+                octet = (octet << np.uint8(1)) | ((octets[b >> 3] >> np.uint8(7 - (b & 7))) & np.uint8(1))
+            key = (key << np.uint64(8)) | octet
+        key = np.sort((key << shift) | np.arange(n, dtype=np.uint64))  # the left ones of a key come first
+        again = (key[1:] ^ key[:-1]) <= low
+        key = key[np.append(again, False) | np.append(False, again)]  # a key met once has no pair
+        if not len(key):
+            continue
+        index = (key & low).astype(np.int32)
+        key >>= shift
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        sizes = np.diff(np.append(first, len(key)))
+        end = np.repeat(first + sizes, sizes)
+        if left:
+            x = np.flatnonzero(index < left)
+            y = np.repeat(first + np.add.reduceat(index < left, first, dtype=np.int64), sizes)[x]
+        else:
+            x = np.arange(len(key))
+            y = x + 1
+        times = end[x] - y
+        some = np.flatnonzero(times > 0)
+        x, y, times = x[some], y[some], times[some]
+        upto, at = np.cumsum(times), 0
+        w0, w1 = words[index, 0], words[index, 1]
+        while at < len(x):
+            stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + (1 << 18), "right")))
+            c = times[at:stop]
+            j = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c - y[at:stop], c)
+            d = np.bitwise_count(np.repeat(w0[x[at:stop]], c) ^ w0[j])
+            d += np.bitwise_count(np.repeat(w1[x[at:stop]], c) ^ w1[j])
+            near = np.flatnonzero(d <= radius)
+            i, j, d = index[np.repeat(x[at:stop], c)[near]], index[j[near]], d[near]
+            for w in (2, 3):
+                d += np.bitwise_count(words[i, w] ^ words[j, w])
+                near = d <= radius
+                i, j, d = i[near], j[near], d[near]
+            if not left:
+                apart = pic[i] != pic[j]
+                i, j = i[apart], j[apart]
+            found.append(i.astype(np.int64) * n + j)
+            size += len(i)
+            if most and size > known + most // 3:  # several tables find the same
+                found = [_distinct(found)]
+                size = known = len(found[0])
+                if known > most:
+                    return None
+            at = stop
+    return _distinct(found)
+
+
+def _halves(f: Features) -> list[Features]:
+    """Two parts of whole pictures, or one if there is but one picture."""
+    ends = np.flatnonzero(f[0][1:] != f[0][:-1]) + 1
+    if not len(ends):
+        return [f]
+    mid = int(ends[np.abs(ends - len(f[0]) // 2).argmin()])
+    return [tuple(x[:mid] for x in f), tuple(x[mid:] for x in f)]
+
+
+def block_links(a: Features, b: Features | None, bits: int, tables: int, votes: int, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The links between pictures of ``a`` and ``b``, or (``b`` None) within ``a``. Blocks with more than ``most`` matches are halved."""
+    pic, no, at, words = a if b is None else (np.concatenate(x) for x in zip(a, b))
+    n, left = len(pic), 0 if b is None else len(a[0])
+    code = matches_of(pic, words, left, bits, tables, most=MOST if most is None else most)
+    if code is None:
+        one, two = _halves(a), _halves(b) if b is not None else []
+        if b is None:
+            parts = [(one[0], None), (one[1], None), (one[0], one[1])]
+        elif len(one) == 2 and (len(two) == 1 or len(a[0]) >= len(b[0])):
+            parts = [(x, b) for x in one]
+        elif len(two) == 2:
+            parts = [(a, x) for x in two]
+        else:
+            parts, most = [(a, b)], 0  # two pictures: as many matches as they have
+        for x, y in parts:
+            yield from block_links(x, y, bits, tables, votes, most)
+        return
+    local = np.cumsum(np.append(False, pic[1:] != pic[:-1]))
+    start = np.append(True, local[1:] != local[:-1]).nonzero()[0]
+    lo = 0
+    while lo < len(code):  # matches come sorted by i, so that slices of whole pictures hold whole pairs
+        last = local[code[min(lo + SLICE, len(code)) - 1] // n]
+        hi = int(np.searchsorted(code, (start[last + 1] if last + 1 < len(start) else n) * n))
+        i, j = code[lo:hi] // n, code[lo:hi] % n
+        lo = hi
+        pair = local[i] * n + local[j]
+        kinds, times = np.unique(pair, return_counts=True)
+        kinds = kinds[times >= votes]
+        if not len(kinds):
+            continue
+        place = np.minimum(np.searchsorted(kinds, pair), len(kinds) - 1)
+        keep = np.flatnonzero(kinds[place] == pair)
+        i, j, place = i[keep], j[keep], place[keep]
+        swap = pic[i] > pic[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        moved = transforms(at[i].astype(np.float64), at[j].astype(np.float64))
+        count = voted(place, no[i], *(x.astype(np.float64) for x in moved))
+        on = np.flatnonzero(count >= votes)
+        one, two = pic[start[kinds[on] // n]], pic[start[kinds[on] % n]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two)), pa.array(count[on])], ["a", "b", "n"])
+
+
+def _pairs_of_blocks(batches: Iterator[pa.RecordBatch], bits: int, tables: int, votes: int) -> Iterator[pa.RecordBatch]:
+    """Rows of two blocks, each its number, then ``pic, no, at, words``."""
+
+    def features(b: pa.RecordBatch, row: int, at: int) -> Features:
+        raw = [np.frombuffer(b.column(at + k)[row].as_buffer(), kind) for k, kind in enumerate(("<i8", "<i4", "<f4", "<u8"))]
+        return raw[0], raw[1], raw[2].reshape(-1, 4), raw[3].reshape(-1, 4)
+
+    for b in batches:
+        for row in range(b.num_rows):
+            same = b.column(0)[row] == b.column(5)[row]
+            yield from block_links(features(b, row, 1), None if same else features(b, row, 6), bits, tables, votes)
+            release()
+
+
+def _links_by_blocks(some: DataFrame, n: int, bits: int, votes: int) -> DataFrame:
+    """The links, a task for each pair of blocks; no key and no pair of pictures is gathered from several tasks."""
+    blocks = blocks_for(n)
+    bits, tables = longer_keys(bits)
+    written = some.repartition(blocks).mapInArrow(lambda it: _blocks(it, max(1, n // blocks * 5 // 4)), "pic binary, no binary, at binary, words binary")
+    written = cut(written.select(F.monotonically_increasing_id().alias("block"), "*"), "blocks")
+    one, two = (written.select(*[F.col(c).alias(f"{c}_{side}") for c in written.columns]) for side in "lr")
+    pairs = one.hint("shuffle_replicate_nl").join(two, F.col("block_l") <= F.col("block_r"))
+    return pairs.mapInArrow(lambda it: _pairs_of_blocks(it, bits, tables, votes), "a long, b long, n long")
+
+
 def links(known: DataFrame, votes: int = VOTES, heavy: int = HEAVY) -> DataFrame:
     """``a, b, n``: pictures of ``known`` (pic, feats) with ``votes`` different features in one cell of transforms."""
     n = known.agg(F.sum(F.size("feats"))).first()[0] or 0
     bits = key_bits(n)
+    some = known.where(F.size("feats") > 0).select("pic", "feats")
+    if blocks_for(n) <= tables_for(bits):
+        return _links_by_blocks(some, n, bits, votes)
     keyed = n * tables_for(bits)
     cells = max(1, -(-keyed // 150_000))
-    some = known.where(F.size("feats") > 0).select("pic", "feats")
     bound = max(heavy, keyed // 10_000)  # so that at most 10,000 keys are cut
     keys = some.mapInArrow(lambda it: _count(it, bits), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > bound)
     parts = {r["key"]: -(-r["n"] // bound) for r in keys.collect()}
