@@ -279,21 +279,23 @@ def piece_table(spark: SparkSession, model: PieceModel) -> DataFrame:
 
 def lattice(words: DataFrame, model: PieceModel) -> DataFrame:
     """``w, n, edges, chars`` of each distinct ``w``: for BPE models edges ``(s, e, id)`` of two characters and more, best
-    first and leftmost on ties, for others edges ``(k, s, e, id, v)`` of all lengths by end and start; and the ids of its
-    characters in order (MISSING where one is no piece). An edge of a merge is one number until it is sorted."""
+    first and leftmost on ties, for others edges ``(k, s, e, id, v)`` of all lengths by end and start; and its characters
+    ``(s, id)`` in order (MISSING where one is no piece). An edge of a merge, and a character, is one number."""
     tails = words.select("w", "n", F.explode(F.sequence(F.lit(1), F.char_length("w"))).alias("at")).withColumn("tail", F.expr(f"substring(w, at, {model.longest})"))
     subs = tails.select("w", "n", (F.col("at") - 1).alias("s"), "tail", F.explode(F.sequence(F.lit(1), F.char_length("tail"))).alias("l"))
     subs = subs.select("w", "n", "s", "l", F.expr("substring(tail, 1, l)").alias("sub"))
     found = subs.join(F.broadcast(piece_table(words.sparkSession, model)), F.col("sub") == F.col("piece"), "left").where("id is not null or l = 1")
     end = F.col("s") + F.col("l")
-    if model.kind == BPE:  # positions are below 2**11, as LONG bounds these words
-        packed = F.shiftleft("rank", 42).bitwiseOR(F.shiftleft(F.col("s").cast("long"), 31)).bitwiseOR(F.shiftleft(end.cast("long"), 20)).bitwiseOR(F.col("id").cast("long"))
-        edges = F.sort_array(F.collect_list(F.when(F.col("l") > 1, packed)))
-    else:
-        edges = F.sort_array(F.collect_list(F.struct(end.cast("double").alias("k"), "s", end.alias("e"), "id", F.col("score").alias("v"))))
+    if model.kind == BPE:  # positions are below 2**11, as LONG bounds these words; characters come after the edges
+        position = F.shiftleft(F.col("s").cast("long"), 31).bitwiseOR(F.shiftleft(end.cast("long"), 20))
+        edge = F.shiftleft("rank", 42).bitwiseOR(position).bitwiseOR(F.col("id").cast("long"))
+        char = F.shiftleft(F.lit(1).cast("long"), 62).bitwiseOR(position).bitwiseOR(F.coalesce("id", F.lit(MISSING)).cast("long"))
+        grouped = found.select("w", "n", F.when(F.col("l") > 1, edge).otherwise(char).alias("x")).groupBy("w").agg(F.max("n").alias("n"), F.sort_array(F.collect_list("x")).alias("x"))
+        many = F.size("x") - F.char_length("w")
+        return grouped.select("w", "n", F.slice("x", F.lit(1), many).alias("edges"), F.slice("x", many + 1, F.char_length("w")).alias("chars"))
+    edges = F.sort_array(F.collect_list(F.struct(end.cast("double").alias("k"), "s", end.alias("e"), "id", F.col("score").alias("v"))))
     own = F.shiftleft(F.col("s").cast("long"), 20).bitwiseOR(F.coalesce("id", F.lit(MISSING)).cast("long"))
-    grouped = found.groupBy("w").agg(F.max("n").alias("n"), edges.alias("edges"), F.sort_array(F.collect_list(F.when(F.col("l") == 1, own))).alias("chars"))
-    return grouped.select("w", "n", "edges", F.transform("chars", lambda x: x.bitwiseAND(F.lit(MISSING)).cast("int")).alias("chars"))
+    return found.groupBy("w").agg(F.max("n").alias("n"), edges.alias("edges"), F.sort_array(F.collect_list(F.when(F.col("l") == 1, own))).alias("chars"))
 
 
 BLOCK = 64
@@ -323,49 +325,41 @@ def _missing(w: Column, s: Column, model: PieceModel) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(code) - 1, F.lit(2)), lambda k: F.get(table, F.conv(F.substring(code, k, F.lit(2)), 16, 10).cast("int")))
 
 
-def _merge_fold(w: Column, edges: Column, chars: Column, model: PieceModel) -> Column:
-    """State: the edges whose two ends are still boundaries between symbols, each with the number of boundaries inside it
-    and their sum. An edge with one boundary inside covers two neighbouring symbols. Each step makes the best such merge:
-    the boundary goes, and with it the edges that end there. ``made`` keeps the merges."""
-    n = F.size(chars)
-    edge = lambda x, c, t: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["id"].alias("id"), c.alias("c"), t.alias("t"))
-
-    def read(x: Column) -> Column:
-        bits = lambda at, mask: F.shiftright(x, at).bitwiseAND(F.lit(mask)).cast("int")
-        s, e = bits(31, 2047), bits(20, 2047)
-        return F.struct(s.alias("s"), e.alias("e"), bits(0, MISSING).alias("id"), (e - s - 1).alias("c"), F.shiftright((s + e) * (e - s - 1), 1).alias("t"))
-
-    open_ = F.transform(edges, read)
-
-    def step(acc: Column, _: Column) -> Column:
-        def merge(x: Column) -> Column:
-            m = x["t"]
-            rest = F.filter(acc["open"], lambda y: (y["s"] != m) & (y["e"] != m) & ((y["s"] != x["s"]) | (y["e"] != x["e"])))
-            less = F.transform(rest, lambda y: F.when((y["s"] < m) & (m < y["e"]), edge(y, y["c"] - 1, y["t"] - m)).otherwise(y))
-            return F.when(x.isNull(), F.struct(F.slice(acc["open"], 1, 0).alias("open"), acc["made"].alias("made"))).otherwise(F.struct(less.alias("open"), F.concat(acc["made"], F.array(x)).alias("made")))
-
-        return F.when(F.size(acc["open"]) == 0, acc).otherwise(_bind(F.get(F.filter(acc["open"], lambda x: x["c"] == 1), F.lit(0)), merge))
+def _id(x: Column) -> Column:
+    """The id of an edge of a merge or of a character."""
+    return x.bitwiseAND(F.lit(MISSING)).cast("int")
 
-    kind = "array<struct<s:int,e:int,id:int,c:int,t:int>>"
-    start = F.struct(open_.cast(kind).alias("open"), F.array().cast(kind).alias("made"))
-    made = F.aggregate(F.slice(edges, F.lit(1), F.greatest(n - 1, F.lit(0))), start, step, lambda acc: acc["made"])
 
-    def ids(made: Column) -> Column:
-        # the symbols: what was made and has both ends left, and single characters
-        def symbols(gone: Column) -> Column:
-            starts = F.array_except(F.sequence(F.lit(0), n - 1), gone)
-
-            def one(s: Column, k: Column) -> Column:
-                alone = F.get(chars, s)
-                wide = F.get(F.filter(made, lambda x: (x["s"] == s) & (x["e"] == F.coalesce(F.get(starts, k + 1), n))), F.lit(0))
-                plain = F.when(alone == MISSING, _missing(w, s, model)).otherwise(F.array(alone))
-                return F.when(F.coalesce(F.get(starts, k + 1), n) == s + 1, plain).otherwise(F.array(wide["id"]))
-
-            return F.flatten(F.transform(starts, one))
-
-        return _bind(F.transform(made, lambda x: x["t"]), symbols)
-
-    return _bind(made, ids)
+def _merge_fold(w: Column, edges: Column, chars: Column, model: PieceModel) -> Column:
+    """State: the boundaries between symbols, from 0 to the end; without the 0 once no merge is left. An edge that reaches
+    from a boundary to the next but one covers two neighbouring symbols. Each step makes the first such merge: the boundary
+    inside goes. Pairs of boundaries are met with all edges at once (``array_intersect`` keeps the edges' order), as a
+    lambda for each edge and step costs far more."""
+    pair = lambda s, e: F.shiftleft(s, 11).bitwiseOR(e)
+    rest = F.lit(LONG[BPE] + 1)
+
+    def folded(spans: Column) -> Column:
+        def step(ends: Column, _: Column) -> Column:
+            pairs = F.zip_with(ends, F.slice(ends, F.lit(3), rest), pair)  # null for the last two
+            best = F.get(F.array_intersect(spans, pairs), F.lit(0))
+            middle = F.get(ends, F.array_position(ends, F.shiftright(best, 11)).cast("int"))
+            return F.when(F.get(ends, F.lit(0)) > 0, ends).otherwise(F.coalesce(F.array_remove(ends, middle), F.slice(ends, F.lit(2), rest)))
+
+        def symbols(ends: Column) -> Column:
+            def one(e: Column, k: Column) -> Column:
+                return _bind(F.coalesce(F.get(ends, k - 1), F.lit(0).cast("long")), lambda s: F.when(e - s == 1, F.get(chars, s.cast("int"))).otherwise(F.get(edges, F.array_position(spans, pair(s, e)).cast("int") - 1)))
+
+            return F.transform(ends, one)
+
+        start = F.sequence(F.lit(0).cast("long"), F.size(chars).cast("long"))
+        return F.aggregate(F.slice(chars, F.lit(2), rest), start, step, lambda ends: _bind(F.array_remove(ends, F.lit(0).cast("long")), symbols))
+
+    def ids(found: Column) -> Column:
+        plain = lambda x: F.when(_id(x) == MISSING, _missing(w, F.shiftright(x, 31).bitwiseAND(F.lit(2047)).cast("int"), model)).otherwise(F.array(_id(x)))
+        return F.when(F.exists(found, lambda x: _id(x) == MISSING), F.flatten(F.transform(found, plain))).otherwise(F.transform(found, _id))
+
+    spans = F.transform(edges, lambda x: F.shiftright(x, 20).bitwiseAND(F.lit((1 << 22) - 1)))
+    return _bind(_bind(spans, folded), ids)
 
 
 def _viterbi_fold(w: Column, edges: Column, chars: Column, model: PieceModel) -> Column:
