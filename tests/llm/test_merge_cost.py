@@ -1,4 +1,4 @@
-"""A step of the merges' fold evaluates no expression for each edge: these were two thirds of the CPU of op3_pieces' word table."""
+"""A step of the merges' fold evaluates no expression for each edge: that fold was two thirds of the CPU of the word table of op3_pieces."""
 
 import random
 
